@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import simhash
+from heddle.llm import langid, quality, simhash
 from heddle.llm.common import table
 
 
+def _remainder(n: int):
+    """crc32 of the doc_id as text, modulo n: the fixed folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; the model learns from labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(_remainder(4) != 2))
+    return quality.classify(docs, model).withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; the models learn from documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_remainder(5) != 0))
+    found = langid.identify(docs, model).withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False)))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -18,7 +38,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    return {f.__name__: f for f in (op6_quality, op7_langid, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
