@@ -23,7 +23,8 @@ GRAMS = (1, 2, 3, 4)
 BITS = 17
 SAMPLE_DOCS = 2400
 FOLDS = 3
-EPOCHS = 40
+EPOCHS = 60
+TOLERANCE = 1e-4
 COST = 1.0
 ALPHA = 1.0
 THRESHOLD = 0.7
@@ -87,7 +88,7 @@ def _dual_descent(rows: list[np.ndarray], values: list[np.ndarray], good: np.nda
                 bias += step
                 most = max(most, abs(step))
                 dual[i] = new
-        if most < 1e-3:
+        if most < TOLERANCE:
             break
     return w, bias
 

@@ -29,7 +29,8 @@ def test_held_out_accuracy_and_bounds():
 
 
 def test_dual_descent_reaches_the_optimum(monkeypatch):
-    monkeypatch.setattr(quality, "EPOCHS", 3000)
+    monkeypatch.setattr(quality, "EPOCHS", 5000)
+    monkeypatch.setattr(quality, "TOLERANCE", 1e-9)
     train = rows(120)
     feats, good = [quality.features(t) for t, _ in train], np.array([y for _, y in train], bool)
     ratios = quality._ratios(feats, good)
