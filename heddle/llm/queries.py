@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import langid, quality, simhash
+from heddle.llm import langid, pii, quality, sentencepiece, simhash
 from heddle.llm.common import table
 
 
@@ -16,6 +16,19 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and what they decode to."""
+    import public_tokenizers
+
+    return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; the model learns from labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -38,7 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality, op7_langid, op10_simhash)}
+    return {f.__name__: f for f in (op2_pii, op4_sentencepiece, op6_quality, op7_langid, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
