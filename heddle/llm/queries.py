@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import langid, pii, quality, sentencepiece, simhash
+from heddle.llm import langid, pii, quality, sentencepiece, sharding, simhash
 from heddle.llm.common import table
 
 
@@ -44,6 +44,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all documents."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_sentencepiece, op6_quality, op7_langid, op10_simhash)}
+    return {f.__name__: f for f in (op2_pii, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
