@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import langid, pii, quality, sentencepiece, sharding, simhash
+from heddle.llm import langid, pii, quality, sentencepiece, sharding, simhash, sketches
 from heddle.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.train(docs))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of all documents and of their edited texts."""
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to."""
     import public_tokenizers
@@ -56,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op10_simhash)}
+    return {f.__name__: f for f in (op2_pii, op3_fingerprints, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
