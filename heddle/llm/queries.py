@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import langid, pii, quality, sentencepiece, sharding, simhash, sketches
+from heddle.llm import decontam, langid, pii, quality, sentencepiece, sharding, simhash, sketches
 from heddle.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents contain which benchmark items."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by SimHash."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,8 +66,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_fingerprints, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op10_simhash)}
+    return {f.__name__: f for f in (op2_pii, op3_fingerprints, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op9_decontamination, op10_simhash)}
+
+
+#: Exact containment of every item in every document, by distinct five-word shingles.
+OP9_SQL = r"""
+WITH toks AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark
+), sh AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> list_slice(w, i, i + 4))) AS piece FROM toks WHERE len(w) >= 5
+), n AS (SELECT id AS item_id, count(*) AS n_shingles FROM sh WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n.n_shingles, count(*) AS n_shared, count(*) / n.n_shingles AS containment
+FROM sh d JOIN sh i ON d.side = 'd' AND i.side = 'i' AND d.piece = i.piece JOIN n ON n.item_id = i.id
+GROUP BY d.id, i.id, n.n_shingles HAVING count(*) / n.n_shingles >= 0.8
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": OP9_SQL}
