@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontam, langid, pii, quality, sentencepiece, sharding, simhash, sketches
+from heddle.llm import chat, decontam, langid, pii, quality, sentencepiece, sharding, simhash, sketches, urlfilter
 from heddle.llm.common import table
 
 
@@ -16,6 +16,34 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+#: A dated list for the query: (kind, value, action, day).
+LIST = (
+    ("domain", "spam-farm.example.org", "block", "2024-02-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-01-10"),
+    ("domain", "cheap-pills.example.com", "clear", "2024-06-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-09-15"),
+    ("domain", "example.net", "block", "2024-03-01"),
+    ("domain", "example.net", "clear", "2024-05-01"),
+    ("host", "tionsh.example.net", "allow", "2024-04-01"),
+    ("host", "tionsh.example.net", "clear", "2024-10-01"),
+    ("prefix", "tionsh.example.net/en", "block", "2024-11-01"),
+    ("prefix", "tionsh.example.net/fr", "block", "2024-01-01"),
+    ("prefix", "blog.tionble.example.com/en", "block", "2024-07-01"),
+    ("host", "blog.tionble.example.com", "allow", "2024-07-01"),
+    ("domain", "tiontion.example.com", "block", "2024-08-01"),
+    ("domain", "tiontion.example.com", "allow", "2024-08-01"),
+)
+
+
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on all pages. The table has no fetch times: page_id days (of a year) after 1 January 2024 stand in."""
+    day = F.expr("timestampadd(DAY, page_id % 366, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+    values = ", ".join(f"('{k}', '{v}', '{a}', TIMESTAMP_NTZ '{d} 00:00:00')" for k, v, a, d in LIST)
+    entries = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, value, action, listed_on)")
+    return urlfilter.judge(captures, entries)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +62,25 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    columns = ("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(more)
+    made = chat.render(chat.canonical_turns(chat.from_rows(rows)))
+    read = made.withColumns({"read": chat.read_turns(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_mask"))})
+    lines = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; the model learns from labels outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -66,17 +113,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_fingerprints, op4_sentencepiece, op6_quality, op7_langid, op8_sharding, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_urlfilter, op2_pii, op3_fingerprints, op4_sentencepiece, op5_chat, op6_quality, op7_langid, op8_sharding, op9_decontamination, op10_simhash)}
 
 
 #: Exact containment of every item in every document, by distinct five-word shingles.
 OP9_SQL = r"""
 WITH toks AS (
-  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark
 ), sh AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), i -> list_slice(w, i, i + 4))) AS piece FROM toks WHERE len(w) >= 5
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: list_slice(w, i, i + 4))) AS piece FROM toks WHERE len(w) >= 5
 ), n AS (SELECT id AS item_id, count(*) AS n_shingles FROM sh WHERE side = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n.n_shingles, count(*) AS n_shared, count(*) / n.n_shingles AS containment
 FROM sh d JOIN sh i ON d.side = 'd' AND i.side = 'i' AND d.piece = i.piece JOIN n ON n.item_id = i.id
@@ -84,5 +131,42 @@ GROUP BY d.id, i.id, n.n_shingles HAVING count(*) / n.n_shingles >= 0.8
 """
 
 
+OP1_SQL = (
+    "WITH log(kind, value, action, listed_on) AS (VALUES "
+    + ", ".join(f"('{k}', '{v}', '{a}', TIMESTAMP '{d}')" for k, v, a, d in LIST)
+    + r"""), days AS (
+  SELECT kind, value, listed_on, max_by(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action FROM log GROUP BY ALL
+), valid AS (SELECT *, lead(listed_on) OVER (PARTITION BY kind, value ORDER BY listed_on) AS until FROM days),
+p AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), hit AS (
+  SELECT p.page_id, p.url, v.kind, v.value, v.action, v.listed_on,
+    row_number() OVER (PARTITION BY p.page_id ORDER BY CASE v.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(v.value) DESC) AS n
+  FROM p JOIN valid v ON v.listed_on <= p.fetched_at AND (v.until IS NULL OR p.fetched_at < v.until) AND CASE v.kind
+    WHEN 'host' THEN p.host = v.value WHEN 'domain' THEN p.host = v.value OR ends_with(p.host, '.' || v.value)
+    ELSE p.host || p.path = v.value OR starts_with(p.host || p.path, v.value || '/') END
+)
+SELECT p.page_id, p.url, p.fetched_at, CASE WHEN p.host = '' THEN 'no_url' WHEN h.action = 'block' THEN 'blocked' WHEN h.action = 'allow' THEN 'allowed' ELSE 'unlisted' END AS verdict,
+  h.kind AS matched_kind, h.value AS matched_value, h.listed_on
+FROM p LEFT JOIN hit h ON h.page_id = p.page_id AND h.n = 1
+"""
+)
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + length('<|start|>') + 1 + length('<|end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {"op1_urlfilter": OP1_SQL, "op5_chat": OP5_SQL, "op9_decontamination": OP9_SQL}
