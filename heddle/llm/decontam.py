@@ -92,3 +92,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def _piece_hashes(pieces: DataFrame) -> DataFrame:
     """The hash that ``with_shingles`` gives each piece."""
     return pieces.withColumn("h", F.xxhash64(F.transform(F.split("piece", " "), lambda w: F.xxhash64(w))))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """``docs`` without the documents that contain an item; rows with a null id stay."""
+    found = Stored(find(docs, items, id_col, broadcast_rows=broadcast_rows, **options).select("doc_id").distinct()).df
+    gone = found.withColumnRenamed("doc_id", id_col)
+    return docs.join(F.broadcast(gone) if found.count() <= broadcast_rows else gone, id_col, "left_anti").select(docs.columns)

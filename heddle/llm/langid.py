@@ -282,3 +282,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
     return kept.mapInArrow(batches, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that are rejected; a null language becomes the predicted one. Other columns pass through."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def batches(parts):
+        import pyarrow.compute as pc
+
+        own = shared.value
+        for part in parts:
+            names, keep = [], []
+            for i in range(0, part.num_rows, 256):
+                got, _, _, rejected = classify(part.column(at).slice(i, 256).to_pylist(), own)
+                names += got
+                keep += (~rejected).tolist()
+            kind = part.schema.field(lang_at).type
+            columns = [pc.coalesce(c, pa.array(names, kind)) if j == lang_at else c for j, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -31,6 +31,7 @@ MAX_BITS = 2
 SEGMENTS = 5
 BUCKET = 32
 SEED = 42
+BROADCAST_ROWS = 1_000_000  # ids: some 60 MB in a hash table
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -134,8 +135,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the least doc_id reachable over links, itself included.
 
-    Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id are
-    one document with several fingerprints and stay separate rows. A row with a null id joins the
+    Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id stay
+    separate rows, each in the group of its fingerprint; fingerprints whose least id is the same are one
+    node. A row with a null id joins the
     group of its fingerprint; its component_id is null if no row of this fingerprint has an id. No
     rows give no rows. Other columns are not read, whatever their names.
     """
@@ -153,12 +155,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     over all columns is least. Rows with a null id can't be named and all stay.
     """
     groups = Stored(near_duplicates(docs, id_col, text_col, **options)).df
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated, nameless = groups.agg(F.count("doc_id") - F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    out = docs.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    own = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    gone, repeated = own.agg(F.count_if(~F.col("stays")), F.count_if(F.col("n") > 1)).first()
+    stood_for = own.where(~F.col("stays")).select(F.col("doc_id").alias(id_col))
+    out = docs.join(F.broadcast(stood_for) if gone <= BROADCAST_ROWS else stood_for, id_col, "left_anti")
     if repeated:
         order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-        out = out.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    if nameless:
-        out = out.unionByName(docs.where(F.col(id_col).isNull()))
+        out = out.withColumn("_nth", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where("_nth = 1").drop("_nth")
     return out.select(docs.columns)
