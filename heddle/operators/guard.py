@@ -25,7 +25,7 @@ FUNCTIONS = frozenset(
     "btrim trim ltrim rtrim lpad rpad reverse repeat left right ceiling ceil floor trunc abs sign sqrt exp ln log log10 power pow mod length char_length octet_length concat concat_ws substring substr position locate replace translate "
     "nullif ifnull nvl greatest least if when case isnull isnotnull date_add date_sub datediff date_diff add_months months_between last_day year quarter month day dayofmonth dayofweek dayofyear hour minute second "
     "current_date current_timestamp now make_date make_timestamp date timestamp row_number rank dense_rank percent_rank cume_dist ntile lag lead first first_value last last_value nth_value median approx_count_distinct covar_pop covar_samp "
-    "regr_slope grouping grouping_id explode sequence array struct named_struct size element_at array_contains sort_array int bigint double string boolean decimal float smallint like ilike rlike contains startswith endswith "
+    "regr_slope grouping grouping_id explode sequence array struct named_struct size element_at array_contains array_join array_distinct sort_array int bigint double string boolean decimal float smallint like ilike rlike contains startswith endswith "
     "and or not in between div try_divide try_cast date_format to_json md5 sha2 crc32 hex ascii chr cardinality unnest".split()
 )
 SHOWN = "Use standard SQL: count, sum, avg, min, max, lower, upper, coalesce, round, date_trunc, extract, cast, case."
