@@ -184,8 +184,9 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], row_limit:
     """At most ``row_limit`` rows, one more being fetched to see whether there are; cancelled after ``timeout_s``."""
     frame = guarded(spark, sql, tables, row_limit + 1, schema)
     tag = f"heddle-{threading.get_ident()}-{time.monotonic_ns()}"
-    spark.addTag(tag)
-    timer = threading.Timer(timeout_s, lambda: spark.interruptTag(tag))
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    timer = threading.Timer(timeout_s, lambda: context.cancelJobsWithTag(tag))
     timer.start()
     began = time.perf_counter()
     try:
@@ -196,5 +197,5 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], row_limit:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     return QueryResult(frame.columns, rows[:row_limit], min(len(rows), row_limit), len(rows) > row_limit, (time.perf_counter() - began) * 1000)

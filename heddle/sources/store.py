@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK = T.StructType.fromDDL("doc_id string, text string, modality string, strategy string, page int, headings array<string>, bbox array<double>, token_count int, chunk_id string, image string")
+CHUNK = "doc_id string, text string, modality string, strategy string, page int, headings array<string>, bbox array<double>, token_count int, chunk_id string, image string"
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
