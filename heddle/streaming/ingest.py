@@ -68,3 +68,20 @@ def run(spark: SparkSession, stream: DataFrame, schema: T.StructType | None = No
     out = fresh(spark)
     to_parquet(stream, f"{out}/rows", f"{out}/checkpoint", mode).awaitTermination()
     return spark.read.schema(schema or stream.schema).parquet(f"{out}/rows")
+
+
+def watch_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """New files of a folder as a stream of (doc_id, path, modificationTime, content), each content once."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.withColumn("doc_id", content_id(F.col("content"))).dropDuplicates(["doc_id"]).select("doc_id", "path", "modificationTime", "content")
+
+
+def pending(files: DataFrame, manifest: DataFrame | None, ready) -> DataFrame:
+    """Files of a scan that the manifest (key, version) lacks and that ``ready`` admits: one tick of a sensor.
+
+    A file that is not whole yet is left out and seen again at the next tick, which a stream's offsets would not allow. A changed
+    file has a new version and so comes again; a failed one stays in the manifest and doesn't.
+    """
+    now = files.where(ready).select(F.col("path").alias("key"), content_id(F.col("content")).alias("version"))
+    return now if manifest is None else now.join(manifest.select("key", "version"), ["key", "version"], "left_anti")
