@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 BATCH, RETRIES = 32, 3
 
 
@@ -57,6 +59,8 @@ def with_retries(call, retries: int = RETRIES, wait=time.sleep):
 def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", to: str = "embedding") -> DataFrame:
     """``df`` with the texts' vectors (null for null), in batches of 32 through Arrow."""
 
+    ship(df.sparkSession)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column(part.schema.get_field_index(text_col)).to_pylist()

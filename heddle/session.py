@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +38,17 @@ def get_session(app: str = "heddle", master: str | None = None, **conf: str) ->
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once a session, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_heddle_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="heddle-")) / "heddle.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(packed))
+    context._heddle_shipped = True

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 BLOCKS = "doc_id string, ord int, kind string, level int, text string, page int"
 SCANNED_CHARS = 50
 PICTURE_SIDE = 50.0
@@ -42,6 +44,8 @@ def timeout_s(pages: int) -> float:
 def parse(files: DataFrame, parser: Parser = plain_parser) -> DataFrame:
     """Blocks of (doc_id, content) files; a file that fails fails the job, so a document is whole or absent."""
 
+    ship(files.sparkSession)
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = [(doc, i, kind, level, text, page) for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (kind, level, text, page) in enumerate(parser(content))]
