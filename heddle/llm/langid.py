@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 ORDER = 4
 SAMPLE_DOCS = 6000
 CALIBRATION_SHARE = 0.2
@@ -263,6 +265,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     See ``classify`` for null, empty and wordless texts; ids may be null or repeat.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts):
@@ -286,6 +289,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows that are rejected; a null language becomes the predicted one. Other columns pass through."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE_DOCS = 3000
@@ -327,6 +329,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     The counts and the digest are of base spans; ``spans`` has the added ones too. Null texts are empty and
     have no spans. Ids may be null or repeat; other columns aren't read.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts):
@@ -344,6 +347,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def redact_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind; other columns pass through, null texts stay null."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

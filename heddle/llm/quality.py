@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 GRAMS = (1, 2, 3, 4)
 BITS = 17
 SAMPLE_DOCS = 2400
@@ -164,6 +166,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Ids may be null or repeat; other columns aren't read.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts):

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import ship
+
 MARK = "▁"
 CHUNK = 1 << 20
 NEVER = np.int32(2**31 - 1)
@@ -269,6 +271,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     on the driver and broadcast; its size is fixed. Batches are cut to about a million characters, so memory
     follows the longest text, not the table.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
     extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
 

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from heddle.llm.common import Stored
 from heddle.llm.components import connected_components
+from heddle.session import ship
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -56,6 +57,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; fp is the SimHash as a signed long."""
 
+    ship(docs.sparkSession)
+
     def batches(parts):
         for part in parts:
             got = np.fromiter((fingerprint(t.as_py()) for t in part.column(1)), np.uint64, part.num_rows)
