@@ -90,36 +90,53 @@ def fixed(docs: DataFrame, max_tokens: int, overlap: int = 0, id_col: str = "doc
     return piece.select(id_col, F.col("piece").cast("long").alias("piece"), F.array_join(own, " ").alias("text"), F.size(own).cast("long").alias("token_count"))
 
 
-def sentences(text: Column) -> Column:
-    """Pieces that join to the text again: a boundary stays with the sentence before it; blank pieces go with their neighbour."""
-    marked = F.split(F.regexp_replace(text, SENTENCE_END, f"$1{SPLIT}"), SPLIT)
-    blank = lambda x: F.trim(x) == ""
+def _blank(x: Column) -> Column:
+    return F.regexp_replace(x, r"\s+", "") == ""
+
+
+def _split_sentences(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, f"$1{SPLIT}"), SPLIT), lambda x: x != "")
+
+
+def _join_blanks(pieces: Column) -> Column:
+    last = lambda acc: F.element_at(acc, -1)
     return F.aggregate(
-        marked, F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (blank(x) | blank(F.element_at(acc, -1))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x)))).otherwise(F.concat(acc, F.array(x))),
+        pieces, F.array().cast("array<string>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (_blank(x) | _blank(last(acc))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), x)))).otherwise(F.concat(acc, F.array(x))),
     )
 
 
+def sentences(text: Column) -> Column:
+    """Pieces that join to the text again: a boundary stays with the sentence before it; blank pieces go with their neighbour."""
+    return _join_blanks(_split_sentences(text))
+
+
 def pack(pieces: Column, max_tokens: int) -> Column:
-    """Texts of neighbouring pieces joined while they have at most ``max_tokens`` words; a larger piece is alone."""
-    size = lambda x: F.size(words_of(x))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    """Texts of neighbouring pieces joined while they have at most ``max_tokens`` words; a larger piece is alone.
+
+    Words are counted once for each piece. The fold only finds where chunks begin: it carries two numbers and the starts.
+    """
+    sized = F.transform(pieces, lambda x: F.struct(x.alias("t"), F.size(words_of(x)).alias("n")))
+    start = F.struct(F.array().cast("array<struct<t:string,n:int>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+    joined = lambda acc: F.struct(F.array_join(acc["now"], "").alias("t"), acc["n"].alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] == 0) | (acc["n"] + size(x) <= max_tokens)
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["now"], x).alias("now"), (acc["n"] + size(x)).alias("n"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), x.alias("now"), size(x).alias("n"))
+        fits = (acc["n"] == 0) | (acc["n"] + x["n"] <= max_tokens)
+        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(x["t"])).alias("now"), (acc["n"] + x["n"]).alias("n"))).otherwise(
+            F.struct(F.concat(acc["done"], F.array(joined(acc))).alias("done"), F.array(x["t"]).alias("now"), x["n"].alias("n"))
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.filter(F.transform(F.concat(acc["done"], F.array(acc["now"])), lambda t: F.trim(t)), lambda t: t != ""))
+    return F.aggregate(sized, start, step, lambda acc: F.filter(F.transform(F.concat(acc["done"], F.array(joined(acc))), lambda c: F.trim(c["t"])), lambda t: t != ""))
 
 
 def recursive(parts: DataFrame, max_tokens: int, text_col: str = "text") -> DataFrame:
     """Rows with ``pieces``: sentences packed to the budget; a sentence beyond it is cut into windows of words."""
-    long_ = lambda s: F.size(words_of(s)) > max_tokens
-    windows = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words_of(s))), F.lit(max_tokens)), lambda i: F.concat(F.array_join(F.slice(words_of(s), i, max_tokens), " "), F.lit(" ")))
-    split = parts.withColumn("_s", F.flatten(F.transform(sentences(F.col(text_col)), lambda s: F.when(long_(s), windows(s)).otherwise(F.array(s)))))
-    return split.withColumn("pieces", pack(F.col("_s"), max_tokens)).drop("_s")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w)), F.lit(max_tokens)), lambda i: F.concat(F.array_join(F.slice(w, i, max_tokens), " "), F.lit(" ")))
+    # most texts have no blank piece and need no fold; each step is a column, so that it is evaluated once
+    split = parts.withColumn("_p", _split_sentences(F.col(text_col))).withColumn("_p", F.when(F.exists("_p", _blank), _join_blanks(F.col("_p"))).otherwise(F.col("_p")))
+    split = split.withColumn("_w", F.transform("_p", lambda s: F.struct(s.alias("t"), words_of(s).alias("w"))))
+    split = split.withColumn("_s", F.flatten(F.transform("_w", lambda x: F.when(F.size(x["w"]) > max_tokens, cut(x["w"])).otherwise(F.array(x["t"])))))
+    return split.withColumn("pieces", pack(F.col("_s"), max_tokens)).drop("_p", "_w", "_s")
 
 
 def breakpoints(sentences_: DataFrame, percentile: float = 0.9, by: str = "section", order_col: str = "ord", vector_col: str = "embedding") -> DataFrame:
@@ -135,7 +152,7 @@ def merge_peers(blocks: DataFrame, max_tokens: int) -> DataFrame:
     """(doc_id, section, headings, piece, text, token_count): neighbouring blocks of a section joined while they fit."""
     rows = blocks.where(~F.col("kind").isin("heading", "title"))
     met = rows.groupBy("doc_id", "section").agg(F.first("headings").alias("headings"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda p: F.concat(p["text"], F.lit("\n"))).alias("p"))
-    out = met.select("doc_id", "section", "headings", F.posexplode(pack(F.col("p"), max_tokens)).alias("piece", "text"))
+    out = met.select("doc_id", "section", "headings", F.posexplode_outer(pack(F.col("p"), max_tokens)).alias("piece", "text")).where("text IS NOT NULL")
     return out.select("doc_id", "section", "headings", F.col("piece").cast("long").alias("piece"), "text", F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
 
 

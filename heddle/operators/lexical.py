@@ -11,10 +11,16 @@ from heddle.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, length, term, tf): one row for each distinct term of a text. Counts are combined before the shuffle."""
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(id, length, term, tf): one row for each distinct term of a text, or of those in ``only`` (a frame of terms).
+
+    Counts are combined before the shuffle, and other terms are left out before that.
+    """
     split = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
-    return split.select(id_col, F.size("_t").cast("long").alias("length"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL").groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    each = split.select(id_col, F.size("_t").cast("long").alias("length"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
+    return each.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -73,7 +79,7 @@ def ranked(scored: DataFrame, top_k: int, id_col: str) -> DataFrame:
 def sparse_search_batch(docs: DataFrame, questions: DataFrame, top_k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", question_col: str = "question") -> DataFrame:
     """(query_id, rank, id, score) for a table of questions: an inner join of their distinct terms with the postings."""
     asked = questions.select(query_col, F.explode_outer(F.array_distinct(tokens(F.col(question_col)))).alias("term")).where("term IS NOT NULL")
-    counts = term_counts(docs, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = term_counts(docs, id_col, text_col, asked.select("term").distinct())
     split = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("mean"))
     weight = document_weight(F.col("tf"), F.col("length"), split.select("mean").scalar()) * idf(split.select("n").scalar(), F.col("df"))
     weighted = counts.join(document_frequency(counts), "term").select("term", id_col, weight.alias("w"))

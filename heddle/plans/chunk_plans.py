@@ -62,7 +62,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed up to a budget; tests hold it against a direct version."""
     rows = C.recursive(table(spark, sf_dir, "documents").select("doc_id", "text"), MAX)
-    return rows.select("doc_id", F.posexplode("pieces").alias("piece", "text")).select("doc_id", "piece", content_id(F.col("text")).alias("text_id"), F.size(C.words_of(F.col("text"))).alias("token_count"))
+    each = rows.select("doc_id", F.posexplode_outer("pieces").alias("piece", "text")).where("text IS NOT NULL")  # an inner explode would first filter, and so pack twice
+    return each.select("doc_id", "piece", content_id(F.col("text")).alias("text_id"), F.size(C.words_of(F.col("text"))).alias("token_count"))
 
 
 def chunk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
