@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table of a data directory; any path Spark can read."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
