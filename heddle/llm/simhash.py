@@ -164,5 +164,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     out = docs.join(F.broadcast(stood_for) if gone <= BROADCAST_ROWS else stood_for, id_col, "left_anti")
     if repeated:
         order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-        out = out.withColumn("_nth", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where("_nth = 1").drop("_nth")
+        out = out.withColumn("_heddle_nth", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where("_heddle_nth = 1").drop("_heddle_nth")
     return out.select(docs.columns)

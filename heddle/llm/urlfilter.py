@@ -90,9 +90,9 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
         on.append("salt")
     in_force = keys.join(valid, on).where((F.col("valid_from") <= F.col("_time")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to"))))
     special = F.create_map(*[x for k, i in KINDS.items() for x in (F.lit(k), F.lit(i))])
-    best = in_force.groupBy("_url", "_time").agg(F.max(F.struct(F.try_element_at(special, F.col("kind")).alias("special"), "rank", "kind", "value", "action", "valid_from")).alias("best"))
+    best = in_force.groupBy("_url", "_time").agg(F.max(F.struct(F.try_element_at(special, F.col("kind")).alias("special"), "rank", "kind", "value", "action", "valid_from")).alias("_best"))
     joined = rows.join(best, (F.col(f"`{url_col}`").cast("string") == F.col("_url")) & (F.col(f"`{time_col}`") == F.col("_time")), "left")
     verdict = F.when(F.coalesce(host(F.col(f"`{url_col}`").cast("string")), F.lit("")) == "", F.lit(NO_URL))
     for action, name in VERDICTS.items():
-        verdict = verdict.when(F.col("best.action") == action, F.lit(name))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], verdict.otherwise(F.lit(UNLISTED)).alias("verdict"), F.col("best.kind").alias("matched_kind"), F.col("best.value").alias("matched_value"), F.col("best.valid_from").alias("listed_on"))
+        verdict = verdict.when(F.col("_best.action") == action, F.lit(name))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], verdict.otherwise(F.lit(UNLISTED)).alias("verdict"), F.col("_best.kind").alias("matched_kind"), F.col("_best.value").alias("matched_value"), F.col("_best.valid_from").alias("listed_on"))

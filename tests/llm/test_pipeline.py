@@ -69,3 +69,10 @@ def test_stages_and_run(spark, tables):
 def _firsts(state):
     groups = brute_components(list(state.items()))
     return {i: t for i, t in state.items() if groups[i][1] == i}
+
+
+def test_no_documents(spark, tables, tmp_path):
+    path, _, _ = tables
+    spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 0").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

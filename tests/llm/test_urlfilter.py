@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from heddle.llm import urlfilter
 
 DAY = datetime(2024, 1, 1)
@@ -41,7 +43,7 @@ def test_judge_equals_direct(spark):
         url = f"http{rng.choice(['', 's'])}://{rng.choice(['', 'u:p@'])}{rng.choice(hosts)}{rng.choice(['', ':80', '.'])}{rng.choice(['', '/', '/p', '/p/q/r', '/P?x=/p', '/pq', '#p'])}"
         rows.append((i, url, DAY + timedelta(hours=rng.randrange(600)), "v"))
     rows += [(900, None, DAY, "v"), (901, "", DAY, "v"), (902, "nonsense", DAY, "v"), (903, "http://a.com/", None, "v"), (904, "http://a.com/" + "p/" * 5000, DAY + timedelta(days=30), "v")] + rows[:20]
-    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp_ntz, verdict string")
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp_ntz, verdict string").withColumns({c: F.lit(1) for c in ("best", "kind", "value", "rank", "action")})
     log = spark.createDataFrame([*entries, ("host", None, "block", DAY), ("what", "a.com", "block", DAY), ("host", "a.com", "block", None), *entries[:5]], "kind string, value string, action string, listed_on timestamp_ntz")
     want = Counter((i, *direct(url, time, entries)) for i, url, time, _ in rows)
     for limit in (urlfilter.BROADCAST_ROWS, 0):
