@@ -143,8 +143,8 @@ class _Walk:
             self.expression(child, ctes)
 
 
-def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max_rows: int) -> tuple[str, int]:
-    """(SQL to run, its row limit) or Refused; ``schema`` may be empty for temporary views."""
+def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max_rows: int | None) -> tuple[str, int | None]:
+    """(SQL to run, its row limit) or Refused; ``schema`` may be empty for temporary views. No ``max_rows`` sets no limit."""
     text = _prepare(sql)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
@@ -157,7 +157,7 @@ def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max
     if _class(root) in ("LocalRelation", "UnresolvedInlineTable", "ResolvedInlineTable"):
         raise Refused("Only a SELECT statement may be run, not VALUES. Write a SELECT query.")
     _Walk(schema, {t.lower() for t in tables}).plan(plan, frozenset())
-    return text, limit_of(plan, max_rows)
+    return text, None if max_rows is None else limit_of(plan, max_rows)
 
 
 def limit_of(plan, max_rows: int) -> int:
@@ -170,14 +170,15 @@ def limit_of(plan, max_rows: int) -> int:
     return max_rows
 
 
-def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int, schema: str = "") -> DataFrame:
-    """The guarded query over these tables alone, with its limit; they become temporary views of the session."""
+def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None, schema: str = "") -> DataFrame:
+    """The guarded query over these tables alone, with its limit (none without ``max_rows``, for results that stay distributed); they become temporary views of the session."""
     text, limit = guard(spark, sql, schema, tables, max_rows)
     if schema:
         text = re.sub(rf"(?i)\b{re.escape(schema)}\s*\.\s*", "", text)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text).limit(limit)
+    frame = spark.sql(text)
+    return frame if limit is None else frame.limit(limit)
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], row_limit: int = 200, timeout_s: float = 10.0, schema: str = "") -> QueryResult:

@@ -63,7 +63,7 @@ SQL: dict[str, str | tuple[str, str]] = {
 
 
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guarded(spark, sql, {n: table(spark, sf_dir, n) for n in TABLES}, 10_000_000)
+    return guarded(spark, sql, {n: table(spark, sf_dir, n) for n in TABLES}, None)
 
 
 QUERIES = {name: partial(_run, sql if isinstance(sql, str) else sql[0]) for name, sql in SQL.items()}
