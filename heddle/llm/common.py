@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +16,9 @@ from pyspark.sql import functions as F
 from heddle.sources.tables import table
 
 
-__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "table"]
+__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "table"]
+
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +72,15 @@ def range_of(column: Column, bounds: list[int]) -> Column:
     head = at_or_below(longs([c[0] for c in chunks]))
     inside = at_or_below(F.get(F.array(*[longs(c) for c in chunks]), head - F.lit(1)))
     return F.when(head > 0, (head - F.lit(1)) * F.lit(g) + inside).otherwise(F.lit(0))
+
+
+def slices(part: pa.RecordBatch, at: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive slices of about ``size`` bytes of its text column (a longer text is a slice of its own).
+
+    What Python holds at a time so follows the longest text, not the rows of a batch.
+    """
+    lengths = pc.fill_null(pc.binary_length(part.column(at)), 0).to_numpy().astype(np.int64)
+    before = np.cumsum(lengths) - lengths
+    cuts = [*np.flatnonzero(np.diff(before // size, prepend=-1)).tolist(), part.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        yield part.slice(start, end - start)

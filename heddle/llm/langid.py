@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import slices
 from heddle.session import ship
 
 ORDER = 4
@@ -30,7 +32,7 @@ SAMPLE_DOCS = 6000
 CALIBRATION_SHARE = 0.2
 REJECT_RATE = 1e-4
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,17 +272,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def batches(parts):
         own = shared.value
-        for part in parts:
-            texts = part.column(1).to_pylist()
-            done: list[list] = [[], [], [], []]
-            start = size = 0
-            for i, text in enumerate(texts):
-                size += len(text or "")
-                if size >= CHUNK or i == len(texts) - 1:
-                    for to, got in zip(done, classify(texts[start : i + 1], own), strict=True):
-                        to.extend(got)
-                    start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(done[0], pa.string()), pa.array(done[1], pa.float64()), pa.array(done[2], pa.float64()), pa.array(done[3], pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+        for part in (p for whole in parts for p in slices(whole, 1)):
+            names, score, least, rejected = classify(part.column(1).to_pylist(), own)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
@@ -294,17 +288,11 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_
     at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def batches(parts):
-        import pyarrow.compute as pc
-
         own = shared.value
-        for part in parts:
-            names, keep = [], []
-            for i in range(0, part.num_rows, 256):
-                got, _, _, rejected = classify(part.column(at).slice(i, 256).to_pylist(), own)
-                names += got
-                keep += (~rejected).tolist()
+        for part in (p for whole in parts for p in slices(whole, at)):
+            names, _, _, rejected = classify(part.column(at).to_pylist(), own)
             kind = part.schema.field(lang_at).type
             columns = [pc.coalesce(c, pa.array(names, kind)) if j == lang_at else c for j, c in enumerate(part.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(~rejected, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import slices
 from heddle.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -334,8 +335,8 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def batches(parts):
         own = shared.value
-        for part in parts:
-            found = [x for i in range(0, part.num_rows, 256) for x in find(part.column(1).slice(i, 256).to_pylist(), own)]
+        for part in (p for whole in parts for p in slices(whole, 1)):
+            found = find(part.column(1).to_pylist(), own)
             counts = [pa.array([sum(s.kind == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(join(base).encode()).hexdigest() for base, _ in found], pa.string())
             spans = pa.array([join(base + added) for base, added in found], pa.string())
@@ -353,11 +354,9 @@ def redact_documents(docs: DataFrame, model: Model, text_col: str = "text") -> D
 
     def batches(parts):
         own = shared.value
-        for part in parts:
-            texts = []
-            for i in range(0, part.num_rows, 256):
-                some = part.column(at).slice(i, 256).to_pylist()
-                texts += [t if t is None else redact(t, base + added) for t, (base, added) in zip(some, find(some, own), strict=True)]
+        for part in (p for whole in parts for p in slices(whole, at)):
+            some = part.column(at).to_pylist()
+            texts = [t if t is None else redact(t, base + added) for t, (base, added) in zip(some, find(some, own), strict=True)]
             columns = [pa.array(texts, part.schema.field(at).type) if j == at else c for j, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import slices
 from heddle.session import ship
 
 MARK = "▁"
-CHUNK = 1 << 20
 NEVER = np.int32(2**31 - 1)
 
 
@@ -268,7 +268,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, and ``ids`` (array) and ``decoded`` where asked for.
 
     Null texts are empty: two ids, the begin and the end. Ids of documents may be null or repeat. The vocabulary is read
-    on the driver and broadcast; its size is fixed. Batches are cut to about a million characters, so memory
+    on the driver and broadcast; its size is fixed. Batches are cut into slices, so memory
     follows the longest text, not the table.
     """
     ship(docs.sparkSession)
@@ -277,28 +277,21 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def batches(parts):
         v = shared.value
-        for part in parts:
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            start = size = 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size < CHUNK and i < len(texts) - 1:
-                    continue
-                ids, stops = encode_batch(texts[start : i + 1], v)
-                decoded = decode_batch(ids, stops, v)
-                raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * stops).tolist()]
-                columns = [
-                    part.column(0).slice(start, i + 1 - start),
-                    pa.array(np.diff(stops, prepend=0)),
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
-                ]
-                if "ids" in outputs:
-                    columns.append(pa.ListArray.from_arrays(pa.array([0, *stops.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
-                if "decoded" in outputs:
-                    columns.append(pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[x for x in extra if x in outputs]])
-                start, size = i + 1, 0
+        for part in (p for whole in parts for p in slices(whole, 1)):
+            ids, stops = encode_batch([t or "" for t in part.column(1).to_pylist()], v)
+            decoded = decode_batch(ids, stops, v)
+            raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * stops).tolist()]
+            columns = [
+                part.column(0),
+                pa.array(np.diff(stops, prepend=0)),
+                pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
+                pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+            ]
+            if "ids" in outputs:
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *stops.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
+            if "decoded" in outputs:
+                columns.append(pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[x for x in extra if x in outputs]])
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {dict(kept.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {x} {extra[x][0]}" for x in extra if x in outputs)
