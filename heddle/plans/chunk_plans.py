@@ -34,7 +34,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, every seventh a heading (levels 1 to 3) and every eleventh a picture."""
     lines = C.blocks_from_text(table(spark, sf_dir, "documents"))
     kind = F.when(F.col("ord") % 7 == 0, "heading").when(F.col("ord") % 11 == 5, "picture").otherwise("text")
-    return lines.select("doc_id", "ord", kind.alias("kind"), F.when(kind == "heading", (F.col("ord") / 7).cast("int") % 3 + 1).alias("level"), F.substring("text", 1, 60).alias("text"))
+    return lines.select("doc_id", "ord", kind.alias("kind"), F.when(kind == "heading", (F.col("ord") / 7).cast("int") % 3 + 1).alias("level"), "text")
 
 
 def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:

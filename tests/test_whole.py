@@ -3,6 +3,7 @@
 The SQL is the registered one, here without the cut where it still has one.
 """
 
+import hashlib
 import re
 
 import pytest
@@ -45,3 +46,17 @@ def test_rerank_and_gate_by_brute_force(spark, folder):
     best = {i: max(s for j, _, s in want if j == i) for i in items}
     assert first == best
     assert {(r.query_id, r.best_score, r.enough) for r in QUERIES["gate"](spark, at).collect()} == {(i, s, s >= 0.9) for i, s in best.items()}
+
+
+@pytest.mark.parametrize("name", ["section_headings", "chunk_sections", "paragraph_at", "picture_headings"])
+def test_lines_are_whole(name, same_rows):
+    same_rows(QUERIES[name], ORACLES[name].replace("substr(text, 1, 60) AS text", "text"))
+
+
+def test_hybrid_chunks_hold_every_word(spark, folder):
+    lines = ["Head", *(" ".join(f"w{n}x{i}" for i in range(n)) for n in (30, 30, 20, 90))]
+    at = folder(documents=("doc_id long, text string", [(7, "\n".join(lines))]))
+    rows = sorted(QUERIES["chunk_hybrid"](spark, at).collect(), key=lambda r: r.piece)
+    assert [r.token_count for r in rows] == [60, 20, 90]
+    whole = [f"{t}\n" for t in ("\n".join(lines[1:3]), lines[3], lines[4])]
+    assert [r.text_id for r in rows] == [hashlib.sha256(t.encode()).hexdigest()[:16] for t in whole]
