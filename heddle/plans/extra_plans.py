@@ -40,7 +40,7 @@ def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def example_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions and answers of conversations kept once each, the first turn's."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select((F.col("conv_id") % 3).cast("string").alias("schema_name"), F.col("text").alias("question"), F.substring("text", 1, 6).alias("standalone"), F.col("role").alias("sql"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"))
+    rows = c.select((F.col("conv_id") % 3).cast("string").alias("schema_name"), F.col("text").alias("question"), F.col("text").alias("standalone"), F.col("role").alias("sql"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"))
     return examples.save(None, rows).select("schema_name", "standalone", "sql", "turn_id")
 
 

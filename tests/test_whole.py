@@ -60,3 +60,14 @@ def test_hybrid_chunks_hold_every_word(spark, folder):
     assert [r.token_count for r in rows] == [60, 20, 90]
     whole = [f"{t}\n" for t in ("\n".join(lines[1:3]), lines[3], lines[4])]
     assert [r.text_id for r in rows] == [hashlib.sha256(t.encode()).hexdigest()[:16] for t in whole]
+
+
+def test_examples_with_one_opening_are_different(spark, folder):
+    turns = [(3, 0, "user", "please count the orders"), (3, 1, "user", "please count the suppliers"), (6, 0, "user", "please count the orders")]
+    at = folder(conversations=("conv_id long, turn long, role string, text string", turns))
+    rows = QUERIES["example_save"](spark, at).collect()
+    assert sorted((r.standalone, r.turn_id) for r in rows) == [("please count the orders", 3000), ("please count the suppliers", 3001)]
+
+
+def test_every_example_is_saved(same_rows):
+    same_rows(QUERIES["example_save"], ORACLES["example_save"].replace("substr(text, 1, 6) AS standalone", "text AS standalone"))
