@@ -134,7 +134,7 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that cite passages: the turns of conversations with numbers put in."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    answer = F.concat(F.substring("text", 1, 40), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 9).cast("string"), F.lit("], again ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    answer = F.concat(F.col("text"), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 9).cast("string"), F.lit("], again ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
     cited = turns.select("conv_id", "turn", X.citations(answer).alias("c"))
     show = lambda c: F.array_join(c.cast("array<string>"), ",")
     return cited.select("conv_id", "turn", show(F.col("c")).alias("cited"), show(X.known_citations(F.col("c"), F.lit(5))).alias("known"), show(X.unknown_citations(F.col("c"), F.lit(5))).alias("unknown"))

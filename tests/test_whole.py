@@ -71,3 +71,10 @@ def test_examples_with_one_opening_are_different(spark, folder):
 
 def test_every_example_is_saved(same_rows):
     same_rows(QUERIES["example_save"], ORACLES["example_save"].replace("substr(text, 1, 6) AS standalone", "text AS standalone"))
+
+
+def test_citations_late_in_an_answer_are_found(spark, folder):
+    late = "x" * 60 + " as shown [4] and [12]."
+    at = folder(conversations=("conv_id long, turn long, role string, text string", [(2, 1, "assistant", late), (2, 0, "user", "why [8]")]))
+    (row,) = QUERIES["citations"](spark, at).collect()
+    assert (row.cited, row.known, row.unknown) == ("2,4,12", "2,4", "12")
