@@ -7,8 +7,9 @@ weights. One binary search so gives a character's probability in all languages;
 language has seen goes on to the next lower order. The language with the lowest cross-entropy a
 character wins.
 
-Letters keep their identity without case; a run of anything else is one boundary mark. Texts never
-share contexts. The models are fitted on at most about ``sample_docs`` labelled documents, in equal
+Letters and the marks on them keep their identity without case (16 bits a symbol; the few beyond the
+65,533 commonest that training saw share one); a run of anything else is one boundary mark. Only letters
+(category L) make a text one that has a language. Texts never share contexts. The models are fitted on at most about ``sample_docs`` labelled documents, in equal
 shares by language, drawn by a hash of the id; a fifth of these is left out of the counts to
 calibrate the score's temperature and the cross-entropy beyond which a text is rejected as none of
 the languages.
@@ -30,17 +31,20 @@ from heddle.session import ship
 ORDER = 4
 SAMPLE_DOCS = 6000
 CALIBRATION_SHARE = 0.2
-REJECT_RATE = 1e-4
+REJECT_RATE = 1e-3  # what about a thousand calibration texts can support
 UNKNOWN = "und"
 CHUNK = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BITS = 16  # of a symbol; an n-gram of four is a 64-bit code
+RARE, FIRST = 1, 2  # the symbol of letters that training did not see, and the first of those it did
 
 
 @dataclass
 class Model:
     langs: list[str]
     order: int = ORDER
-    alphabet: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, np.uint8))
+    alphabet: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, np.uint16))
+    letter: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, bool))
     grams: list[np.ndarray] = field(default_factory=list)  # of order 1, 2, ...: sorted hashes
     logs: list[np.ndarray] = field(default_factory=list)  # beside each: log-probability by language
     contexts: list[np.ndarray] = field(default_factory=list)  # of the contexts of order 1, 2, ...
@@ -51,31 +55,32 @@ class Model:
     spread: float = 0.0
 
 
-def _letters() -> np.ndarray:
-    """Which code points are letters or marks."""
+def _categories() -> np.ndarray:
+    """The first letter of every code point's category."""
     import unicodedata
 
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+    return np.fromiter((unicodedata.category(chr(c))[0] for c in range(0x110000)), "U1", 0x110000)
 
 
-def _alphabet(texts: list[str]) -> np.ndarray:
-    """Code point to symbol: 0 for what isn't a letter, 1 for rare letters, the 250 commonest from 2 on, without case."""
+def _alphabet(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code point to symbol (0 for neither letter nor mark, RARE for unseen ones, the seen from FIRST on, without case); which are letters."""
     counts = np.zeros(0x110000, np.int64)
     for text in texts:
-        counts += np.bincount(_points(text.lower()), minlength=0x110000) if len(text) > 1 << 16 else 0
-        if len(text) <= 1 << 16:
-            np.add.at(counts, _points(text.lower()), 1)
-    letter = _letters()
-    counts[~letter] = 0
-    out = letter.astype(np.uint8)
-    for symbol, point in enumerate(np.argsort(-counts, kind="stable")[:250], 2):
-        if counts[point]:
-            out[point] = symbol
-    for point in np.flatnonzero(letter):
+        points, n = np.unique(_points(text.lower()), return_counts=True)
+        counts[points] += n
+    kinds = _categories()
+    letter = kinds == "L"
+    spoken = letter | (kinds == "M")
+    counts[~spoken] = 0
+    out = spoken.astype(np.uint16)  # RARE
+    seen = np.argsort(-counts, kind="stable")[: (1 << BITS) - FIRST]
+    seen = seen[counts[seen] > 0]
+    out[seen] = np.arange(FIRST, FIRST + len(seen))
+    for point in np.flatnonzero(spoken):
         low = chr(point).lower()
         if len(low) == 1:
             out[point] = out[ord(low)]
-    return out
+    return out, letter
 
 
 def _points(text: str) -> np.ndarray:
@@ -84,12 +89,13 @@ def _points(text: str) -> np.ndarray:
 
 def _symbols(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' symbols end to end, each with its context packed in: codes of ``order`` symbols; starts; letters in each text."""
-    pad = np.zeros(model.order - 1, np.uint8)
+    pad = np.zeros(model.order - 1, np.uint16)
     parts, sizes, letters = [], [], []
     for text in texts:
-        s = model.alphabet[_points(text)] if text else pad[:0]
+        points = _points(text) if text else pad[:0]
+        s = model.alphabet[points]
+        letters.append(int(np.count_nonzero(model.letter[points])))
         keep = s != 0
-        letters.append(int(np.count_nonzero(keep)))
         keep[1:] |= s[:-1] != 0
         s = s[keep]
         parts += [pad, s]
@@ -97,7 +103,7 @@ def _symbols(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndar
     flat = np.concatenate([*parts, pad]) if parts else pad
     codes = np.zeros(len(flat), np.uint64)
     for back in range(model.order):
-        codes[back:] |= flat[: len(flat) - back].astype(np.uint64) << np.uint64(8 * back)
+        codes[back:] |= flat[: len(flat) - back].astype(np.uint64) << np.uint64(BITS * back)
     starts = np.cumsum([0, *(n + model.order - 1 for n in sizes)])
     at = np.ones(len(flat), bool)
     for back in range(model.order - 1):
@@ -110,7 +116,7 @@ def _hash(codes: np.ndarray) -> np.ndarray:
 
 
 def _low(codes: np.ndarray, order: int) -> np.ndarray:
-    return codes & np.uint64((1 << (8 * order)) - 1)
+    return codes & np.uint64((1 << (BITS * order)) - 1)
 
 
 def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,28 +136,29 @@ def _kneser_ney(texts_by_lang: list[list[str]], model: Model) -> None:
             counted[order - 1].append((grams, counts.astype(np.float64)))
             if order > 1:  # below the highest order: in how many contexts, not how often
                 grams, counts = np.unique(_low(grams, order - 1), return_counts=True)
-    model.floor = -np.log(256.0)
+    symbols = float(model.alphabet.max()) + 1  # with the boundary
+    model.floor = -np.log(symbols)
     lower_hash, lower_log = np.zeros(0, np.uint64), np.zeros((0, langs))
     for order in range(1, n + 1):
         every = np.unique(np.concatenate([g for g, _ in counted[order - 1]] + [np.zeros(0, np.uint64)]))
-        contexts = np.unique(every >> np.uint64(8))
+        contexts = np.unique(every >> np.uint64(BITS))
         seen, weight = np.zeros((len(every), langs)), np.ones((len(contexts), langs))
         for lang, (grams, counts) in enumerate(counted[order - 1]):
             once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
             discount = once / (once + 2 * twice) if once and twice else 0.5
-            own, first = np.unique(grams >> np.uint64(8), return_index=True)
+            own, first = np.unique(grams >> np.uint64(BITS), return_index=True)
             if not len(own):
                 continue
             totals, kinds = np.add.reduceat(counts, first), np.diff([*first, len(grams)])
-            of = np.searchsorted(own, grams >> np.uint64(8))
+            of = np.searchsorted(own, grams >> np.uint64(BITS))
             seen[np.searchsorted(every, grams), lang] = np.maximum(counts - discount, 0) / totals[of]
             weight[np.searchsorted(contexts, own), lang] = discount * kinds / totals
         if order == 1:
-            below = np.full((len(every), langs), 1 / 256)
+            below = np.full((len(every), langs), 1 / symbols)
         else:
             at, _ = _find(lower_hash, _hash(_low(every, order - 1)))
             below = np.exp(lower_log[at])
-        logs = np.log(seen + weight[np.searchsorted(contexts, every >> np.uint64(8))] * below)
+        logs = np.log(seen + weight[np.searchsorted(contexts, every >> np.uint64(BITS))] * below)
         rank, ctx = np.argsort(_hash(every)), np.argsort(_hash(contexts))
         lower_hash, lower_log = _hash(every)[rank], logs[rank]
         model.grams.append(lower_hash)
@@ -168,7 +175,7 @@ def _log_probabilities(codes: np.ndarray, model: Model, order: int) -> np.ndarra
     out = model.logs[order - 1][at] if len(model.grams[order - 1]) else np.zeros((len(codes), len(model.langs)), np.float32)
     if not hit.all():
         missed = codes[~hit]
-        at, known = _find(model.contexts[order - 1], _hash(missed >> np.uint64(8)))
+        at, known = _find(model.contexts[order - 1], _hash(missed >> np.uint64(BITS)))
         back = np.where(known[:, None], model.backoffs[order - 1][at], np.float32(0)) if len(known) and len(model.contexts[order - 1]) else np.float32(0)
         out[~hit] = back + _log_probabilities(_low(missed, order - 1), model, order - 1)
     return out
@@ -195,7 +202,9 @@ def cross_entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray,
 def fit(texts: list[str], langs: list[str], order: int = ORDER) -> Model:
     """A model of the labelled texts; every fifth is kept for calibration where there are at least ten."""
     model = Model(sorted(set(langs)), order)
-    model.alphabet = _alphabet(texts)
+    if not 1 <= order <= 64 // BITS:
+        raise ValueError(f"the order is from 1 to {64 // BITS}: an n-gram is one 64-bit code")
+    model.alphabet, model.letter = _alphabet(texts)
     every = round(1 / CALIBRATION_SHARE)
     held = [i % every == 0 and len(texts) >= 10 for i in range(len(texts))]
     _kneser_ney([[t for t, lang, h in zip(texts, langs, held, strict=True) if lang == own and not h] for own in model.langs], model)
@@ -218,9 +227,8 @@ def _calibrate(texts: list[str], own: np.ndarray, model: Model) -> None:
         return float(np.mean(np.log(np.exp(z - top).sum(1)) + top[:, 0] - z[np.arange(len(z)), own]))
 
     model.temperature = min((0.5 * 1.25**i for i in range(24)), key=loss)
-    mine = np.sort(ce[np.arange(len(ce)), own])
-    rank = int(np.ceil((len(mine) + 1) * (1 - REJECT_RATE)))
-    model.limit = float(mine[rank - 1]) if rank <= len(mine) else 1.1 * float(mine[-1])
+    best = np.sort(ce.min(1))  # what a text is rejected by
+    model.limit = float(best[min(len(best), int(np.ceil((len(best) + 1) * (1 - REJECT_RATE)))) - 1])
     own_ce = ce[np.arange(len(ce)), own]
     model.spread = float(np.std((own_ce - own_ce.mean()) * np.sqrt(lengths)))
 

@@ -19,7 +19,7 @@ def texts(seed, n):
     return out
 
 
-def brute(train, order):
+def brute(train, order, symbols):
     """p(w | context) by the textbook recursion over strings."""
     grams = Counter()
     for t in train:
@@ -40,7 +40,7 @@ def brute(train, order):
 
     def p(g):
         if not g:
-            return 1 / 256
+            return 1 / symbols
         counts, total, kinds, d = stats[len(g)]
         if g[:-1] not in total:
             return p(g[1:])
@@ -52,9 +52,9 @@ def brute(train, order):
 def test_tables_equal_the_textbook_recursion():
     train = [t.replace(" ", "_") for t, lang in texts(1, 8) if lang == "xx"]
     model = langid.Model(["xx"], 3)
-    model.alphabet = langid._alphabet(train)
+    model.alphabet, model.letter = langid._alphabet(train)
     langid._kneser_ney([train], model)
-    p = brute(train, 3)
+    p = brute(train, 3, langid.FIRST + len(set("".join(train)) - {"_"}))
     for text in ["balo_miba", "tur_gek", "lo", "zz"]:
         s = "__" + text
         want = -sum(math.log(p(s[i - 2 : i + 1])) for i in range(2, len(s))) / len(text)
@@ -63,6 +63,25 @@ def test_tables_equal_the_textbook_recursion():
             assert np.allclose(got[[0, 2], 0], want, atol=1e-4) and got[1, 0] == 0
 
 
+def test_only_letters_make_a_language():
+    model = langid.fit(*map(list, zip(*texts(5, 60), strict=True)))
+    alone = ["\u2764\ufe0f", "\u0301", "12 \u20e3", "\U0001f468\u200d\U0001f469", "\u00aa"]  # the last is a letter
+    names, score, _, rejected = langid.classify(alone, model)
+    assert names[:4] == ["und"] * 4 and not score[:4].any() and rejected[:4].all() and names[4] != "und"
+
+
+def test_large_alphabets_keep_their_letters_apart():
+    rng = random.Random(3)
+    han = {"north": range(0x4E00, 0x4E00 + 3000), "south": range(0x4E00 + 3000, 0x4E00 + 6000)}
+    rows = [("".join(chr(rng.choice(points)) for _ in range(80)), lang) for lang, points in han.items() for _ in range(150)]
+    texts_, langs = map(list, zip(*rows, strict=True))
+    model = langid.fit(texts_, langs)
+    assert len(set(model.alphabet[0x4E00 : 0x4E00 + 6000])) > 5000
+    fresh = [("".join(chr(rng.choice(points)) for _ in range(40)), lang) for lang, points in han.items() for _ in range(50)]
+    names, *_ = langid.classify([t for t, _ in fresh], model)
+    assert names == [lang for _, lang in fresh]
+
+
 def test_spark(spark):
     rows = [(i, t, lang, "x") for i, (t, lang) in enumerate(texts(2, 400))]
     odd = [(900, None, "xx", "x"), (901, "", None, "x"), (902, "123 !!", "yy", "x"), (None, "balo mi", "xx", "x"), (3, "turgek fo", "yy", "x"), (904, "日本語のテキストです。" * 20, None, "x"), (905, "balomi " * 20000, None, "x")]
