@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from heddle.sources.tables import table
 
 
-__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "table"]
+__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "spare", "table"]
 
 SLICE_BYTES = 1 << 18
 
@@ -48,6 +48,14 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

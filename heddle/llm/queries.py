@@ -134,19 +134,23 @@ GROUP BY d.id, i.id, n.n_shingles HAVING count(*) / n.n_shingles >= 0.8
 OP1_SQL = (
     "WITH log(kind, value, action, listed_on) AS (VALUES "
     + ", ".join(f"('{k}', '{v}', '{a}', TIMESTAMP '{d}')" for k, v, a, d in LIST)
-    + r"""), days AS (
-  SELECT kind, value, listed_on, max_by(action, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS action FROM log GROUP BY ALL
-), valid AS (SELECT *, lead(listed_on) OVER (PARTITION BY kind, value ORDER BY listed_on) AS until FROM days),
-p AS (
+    + r"""), p AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS fetched_at,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages
-), hit AS (
-  SELECT p.page_id, p.url, v.kind, v.value, v.action, v.listed_on,
-    row_number() OVER (PARTITION BY p.page_id ORDER BY CASE v.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(v.value) DESC) AS n
-  FROM p JOIN valid v ON v.listed_on <= p.fetched_at AND (v.until IS NULL OR p.fetched_at < v.until) AND CASE v.kind
-    WHEN 'host' THEN p.host = v.value WHEN 'domain' THEN p.host = v.value OR ends_with(p.host, '.' || v.value)
-    ELSE p.host || p.path = v.value OR starts_with(p.host || p.path, v.value || '/') END
+), past AS (  -- all entries up to the fetch, of every target that the page falls under
+  SELECT p.page_id, l.kind, l.value, l.action, l.listed_on
+  FROM p JOIN log l ON l.listed_on <= p.fetched_at AND CASE l.kind
+    WHEN 'host' THEN p.host = l.value WHEN 'domain' THEN p.host = l.value OR ends_with(p.host, '.' || l.value)
+    ELSE p.host || p.path = l.value OR starts_with(p.host || p.path, l.value || '/') END
+), newest AS (  -- what each target says at the fetch: its last day's strictest entry
+  SELECT page_id, kind, value, max(listed_on) AS listed_on,
+    arg_max(action, (listed_on, CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END)) AS action
+  FROM past GROUP BY page_id, kind, value
+), hit AS (  -- targets off the list say nothing; the most specific of the others decides
+  SELECT page_id, kind, value, action, listed_on,
+    row_number() OVER (PARTITION BY page_id ORDER BY CASE kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END DESC, length(value) DESC) AS n
+  FROM newest WHERE action <> 'clear'
 )
 SELECT p.page_id, p.url, p.fetched_at, CASE WHEN p.host = '' THEN 'no_url' WHEN h.action = 'block' THEN 'blocked' WHEN h.action = 'allow' THEN 'allowed' ELSE 'unlisted' END AS verdict,
   h.kind AS matched_kind, h.value AS matched_value, h.listed_on
