@@ -1,8 +1,9 @@
 """Chat records of different layouts made one, and rendered with a loss mask.
 
-A record's layout is recognised by a schema fingerprint: the hash of the nested field paths that hold a value in it.
-Each declared layout has the fingerprints of its required paths with every choice of its optional ones, and
-says how these fields become canonical turns of a role and a text.
+A record's layout is recognised by a schema fingerprint: the hash of the nested field paths, down to the fields of
+array elements, that hold a value somewhere in that record. So two records of one table, or of one column, can
+have different layouts. Each declared layout has the fingerprints of its required paths with every choice of its
+optional ones, and says how these fields become canonical turns of a role and a text.
 
 The template writes ``<|start|>role``, a line feed, the text and ``<|end|>`` with a line feed for each turn. Inside
 roles and texts, ``&``, ``<`` and ``[`` are written as entities, so no control string of this or of another
@@ -13,27 +14,36 @@ assistant texts' spans, in code points of the rendered text, ends exclusive.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heddle.llm.common import spare
+
 START, END = "<|start|>", "<|end|>\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: What speakers are called where a layout has "from" instead of "role".
+SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+BLOCK = 256
 TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Paths are column or field names joined by dots; ``[]`` marks an array's elements."""
+    """Paths are column or field names joined by dots; ``[]`` marks an array's elements.
+
+    ``needed`` are optional paths that the table's schema must have all the same.
+    """
 
     name: str
     required: tuple[str, ...]
     turns: Callable[[Callable[[str], Column]], Column]  # from a column of each path's top field
-    optional: tuple[str, ...] = field(default=())
+    optional: tuple[str, ...] = ()
+    needed: tuple[str, ...] = ()
 
 
 def _turn(role: Column | str, text: Column) -> Column:
@@ -41,80 +51,94 @@ def _turn(role: Column | str, text: Column) -> Column:
     return F.struct(F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
-def _canonical(role: Column) -> Column:
-    out = role
-    for name, to in ROLES.items():
-        out = F.when(role == name, F.lit(to)).otherwise(out)
-    return out
+def _speaker(role: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SPEAKERS.items() for x in pair]), role), role)
 
 
 def _spoken(column: Column, role: str, text: str) -> Column:
-    return F.transform(column, lambda m: _turn(_canonical(m[role]), m[text]))
+    return F.transform(column, lambda m: _turn(_speaker(m[role]) if role == "from" else m[role], m[text]))
 
 
 def _asked(system: Column, question: Column, answer: Column) -> Column:
     return F.filter(F.array(F.when(system.isNotNull(), _turn("system", system)), _turn("user", question), _turn("assistant", answer)), lambda t: t.isNotNull())
 
 
+def _list(name: str, column: str, role: str, text: str) -> Layout:
+    """Turns as an array's elements; a record whose texts are all null has the layout too."""
+    return Layout(name, (f"{column}[].{role}",), lambda c: _spoken(c(column), role, text), (f"{column}[].{text}",), (f"{column}[].{text}",))
+
+
 LAYOUTS = (
-    Layout("turns", ("turns[].role", "turns[].text"), lambda c: _spoken(c("turns"), "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), lambda c: _spoken(c("messages"), "role", "content")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), lambda c: _spoken(c("conversations"), "from", "value")),
+    _list("turns", "turns", "role", "text"),
+    _list("messages", "messages", "role", "content"),
+    _list("messages_from", "messages", "from", "value"),
+    _list("conversations", "conversations", "from", "value"),
+    _list("conversations_role", "conversations", "role", "content"),
     Layout("prompt_response", ("prompt", "response"), lambda c: _asked(c("system"), c("prompt"), c("response")), ("system",)),
     Layout("prompt_completion", ("prompt", "completion"), lambda c: _asked(c("system"), c("prompt"), c("completion")), ("system",)),
     Layout("instruction", ("instruction", "output"), lambda c: _asked(c("system"), F.concat(c("instruction"), F.when(F.coalesce(c("input"), F.lit("")) != "", F.concat(F.lit("\n\n"), c("input"))).otherwise(F.lit(""))), c("output")), ("input", "system")),
 )
 
 
-def leaf_paths(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
-    """(path, top column) of every leaf."""
+def leaf_paths(schema: T.StructType, prefix: str = "") -> list[str]:
+    """The paths of all leaves."""
     out = []
     for f in schema.fields:
         kind, path = f.dataType, prefix + f.name
         while isinstance(kind, T.ArrayType):
             kind, path = kind.elementType, path + "[]"
-        if isinstance(kind, T.StructType):
-            out += [(p, prefix.split(".")[0].removesuffix("[]") if prefix else f.name) for p, _ in leaf_paths(kind, path + ".")]
-        else:
-            out.append((path, prefix.split(".")[0].removesuffix("[]") if prefix else f.name))
+        out += leaf_paths(kind, path + ".") if isinstance(kind, T.StructType) else [path]
     return out
 
 
+def _holds(value: Column, steps: list[str]) -> Column:
+    """Whether a nested value has something at the end of a path: ``[]`` goes into elements, others into fields."""
+    if not steps:
+        return value.isNotNull()
+    if steps[0] == "[]":
+        return F.coalesce(F.exists(value, lambda x: _holds(x, steps[1:])), F.lit(False))
+    return _holds(value[steps[0]], steps[1:])
+
+
+def _steps(path: str) -> list[str]:
+    return [s for part in path.split(".") for s in (part.replace("[]", ""), *["[]"] * part.count("[]"))]
+
 
 def schema_fingerprint(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """The hash of the sorted paths, among those that layouts name, whose column holds a value in the row."""
+    """The hash of the sorted nested paths, among those that layouts name, that hold a value in the row."""
     known = {p for lay in layouts for p in (*lay.required, *lay.optional)}
-    present = [F.when(F.col(f"`{top}`").isNotNull(), F.lit(p)) for p, top in sorted(leaf_paths(df.schema)) if p in known]
+    present = []
+    for path in sorted(p for p in leaf_paths(df.schema) if p in known):
+        top, *rest = _steps(path)
+        present.append(F.when(_holds(F.col(f"`{top}`"), rest), F.lit(path)))
     return F.xxhash64(F.concat_ws("\n", *present))
 
 
 def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout`` and ``turns``: an array of (role, text) in order.
+    """Adds ``layout`` and ``turns``: an array of (role, text) in order; columns of these names are replaced.
 
-    A row whose fingerprint no layout has gets a null layout and no turns. Null roles and texts are empty, null elements
-    are dropped. Columns that no layout names don't count, whatever they are called; a column of a known name and another
-    shape doesn't either.
+    A row whose fingerprint no layout has gets a null layout and no turns, as has one whose array is empty. Null roles and
+    texts are empty, null elements are dropped. All other columns pass through; those that no layout names don't count,
+    whatever they are called, nor does a column of a known name and another shape.
     """
-    paths = dict(leaf_paths(df.schema))
-    df = df.withColumn("_schema", schema_fingerprint(df, layouts))
+    paths = set(leaf_paths(df.schema))
+    mark = spare(df, "fingerprint")
+    marked = df.withColumn(mark, schema_fingerprint(df, layouts))
 
     def column(name: str) -> Column:
-        return F.col(f"`{name}`") if name in df.columns and any(top == name for top in paths.values()) else F.lit(None).cast("string")
+        return F.col(f"`{name}`") if any(_steps(p)[0] == name for p in paths) else F.lit(None).cast("string")
 
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for lay in reversed(layouts):
-        if not all(p in paths for p in lay.required):
+        if not paths.issuperset((*lay.required, *lay.needed)):
             continue
         there = [p for p in lay.optional if p in paths]
         prints = [F.xxhash64(F.lit("\n".join(sorted((*lay.required, *some))))) for n in range(len(there) + 1) for some in combinations(there, n)]
-        mine = F.lit(False)
-        for p in prints:
-            mine = mine | (F.col("_schema") == p)
+        mine = reduce(lambda a, b: a | b, [F.col(mark) == p for p in prints])
         layout = F.when(mine, F.lit(lay.name)).otherwise(layout)
         turns = F.when(mine, F.filter(lay.turns(column), lambda t: t.isNotNull()).cast(TURNS)).otherwise(turns)
-    out = df.withColumn("_layout", layout).withColumn("_turns", turns)
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("_schema", "layout", "turns")]
-    return out.select(*keep, F.col("_layout").alias("layout"), F.col("_turns").alias("turns"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("layout", "turns")]
+    return marked.select(*keep, layout.alias("layout"), turns.alias("turns"))
 
 
 def from_rows(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -148,24 +172,35 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
 
 
+def _running(sizes: Column) -> Column:
+    """The sum of the sizes before each element. Sums run within blocks first, so long arrays aren't copied for every element."""
+    run = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(BLOCK)), lambda i: run(F.slice(sizes, i, BLOCK)))
+    before = run(F.transform(blocks, lambda b: F.element_at(b, -1)))
+    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(before) - F.lit(1)), lambda b, start: F.transform(F.slice(b, 1, F.size(b) - F.lit(1)), lambda x: x + start)))
+
+
 def render(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """Adds ``formatted`` and ``loss_mask`` (an array of (start, end)); no turns give an empty text and mask."""
-    written = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("own"), F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
-    df = df.withColumn("_written", written)
-    size = lambda t: F.length(t["head"]) + F.length(t["body"]) + F.lit(len(END))
-    starts = F.aggregate("_written", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + size(t))))
-    df = df.withColumn("_starts", starts)
+    """Adds ``formatted`` and ``loss_mask`` (an array of (start, end)); no turns give an empty text and mask.
+
+    Columns of the added names are replaced, all others pass through, whatever they are called.
+    """
+    written, starts = spare(df, "written"), spare(df, "starts")
+    pieces = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("own"), F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
+    sizes = F.transform(written, lambda t: (F.length(t["head"]) + F.length(t["body"]) + F.lit(len(END))).cast("long"))
 
     def span(t: Column, i: Column) -> Column:
-        start = F.get(F.col("_starts"), i) + F.length(t["head"])
-        return F.when(t["own"], F.struct(start.alias("start"), (start + F.length(t["body"])).alias("end")))
+        start = F.get(F.col(starts), i) + F.length(t["head"])
+        return F.when(t["own"], F.struct(start.cast("int").alias("start"), (start + F.length(t["body"])).cast("int").alias("end")))
 
+    df = df.withColumn(written, pieces)
+    df = df.withColumn(starts, _running(sizes))
     return df.withColumns(
         {
-            "formatted": F.array_join(F.transform("_written", lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""),
-            "loss_mask": F.filter(F.transform("_written", span), lambda s: s.isNotNull()),
+            "formatted": F.array_join(F.transform(written, lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""),
+            "loss_mask": F.filter(F.transform(written, span), lambda s: s.isNotNull()),
         }
-    ).drop("_written", "_starts")
+    ).drop(written, starts)
 
 
 def read_turns(formatted: Column) -> Column:

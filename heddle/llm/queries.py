@@ -62,13 +62,35 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _several_layouts(records: DataFrame) -> DataFrame:
+    """(conv_id, turns) records in different layouts: one question and its answer as prompt and response, others as an array whose elements say role and content or from and value."""
+    kind, turn = F.pmod("conv_id", F.lit(3)), F.col("turns")
+    role = lambda i: F.get(turn, F.lit(i))["role"]
+    text = lambda i: F.get(turn, F.lit(i))["text"]
+    plain = F.forall(turn, lambda t: t["role"].isin("user", "assistant"))
+    asked = (kind == 0) & (F.size(turn) == 2) & (role(0) == "user") & (role(1) == "assistant")
+    spoken = (kind == 1) & plain
+    speaker = lambda r: F.when(r == "user", "human").otherwise("gpt")
+    message = lambda t, own: F.struct(F.when(~own, t["role"]).alias("role"), F.when(~own, t["text"]).alias("content"), F.when(own, speaker(t["role"])).alias("from"), F.when(own, t["text"]).alias("value"))
+    return records.select(
+        "conv_id",
+        F.when(asked, text(0)).alias("prompt"),
+        F.when(asked, text(1)).alias("response"),
+        F.when((kind == 2) | spoken, F.transform(turn, lambda t: message(t, spoken))).alias("messages"),
+        F.when((kind != 2) & ~asked & ~spoken | kind.isNull(), turn).alias("turns"),
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    """All conversations, and one whose texts hold control strings, formatted and read back.
+
+    The table has one layout, so its records are first written in several, by conv_id.
+    """
     columns = ("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(more)
-    made = chat.render(chat.canonical_turns(chat.from_rows(rows)))
+    made = chat.render(chat.canonical_turns(_several_layouts(chat.from_rows(rows))))
     read = made.withColumns({"read": chat.read_turns(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_mask"))})
     lines = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
