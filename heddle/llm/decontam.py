@@ -1,12 +1,15 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly.
 
-One-permutation MinHash: the space of shingle hashes is cut into bins by its leading bits, and a document's
-signature is the least hash of each bin that has one. Documents are partitioned by size: the number of bins
-follows the power of two above the document's number of shingles, so bins hold the same few hashes in
-every partition, and an item's shingle keeps its place in the signature with the same chance in a short and in a
-long document. How many bins a shingle gets follows from the smallest item: the chance that none of the
-shingles that containment demands stays is below ``miss``. A candidate is a document whose signature
-meets an item's shingle; candidates are verified on the shingles' texts.
+A text's signature has the MinHash of every window of so many consecutive shingles: the least of their hashes. One shingle
+is the least of many windows, so the signature keeps about 2 / (window + 1) of a text's shingles, wherever in a long
+document they stand. Items are partitioned by size, and each partition has the widest window (a power of two) that its items
+can bear: of the shingles that containment demands, so many must stand side by side in the document, as each cut
+between them costs the shingles across it (see ``side_by_side``). A document and an item that
+share a window have its MinHash in both signatures, so partitions up to eight shingles
+take windows of four (two fifths of the shingles stay), and larger ones windows of eight (two ninths). Items
+of up to three shingles have no window to speak of: they are sought among all shingles, an exact path of their own,
+which the sizes of other items don't touch. A document that shares a signature value is a candidate, and candidates
+are verified on the shingles' texts.
 
 Items of fewer than five words are one shingle of that many words and are sought among the documents'
 shingles of this length, all of them.
@@ -15,6 +18,7 @@ shingles of this length, all of them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,64 +28,100 @@ from heddle.llm.common import Stored
 from heddle.llm.shingles import SYMBOLS, WORDS, with_shingles, words
 
 CONTAINMENT = 0.8
-MISS = 1e-6
-MOST_EXTRA = 12
+WINDOWS = (1, 2, 4, 8)
 BROADCAST_ROWS = 1_000_000  # long pairs: some 40 MB in a hash table
+SALTS = 16
+SAME_WINDOW = 64  # from this many shingles on, items have one partition
 
 
-def extra_bits(least: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
-    """Bins for each shingle, as a power of two, for items of at least ``least`` distinct shingles."""
-    for bits in range(-3, MOST_EXTRA):
-        load = 2.0**-bits
-        kept = (1 - math.exp(-load)) / load
-        if (1 - kept) ** max(1, math.ceil(containment * least)) <= miss:
-            return bits
-    return MOST_EXTRA
+def side_by_side(size: int, containment: float = CONTAINMENT, words_each: int = WORDS) -> int:
+    """How many of an item's shingles must be neighbours in a document that contains it.
+
+    Of ``size`` shingles, ``ceil(containment * size)`` are there and the others are lost. Whatever stands between two parts of
+    the item that are there, be it another word or the rest of the document, loses the ``words_each - 1`` shingles across.
+    """
+    there = max(1, math.ceil(round(containment * size, 9)))
+    parts = (size - there) // max(1, words_each - 1) + 1
+    return max(1, math.ceil(there / parts))
+
+
+def window_for(size: int, containment: float = CONTAINMENT) -> int:
+    """The window of the partition that an item of ``size`` distinct shingles is in; 1 keeps every shingle."""
+    return max(w for w in WINDOWS if w == 1 or w <= side_by_side(size, containment) and size > 3)
 
 
-def with_signature(df: DataFrame, shingles: str, to: str, extra: int) -> DataFrame:
-    """Adds the least hash of each bin of a column of shingle hashes; empty for none.
+def with_signature(df: DataFrame, shingles: str, to: str, window: int) -> DataFrame:
+    """Adds the distinct MinHashes of all windows of a column of shingle hashes; a shorter text is one window, none give none.
 
-    ``extra`` at its greatest asks for every distinct hash instead.
+    Least hashes of pairs, of pairs of pairs and so on: each step looks at two values, whatever the window.
     """
-    if extra >= MOST_EXTRA:
-        return df.withColumn(to, F.array_distinct(shingles))
-    df = df.withColumn("_sorted", F.sort_array(shingles)).withColumn("_shift", F.expr(f"64 - greatest(1, least(60, cast(ceil(log2(greatest(size({shingles}), 1))) as int) + {extra}))"))
-    first = F.expr("filter(_sorted, (x, i) -> i = 0 OR shiftrightunsigned(x, _shift) <> shiftrightunsigned(get(_sorted, i - 1), _shift))")
-    return df.withColumn(to, first).drop("_sorted", "_shift")
+    least, reach = f"_{to}_least", 1
+    df = df.withColumn(least, F.col(shingles))
+    while reach < window:
+        n, apart = F.size(least), F.lit(reach)
+        two = F.transform(F.slice(least, 1, F.greatest(n - apart, F.lit(1))), _less_of(least, apart))
+        df = df.withColumn(least, F.when(n > reach, two).when(n > 0, F.array(F.array_min(least))).otherwise(F.col(least)))
+        reach *= 2
+    return df.withColumn(to, F.array_distinct(least)).drop(least)
+
+
+def _less_of(array: str, apart: Column) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.least(x, F.get(F.col(array), i + apart))
+
 
+def _marked(window: int) -> Callable[[Column], Column]:
+    return lambda h: F.struct(F.lit(window).alias("window"), h.alias("h"))
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, miss: float = MISS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+
+def _text_pieces(w: Column, k: Column) -> Column:
+    """The runs of ``k`` of the words, joined; a shorter text is one run."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + F.lit(1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+
+
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, shortest: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): the items that documents contain.
 
     An item is contained if the document has at least ``containment`` of its distinct shingles of five words
-    (lower-case runs of letters and digits). Null, empty and wordless texts contain nothing and are in nothing. Rows that repeat
+    (lower-case runs of letters and digits). Items of fewer than ``shortest`` words are not sought. Null, empty and wordless
+    texts contain nothing and are in nothing. Rows that repeat
     an id are one document; rows that repeat an item's id are items of their own and give the best of them. Rows with a
     null id are left out. The items' shingles are broadcast only up to ``broadcast_rows``, and so are the candidates;
-    beyond that both are joined by shuffles.
+    beyond that both are joined by shuffles, with the documents' side salted, as a passage may be in a third of all documents.
     """
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    own = own.withColumn("w", words(F.col("text"), SYMBOLS)).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(WORDS)).cast("int"))
-    pieces = own.select("item_id", F.xxhash64("text").alias("item_text"), "k", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + F.lit(1)), lambda i: F.array_join(F.slice("w", i, F.col("k")), " ")))).alias("piece"))
-    pieces = Stored(pieces.distinct()).df
+    own = own.withColumn("w", words(F.col("text"), SYMBOLS)).where(F.size("w") >= max(1, shortest)).withColumn("k", F.least(F.size("w"), F.lit(WORDS)).cast("int"))
+    own = own.select("item_id", F.xxhash64("text").alias("item_text"), "k", "w")
+    pieces = Stored(own.select("item_id", "item_text", "k", F.explode_outer(F.array_distinct(_text_pieces(F.col("w"), F.col("k")))).alias("piece")).distinct()).df
     sizes = pieces.groupBy("item_id", "item_text", "k").agg(F.count("*").alias("n_shingles"))
-    least = {r.k: r.n for r in sizes.groupBy("k").agg(F.min("n_shingles").alias("n")).collect()}  # at most five rows
+    present = [r.n for r in sizes.select(F.least("n_shingles", F.lit(SAME_WINDOW)).alias("n")).distinct().collect()]  # at most SAME_WINDOW rows
+    window = F.lit(1)
+    for n in sorted(present):
+        window = F.when(F.col("n_shingles") >= n, F.lit(window_for(n, containment))).otherwise(window)
+    sizes = sizes.withColumn("window", F.when(F.col("k") < WORDS, F.lit(1)).otherwise(window))
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     few = pieces.count() <= broadcast_rows
     small = F.broadcast if few else (lambda df: df)
-    hashed = _piece_hashes(pieces)
+    shingled = with_shingles(own.where(F.col("k") == WORDS), F.array_join("w", " "), "shingles", WORDS, SYMBOLS).join(small(sizes), ["item_id", "item_text", "k"])
+    hashed = _piece_hashes(pieces).join(small(sizes), ["item_id", "item_text", "k"]).where("window = 1").select("item_id", "item_text", "k", "window", "h")
+    for w in WINDOWS[1:]:
+        signed = with_signature(shingled.where(F.col("window") == w), "shingles", "signature", w)
+        hashed = hashed.unionByName(signed.select("item_id", "item_text", "k", "window", F.explode_outer("signature").alias("h")))
+    hashed = Stored(hashed).df
     met = [hashed.select(F.lit(0).cast("long").alias("doc_id"), "item_id", "item_text", "k").where("false")]
-    for k, n in sorted(least.items()):
-        extra = extra_bits(n, containment, miss) if k == WORDS else MOST_EXTRA
-        signed = with_signature(with_shingles(kept, F.col("text"), "shingles", k, SYMBOLS), "shingles", "signature", extra)
-        keys = signed.select("doc_id", F.explode_outer("signature").alias("h"))
-        met.append(keys.join(small(hashed.where(F.col("k") == k)), "h").select("doc_id", "item_id", "item_text", "k").distinct())
+    for k, windows in sorted((r.k, sorted(r.windows)) for r in sizes.groupBy("k").agg(F.collect_set("window").alias("windows")).collect()):  # at most five rows
+        signed, names = with_shingles(kept, F.col("text"), "shingles", k, SYMBOLS), []
+        for w in windows:
+            names.append(f"signature{w}")
+            signed = with_signature(signed, "shingles", names[-1], w)
+        signatures = F.flatten(F.array(*[F.transform(n, _marked(w)) for n, w in zip(names, windows, strict=True)]))
+        keys = signed.select("doc_id", F.explode_outer(signatures).alias("s")).select("doc_id", "s.window", "s.h")
+        met.append(_meet(keys, hashed.where(F.col("k") == k), ["window", "h"], few).select("doc_id", "item_id", "item_text", "k").distinct())
     candidates = Stored(reduce(DataFrame.unionByName, met)).df
     near = F.broadcast if candidates.count() <= broadcast_rows else (lambda df: df)
     suspects = kept.join(near(candidates.select("doc_id", "k").distinct()), "doc_id")
-    suspects = suspects.withColumn("w", words(F.col("text"), SYMBOLS)).select("doc_id", "k", F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - F.col("k") + F.lit(1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("piece"))
+    suspects = suspects.withColumn("w", words(F.col("text"), SYMBOLS)).select("doc_id", "k", F.explode_outer(_text_pieces(F.col("w"), F.col("k"))).alias("piece"))
     shared = (
-        suspects.join(small(pieces), ["k", "piece"])
+        _meet(suspects, pieces, ["k", "piece"], few)
         .groupBy("doc_id", "item_id", "item_text", "k").agg(F.count_distinct("piece").alias("n_shared"))
     )
     found = shared.join(small(sizes), ["item_id", "item_text", "k"]).withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
@@ -89,13 +129,24 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n_shingles").alias("n_shingles"), F.col("best.n_shared").alias("n_shared"), F.col("best.containment").alias("containment"))
 
 
+def _meet(documents: DataFrame, items: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """Rows of documents with those of items: by broadcast, or by a shuffle in which each document's rows go with a salt."""
+    if few:
+        return documents.join(F.broadcast(items), on)
+    salted = documents.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return salted.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "salt"])
+
+
 def _piece_hashes(pieces: DataFrame) -> DataFrame:
     """The hash that ``with_shingles`` gives each piece."""
     return pieces.withColumn("h", F.xxhash64(F.transform(F.split("piece", " "), lambda w: F.xxhash64(w))))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows with a null id stay."""
-    found = Stored(find(docs, items, id_col, broadcast_rows=broadcast_rows, **options).select("doc_id").distinct()).df
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", shortest: int = WORDS, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """``docs`` without the documents that contain an item of at least ``shortest`` words; rows with a null id stay.
+
+    Shorter items would take every document that has their one or two words; lower ``shortest`` to seek them too.
+    """
+    found = Stored(find(docs, items, id_col, shortest=shortest, broadcast_rows=broadcast_rows, **options).select("doc_id").distinct()).df
     gone = found.withColumnRenamed("doc_id", id_col)
     return docs.join(F.broadcast(gone) if found.count() <= broadcast_rows else gone, id_col, "left_anti").select(docs.columns)
