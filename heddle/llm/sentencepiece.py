@@ -1,12 +1,17 @@
 """SentencePiece byte-fallback BPE, encoded and decoded by vectorised merge rounds.
 
-A text becomes words, each beginning with the space mark, and equal words of a batch are encoded once.
-All their symbols lie end to end in one array. A round finds the least pair rank of each word and merges
+A text becomes words, each beginning with the space mark, and a word that a task has met before is looked up.
+The symbols of the others lie end to end in one array. A round finds the least pair rank of each word and merges
 its leftmost such pairs at once, in all words together, then closes the gaps and looks up the pairs
 that changed; words without a pair that merges drop out. Merging all occurrences at once equals
-merging them one by one unless the new symbol starts a pair of a better rank; where the vocabulary has such
+merging them one by one unless the new symbol is in a pair of a better rank; where the vocabulary has such
 a pair, a round merges only the leftmost.
 
+In words longer than ``LONG`` a round merges every pair that is the least within ``reach`` symbols on both sides. No
+piece is longer than that, so nothing merged before it elsewhere could get there, and the number of rounds doesn't follow
+the length of the word. What is left after ``ROUNDS`` rounds (periodic words, in which one merge waits for the
+last) is merged by a queue over the word's pairs.
+
 Runs of space marks are pieces of their own, of one score below all others; they are formed last, from the left.
 """
 
@@ -14,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,6 +33,9 @@ from heddle.session import ship
 
 MARK = "▁"
 NEVER = np.int32(2**31 - 1)
+LONG, ROUNDS = 64, 200
+HASH_BITS = 20
+MEMO_BYTES = 64 << 20  # of words remembered by a task
 
 
 @dataclass
@@ -35,7 +45,8 @@ class Vocabulary:
     begin: int
     end: int
     byte_ids: np.ndarray
-    keys: np.ndarray  # ascending left * 2**32 + right
+    keys: np.ndarray  # left * 2**32 + right, in the order of their hashes; -1 from the last on
+    first: np.ndarray  # by hash: where its keys begin, the last place if it has none
     ranks: np.ndarray
     merged: np.ndarray
     alone: np.ndarray  # by rank: merge one at a time
@@ -43,6 +54,11 @@ class Vocabulary:
     rests: list[list[int]]  # the pieces' lengths for a run shorter than the longest piece
     surface: np.ndarray  # the pieces' bytes, end to end
     surface_at: np.ndarray
+    reach: int  # characters of the longest piece
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        return {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True) if k >= 0}
 
 
 def load(path: str) -> Vocabulary:
@@ -94,14 +110,20 @@ def load(path: str) -> Vocabulary:
                         alone[rank_of[part]] = True
     for rank in shared[shared > 1].index:
         alone[rank] = True
-    pairs.sort()
-    keys, ranks, merged = (np.array(x) for x in zip(*pairs, strict=True))
+    keys, ranks, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+    hashes = _hash(keys)
+    order = np.argsort(hashes, kind="stable")
+    found, starts, sizes = np.unique(hashes[order], return_index=True, return_counts=True)
+    first = np.full(1 << HASH_BITS, len(keys), np.int32)
+    first[found] = starts
+    pad = np.full(int(sizes.max()), -1)
+    keys, ranks, merged = (np.concatenate([x[order], pad]) for x in (keys, ranks, merged))
     text = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type != 1 else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
     byte_ids = np.zeros(256, np.int64)
     for i, p in enumerate(proto.pieces):
         if p.type == 6:
             byte_ids[int(p.piece[3:5], 16)] = i
-    return Vocabulary(chars, size, sp.bos_id(), sp.eos_id(), byte_ids, keys.astype(np.int64), ranks.astype(np.int32), merged.astype(np.int64), alone, np.array([runs.get(n, 0) for n in range(longest + 1)]), rests, np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]))
+    return Vocabulary(chars, size, sp.bos_id(), sp.eos_id(), byte_ids, keys, first, ranks.astype(np.int32), merged, alone, np.array([runs.get(n, 0) for n in range(longest + 1)]), rests, np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), max(map(len, ranked)))
 
 
 def _leftmost(n: int, lengths: set[int]) -> list[int]:
@@ -112,11 +134,23 @@ def _leftmost(n: int, lengths: set[int]) -> list[int]:
     return row
 
 
+def _hash(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
 def _pair(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and symbol of each pair; NEVER where the vocabulary has none. Pairs whose hash is shared are looked at one by one."""
     key = left << np.int64(32) | right
-    at = np.searchsorted(v.keys, key)
-    at[at == len(v.keys)] = 0
+    hashes = _hash(key)
+    at = v.first[hashes]
     hit = v.keys[at] == key
+    rest = np.flatnonzero(~hit & (v.keys[at] >= 0))
+    while len(rest):
+        at[rest] += 1
+        held = v.keys[at[rest]]
+        hit[rest] = held == key[rest]
+        rest = rest[~hit[rest] & (held >= 0)]
+        rest = rest[_hash(v.keys[at[rest]]) == hashes[rest]]
     return np.where(hit, v.ranks[at], NEVER), v.merged[at]
 
 
@@ -128,12 +162,14 @@ def _merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     seen, back = np.unique(points, return_inverse=True)
     unknown = 1 << 24  # a character that no piece has: its symbol is this plus its code point
     table = np.array([v.chars.get(chr(p), unknown + int(p)) for p in seen], np.int64)
-    symbols, word = table[back], np.repeat(np.arange(len(words)), sizes)
+    every, owner = table[back], np.repeat(np.arange(len(words)), sizes)
+    long = (sizes > LONG)[owner]
+    symbols, word = every[~long], owner[~long]
     rank = np.full(len(symbols), NEVER, np.int32)
     into = np.zeros(len(symbols), np.int64)
     inner = np.flatnonzero(word[:-1] == word[1:]) if len(word) else np.zeros(0, np.int64)
     rank[inner], into[inner] = _pair(v, symbols[inner], symbols[inner + 1])
-    done_symbols, done_words = [], []
+    done_symbols, done_words = map(list, zip(_merge_long(every[long], owner[long], v), strict=True)) if long.any() else ([], [])
     while len(symbols):
         first = np.flatnonzero(np.diff(word, prepend=-1))
         of = np.repeat(np.arange(len(first)), np.diff(first, append=len(word)))
@@ -156,22 +192,7 @@ def _merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
         single = v.alone[rank[at]]
         if single.any():
             kept &= ~single | (np.diff(of[at], prepend=-1) != 0)
-        at = at[kept]
-        symbols[at] = into[at]
-        gone = np.zeros(len(symbols), bool)
-        gone[at + 1] = True
-        changed = np.zeros(len(symbols), bool)
-        changed[at] = True
-        changed[at[at > 0] - 1] = True
-        previous_gone = at[(at > 1) & gone[np.maximum(at - 1, 0)]]
-        changed[previous_gone - 2] = True
-        stay = ~gone
-        symbols, word, rank, into, changed = symbols[stay], word[stay], rank[stay], into[stay], changed[stay]
-        look = np.flatnonzero(changed)
-        rank[look] = NEVER
-        look = look[look + 1 < len(symbols)]
-        look = look[word[look] == word[look + 1]]
-        rank[look], into[look] = _pair(v, symbols[look], symbols[look + 1])
+        symbols, word, rank, into = _close(at[kept], symbols, word, rank, into, v)
     symbols, word = np.concatenate([*done_symbols, np.zeros(0, np.int64)]), np.concatenate([*done_words, np.zeros(0, np.int64)])
     order = np.argsort(word, kind="stable")
     symbols, word = symbols[order], word[order]
@@ -180,6 +201,112 @@ def _merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return symbols, np.searchsorted(word, np.arange(len(words) + 1))
 
 
+def _close(at: np.ndarray, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, into: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """The arrays after merging the pairs at these places, which don't overlap."""
+    symbols[at] = into[at]
+    gone = np.zeros(len(symbols), bool)
+    gone[at + 1] = True
+    changed = np.zeros(len(symbols), bool)
+    changed[at] = True
+    changed[at[at > 0] - 1] = True
+    previous_gone = at[(at > 1) & gone[np.maximum(at - 1, 0)]]
+    changed[previous_gone - 2] = True
+    stay = ~gone
+    symbols, word, rank, into, changed = symbols[stay], word[stay], rank[stay], into[stay], changed[stay]
+    look = np.flatnonzero(changed)
+    rank[look] = NEVER
+    look = look[look + 1 < len(symbols)]
+    look = look[word[look] == word[look + 1]]
+    rank[look], into[look] = _pair(v, symbols[look], symbols[look + 1])
+    return symbols, word, rank, into
+
+
+def _merge_long(symbols: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and words after all merges, for words of any length."""
+    rank, into = np.full(len(symbols), NEVER, np.int32), np.zeros(len(symbols), np.int64)
+    inner = np.flatnonzero(word[:-1] == word[1:])
+    rank[inner], into[inner] = _pair(v, symbols[inner], symbols[inner + 1])
+    reach, edge = v.reach, np.full(v.reach, NEVER, np.int32)
+    for _ in range(ROUNDS):
+        # least[i]: the least rank among the `reach` pairs from i - reach on
+        least, size = np.concatenate([edge, rank, edge]), 1
+        while size < reach:
+            step = min(size, reach - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        n = len(rank)
+        before, after = least[:n], least[reach : reach + n]
+        fits = (rank != NEVER) & (rank <= before) & (rank == after)
+        at = np.flatnonzero(fits)
+        if not len(at):
+            return symbols, word
+        alone = v.alone[rank[at]]
+        kept = ~alone | (rank[at] < before[at])
+        # of overlapping pairs of one rank every other one merges, counted from the first, which must fit too
+        same = np.zeros(n, bool)
+        same[1:] = (rank[1:] == rank[:-1]) & (rank[1:] != NEVER)
+        if same[at].any():
+            place = np.arange(n)
+            begin = np.maximum.accumulate(np.where(same, 0, place))[at]
+            kept &= alone | (fits[begin] & ((at - begin) % 2 == 0))
+        symbols, word, rank, into = _close(at[kept], symbols, word, rank, into, v)
+    out_symbols, out_words = [], []
+    bounds = [*np.flatnonzero(np.diff(word, prepend=-1)).tolist(), len(word)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        own = symbols[a:b] if (rank[a:b] == NEVER).all() else np.array(_queue(symbols[a:b].tolist(), v.pairs), np.int64)
+        out_symbols.append(own)
+        out_words.append(np.full(len(own), word[a]))
+    return np.concatenate(out_symbols), np.concatenate(out_words)
+
+
+def _queue(row: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
+    """One word's symbols after merging the leftmost pair of the least rank until there is none."""
+    n = len(row)
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    waiting = [(found[0], i, found[1], row[i], row[i + 1]) for i in range(n - 1) if (found := pairs.get(row[i] << 32 | row[i + 1]))]
+    heapify(waiting)
+    while waiting:
+        _, i, merged, a, b = heappop(waiting)
+        j = after[i]
+        if row[i] != a or j < 0 or row[j] != b:
+            continue  # one of the two has merged meanwhile
+        row[i], row[j], after[i] = merged, -1, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for x in (before[i], i):
+            if x >= 0 and (y := after[x]) >= 0 and (found := pairs.get(row[x] << 32 | row[y])):
+                heappush(waiting, (found[0], x, found[1], row[x], row[y]))
+    return [x for x in row if x >= 0]
+
+
+class _Memo(dict):
+    """Words that a task has met, numbered, and their ids end to end; forgotten once they are beyond ``MEMO_BYTES``."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        self.v, self.fresh, self.chars = v, [], 0
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each word's place in ``at``; new ones are merged."""
+        if 200 * len(self) + 4 * self.chars + 4 * len(self.ids) > MEMO_BYTES:
+            self.__init__(self.v)
+            self.clear()
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            ids, at = _merge_words([MARK + w for w in self.fresh], self.v)
+            self.chars += sum(map(len, self.fresh))
+            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.fresh = []
+        return out
+
+
 def _bytes(symbols: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Characters that are no pieces become the pieces of their UTF-8 bytes."""
     names = {s: c for c, s in v.chars.items() if s >= v.size}
@@ -228,16 +355,14 @@ def _join_runs(ids: np.ndarray, owner_ends: np.ndarray, v: Vocabulary) -> tuple[
     return out, np.searchsorted(nexts, owner_ends)
 
 
-def encode_batch(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: list[str], v: Vocabulary, memo: _Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, begin and end ids included, and where each text ends."""
+    memo = _Memo(v) if memo is None else memo
     parts = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.empty(int(counts.sum()), object)
-    flat[:] = [w for p in parts for w in p]
-    codes, unique = pd.factorize(flat)
-    ids, at = _merge_words([MARK + w for w in unique], v)
-    sizes = np.diff(at)[codes]
-    body = _gather(ids, at[:-1][codes], sizes)
+    codes = memo.numbers([w for p in parts for w in p])
+    sizes = np.diff(memo.at)[codes]
+    body = _gather(memo.ids, memo.at[:-1][codes], sizes).astype(np.int64)
     word_ends = np.concatenate([[0], np.cumsum(sizes)])
     body, ends = _join_runs(body, word_ends[np.cumsum(counts)], v)
     out = np.empty(len(body) + 2 * len(texts), np.int64)
@@ -269,7 +394,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     Null texts are empty: two ids, the begin and the end. Ids of documents may be null or repeat. The vocabulary is read
     on the driver and broadcast; its size is fixed. Batches are cut into slices, so memory
-    follows the longest text, not the table.
+    follows the longest text, not the table; a task remembers at most ``MEMO_BYTES`` of words.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
@@ -277,8 +402,9 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def batches(parts):
         v = shared.value
+        memo = _Memo(v)
         for part in (p for whole in parts for p in slices(whole, 1)):
-            ids, stops = encode_batch([t or "" for t in part.column(1).to_pylist()], v)
+            ids, stops = encode_batch([t or "" for t in part.column(1).to_pylist()], v, memo)
             decoded = decode_batch(ids, stops, v)
             raw, ends = ids.astype("<u4").tobytes(), [0, *(4 * stops).tolist()]
             columns = [

@@ -1,6 +1,7 @@
 """Ids and decoded texts against the sentencepiece library."""
 
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,41 @@ def test_runs_and_long_texts():
     check(["", "x" * 3000, "ab" * 2000, "thethe" * 500 + "\n" * 500, " ".join(["onion"] * 20000), "<s></s><unk><0x0A>"])
 
 
+LETTERS = st.text(alphabet=st.sampled_from("aabcdeeghinorstTHE=-0_.<é日"), min_size=1, max_size=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(LETTERS, st.integers(1, 40)), max_size=8), st.integers(1, 400))
+def test_words_without_spaces(parts, rounds):
+    text = "".join(p * n for p, n in parts)
+    before = own.ROUNDS
+    own.ROUNDS = rounds  # fewer rounds leave more to the queue
+    try:
+        check([text, "word " + text])
+    finally:
+        own.ROUNDS = before
+
+
+def test_long_words_take_time_in_proportion():
+    rng = np.random.default_rng(1)
+    long = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 320_000))
+    began = time.perf_counter()
+    own.encode_batch([long], V)
+    assert time.perf_counter() - began < 3
+    for word in (long[:20_000], "ACGT" * 5000, "=" * 20_001, "ab" * 9_999 + "a", "".join(rng.choice(list("ACGT"), 20_000)), "thethe" * 3000, "a" * 12_345):
+        check([word])
+
+
+def test_words_are_remembered_and_forgotten(monkeypatch):
+    monkeypatch.setattr(own, "MEMO_BYTES", 2000)
+    memo = own._Memo(V)
+    for texts in (["the cat", "a cat  the"], ["cat " * 50 + "dog"], [" ".join(f"w{i}" for i in range(60))], ["the dog"], [""]):
+        ids, stops = own.encode_batch(texts, V, memo)
+        plain = own.encode_batch(texts, V)
+        assert ids.tolist() == plain[0].tolist() and stops.tolist() == plain[1].tolist()
+    assert len(memo) < 10
+
+
 def test_spark(spark):
     rows = [(1, None, 5), (2, "", 6), (2, "Hello  world\n", 7), (None, "Été à l'île", 8), (3, "long " * 30000, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
