@@ -5,10 +5,14 @@ into segments on a ring. If the differences of all segments sum to at most ``max
 from some segment on, every prefix of the chain of consecutive segments stays within its share
 ``floor(length * max_bits / segments)`` of the budget. The longest prefix whose share is zero
 must match exactly, so it is a join key; the longer prefixes prune the candidates that the join
-finds before the full Hamming check.
+finds before the full Hamming check. More segments make longer keys (26 bits of five, 31 of
+31) and more rows; their number follows the number of fingerprints, so that a key of a random fingerprint
+stays with a few others in a table of any size.
 
 Equal fingerprints count once: what follows works on distinct fingerprints. A key shared by
-more than ``bucket`` of them is not joined with itself. There each fingerprint names itself and
+more than ``bucket`` of them goes on along its chain: the budget that is left can't reach all of ``max_bits`` + 1
+parts of the other segments, so two fingerprints that link share one of these too. Where even such a longer key is crowded
+(fingerprints as like as a large group of copies), it is not joined with itself. There each fingerprint names itself and
 the values one bit away; two fingerprints name a common value only if they differ in at most two
 bits, and always if they do, so linking all that name a value to the least of them
 finds the same components in linear time.
@@ -29,8 +33,9 @@ from heddle.session import ship
 
 SHINGLE = 3
 MAX_BITS = 2
-SEGMENTS = 5
+SEGMENTS = 5  # at least
 BUCKET = 32
+BESIDE = 8  # random fingerprints that share a key, about
 SEED = 42
 BROADCAST_ROWS = 1_000_000  # ids: some 60 MB in a hash table
 
@@ -98,44 +103,80 @@ def _within(chain: list[tuple[int, int]], diff: Column) -> Column:
     return ok
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def segments_for(fingerprints: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest segments, SEGMENTS at least, whose keys about BESIDE of so many random fingerprints share."""
+    if max_bits == 1:
+        return SEGMENTS
+    for segments in range(SEGMENTS, 64, 2):
+        key = min(mask.bit_count() for mask in _keys(segments, max_bits))
+        if fingerprints / 2**key <= BESIDE:
+            return segments
+    return 63
+
+
+def _keys(segments: int, max_bits: int) -> list[int]:
+    """For each start, the mask of the longest prefix that must match exactly."""
+    return [[m for m, b in chain if b == 0][-1] for chain in _chains(segments, max_bits)]
+
+
+def _further(mask: int, max_bits: int) -> list[int]:
+    """The bits outside a mask in ``max_bits`` + 1 parts, in ring order from its end."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    start = next((i for i, b in enumerate(bits) if mask >> (b - 1) % 64 & 1), 0)
+    bits = bits[start:] + bits[:start]
+    cuts = [round(len(bits) * i / (max_bits + 1)) for i in range(max_bits + 2)]
+    return [sum(1 << b for b in bits[a:c]) for a, c in zip(cuts, cuts[1:], strict=False)]
+
+
+def _split_by_size(keyed: DataFrame, on: list[str], bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key has company, up to ``bucket`` and beyond it."""
+    crowded = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    shared = Stored(keyed.join(crowded, on)).df
+    return shared.where(F.col("n") <= bucket).drop("n"), shared.where(F.col("n") > bucket).drop("n")
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET, paths: bool = False) -> DataFrame:
     """(a, b): edges between the ``rep`` of distinct fingerprints, with the same components as all links.
 
     ``nodes`` has (fp, rep), one row for each fingerprint. Pairs within ordinary buckets are exactly
-    the links found there; oversized buckets give a star for each named value.
+    the links found there; buckets that stay crowded along the chain give a star for each named value. The number of segments follows
+    the number of fingerprints unless it is given. With ``paths``, the edges have how they were found: by the ``key``, the
+    ``longer key`` or as a ``star``.
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2: oversized buckets are linked exactly for these")
-    chains = _chains(segments, max_bits)
-    keys = [[m for m, b in chain if b == 0][-1] for chain in chains]
-    keyed = nodes.select(
-        "fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(keys)])).alias("k")
-    ).select("fp", "rep", "k.i", "k.key")
-    crowded = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = Stored(keyed.join(crowded, ["i", "key"]))
-    small, large = shared.df.where(F.col("n") <= bucket).drop("n"), shared.df.where(F.col("n") > bucket)
+    segments = segments or segments_for(nodes.count(), max_bits)
+    chains, keys = _chains(segments, max_bits), _keys(segments, max_bits)
+    part = lambda mask: F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    keyed = nodes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(m).alias("key")) for i, m in enumerate(keys)])).alias("k")).select("fp", "rep", "k.i", "k.key")
+    small, large = _split_by_size(keyed, ["i", "key"], bucket)
+    further = [_further(m, max_bits) for m in keys]
+    parts = F.array(*[F.array(*[part(m) for m in masks]) for masks in further])
+    longer = large.select("fp", "rep", "i", "key", F.posexplode(F.get(parts, F.col("i"))).alias("j", "more"))
+    few, many = _split_by_size(longer, ["i", "key", "j", "more"], bucket)
     diff = F.col("fp").bitwiseXOR(F.col("fp2"))
     chain_ok = F.lit(False)
     for i, chain in enumerate(chains):
         chain_ok = chain_ok | ((F.col("i") == i) & _within(chain, diff))
-    pairs = (
-        small.join(small.select("i", "key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2")), ["i", "key"])
-        .where((F.col("fp") < F.col("fp2")) & chain_ok)
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    )
+
+    def pairs(rows: DataFrame, on: list[str], path: str) -> DataFrame:
+        other = rows.select(*on, F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
+        return rows.join(other, on).where((F.col("fp") < F.col("fp2")) & chain_ok).select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(path).alias("path"))
+
     flips = [F.struct(F.lit(b).alias("bit"), (F.col("fp").bitwiseXOR if max_bits == 2 else F.col("fp").bitwiseAND)(F.lit(_signed((1 << b) ^ (0 if max_bits == 2 else (1 << 64) - 1)))).alias("value")) for b in range(64)]
     if max_bits == 2:  # any bit flipped names the same value; at 1, the bit left open is part of the name
         flips = [F.struct(F.lit(0).alias("bit"), f["value"].alias("value")) for f in flips] + [F.struct(F.lit(0).alias("bit"), F.col("fp").alias("value"))]
     stars = (
-        large.select("fp", "rep").distinct().select("rep", F.explode(F.array(*flips)).alias("named"))
-        .withColumn("least", F.min("rep").over(Window.partitionBy("named.bit", "named.value")))
+        many.select("fp", "rep").distinct().select("rep", F.explode(F.array(*flips)).alias("named"))
+        .withColumn("least", F.min("rep").over(Window.partitionBy("named.bit", "named.value")))  # at most 65 fingerprints name a value
         .where(F.col("rep") != F.col("least"))
-        .select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        .select(F.col("rep").alias("a"), F.col("least").alias("b"), F.lit("star").alias("path"))
     )
-    return pairs.unionByName(stars).distinct()
+    found = pairs(small, ["i", "key"], "key").unionByName(pairs(few, ["i", "key", "j", "more"], "longer key")).unionByName(stars)
+    return found.distinct() if paths else found.drop("path").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the least doc_id reachable over links, itself included.
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id stay

@@ -59,12 +59,55 @@ def test_groups_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, component_id int")
     want = brute_components(rows)
-    for bucket in (32, 1):
-        got = simhash.near_duplicates(docs, bucket=bucket).collect()
+    for bucket, segments in ((32, None), (1, None), (2, 5), (1, 9), (32, 31), (2, 63)):
+        got = simhash.near_duplicates(docs, bucket=bucket, segments=segments).collect()
         assert {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in got} == want
     assert max(Counter(c for _, c in want.values()).values()) > 2
 
 
+def test_crowded_keys_go_on_along_their_chain(spark):
+    """Fingerprints that share keys but few links, and a dense group, for several sizes of buckets."""
+    rng = random.Random(6)
+    top = [rng.getrandbits(26) << 38 for _ in range(3)]
+    values = {t | rng.getrandbits(38) for t in top for _ in range(60)}
+    centre = rng.getrandbits(64)
+    values |= {centre ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12)}
+    values |= {v ^ (1 << rng.randrange(64)) for v in rng.sample(sorted(values), 20)}
+    fps = sorted(values)
+    label = {i: i for i in range(len(fps))}
+    want = {(i, j) for i in label for j in label if i < j and (fps[i] ^ fps[j]).bit_count() <= 2}
+    nodes = spark.createDataFrame([(simhash._signed(fp), i) for i, fp in enumerate(fps)], "fp long, rep long")
+
+    def components(edges):
+        label = {i: i for i in range(len(fps))}
+        while True:
+            before = dict(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                return label
+
+    seen = set()
+    for bucket, segments in ((8, 5), (32, 5), (8, 7), (1, 5), (10_000, 5)):
+        found = simhash.links(nodes, segments=segments, bucket=bucket, paths=True).collect()
+        assert {tuple(sorted((r.a, r.b))) for r in found if r.path != "star"} <= want
+        assert components([(r.a, r.b) for r in found]) == components(want)
+        seen |= {r.path for r in found}
+        if bucket == 10_000:
+            assert {tuple(sorted((r.a, r.b))) for r in found} == want
+    assert seen == {"key", "longer key", "star"}
+
+
+def test_keys_lengthen_with_the_table():
+    assert simhash.segments_for(1000) == 5
+    sizes = [simhash.segments_for(10**n) for n in range(3, 14)]
+    assert sizes == sorted(sizes) and sizes[-1] <= 63 and 10**10 / 2 ** min(m.bit_count() for m in simhash._keys(simhash.segments_for(10**10), 2)) <= simhash.BESIDE
+    for segments in (5, 9, 63):
+        for mask in simhash._keys(segments, 2):
+            parts = simhash._further(mask, 2)
+            assert len(parts) == 3 and sum(parts) == (1 << 64) - 1 - mask
+
+
 def test_one_bit(spark):
     fps = spark.createDataFrame([(0b0, 1), (0b1, 2), (0b11, 3), (-1, 4)], "fp long, rep long")
     for bucket in (32, 1):
