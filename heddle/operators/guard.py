@@ -1,7 +1,8 @@
 """A guard for SQL that others write: one bounded SELECT over listed tables, checked on Spark's own plan.
 
-What runs is the plan that was checked, not the text. Everything is refused that is not on a positive list: plan nodes,
-functions and tables. CTE names hold only where they are in scope.
+Everything is refused that is not on a positive list: plan nodes, functions and tables. CTE names hold only where they are
+in scope. What runs is the checked text with the places of its relations, as the parser found them, changed to the views of this one
+query; strings and columns stay as they are.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.functions import sqlcompat
+
+QUALIFIER = re.compile(r"\s*(?:`(?:[^`]|``)*`|\w+)\s*\.\s*")
 #: The plan nodes that reading needs, and the functions besides the ones standard SQL has.
 PLAN_NODES = frozenset(
     "Project Filter Aggregate Distinct Sort GlobalLimit LocalLimit Offset Join UnresolvedRelation SubqueryAlias UnresolvedSubqueryColumnAliases Union Intersect Except UnresolvedWith CTERelationDef "
-    "UnresolvedHaving WithWindowDefinition Window OneRowRelation LateralJoin Generate Pivot Unpivot UnresolvedPivot Sample LimitAll UnresolvedInlineTable LocalRelation UnresolvedOrdinal CTERelationRef WithCTE ResolvedInlineTable".split()
+    "UnresolvedHaving WithWindowDefinition Window OneRowRelation LateralJoin Generate Pivot Unpivot UnresolvedPivot Sample LimitAll UnresolvedInlineTable LocalRelation UnresolvedOrdinal CTERelationRef WithCTE ResolvedInlineTable UnresolvedTVFAliases".split()
 )
 FUNCTIONS = frozenset(
     "count sum avg min max lower upper coalesce round cast date_trunc extract date_part to_char age generate_series to_date to_timestamp initcap split_part regexp_replace regexp_match regexp_extract regexp_extract_all "
@@ -93,18 +97,31 @@ def _class(node) -> str:
 
 
 class _Walk:
-    def __init__(self, schema: str, tables: set[str]):
-        self.schema, self.tables = schema, tables
+    """Checks a parsed plan and notes what has to change in the text, by place: (from, to, new text)."""
+
+    def __init__(self, schema: str, tables: set[str], text: str):
+        self.schema, self.tables, self.text = schema, tables, text
+        self.edits: list[tuple[int, int, str]] = []
+        self.helpers: set[str] = set()
 
     def refuse_table(self, name: str) -> Refused:
         return Refused(f"There is no table {name} in the schema {self.schema}. Tables: {', '.join(sorted(self.tables)) or 'none'}.")
 
+    def place(self, node) -> tuple[int, int] | None:
+        """Where a node stands in the text, end exclusive."""
+        origin = node.origin()
+        if origin.startIndex().isEmpty() or origin.stopIndex().isEmpty():
+            return None
+        return origin.startIndex().get(), origin.stopIndex().get() + 1
+
     def plan(self, node, ctes: frozenset[str]) -> None:
         kind = _class(node)
-        if kind not in PLAN_NODES:
+        if kind == "UnresolvedTableValuedFunction" and [p.lower() for p in _list(node.name())] == ["generate_series"]:
+            self.rename(node, "generate_series", "heddle_series_table")
+        elif kind not in PLAN_NODES:
             raise Refused(f"Only a SELECT statement may be run, not {kind}. Write a SELECT query.")
         if kind == "UnresolvedRelation":
-            self.relation(_list(node.multipartIdentifier()), ctes)
+            self.relation(node, _list(node.multipartIdentifier()), ctes)
         if kind == "UnresolvedWith":
             inner = ctes
             for pair in _list(node.cteRelations()):
@@ -117,7 +134,7 @@ class _Walk:
         for child in _list(node.children()):
             self.plan(child, ctes)
 
-    def relation(self, parts: list[str], ctes: frozenset[str]) -> None:
+    def relation(self, node, parts: list[str], ctes: frozenset[str]) -> None:
         name = parts[-1].lower()
         if len(parts) == 1 and name in ctes:
             return
@@ -127,6 +144,41 @@ class _Walk:
             raise Refused(f"Only tables of the schema {self.schema} may be used, not {parts[0].lower()}.{name}. Tables: {', '.join(sorted(self.tables))}.")
         if name not in self.tables:
             raise self.refuse_table(name)
+        if len(parts) == 2:
+            self.unqualify(node)
+
+    def unqualify(self, node) -> None:
+        """The schema's name goes from the place of a relation or of a column."""
+        if at := self.place(node):
+            if m := QUALIFIER.match(self.text, at[0], at[1]):
+                self.edits.append((m.start(), m.end(), ""))
+
+    def rename(self, node, name: str, to: str) -> None:
+        at = self.place(node)
+        if at is None or self.text[at[0] : at[0] + len(name)].lower() != name:
+            raise Refused(f"Write {name}(...) plainly.")
+        self.helpers.add(to)
+        self.edits.append((at[0], at[0] + len(name), to))
+
+    def call(self, node, name: str) -> None:
+        """Functions of the other dialect: under the names of their helpers, patterns in Spark's letters."""
+        arguments = _list(node.arguments())
+        literal = str(arguments[1].value()) if len(arguments) > 1 and _class(arguments[1]) == "Literal" else None
+        if name in sqlcompat.HELPERS:
+            self.rename(node, name, sqlcompat.HELPERS[name])
+        elif name == "generate_series":
+            at, places = self.place(node), [self.place(a) for a in arguments]
+            if at is None or None in places or not 2 <= len(places) <= 3:
+                raise Refused("Write generate_series(start, stop) or generate_series(start, stop, step).")
+            self.edits.append((*at, sqlcompat.series(*[self.text[a:b] for a, b in places])))
+        elif name == "regexp_match":
+            if literal is None:
+                raise Refused("regexp_match() needs its expression as a literal.")
+            self.rename(node, name, f"heddle_match_{min(9, len(re.findall(r'(?<![\\])[(](?![?])', literal)))}")
+        elif name in ("to_char", "to_date", "to_timestamp") and literal is not None and not re.search(r"[09]", literal):
+            at = self.place(arguments[1])
+            if at:
+                self.edits.append((*at, "'" + sqlcompat.pattern(literal).replace("'", "\\'") + "'"))
 
     def expression(self, node, ctes: frozenset[str]) -> None:
         kind = _class(node)
@@ -134,17 +186,27 @@ class _Walk:
             parts = _list(node.nameParts())
             if len(parts) > 1 or parts[-1].lower() not in FUNCTIONS:
                 raise Refused(f"The function {'.'.join(parts)}() is not allowed. {SHOWN}")
+            self.call(node, parts[-1].lower())
         elif kind in ("UnresolvedTableValuedFunction", "NamedArgumentExpression", "UnresolvedExtractValueFunction"):
             raise Refused(f"{kind} is not allowed. {SHOWN}")
+        elif self.schema and kind in ("UnresolvedAttribute", "UnresolvedStar"):
+            parts = _list(node.nameParts()) if kind == "UnresolvedAttribute" else _list(node.target().get()) if node.target().isDefined() else []
+            if len(parts) > (kind == "UnresolvedAttribute") + 1 and parts[0].lower() == self.schema.lower():
+                self.unqualify(node)
         if hasattr(node, "plan") and "Subquery" in kind or kind in ("Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
             inner = node.query() if kind == "InSubquery" else node
             self.plan(inner.plan(), ctes)
         for child in _list(node.children()):
             self.expression(child, ctes)
 
+    def changed(self) -> str:
+        text = self.text
+        for start, end, new in sorted(set(self.edits), reverse=True):
+            text = text[:start] + new + text[end:]
+        return text
 
-def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max_rows: int | None) -> tuple[str, int | None]:
-    """(SQL to run, its row limit) or Refused; ``schema`` may be empty for temporary views. No ``max_rows`` sets no limit."""
+
+def _check(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max_rows: int | None) -> tuple[_Walk, int | None]:
     text = _prepare(sql)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
@@ -156,8 +218,15 @@ def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max
         root = root.child()
     if _class(root) in ("LocalRelation", "UnresolvedInlineTable", "ResolvedInlineTable"):
         raise Refused("Only a SELECT statement may be run, not VALUES. Write a SELECT query.")
-    _Walk(schema, {t.lower() for t in tables}).plan(plan, frozenset())
-    return text, None if max_rows is None else limit_of(plan, max_rows)
+    walk = _Walk(schema, {t.lower() for t in tables}, text)
+    walk.plan(plan, frozenset())
+    return walk, None if max_rows is None else limit_of(plan, max_rows)
+
+
+def guard(spark: SparkSession, sql: str, schema: str, tables: Iterable[str], max_rows: int | None) -> tuple[str, int | None]:
+    """(checked SQL, its row limit) or Refused; ``schema`` may be empty for temporary views. No ``max_rows`` sets no limit."""
+    walk, limit = _check(spark, sql, schema, tables, max_rows)
+    return walk.text, limit
 
 
 def limit_of(plan, max_rows: int) -> int:
@@ -171,13 +240,19 @@ def limit_of(plan, max_rows: int) -> int:
 
 
 def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_rows: int | None, schema: str = "") -> DataFrame:
-    """The guarded query over these tables alone, with its limit (none without ``max_rows``, for results that stay distributed); they become temporary views of the session."""
-    text, limit = guard(spark, sql, schema, tables, max_rows)
-    if schema:
-        text = re.sub(rf"(?i)\b{re.escape(schema)}\s*\.\s*", "", text)
+    """The guarded query over these tables alone, with its limit (none without ``max_rows``, for results that stay distributed).
+
+    It runs in a copy of the session that has nothing but these views besides, so queries at the same time don't see
+    each other's tables and the session keeps its own views. Only relations and columns lose the schema's name, at the places that the parser gives.
+    """
+    walk, limit = _check(spark, sql, schema, tables, max_rows)
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    frame = spark.sql(text)
+        dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+    for helper in sorted(walk.helpers):
+        own.sql(sqlcompat.definition(helper))
+    frame = own.sql(walk.changed())
     return frame if limit is None else frame.limit(limit)
 
 

@@ -57,13 +57,23 @@ SQL: dict[str, str | tuple[str, str]] = {
     "sql_numbers": ("select s_suppkey, cast(floor(s_acctbal) as bigint) as f, cast(ceiling(s_acctbal) as bigint) as c, abs(s_acctbal) as a, round(s_acctbal, 1) as r, s_suppkey div 7 as d, mod(s_suppkey, 7) as m, width_bucket(s_acctbal, 0, 10000, 5) as b from supplier", "select s_suppkey, cast(floor(s_acctbal) as bigint) as f, cast(ceiling(s_acctbal) as bigint) as c, abs(s_acctbal) as a, round(s_acctbal, 1) as r, s_suppkey // 7 as d, mod(s_suppkey, 7) as m, case when s_acctbal < 0 then 0 when s_acctbal >= 10000 then 6 else cast(floor(s_acctbal / 2000) as bigint) + 1 end as b from supplier"),
     "sql_nulls": "select nullif(o_orderstatus, 'F') as s, coalesce(nullif(o_orderpriority, '1-URGENT'), 'none') as p, count(*) as n from orders group by 1, 2 order by s nulls last, p",
     "sql_generate_series": ("select explode(sequence(1, 10, 3)) as i", "select unnest(generate_series(1, 10, 3)) as i"),
+    "sql_series_in_select": ("select r_regionkey, generate_series(r_regionkey, 9, 4) as i from region", "select r_regionkey, unnest(generate_series(r_regionkey::bigint, 9, 4)) as i from region"),
+    "sql_series_in_from": ("select g.i, count(n.n_nationkey) as nations from generate_series(0, 5) as g(i) left join nation n on n.n_regionkey = g.i group by g.i", "select g.i, count(n.n_nationkey) as nations from generate_series(0, 5) as g(i) left join nation n on n.n_regionkey = g.i group by g.i"),
+    "sql_age": (
+        "select o_orderkey, age(o_orderdate, date'1990-06-15') as age from orders",
+        "select o_orderkey, case when o_orderdate::date = date '1990-06-15' then '00:00:00' else concat_ws(' ', case when m // 12 > 0 then (m // 12) || case when m // 12 = 1 then ' year' else ' years' end end, case when m % 12 > 0 then (m % 12) || case when m % 12 = 1 then ' mon' else ' mons' end end, case when d > 0 then d || case when d = 1 then ' day' else ' days' end end) end as age from (select o_orderkey, o_orderdate, 12 * (year(o_orderdate) - 1990) + month(o_orderdate) - 6 - case when day(o_orderdate) < 15 then 1 else 0 end as m, day(o_orderdate) - 15 + case when day(o_orderdate) < 15 then 30 else 0 end as d from orders)",
+    ),
+    "sql_justify_interval": ("select n_nationkey, justify_interval(n_nationkey * interval '17' day) as t from nation", "select n_nationkey, case when n_nationkey = 0 then '00:00:00' else concat_ws(' ', case when d // 360 > 0 then (d // 360) || case when d // 360 = 1 then ' year' else ' years' end end, case when d // 30 % 12 > 0 then (d // 30 % 12) || case when d // 30 % 12 = 1 then ' mon' else ' mons' end end, case when d % 30 > 0 then (d % 30) || case when d % 30 = 1 then ' day' else ' days' end end) end as t from (select n_nationkey, n_nationkey * 17 as d from nation)"),
+    "sql_schema_in_literal": ("select 'see shop.nation' as note, shop.nation.n_name from shop.nation where n_name <> 'shop.nation'", "select 'see shop.nation' as note, n_name from nation"),
+    "sql_to_char": ("select o_orderkey, to_char(o_orderdate, 'DD.MM.YYYY HH24:MI') as stamp, to_date(to_char(o_orderdate, 'YYYY/MM/DD'), 'YYYY/MM/DD') as day from orders", "select o_orderkey, strftime(o_orderdate, '%d.%m.%Y %H:%M') as stamp, o_orderdate::date as day from orders"),
+    "sql_regexp_match": ("select p_partkey, array_join(regexp_match(p_type, '^([A-Z]+) ([A-Z]+)'), '/') as m from part", "select p_partkey, case when regexp_matches(p_type, '^([A-Z]+) ([A-Z]+)') then regexp_extract(p_type, '^([A-Z]+) ([A-Z]+)', 1) || '/' || regexp_extract(p_type, '^([A-Z]+) ([A-Z]+)', 2) end as m from part"),
     "sql_json_events": ("select event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 4) as mean from events group by event_type", "select event_type, count(*) as n, count(distinct user_id) as users, round(avg(value), 4) as mean from events group by event_type"),
     "sql_star_report": "select r.r_name, extract(year from o.o_orderdate) as y, cast(sum(cast(l.l_extendedprice as decimal(18,2)) * (1 - cast(l.l_discount as decimal(4,2)))) as decimal(18,4)) as revenue from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by 1, 2",
 }
 
 
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guarded(spark, sql, {n: table(spark, sf_dir, n) for n in TABLES}, None)
+    return guarded(spark, sql, {n: table(spark, sf_dir, n) for n in TABLES}, None, "shop")
 
 
 QUERIES = {name: partial(_run, sql if isinstance(sql, str) else sql[0]) for name, sql in SQL.items()}

@@ -59,22 +59,53 @@ def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column string, type string")
 
 
-#: (statement, whether the guard lets it through)
+#: (statement, whether the guard lets it through, the limit that then holds)
 STATEMENTS = (
-    ("select count(*) from orders", True), ("select * from shop.orders", True), ("with b as (select * from orders) select * from b join customers c on c.id = b.customer_id", True),
-    ("select id from orders union select id from customers", True), ("select 1; select 2", False), ("insert into orders values (1)", False), ("update orders set total = 0", False),
-    ("delete from orders", False), ("drop table orders", False), ("truncate table orders", False), ("create table x (a int)", False), ("set x.y = 0", False), ("explain select * from orders", False),
-    ("values (1)", False), ("select * from orders for update", False), ("select * from other.orders", False), ("select * from secrets", False), ("select * from orders where id in (select id from other.orders)", False),
-    ("select java_method('java.lang.Math', 'abs', 1)", False), ("select reflect('java.lang.Math', 'abs', 1)", False), ("select * from parquet.`/etc/x`", False), ("select * from range(5)", False), ("from orders |> where total > 1", False),
-    ("select * from orders limit 5", True), ("select * from orders fetch first 5 rows only", True), ("select * from orders fetch first 5 rows with ties", False), ("select 1 /* x */ ; drop table orders", False),
-    ("select ';drop table orders' as x from orders", True), ('select * from "Orders"', False), ("", False), ("select (select 1 from (with c as (select 1) select 1 from c) y) from c", False),
-)
+    ("select segment, count(*) as n from customers group by segment", True, 201),
+    ("select o.id, c.name from shop.orders as o left join shop.customers as c on c.id = o.customer_id", True, 201),
+    ("with recent as (select id from orders where day > date'2024-01-01') select count(*) from recent", True, 201),
+    ("select name from customers except select status from orders", True, 201),
+    ("select id from orders order by total desc limit 12", True, 12),
+    ("select id from orders limit 9000", True, 201),
+    ("select id from orders offset 3 rows fetch next 2 rows only", False, None),
+    ("select id from orders fetch next 2 rows only", True, 2),
+    ("select id from orders fetch first 2 rows with ties", False, None),
+    ("select 'delete from orders; --' as note from orders", True, 201),
+    ("select rank() over (partition by customer_id order by total) as r from orders", True, 201),
+    ("select id from orders; select id from customers", False, None),
+    ("merge into orders using customers on true when matched then delete", False, None),
+    ("insert into customers select * from customers", False, None),
+    ("update customers set name = ''", False, None),
+    ("delete from customers where id = 1", False, None),
+    ("alter table orders add column x int", False, None),
+    ("create view v as select * from orders", False, None),
+    ("drop view orders", False, None),
+    ("cache table orders", False, None),
+    ("set spark.sql.ansi.enabled = false", False, None),
+    ("describe orders", False, None),
+    ("show tables", False, None),
+    ("explain select 1", False, None),
+    ("values (1, 2), (3, 4)", False, None),
+    ("select id from billing.orders", False, None),
+    ("select id from cat.shop.orders", False, None),
+    ("select id from invoices", False, None),
+    ("select id from customers where id in (select customer_id from invoices)", False, None),
+    ("select id from json.`/tmp/x.json`", False, None),
+    ("select id from orders |> where id > 1", False, None),
+    ("select reflect('java.lang.System', 'getenv', 'HOME')", False, None),
+    ("select sleep(10)", False, None),
+    ("select id from range(10)", False, None),
+    ("select id from generate_series(1, 4) as g(id)", True, 201),
+    ('select "Id" from orders', False, None),
+    ("-- nothing to do", False, None),
+    ("select x from orders where x = (select max(y) from (with hidden as (select 1 as y) select y from hidden) t) and exists (select 1 from hidden)", False, None),
+)
 
 
 def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the guard says to each statement, and the limit it sets."""
     rows = []
-    for i, (sql, _) in enumerate(STATEMENTS):
+    for i, (sql, _, _) in enumerate(STATEMENTS):
         try:
             rows.append((i, True, guard.guard(spark, sql, "shop", ("orders", "customers"), 201)[1]))
         except guard.Refused:
@@ -129,5 +160,6 @@ ORACLES = {
       UNION ALL SELECT 2, '  - c_mktsegment (text): values: ' || string_agg('''' || c_mktsegment || '''', ', ' ORDER BY k DESC, c_mktsegment) FROM (SELECT c_mktsegment, count(*) AS k FROM customer GROUP BY 1)""",
     "catalog_scan": "SELECT table_name, column_index::INT AS position, column_name AS \"column\", CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END AS type FROM (SELECT table_name, column_index - " + "1 AS column_index, column_name, data_type FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + "))",
     "guarded_query": GUARDED,
+    "guard_report": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, {'NULL' if limit is None else limit}::INT)" for i, (_, ok, limit) in enumerate(STATEMENTS)) + ") t(statement, accepted, row_limit)",
     "extract_sql": """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'select ' || n_nationkey WHEN 1 THEN 'select ' || n_name END AS sql FROM nation""",
 }

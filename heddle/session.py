@@ -52,3 +52,25 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(root.parent))
     context.addPyFile(str(packed))
     context._heddle_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, for intermediate tables and streams.
+
+    It is what ``spark.checkpoint.dir`` or the context's checkpoint folder names. Where neither is set, a local master gets a folder of
+    this process; any other raises RuntimeError, as executors could not read what is left on one machine.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+        found = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of any file system Spark knows; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

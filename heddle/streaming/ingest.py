@@ -6,7 +6,6 @@ the checkpoint, so a restart goes on where it was.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from heddle.functions.text import content_id
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{tempfile.gettempdir()}/heddle-streams").rstrip("/")
+from heddle.session import remove, shared_dir
 
 
 def fresh(spark: SparkSession) -> str:
@@ -38,9 +32,16 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent().toString()))  # a source watches folders
 
 
-def once_by_content(stream: DataFrame, text_col: str = "text") -> DataFrame:
-    """The first row of each content; the state grows with distinct contents."""
-    return stream.withColumn("content_id", content_id(F.col(text_col))).dropDuplicates(["content_id"])
+def once_by_content(stream: DataFrame, text_col: str = "text", time_col: str | None = None, within: str = "7 days") -> DataFrame:
+    """The first row of each content.
+
+    The state grows with distinct contents. With ``time_col`` it doesn't: a content is forgotten once the watermark, ``within`` behind
+    the latest time, has passed it, and only repeats that come within that time are left out.
+    """
+    named = stream.withColumn("content_id", content_id(F.col(text_col)))
+    if time_col is None:
+        return named.dropDuplicates(["content_id"])
+    return named.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, within).dropDuplicatesWithinWatermark(["content_id"])
 
 
 def once_by_version(stream: DataFrame, key: str, version: str) -> DataFrame:
@@ -48,10 +49,18 @@ def once_by_version(stream: DataFrame, key: str, version: str) -> DataFrame:
     return stream.dropDuplicates([key, version])
 
 
-def windowed(stream: DataFrame, time_col: str = "ts", late: str = "1 hour", size: str = "1 hour", by: str = "event_type", value: str = "value") -> DataFrame:
-    """Counts and sums by tumbling window; windows end, and their state goes, once the watermark passes them."""
+def windowed(stream: DataFrame, time_col: str = "ts", late: str = "1 hour", size: str = "1 hour", by: str = "event_type", value: str = "value", slide: str | None = None) -> DataFrame:
+    """Counts and sums by window, tumbling or sliding by ``slide``; windows end, and their state goes, once the watermark passes them."""
+    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
+    window = F.window(time_col, size, slide) if slide else F.window(time_col, size)
+    return timed.groupBy(window.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+
+
+def sessions(stream: DataFrame, by: str, time_col: str = "ts", late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """(start, end, by, n): runs of a key's events that are less than ``gap`` apart."""
     timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
-    return timed.groupBy(F.window(time_col, size).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+    met = timed.groupBy(F.session_window(time_col, gap).alias("w"), by).agg(F.count("*").alias("n"))
+    return met.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -64,9 +73,10 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def run(spark: SparkSession, stream: DataFrame, schema: T.StructType | None = None, mode: str = "append") -> DataFrame:
-    """The stream's whole result over what is there now."""
+    """The stream's whole result over what is there now; the rows stay in the shared folder, the progress does not."""
     out = fresh(spark)
     to_parquet(stream, f"{out}/rows", f"{out}/checkpoint", mode).awaitTermination()
+    remove(spark, f"{out}/checkpoint")
     return spark.read.schema(schema or stream.schema).parquet(f"{out}/rows")
 
 

@@ -1,5 +1,8 @@
 """The guard's refusals, limits and names, and running under a cap and a time limit."""
 
+from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
+
 import pytest
 
 from heddle.operators import guard
@@ -10,10 +13,10 @@ def allowed(spark, sql, schema="shop", tables=("orders", "customers"), rows=201)
     return guard.guard(spark, sql, schema, tables, rows)
 
 
-@pytest.mark.parametrize(("sql", "accepted"), STATEMENTS)
-def test_statements(spark, sql, accepted):
+@pytest.mark.parametrize(("sql", "accepted", "limit"), STATEMENTS)
+def test_statements(spark, sql, accepted, limit):
     if accepted:
-        allowed(spark, sql)
+        assert allowed(spark, sql)[1] == limit
     else:
         with pytest.raises(guard.Refused):
             allowed(spark, sql)
@@ -55,7 +58,7 @@ def test_comments_go_and_strings_stay(spark):
 
 
 def test_guarded_sql_passes_again(spark):
-    for sql, accepted in STATEMENTS:
+    for sql, accepted, _ in STATEMENTS:
         if accepted:
             text, _ = allowed(spark, sql)
             assert allowed(spark, text)[0] == text
@@ -69,3 +72,41 @@ def test_run(spark):
     assert got.rows == [(500,)] and not got.truncated
     with pytest.raises(TimeoutError):
         guard.run(spark, "select count(*) as c from numbers a join numbers b on a.n <> b.n join numbers c on c.n <> a.n join numbers d on d.n <> a.n where sqrt(a.n + b.n + c.n + d.n) < -1", {"numbers": numbers}, timeout_s=1)
+
+
+def test_only_relations_and_columns_lose_the_schema(spark):
+    orders = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    rows = lambda sql: [tuple(r) for r in guard.guarded(spark, sql, {"orders": orders, "customers": orders}, 100, "shop").collect()]
+    assert rows("select 'see shop.orders' as note, shop.orders.id from shop.orders where name <> 'shop.b' order by 2") == [("see shop.orders", 1), ("see shop.orders", 2)]
+    assert rows("select o.id from shop . orders o join `shop`.customers c on o.id = c.id /* shop.x */ where c.name = 'a'") == [(1,)]
+    assert rows("select shop.orders.* from shop.orders where shop.orders.id = 2") == [(2, "b")]
+    assert rows('with a as (select id from "shop"."orders") select count(*) from a, shop.customers') == [(4,)]
+
+
+def test_questions_at_the_same_time_keep_their_tables(spark):
+    numbers = {name: spark.createDataFrame([(name,)], "v string") for name in "abcdef"}
+    spark.range(3).createOrReplaceTempView("t")
+    frames = {name: guard.guarded(spark, "select v from t", {"t": df}, 10) for name, df in numbers.items()}
+    with ThreadPoolExecutor(6) as pool:
+        results = dict(zip(numbers, pool.map(lambda name: guard.run(spark, "select v from t", {"t": numbers[name]}).rows, numbers), strict=True))
+    assert results == {name: [(name,)] for name in numbers} == {name: [tuple(r) for r in f.collect()] for name, f in frames.items()}
+    assert spark.table("t").count() == 3  # the session's own view
+
+
+@pytest.mark.parametrize(
+    ("expression", "value"),
+    [
+        ("age(date'2001-04-10', date'1957-06-13')", "43 years 9 mons 27 days"), ("age(date'1957-06-13', date'2001-04-10')", "-43 years -9 mons -27 days"), ("age(timestamp'2024-03-01 01:00:00.5', timestamp'2024-02-28 23:30:00')", "1 day 01:30:00.5"),
+        ("age(date'2020-01-01', date'2020-01-01')", "00:00:00"), ("justify_interval(interval '35' day)", "1 mon 5 days"), ("justify_interval(interval '395 03:04:05' day to second)", "1 year 1 mon 5 days 03:04:05"),
+        ("to_char(timestamp'2024-03-01 13:05:09', 'DD Mon YYYY HH24:MI')", "01 Mar 2024 13:05"), ("cast(to_date('01/03/2024', 'DD/MM/YYYY') as string)", "2024-03-01"), ("array_join(regexp_match('x1 y22', '([a-z])([0-9]+)'), '|')", "x|1"), ("regexp_match('x', '[0-9]')", None), ("to_number('12.5', '99.9')", Decimal("12.5")),
+        ("(select string_agg(cast(i as string), ',') within group (order by i) from (select generate_series(2, 9, 3) as i) t)", "2,5,8"), ("(select count(*) from generate_series(5, 1))", 0), ("(select sum(g) from generate_series(5, 1, -2) as s(g))", 9),
+    ],
+)
+def test_functions_of_the_other_dialect(spark, expression, value):
+    assert guard.run(spark, f"select {expression} as v", {}).rows == [(value,)]
+
+
+def test_functions_need_a_plain_form(spark):
+    for sql in ("select regexp_match(name, name) from orders", "select heddle_age(1, 2)", "select * from generate_series2(1, 2)", "select generate_series(1) from orders"):
+        with pytest.raises(guard.Refused):
+            allowed(spark, sql)
