@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions.text import tokens
 from heddle.functions.vectors import cosine
-from heddle.operators.lexical import ranked
+from heddle.operators.lexical import ranked, sparse_search
 
 RRF_K = 2  # ranks count from 0
+BLOCK_VALUES = 8_000_000  # 64 MB of doubles
 
 
 def equals(filters: dict[str, object] | None) -> Column | None:
@@ -31,51 +33,93 @@ def dense_search(chunks: DataFrame, query: Column, top_k: int, id_col: str = "ch
     return ranked(beside.select(id_col, cosine(F.col(vector_col), F.col("_query")).alias("score")).where("score IS NOT NULL"), top_k, id_col)
 
 
-def dense_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector_col: str = "vector", most_queries: int = 100_000) -> DataFrame:
-    """(query_id, rank, id, score) for a table of query vectors.
+def dense_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector_col: str = "vector", block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(query_id, rank, id, score) for a table of query vectors, ties by id.
 
-    The queries (at most ``most_queries``, else ValueError) are broadcast as a matrix. Each block of chunks is multiplied by
-    it; a task keeps the best ``top_k`` of each query, so what is shuffled follows tasks x queries x top_k, not pairs.
+    The queries go out in blocks of at most ``block_values`` numbers, each a broadcast matrix. A task multiplies every batch of chunks by
+    it and keeps the best ``top_k`` of each query, so what is shuffled follows tasks x queries x top_k, not pairs. Null vectors are
+    left out on both sides; no queries give no rows.
     """
-    rows = queries.select(query_col, query_vector_col).where(F.col(query_vector_col).isNotNull()).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"a batch has at most {most_queries} queries")
-    names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast((names, matrix))
+    asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     pool = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    kinds = dict(pool.dtypes), dict(queries.dtypes)
-
-    def blocks(parts):
-        ids, m = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
-        for part in parts:
-            v = np.stack(part.column(1).to_numpy(zero_copy_only=False)) if part.num_rows else np.zeros((0, m.shape[1]))
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            own = np.array(part.column(0).to_pylist(), object)
-            for start in range(0, len(ids), 256):
-                scores = v @ m[start : start + 256].T
-                for j in range(scores.shape[1]):
-                    s = np.concatenate([kept[start + j][0], scores[:, j]])
-                    o = np.concatenate([kept[start + j][1], own])
-                    if len(s) > top_k:
-                        edge = np.partition(s, len(s) - top_k)[len(s) - top_k] - 1e-9
-                        s, o = s[s >= edge], o[s >= edge]
-                    kept[start + j] = (s, o)
-        sizes = [len(s) for s, _ in kept]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, k in zip(ids, sizes, strict=True) for _ in range(k)]), pa.array(np.concatenate([o for _, o in kept]).tolist()), pa.array(np.concatenate([s for s, _ in kept]))],
-                names=["q", "id", "score"],
-            )
-
-    found = pool.mapInArrow(blocks, f"q {kinds[1][query_col]}, id {kinds[0]['id']}, score double")
+    schema = f"q {dict(asked.dtypes)['q']}, id {dict(pool.dtypes)['id']}, score double"
+    size, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-size * (dim or 1) // block_values))
+    found = None
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
+        rows = own.collect()  # at most about block_values numbers
+        part = pool.mapInArrow(_best_of(chunks.sparkSession, rows, dim or 0, top_k), schema)
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
     best = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_k)
     return best.select(F.col("q").alias(query_col), "rank", F.col("id").alias(id_col), "score")
 
 
+def _best_of(spark: SparkSession, queries: list, dim: int, top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, v) to the best ``top_k`` (q, id, score) of each query in the task."""
+    matrix = np.array([r["v"] for r in queries], np.float64).reshape(len(queries), dim)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    shared = spark.sparkContext.broadcast(([r["q"] for r in queries], matrix))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, m = shared.value
+        ids, scores = np.zeros((0, len(names)), object), np.zeros((0, len(names)))  # by rank and query
+        for part in parts:
+            if not part.num_rows or not names:
+                continue
+            order = np.array(pc.sort_indices(part.column(0)))
+            v = np.stack(part.column(1).to_numpy(zero_copy_only=False))[order]
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            own = np.array(part.column(0).to_pylist(), object)[order]
+            new_ids, new_scores = [], []
+            for start in range(0, len(names), 256):
+                some = slice(start, start + 256)
+                s = v @ m[some].T
+                n = min(top_k, len(s))
+                edge = np.partition(s, len(s) - n, axis=0)[len(s) - n] - 1e-9
+                rows = np.flatnonzero((s >= edge).any(1))
+                i, x = _first(np.concatenate([ids[:, some], np.repeat(own[rows][:, None], s.shape[1], 1)]), np.concatenate([scores[:, some], s[rows]]), top_k)
+                new_ids.append(i)
+                new_scores.append(x)
+            ids, scores = np.concatenate(new_ids, 1), np.concatenate(new_scores, 1)
+        if ids.size:
+            yield pa.RecordBatch.from_arrays([pa.array([q for q in names for _ in range(len(ids))]), pa.array(ids.T.ravel().tolist()), pa.array(scores.T.ravel())], names=["q", "id", "score"])
+
+    return batches
+
+
+def _first(ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of each column: by score at nine decimals, then by id."""
+    keep = min(top_k, len(ids))
+    by_id = np.argsort(ids, axis=0, kind="stable")
+    ids, scores = np.take_along_axis(ids, by_id, 0), np.take_along_axis(scores, by_id, 0)
+    best = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:keep]
+    return np.take_along_axis(ids, best, 0), np.take_along_axis(scores, best, 0)
+
+
+def branch_limit(candidates: int, top_k: int) -> int:
+    """How many hits each branch of a hybrid search gives."""
+    return max(candidates, top_k)
+
+
+def hybrid_search(chunks: DataFrame, query: Column, terms: list[str], top_k: int, candidates: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", text_col: str = "text", filters: dict[str, object] | None = None, k: int = RRF_K) -> DataFrame:
+    """(rank, id, score): dense and lexical branches under the same filter, each with its own limit, fused.
+
+    Raises ValueError where the collection has no texts to weigh terms by.
+    """
+    missing = [c for c in (id_col, vector_col, text_col) if c not in chunks.columns]
+    if missing:
+        raise ValueError(f"A hybrid search needs the column {missing[0]}; index the collection with term weights or search it by vectors alone.")
+    limit = branch_limit(candidates, top_k)
+    return fuse([dense_search(chunks, query, limit, id_col, vector_col, filters), sparse_search(chunks, terms, limit, id_col, text_col, equals(filters))], top_k, id_col, k)
+
+
+def first_pictures(hits: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` hits that are pictures, by rank."""
+    return hits.where("modality = 'picture'").orderBy("rank").limit(most)
+
+
 def fuse(branches: list[DataFrame], top_k: int, id_col: str, k: int = RRF_K) -> DataFrame:
     """(rank, id, score): reciprocal-rank fusion of ranked branches, the sum of 1 / (k + rank from 0)."""
     rows = reduce(DataFrame.unionByName, [b.select(id_col, "rank") for b in branches])

@@ -105,7 +105,7 @@ _LINES = "SELECT doc_id, ord::INT AS ord, text FROM (SELECT doc_id, unnest(strin
 _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _FIXED = f"""SELECT doc_id, p AS piece, w[p * {MAX - OVERLAP} + 1 : p * {MAX - OVERLAP} + {MAX}] AS own
   FROM (SELECT doc_id, {_WORDS} AS w FROM documents) d, LATERAL (SELECT unnest(range(greatest(0, len(w) - {OVERLAP} - 1) // {MAX - OVERLAP} + 1)) AS p) WHERE len(w) > 0"""
-_MARKED = f"""marked AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'heading' THEN (ord // 7) % 3 + 1 END AS level, substr(text, 1, 60) AS text
+_MARKED = f"""marked AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'heading' THEN (ord // 7) % 3 + 1 END AS level, text
   FROM (SELECT *, CASE WHEN ord % 7 = 0 THEN 'heading' WHEN ord % 11 = 5 THEN 'picture' ELSE 'text' END AS kind FROM ({_LINES})))"""
 _SEG = f"""{_MARKED}, b AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER w AS section,
    max(CASE WHEN level = 1 THEN ord END) OVER w AS o1, max(CASE WHEN level = 2 THEN ord END) OVER w AS o2, max(CASE WHEN level = 3 THEN ord END) OVER w AS o3,

@@ -84,6 +84,6 @@ ORACLES = {
     "compat_series": "SELECT r_regionkey, unnest(generate_series(r_regionkey::BIGINT, 9, 4)) AS i FROM region",
     "compat_strings": """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_type || '-x1 y', '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title,
       regexp_replace(p_type, '[AEIOU]', '*') AS first, regexp_extract(p_name, '(\\w)\\w*$', 1) AS letter FROM part""",
-    "example_save": "SELECT (conv_id % 3)::VARCHAR AS schema_name, substr(text, 1, 6) AS standalone, role AS sql, min(conv_id * 1000 + turn) AS turn_id FROM conversations GROUP BY ALL",
+    "example_save": "SELECT (conv_id % 3)::VARCHAR AS schema_name, text AS standalone, role AS sql, min(conv_id * 1000 + turn) AS turn_id FROM conversations GROUP BY ALL",
     "description_carry_over": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'about ' || n_name ELSE n_name END AS description FROM nation",
 }

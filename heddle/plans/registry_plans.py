@@ -174,13 +174,13 @@ ORACLES = {
     "sessions_list": "SELECT conv_id, substr(arg_min(text, turn), 1, 80) AS title, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "recent_sessions": "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id ORDER BY turns DESC, conv_id LIMIT 30",
     "history_last_n": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS recent FROM conversations QUALIFY recent <= 3",
-    "registry_sync": "WITH k AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 3 <> 0), w AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0) SELECT doc_id, 'removed' AS change FROM k WHERE doc_id NOT IN (FROM w) UNION ALL SELECT doc_id, 'new' FROM w WHERE doc_id NOT IN (FROM k)",
+    "registry_sync": "WITH k AS (SELECT DISTINCT doc_id FROM labels), w AS (SELECT DISTINCT doc_id FROM documents) SELECT doc_id, 'removed' AS change FROM k WHERE doc_id NOT IN (FROM w) UNION ALL SELECT doc_id, 'new' FROM w WHERE doc_id NOT IN (FROM k)",
     "orphan_rows": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 7)",
     "duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "delete_cascade": """WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c))
       SELECT 'customer' AS table_name, count(*) AS n FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (FROM c) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM o)""",
     "facet_documents": "SELECT source, count(*) AS points, min(doc_id) AS sample_doc, arg_min(lang, doc_id) AS sample_lang, max(n_chars) AS longest FROM documents GROUP BY source",
-    "library_rollup": "SELECT doc_id, quality, a.doc_id IS NOT NULL AS has_row, points, b.doc_id IS NOT NULL AS has_collection FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) a FULL JOIN (SELECT doc_id, count(*) AS points FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) b USING (doc_id)",
+    "library_rollup": "SELECT doc_id, quality, a.doc_id IS NOT NULL AS has_row, points, b.doc_id IS NOT NULL AS has_collection FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) a FULL JOIN (SELECT doc_id, count(*) AS points FROM documents GROUP BY 1) b USING (doc_id)",
     "stage_throughput": "SELECT event_type, count(*) AS items, round(count(*) / (round(sum(value), 3) / 1000), 4) AS per_second FROM events GROUP BY 1",
     "node_timings": "SELECT event_type AS node, count(*) AS turns, round(median(ms), 6) AS median_ms FROM (SELECT user_id, event_type, sum(value) AS ms FROM events GROUP BY ALL) GROUP BY 1",
     "latency_by_kind": "SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS least, max(value) AS most, round(avg(value), 4) AS mean FROM events GROUP BY 1",

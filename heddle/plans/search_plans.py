@@ -183,11 +183,11 @@ def _batch(questions: str, k: int, name: str = "hits") -> str:
 
 
 _ASKED = "SELECT item_id AS query_id, text AS question FROM benchmark"
-_RERANK = f"""WITH {_batch(_ASKED + ' WHERE item_id < 20', 5)},
+_RERANK = f"""WITH {_batch(_ASKED, 5)},
  sc AS (SELECT h.query_id, h.doc_id, h.rank AS first_rank, round(len(list_intersect(list_distinct({_TOK.format(t='b.text')}), {_TOK.format(t='d.text')})) / len(list_distinct({_TOK.format(t='b.text')})), 6) AS score
    FROM hits h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id)),
  rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) AS rank FROM sc)"""
-_ANSWER = "substr(text, 1, 40) || ' [' || (turn + 1) || '] and [' || (conv_id % 9) || '], again [' || (turn + 1) || ']'"
+_ANSWER = "text || ' [' || (turn + 1) || '] and [' || (conv_id % 9) || '], again [' || (turn + 1) || ']'"
 _CITED = f"list_sort(list_distinct(list_transform(regexp_extract_all({_ANSWER}, '\\[(\\d+)\\]', 1), lambda x: x::INT)))"
 
 ORACLES = {

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
+from typing import ClassVar
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,6 +72,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Stored:
+    """A table written to the shared folder: ``df`` reads it, ``drop()`` removes it.
+
+    Reading it again never repeats the work that made it, also after a lost executor. ``drop_stored`` removes all that were made
+    since a mark and are still there.
+    """
+
+    made: ClassVar[list[Stored]] = []
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+        Stored.made.append(self)
+
+    def drop(self) -> None:
+        remove(self.df.sparkSession, self.path)
+        if self in Stored.made:
+            Stored.made.remove(self)
+
+
+def drop_stored(since: int = 0, but: tuple[Stored, ...] = ()) -> None:
+    """Removes intermediate tables from the ``since``th of those that are there on; frames that read them can no longer be computed."""
+    for one in Stored.made[since:]:
+        if one not in but:
+            one.drop()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or folder of any file system Spark knows; one that isn't there is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -71,8 +71,11 @@ def test_batch_search_equals_single(spark):
     for i, v in rows[:5]:
         one = search.dense_search(chunks, F.array(*[F.lit(x) for x in v]), 4).collect()
         assert sorted(got[i]) == [(r.rank, r.chunk_id) for r in one]
-    with pytest.raises(ValueError):
-        search.dense_search_batch(chunks, asked, 4, most_queries=3)
+    blocks = {}
+    for r in search.dense_search_batch(chunks, asked, 4, block_values=8).collect():  # a query a block
+        blocks.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+    assert {q: sorted(v) for q, v in blocks.items()} == {q: sorted(v) for q, v in got.items()}
+    assert search.dense_search_batch(chunks, asked.where("query_id < 0"), 4).count() == 0
 
 
 def test_text_expressions(spark):

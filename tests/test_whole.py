@@ -1,6 +1,6 @@
 """Queries that once took a cut of their rows or texts, on tables where the cut shows.
 
-The SQL is the registered one, here without the cut where it still has one.
+The SQL is the registered one, which has no cut either; the replacements below hold for any that would.
 """
 
 import hashlib
