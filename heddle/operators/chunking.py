@@ -6,16 +6,21 @@ Blocks are (doc_id, ord, kind, level, text): kind is title, heading, text, table
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heddle.functions.arrays import running
 from heddle.functions.text import chunk_id, squash
 from heddle.functions.vectors import cosine
 
 LEVELS = 7  # a title is level 0
 SENTENCE_END = r"((?<=[.!?])\s+|\n{2,})"
 SPLIT = "\x01"
+MODALITIES = ("picture", "table", "text")
+TABLE_HANDLING = ("markdown", "rows", "skip")
 #: Entities that page texts hold.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 NOISE = r"(?is)<(script|style|nav|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">.*?</div>"
@@ -64,9 +69,8 @@ def sections(segmented: DataFrame) -> DataFrame:
     """(doc_id, section, headings, text, starts): paragraphs joined by blank lines, with the offset at which each starts."""
     rows = segmented.where(~F.col("kind").isin("heading", "title", "table"))
     met = rows.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"), F.first("headings").alias("headings"))
-    sizes = F.transform("p", lambda p: F.length(p["text"]) + 2)
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return met.select("doc_id", "section", "headings", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"), F.slice(starts, 1, F.size("p")).alias("starts"))
+    met = met.withColumn("starts", running(F.transform("p", lambda p: F.length(p["text"]) + 2)))
+    return met.select("doc_id", "section", "headings", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"), F.transform("starts", lambda s: s.cast("int")).alias("starts"))
 
 
 def locate(starts: Column, offset: Column) -> Column:
@@ -98,12 +102,17 @@ def _split_sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, f"$1{SPLIT}"), SPLIT), lambda x: x != "")
 
 
+def _cut_at(pieces: Column, starts: Column) -> Column:
+    """The pieces from each start (counted from 0) up to the next one, joined."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(pieces)))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(pieces, a + F.lit(1), b - a), ""))
+
+
 def _join_blanks(pieces: Column) -> Column:
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        pieces, F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (_blank(x) | _blank(last(acc))), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), x)))).otherwise(F.concat(acc, F.array(x))),
-    )
+    """Blank pieces go with the piece before them, those at the start with the first that isn't blank."""
+    solid = F.filter(F.transform(pieces, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), F.slice(solid, 2, F.greatest(F.size(solid), F.lit(1))))
+    return F.when(F.size(pieces) == 0, pieces).otherwise(_cut_at(pieces, starts))
 
 
 def sentences(text: Column) -> Column:
@@ -112,21 +121,24 @@ def sentences(text: Column) -> Column:
 
 
 def pack(pieces: Column, max_tokens: int) -> Column:
-    """Texts of neighbouring pieces joined while they have at most ``max_tokens`` words; a larger piece is alone.
+    """Texts of neighbouring pieces joined while they have at most ``max_tokens`` words; a larger piece is alone."""
+    return pack_by(pieces, F.transform(pieces, lambda x: F.size(words_of(x))), F.lit(max_tokens))
+
 
-    Words are counted once for each piece. The fold only finds where chunks begin: it carries two numbers and the starts.
+def pack_by(pieces: Column, sizes: Column, budget: Column) -> Column:
+    """``pack`` with given sizes and budget, which may differ by row.
+
+    The fold carries two numbers and where chunks start; texts are cut after it.
     """
-    sized = F.transform(pieces, lambda x: F.struct(x.alias("t"), F.size(words_of(x)).alias("n")))
-    start = F.struct(F.array().cast("array<struct<t:string,n:int>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
-    joined = lambda acc: F.struct(F.array_join(acc["now"], "").alias("t"), acc["n"].alias("n"))
+    begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] == 0) | (acc["n"] + x["n"] <= max_tokens)
-        return F.when(fits, F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(x["t"])).alias("now"), (acc["n"] + x["n"]).alias("n"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(joined(acc))).alias("done"), F.array(x["t"]).alias("now"), x["n"].alias("n"))
-        )
+    def step(acc: Column, n: Column) -> Column:
+        fits = (acc["at"] > 0) & ((acc["n"] + n <= budget) | (acc["n"] == 0))
+        starts = F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"])))
+        return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
 
-    return F.aggregate(sized, start, step, lambda acc: F.filter(F.transform(F.concat(acc["done"], F.array(joined(acc))), lambda c: F.trim(c["t"])), lambda t: t != ""))
+    starts = F.aggregate(sizes, begin, step, lambda acc: acc["starts"])
+    return F.filter(F.transform(_cut_at(pieces, starts), lambda t: F.trim(t)), lambda t: ~_blank(t))
 
 
 def recursive(parts: DataFrame, max_tokens: int, text_col: str = "text") -> DataFrame:
@@ -139,15 +151,57 @@ def recursive(parts: DataFrame, max_tokens: int, text_col: str = "text") -> Data
     return split.withColumn("pieces", pack(F.col("_s"), max_tokens)).drop("_p", "_w", "_s")
 
 
-def breakpoints(sentences_: DataFrame, percentile: float = 0.9, by: str = "section", order_col: str = "ord", vector_col: str = "embedding") -> DataFrame:
+def breakpoints(sentences_: DataFrame, percentile: float = 0.9, by: str | list[str] = "section", order_col: str = "ord", vector_col: str = "embedding") -> DataFrame:
     """Rows with ``distance`` (to the sentence before), ``threshold`` (of the section) and ``piece``: a new one after a jump."""
-    order = Window.partitionBy(by).orderBy(order_col)
+    by = [by] if isinstance(by, str) else by
+    order = Window.partitionBy(*by).orderBy(order_col)
     far = sentences_.withColumn("_before", F.lag(vector_col).over(order)).withColumn("distance", 1 - cosine(F.col(vector_col), F.col("_before"))).drop("_before")
-    limits = far.groupBy(by).agg(F.percentile("distance", F.lit(percentile)).alias("threshold"))
+    limits = far.groupBy(*by).agg(F.percentile("distance", F.lit(percentile)).alias("threshold"))
     jump = F.when(F.col("distance") > F.col("threshold"), 1).otherwise(0)
     return far.join(limits, by).withColumn("piece", F.sum(jump).over(order).cast("long"))
 
 
+def sentence_groups(parts: DataFrame, buffer: int = 1, by: tuple[str, ...] = ("doc_id", "section"), text_col: str = "text") -> DataFrame:
+    """(by, ord, sentence, context): each sentence with the ``buffer`` sentences on both sides of it."""
+    each = parts.select(*by, F.posexplode_outer(sentences(F.col(text_col))).alias("ord", "sentence")).where("sentence IS NOT NULL")
+    around = Window.partitionBy(*by).orderBy("ord").rowsBetween(-buffer, buffer)
+    return each.withColumn("context", F.array_join(F.collect_list("sentence").over(around), ""))
+
+
+def semantic(parts: DataFrame, embed: Callable[[DataFrame], DataFrame], max_tokens: int, percentile: float = 0.9, buffer: int = 1, by: tuple[str, ...] = ("doc_id", "section"), text_col: str = "text") -> DataFrame:
+    """(by, piece, text, token_count): sentences cut where their context turns, then cut to the budget.
+
+    ``embed`` adds ``embedding`` to (by, ord, sentence, context). A section is cut where the distance between neighbours is
+    beyond its own ``percentile``; a piece of more than ``max_tokens`` words is split as ``recursive`` does.
+    """
+    cut = breakpoints(embed(sentence_groups(parts, buffer, by, text_col)), percentile, list(by))
+    met = cut.groupBy(*by, "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sentence"))), lambda s: s["sentence"]), "").alias("text"))
+    split = recursive(met, max_tokens).select(*by, "piece", F.posexplode_outer("pieces").alias("part", "text")).where("text IS NOT NULL")
+    order = Window.partitionBy(*by).orderBy("piece", "part")
+    return split.select(*by, (F.row_number().over(order) - 1).cast("long").alias("piece"), "text", F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
+
+
+def locate_pieces(text: Column, pieces: Column) -> Column:
+    """Where each piece stands in its text, counted from 0.
+
+    Each is sought from just after the start of the one before it, so overlapping pieces and repeated texts are told apart; one that
+    isn't there (its white space was changed) has the start of the one before it.
+    """
+    begin = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("last"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = F.position(piece, text, acc["next"] + F.lit(1)) - F.lit(1)
+        at = F.when(at >= 0, at).otherwise(acc["last"])
+        return F.struct(F.concat(acc["out"], F.array(at)).alias("out"), (at + 1).alias("next"), at.alias("last"))
+
+    return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
+
+
+def hierarchical(segmented: DataFrame) -> DataFrame:
+    """(doc_id, ord, headings, text): one chunk for each structural element, however long."""
+    return segmented.where(~F.col("kind").isin("heading", "title")).select("doc_id", "ord", "headings", "text")
+
+
 def merge_peers(blocks: DataFrame, max_tokens: int) -> DataFrame:
     """(doc_id, section, headings, piece, text, token_count): neighbouring blocks of a section joined while they fit."""
     rows = blocks.where(~F.col("kind").isin("heading", "title"))
@@ -156,6 +210,11 @@ def merge_peers(blocks: DataFrame, max_tokens: int) -> DataFrame:
     return out.select("doc_id", "section", "headings", F.col("piece").cast("long").alias("piece"), "text", F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
 
 
+def with_headings(headings: Column, text: Column) -> Column:
+    """What is embedded: the heading path, a line each, before the text."""
+    return F.concat_ws("\n", F.when(F.size(headings) > 0, F.array_join(headings, "\n")), text)
+
+
 def table_budget(max_tokens: int, prefix_tokens: Column) -> Column:
     return F.greatest(F.lit(max_tokens) - prefix_tokens, F.lit(max_tokens // 2))
 
@@ -166,6 +225,38 @@ def rows_as_text(header: Column, cells: Column) -> Column:
     return F.array_join(F.filter(pairs, lambda p: p.isNotNull()), "; ")
 
 
+def markdown_row(cells: Column) -> Column:
+    """A Markdown table's line; bars and line feeds inside cells are kept apart from the table's own."""
+    clean = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", " "), F.lit("|"), F.lit("\\|")))
+    return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
+
+
+def table_chunks(tables: DataFrame, max_tokens: int, handling: str = "markdown") -> DataFrame:
+    """(doc_id, ord, headings, piece, text) of tables with ``header`` (array) and ``rows`` (array of arrays).
+
+    ``markdown`` gives tables with the header repeated in each piece, within the budget that the heading path leaves; ``rows`` a line
+    for each row, packed to the budget; ``skip`` none.
+    """
+    if handling not in TABLE_HANDLING:
+        raise ValueError(f"Tables can be handled as {', '.join(TABLE_HANDLING)}, not {handling}.")
+    if handling == "skip":
+        tables = tables.where("false")
+    room = table_budget(max_tokens, F.size(words_of(F.array_join("headings", " "))))
+    if handling == "rows":
+        pieces = pack_within(F.transform("rows", lambda r: F.concat(rows_as_text(F.col("header"), r), F.lit("\n"))), room)
+    else:
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("header")))
+        head = F.concat(markdown_row(F.col("header")), F.lit("\n"), rule)
+        pieces = F.transform(pack_within(F.transform("rows", lambda r: F.concat(markdown_row(r), F.lit("\n"))), room), lambda body: F.concat(head, F.lit("\n"), body))
+    made = tables.withColumn("_pieces", pieces).select("doc_id", "ord", "headings", F.posexplode_outer("_pieces").alias("piece", "text"))
+    return made.where("text IS NOT NULL").select("doc_id", "ord", "headings", F.col("piece").cast("long").alias("piece"), "text")
+
+
+def pack_within(pieces: Column, budget: Column) -> Column:
+    """``pack`` with a budget of the row's own."""
+    return pack_by(pieces, F.transform(pieces, lambda x: F.size(words_of(x))), budget)
+
+
 def split_table(header: Column, rows: Column, budget: int) -> Column:
     """Markdown tables of at most ``budget`` words, each with the header; a larger row is alone in its own."""
     return F.transform(pack(F.transform(rows, lambda r: F.concat(r, F.lit("\n"))), budget), lambda body: F.concat(header, F.lit("\n"), body))
@@ -187,5 +278,68 @@ def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
 
 
 def summary(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunks, tokens_min, tokens_mean, tokens_max), the mean at one decimal."""
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min("token_count").alias("tokens_min"), F.round(F.avg("token_count"), 1).alias("tokens_mean"), F.max("token_count").alias("tokens_max"))
+    """(doc_id, chunks, tokens_min, tokens_mean, tokens_max), the mean at one decimal, and ``by_modality`` where chunks have one."""
+    aggs = [F.count("*").alias("chunks"), F.min("token_count").alias("tokens_min"), F.round(F.avg("token_count"), 1).alias("tokens_mean"), F.max("token_count").alias("tokens_max")]
+    if "modality" in chunks.columns:
+        kinds = F.array_sort(F.collect_set("modality"))
+        count = F.map_from_arrays(F.array(*[F.lit(m) for m in MODALITIES]), F.array(*[F.count_if(F.col("modality") == m) for m in MODALITIES]))
+        aggs.append(F.map_filter(count, lambda m, n: F.array_contains(kinds, m)).alias("by_modality"))
+    return chunks.groupBy("doc_id").agg(*aggs)
+
+
+def assemble(segmented: DataFrame, split: Callable[[DataFrame], DataFrame], tables: DataFrame | None = None, pictures: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, modality, headings, text, embed_text, token_count): all chunks of each document in its order.
+
+    ``split`` turns sections (doc_id, section, headings, text) into (doc_id, section, piece, text). Pieces stand where their section begins, or at their own ``ord`` if they have one; tables
+    (doc_id, ord, headings, piece, text) and pictures (doc_id, ord, headings, text) where they were.
+    """
+    whole = sections(segmented)
+    first = segmented.where(~F.col("kind").isin("heading", "title", "table")).groupBy("doc_id", "section").agg(F.min("ord").alias("ord"))
+    pieces = split(whole)
+    place = whole.select("doc_id", "section", "headings")
+    pieces = pieces.select("doc_id", "section", "piece", "text", *["ord"] * ("ord" in pieces.columns)).join(place if "ord" in pieces.columns else place.join(first, ["doc_id", "section"]), ["doc_id", "section"])
+    columns = ["doc_id", "ord", "piece", "modality", "headings", "text"]
+    rows = pieces.withColumn("modality", F.lit("text")).select(columns)
+    if tables is not None:
+        rows = rows.unionByName(tables.withColumn("modality", F.lit("table")).select(columns))
+    if pictures is not None:
+        rows = rows.unionByName(pictures.withColumns({"modality": F.lit("picture"), "piece": F.lit(0).cast("long")}).select(columns))
+    kept = rows.where(~_blank(F.col("text")))
+    numbered = number_chunks(kept, "ord", "piece")
+    return numbered.select("doc_id", "chunk_index", "chunk_id", "modality", "headings", "text", with_headings(F.col("headings"), F.col("text")).alias("embed_text"), F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
+
+
+def chunk(segmented: DataFrame, strategy: str, max_tokens: int = 512, overlap: int = 0, percentile: float = 0.9, buffer: int = 1, embed: Callable[[DataFrame], DataFrame] | None = None, tables: DataFrame | None = None, pictures: DataFrame | None = None, handling: str = "markdown") -> tuple[DataFrame, list[str]]:
+    """(chunks as ``assemble`` gives them, warnings) by the strategy that settings name; an unknown one is a ValueError.
+
+    Overlap only means something to ``fixed``; elsewhere it is left out with a warning.
+    """
+    warnings = []
+    if overlap and strategy != "fixed":
+        warnings.append(f"The overlap of {overlap} is not used by the strategy {strategy}.")
+    if strategy in ("hybrid", "hierarchical") and handling == "rows":
+        warnings.append(f"The strategy {strategy} writes tables as Markdown.")
+        handling = "markdown"
+    made = None if tables is None else table_chunks(tables, max_tokens, handling)
+
+    def fixed_pieces(whole: DataFrame) -> DataFrame:
+        keyed = whole.withColumn("_key", F.struct("doc_id", "section"))
+        return fixed(keyed, max_tokens, overlap, "_key").select("_key.doc_id", "_key.section", "piece", "text")
+
+    def recursive_pieces(whole: DataFrame) -> DataFrame:
+        return recursive(whole, max_tokens).select("doc_id", "section", F.posexplode_outer("pieces").alias("piece", "text")).where("text IS NOT NULL").withColumn("piece", F.col("piece").cast("long"))
+
+    def semantic_pieces(whole: DataFrame) -> DataFrame:
+        if embed is None:
+            raise ValueError("The strategy semantic needs an embedding.")
+        return semantic(whole, embed, max_tokens, percentile, buffer)
+
+    splits = {"fixed": fixed_pieces, "recursive": recursive_pieces, "semantic": semantic_pieces, "hybrid": lambda _: merge_peers(segmented.where("kind <> 'table'"), max_tokens), "hierarchical": lambda _: hierarchical(segmented.where("kind <> 'table'")).join(segmented.select("doc_id", "ord", "section"), ["doc_id", "ord"]).withColumn("piece", F.col("ord").cast("long"))}
+    if strategy not in splits:
+        raise ValueError(f"The strategy {strategy} is not one of {', '.join(sorted(splits))}.")
+    return assemble(segmented, splits[strategy], made, pictures), warnings
+
+
+def without_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents that gave no chunk: none may be indexed silently empty."""
+    return documents.select("doc_id").distinct().join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -10,6 +10,7 @@ from heddle.operators import chunking as C
 from heddle.sources.tables import table
 
 MAX, OVERLAP = 64, 16
+COUNTED = "aeinorst"
 
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +61,14 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences packed up to a budget; tests hold it against a direct version."""
+    """Sentences packed up to a budget."""
     rows = C.recursive(table(spark, sf_dir, "documents").select("doc_id", "text"), MAX)
     each = rows.select("doc_id", F.posexplode_outer("pieces").alias("piece", "text")).where("text IS NOT NULL")  # an inner explode would first filter, and so pack twice
     return each.select("doc_id", "piece", content_id(F.col("text")).alias("text_id"), F.size(C.words_of(F.col("text"))).alias("token_count"))
 
 
 def chunk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring blocks of a section merged while they fit; tests hold it against a direct version."""
+    """Neighbouring blocks of a section merged while they fit."""
     rows = C.merge_peers(C.segment(_marked(spark, sf_dir)), MAX)
     return rows.select("doc_id", "section", "piece", content_id(F.col("text")).alias("text_id"), "token_count")
 
@@ -78,6 +79,48 @@ def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.round("threshold", 6).alias("threshold"), "piece")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """A vector that SQL can make too: how long a text is and how often it has some letters."""
+    n = lambda c: (F.length("context") - F.length(F.replace("context", F.lit(c), F.lit("")))).cast("double")
+    return rows.withColumn("embedding", F.array(F.length("context").cast("double"), *[n(c) for c in COUNTED]))
+
+
+def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document, cut where the letters of their neighbourhood change most (no piece is over this budget)."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("section"), "text")
+    rows = C.semantic(parts, _counted, 1 << 30)
+    return rows.select("doc_id", "piece", content_id(F.trim("text")).alias("text_id"), "token_count")
+
+
+def chunk_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk for each element, embedded under its headings."""
+    rows, _ = C.chunk(C.segment(_marked(spark, sf_dir)), "hierarchical")
+    return rows.select("doc_id", "chunk_index", "chunk_id", content_id(F.col("embed_text")).alias("embed_id"), "token_count")
+
+
+def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections cut by the strategy that settings name, with pictures where they stand, numbered in document order."""
+    blocks = _marked(spark, sf_dir)
+    pictures = C.picture_chunks(blocks.withColumn("page", (F.col("ord") / 10).cast("int")))
+    rows, _ = C.chunk(C.segment(blocks), "fixed", MAX, OVERLAP, pictures=pictures)
+    return rows.select("doc_id", "chunk_index", "modality", content_id(F.col("text")).alias("text_id"), F.array_join("headings", " > ").alias("path"), "token_count")
+
+
+def chunk_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each document by modality, of a document's blocks as they are."""
+    blocks = _marked(spark, sf_dir)
+    made = blocks.where("kind <> 'heading'").select("doc_id", F.col("kind").alias("modality"), F.size(C.words_of(F.col("text"))).cast("long").alias("token_count"))
+    rows = C.summary(made)
+    return rows.select("doc_id", "chunks", F.coalesce(F.try_element_at("by_modality", F.lit("picture")), F.lit(0)).alias("pictures"), F.coalesce(F.try_element_at("by_modality", F.lit("text")), F.lit(0)).alias("texts"))
+
+
+def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sentence of a document stands in it, sought from the one before it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("p", C.sentences(F.col("text")))
+    rows = docs.select("doc_id", F.posexplode_outer(C.locate_pieces(F.col("text"), F.col("p"))).alias("piece", "start"))
+    return rows.where("start IS NOT NULL")
+
+
 def picture_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _marked(spark, sf_dir).withColumn("page", (F.col("ord") / 10).cast("int")).withColumn("text", F.when((F.col("kind") == "picture") & (F.col("ord") % 2 == 0), F.lit(None)).otherwise(F.col("text")))
     return C.picture_chunks(blocks).select("doc_id", "ord", "text", F.array_join("headings", " > ").alias("path"))
@@ -98,7 +141,7 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_blocks, chunk_fixed, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, semantic_breakpoints, picture_headings, table_rows, table_pieces,
+    text_blocks, chunk_fixed, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, semantic_breakpoints, chunk_semantic, chunk_hierarchical, chunk_dispatch, chunk_modalities, chunk_offsets, picture_headings, table_rows, table_pieces,
 )}
 
 _LINES = "SELECT doc_id, ord::INT AS ord, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) WHERE trim(text) <> ''"
@@ -115,6 +158,28 @@ _SEG = f"""{_MARKED}, b AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELS
 _SECTIONS = f"""{_SEG}, par AS (SELECT doc_id, section, ord, text, sum(length(text) + 2) OVER (PARTITION BY doc_id, section ORDER BY ord) - length(text) - 2 AS start FROM seg WHERE kind = 'text'),
  sec AS (SELECT doc_id, section, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS text, list(start ORDER BY ord) AS starts FROM par GROUP BY doc_id, section)"""
 
+#: Sentences of each document: split after a boundary, blank pieces with their neighbour.
+_SENTENCES = r"""raw AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?]\s+|\n{2,})', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents),
+ each AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM raw),
+ grp AS (SELECT doc_id, i, s, greatest(1, sum(CASE WHEN regexp_replace(s, '\s+', '', 'g') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)) AS g FROM each),
+ sent AS (SELECT doc_id, g AS ord, string_agg(s, '' ORDER BY i) AS s FROM grp GROUP BY doc_id, g)"""
+
+
+def _packed(keys: str, source: str, budget: int) -> str:
+    """A walk over (keys, i, t, n) that packs neighbours up to a budget, and the packed texts with their number from 0."""
+    same = " AND ".join(f"b.{k.strip()} = w.{k.strip()}" for k in keys.split(","))
+    cols = ", ".join(f"b.{k.strip()}" for k in keys.split(","))
+    fits = f"(w.acc + b.n <= {budget} OR w.acc = 0)"
+    return f"""items AS ({source}), walk AS (SELECT {keys}, i, n AS acc, 0 AS piece FROM items WHERE i = 1
+   UNION ALL SELECT {cols}, b.i, CASE WHEN {fits} THEN w.acc + b.n ELSE b.n END, w.piece + CASE WHEN {fits} THEN 0 ELSE 1 END FROM walk w JOIN items b ON {same} AND b.i = w.i + 1),
+ joined AS (SELECT {keys}, piece AS raw_piece, trim(string_agg(t, '' ORDER BY i)) AS text FROM walk JOIN items USING ({keys}, i) GROUP BY {keys}, piece),
+ packed AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY raw_piece) - 1 AS piece, text FROM joined WHERE regexp_replace(text, '\\s+', '', 'g') <> '')"""
+
+
+_RECURSIVE = f"""sized AS (SELECT doc_id, ord, s, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w FROM sent),
+ parts AS (SELECT doc_id, ord, 0 AS k, s AS t, len(w) AS n FROM sized WHERE len(w) <= {MAX}
+   UNION ALL SELECT doc_id, ord, k, array_to_string(w[k * {MAX} + 1 : k * {MAX} + {MAX}], ' ') || ' ', least({MAX}, len(w) - k * {MAX}) FROM sized, LATERAL (SELECT unnest(range((len(w) - 1) // {MAX} + 1)) AS k) WHERE len(w) > {MAX})"""
+
 ORACLES = {
     "text_blocks": f"SELECT doc_id, ord, length(text)::INT AS chars FROM ({_LINES})",
     "chunk_fixed": f"SELECT doc_id, piece, substr(sha256(array_to_string(own, ' ')), 1, 16) AS text_id, len(own)::BIGINT AS token_count FROM ({_FIXED})",
@@ -128,5 +193,28 @@ ORACLES = {
       SELECT label, vec_id, round(distance, 6) AS distance, round(threshold, 6) AS threshold, sum(CASE WHEN distance > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS piece FROM d JOIN t USING (label)""",
     "picture_headings": f"""WITH {_SEG}, pic AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN 'Figure on page ' || (ord // 10) ELSE trim(text) END AS text FROM marked WHERE kind = 'picture')
       SELECT p.doc_id, p.ord, p.text, coalesce((SELECT arg_max(s.path, s.ord) FROM seg s WHERE s.doc_id = p.doc_id AND s.ord < p.ord AND s.kind = 'text'), '') AS path FROM pic p""",
+    "chunk_recursive": f"WITH RECURSIVE {_SENTENCES}, {_RECURSIVE}, " + _packed("doc_id", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS i, t, n FROM parts", MAX) + f" SELECT doc_id, piece::INT AS piece, substr(sha256(text), 1, 16) AS text_id, len({_WORDS})::INT AS token_count FROM packed",
+    "chunk_hybrid": f"WITH RECURSIVE {_SEG}, " + _packed("doc_id, section", f"SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY ord) AS i, text || chr(10) AS t, len({_WORDS}) AS n FROM seg WHERE kind = 'text'", MAX) + f" SELECT doc_id, section, piece, substr(sha256(text), 1, 16) AS text_id, len({_WORDS})::BIGINT AS token_count FROM packed",
+    "chunk_semantic": f"""WITH {_SENTENCES}, ctx AS (SELECT doc_id, ord, s, string_agg(s, '') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM sent),
+      v AS (SELECT doc_id, ord, s, [length(c)::DOUBLE, {', '.join(f"(length(c) - length(replace(c, '{x}', '')))::DOUBLE" for x in COUNTED)}] AS e FROM ctx),
+      d AS (SELECT doc_id, ord, s, 1 - list_cosine_similarity(e, lag(e) OVER (PARTITION BY doc_id ORDER BY ord)) AS distance FROM v),
+      t AS (SELECT doc_id, quantile_cont(distance, 0.9) AS threshold FROM d GROUP BY doc_id),
+      p AS (SELECT doc_id, ord, s, sum(CASE WHEN distance > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS piece FROM d JOIN t USING (doc_id)),
+      j AS (SELECT doc_id, piece, trim(string_agg(s, '' ORDER BY ord)) AS text FROM p GROUP BY doc_id, piece)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS piece, substr(sha256(text), 1, 16) AS text_id, len({_WORDS})::BIGINT AS token_count FROM j WHERE regexp_replace(text, '\\s+', '', 'g') <> ''""",
+    "chunk_hierarchical": f"""WITH {_SEG}, n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS k, text, path FROM seg WHERE kind = 'text')
+      SELECT doc_id, k AS chunk_index, doc_id || ':' || lpad(k::VARCHAR, 5, '0') AS chunk_id, substr(sha256(CASE WHEN path = '' THEN text ELSE replace(path, ' > ', chr(10)) || chr(10) || text END), 1, 16) AS embed_id, len({_WORDS})::BIGINT AS token_count FROM n""",
+    "chunk_dispatch": f"""WITH {_SECTIONS}, heads AS (SELECT doc_id, section, any_value(path) AS path, min(ord) AS ord FROM seg WHERE kind = 'text' GROUP BY doc_id, section),
+      w AS (SELECT doc_id, section, {_WORDS} AS w FROM sec), f AS (SELECT doc_id, section, p, w[p * {MAX - OVERLAP} + 1 : p * {MAX - OVERLAP} + {MAX}] AS own FROM w, LATERAL (SELECT unnest(range(greatest(0, len(w) - {OVERLAP} - 1) // {MAX - OVERLAP} + 1)) AS p) WHERE len(w) > 0),
+      pic AS (SELECT doc_id, ord, trim(text) AS text FROM marked WHERE kind = 'picture'),
+      u AS (SELECT doc_id, ord, p, 'text' AS modality, array_to_string(own, ' ') AS text, path FROM f JOIN heads USING (doc_id, section)
+        UNION ALL SELECT p.doc_id, p.ord, 0, 'picture', p.text, coalesce((SELECT arg_max(s.path, s.ord) FROM seg s WHERE s.doc_id = p.doc_id AND s.ord < p.ord AND s.kind = 'text'), '') FROM pic p)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, p) - 1 AS chunk_index, modality, substr(sha256(text), 1, 16) AS text_id, path, len({_WORDS})::BIGINT AS token_count FROM u""",
+    "chunk_modalities": f"WITH {_MARKED} SELECT doc_id, count(*) AS chunks, count(*) FILTER (kind = 'picture') AS pictures, count(*) FILTER (kind = 'text') AS texts FROM marked WHERE kind <> 'heading' GROUP BY doc_id",
+    "chunk_offsets": f"""WITH RECURSIVE {_SENTENCES}, walk AS (SELECT doc_id, ord, greatest(strpos(d.text, s) - 1, 0) AS start FROM sent JOIN documents d USING (doc_id) WHERE ord = 1
+      UNION ALL SELECT b.doc_id, b.ord, CASE WHEN strpos(substr(d.text, w.start + 2), b.s) > 0 THEN w.start + strpos(substr(d.text, w.start + 2), b.s) ELSE w.start END FROM walk w JOIN sent b ON b.doc_id = w.doc_id AND b.ord = w.ord + 1 JOIN documents d ON d.doc_id = w.doc_id)
+      SELECT doc_id, (ord - 1)::INT AS piece, start::INT AS start FROM walk""",
+    "table_pieces": f"""WITH RECURSIVE {_packed("n_regionkey", "SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, t || chr(10) AS t, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n FROM (SELECT *, '| ' || n_nationkey || ' | ' || n_name || ' |' AS t FROM nation)", 12)}
+      SELECT n_regionkey, piece::INT AS piece, '| key | name |' || chr(10) || text AS text FROM packed""",
     "table_rows": "SELECT s_suppkey, concat_ws('; ', 'key: ' || s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'name: ' || s_name END, 'nation: ' || s_nationkey) AS line FROM supplier",
 }
