@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,41 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.session import Stored, drop_stored, shared_dir
 from heddle.sources.tables import table
 
 
-__all__ = ["Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "spare", "table"]
+__all__ = ["Stored", "drop_stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "spare", "table"]
 
 SLICE_BYTES = 1 << 18
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Stored:
-    """A table written to the shared folder: ``df`` reads it, ``drop()`` removes it.
-
-    Reading it again never repeats the work that made it, also after a lost executor.
-    """
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def spare(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so (names are compared without case)."""
     taken = {c.lower() for c in df.columns}
@@ -65,7 +37,7 @@ def range_bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
 
     Only that column is read; the driver gets the cut points alone.
     """
-    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
+    cuts = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], max(1000, 2 * ranges))).first()[0] if ranges > 1 else None
     return sorted(set(cuts or []))
 
 
@@ -75,10 +47,11 @@ def range_of(column: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     g = max(1, round(len(bounds) ** 0.5))
     chunks = [bounds[i : i + g] for i in range(0, len(bounds), g)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one literal, folded by the planner
+    nested = F.transform(F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";"), lambda c: F.split(c, ",").cast("array<bigint>"))
     at_or_below = lambda xs: F.size(F.filter(xs, lambda c: c <= column))
     head = at_or_below(longs([c[0] for c in chunks]))
-    inside = at_or_below(F.get(F.array(*[longs(c) for c in chunks]), head - F.lit(1)))
+    inside = at_or_below(F.get(nested, head - F.lit(1)))
     return F.when(head > 0, (head - F.lit(1)) * F.lit(g) + inside).otherwise(F.lit(0))
 
 

@@ -16,7 +16,7 @@ from heddle.llm.shingles import WORDS, with_shingles
 K = 128
 SPACE = float(1 << 32)
 RANGES_PER_PARTITION = 8
-MOST_RANGES = 20_000
+MOST_RANGES = 100_000  # a range of 100 TB then has a gigabyte
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
@@ -77,20 +77,23 @@ def sketch_all(df: DataFrame, key: str | Column, sketch: str = "sketch", k: int
 def _beside_next(docs: DataFrame, key: str) -> tuple[DataFrame, Window]:
     """Adds ``_range``, ``_extra`` and the rows that follow each range's last; and the window in which lead() is the next row.
 
-    Rows are dealt by ranges of the key. Each range also gets the first row of the range after it (the last gets the
-    first's), marked ``_extra``: one row a range, so every next row is found within a range.
+    Rows are dealt by ranges of the key; rows without a key, which come first, by ranges of ``_tie``, below 0. Each range also gets the first row of
+    the range after it (the last gets the first's), marked ``_extra``: one row a range, so every next row is found within a range.
     """
     spark = docs.sparkSession
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     keyed = docs.withColumn("_order", order)
-    bounds = range_bounds(keyed.select("_order"), "_order", min(MOST_RANGES, RANGES_PER_PARTITION * parallelism(spark)))
-    keyed = keyed.withColumn("_range", range_of(F.col("_order"), bounds))
-    firsts = keyed.groupBy("_range").agg(F.min("_order").alias("first")).orderBy("_range").collect()  # one row a range
-    ends = [(r["first"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
+    ranges = min(MOST_RANGES, RANGES_PER_PARTITION * parallelism(spark))
+    bounds = range_bounds(keyed.where(F.col(key).isNotNull()).select("_order"), "_order", ranges)
+    by_tie = F.least(F.lit(-1), F.floor((F.col("_tie").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(ranges)).cast("int") - F.lit(ranges))
+    keyed = keyed.withColumn("_range", F.when(F.col(key).isNull(), by_tie).otherwise(range_of(F.col("_order"), bounds)).cast("int"))
+    firsts = keyed.groupBy("_range").agg(F.min(F.struct("_order", "_tie")).alias("first")).orderBy("_range").collect()  # one row a range
+    ends = [(*r["first"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
     extra = keyed.withColumn("_extra", F.lit(False))
     if ends:
-        to = spark.createDataFrame(ends, "_order long, _range int")
-        extra = extra.unionByName(keyed.drop("_range").join(F.broadcast(to), "_order").withColumn("_extra", F.lit(True)).select(extra.columns))
+        to = spark.createDataFrame(ends, "_order long, _tie long, _range int")
+        first = keyed.drop("_range").join(F.broadcast(to), ["_order", "_tie"]).dropDuplicates(["_range"])
+        extra = extra.unionByName(first.withColumn("_extra", F.lit(True)).select(extra.columns))
     return extra, Window.partitionBy("_range").orderBy("_extra", "_order", "_tie")
 
 

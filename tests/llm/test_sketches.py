@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import re
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from heddle.llm import sketches
@@ -53,6 +56,36 @@ def test_fingerprints(spark):
     assert sketches.fingerprints(docs.where("doc_id < 0")).count() == 0
 
 
+def chain(words):
+    """XXH64 over the words' hashes, one seeding the next, as the SQL function folds its arguments."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), 42)), h)
+    return h
+
+
+def direct_sketch(text, k=128):
+    w = re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower())
+    w = [x for x in w if x]
+    runs = [w[i : i + 5] for i in range(len(w) - 4)] or ([w] if w else [])
+    return "".join(f"{h:08x}" for h in sorted({chain(r) >> 32 for r in runs})[:k])
+
+
+def test_fingerprints_are_the_least_hashes(spark):
+    """Strings of own and edited fingerprints against a direct bottom-k, null ids over many ranges among them."""
+    rows = corpus() + [(None, f"null id {i} " + "x y z " * (i % 9)) for i in range(80)] + [(None, None)] * 3 + [(5000, "same")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {t: h for t, h in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    ordered = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1] or ""]))
+    want = []
+    for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i or -1, hashlib.sha256(edited.encode()).hexdigest(), direct_sketch(t), direct_sketch(edited)))
+    got = [(r.doc_id or -1, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in sketches.fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_merge_is_the_sketch_of_the_union(spark):
     df = spark.range(1).select(F.expr("transform(sequence(0, 999), x -> shiftrightunsigned(xxhash64(x), 32))").alias("h"))
     row = df.select(
