@@ -24,6 +24,7 @@ from heddle.llm.common import parallelism, range_bounds, range_of
 SHARDS = 24
 RACK = 4
 REGION = 12
+PART = 4096
 RANGES_PER_PARTITION = 2
 
 
@@ -93,16 +94,23 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
         .groupBy("doc_id", "size", "text_crc32")
         .agg(F.count("*").alias("copies"))
     )
-    bounds = range_bounds(docs.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", RANGES_PER_PARTITION * parallelism(spark))
-    dealt = rows.withColumns({"shard": shard_of(key, now), "range": range_of(F.col("doc_id"), bounds)})
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    sizes = ids.groupBy(shard_of(key, now).alias("shard"), range_of(F.col("doc_id"), bounds).alias("range")).agg(F.count("*").alias("n"))
+    bounds = range_bounds(ids, "doc_id", RANGES_PER_PARTITION * parallelism(spark))
+    place = range_of(F.col("doc_id"), bounds).cast("int")
+    if ids.where("doc_id IS NULL").limit(1).count():  # rows without an id all fall to one shard: ranges of their sizes, before the others
+        place = F.when(F.col("doc_id").isNull(), F.floor(F.log2(F.col("size")) * F.lit(8)).cast("int") - F.lit(300)).otherwise(place)
+        ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"))
+    dealt = rows.withColumns({"shard": shard_of(key, now), "range": place})
+    sizes = ids.groupBy(shard_of(key, now).alias("shard"), place.alias("range")).agg(F.count("*").alias("n"))
     before = sizes.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("before"))
     order = Window.partitionBy("shard", "range").orderBy("doc_id", "size", "text_crc32")
     numbered = dealt.withColumn("first", F.sum("copies").over(order) - F.col("copies"))
     placed = numbered.join(F.broadcast(before), ["shard", "range"])  # at most shards x ranges rows, whatever the table
-    first = F.col("before") + F.col("first")
-    return placed.select(
+    # equal rows in parts, so that no array holds them all
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - F.lit(1), F.lit(PART).cast("long")))
+    parts = placed.withColumn("start", start).withColumn("from", F.col("before") + F.col("first") + F.col("start"))
+    last = F.col("from") + F.least(F.lit(PART).cast("long"), F.col("copies") - F.col("start")) - F.lit(1)
+    return parts.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),
-        F.explode(F.sequence(first, first + F.col("copies") - F.lit(1))).alias("slot"), shard_of(key, grown).cast("int").alias("grown_shard"),
+        F.explode(F.sequence("from", last)).alias("slot"), shard_of(key, grown).cast("int").alias("grown_shard"),
     )

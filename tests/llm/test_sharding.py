@@ -22,7 +22,7 @@ def direct(key, node):
 
 def test_assign_equals_direct(spark):
     texts = ["", None, "é", "abc" * 50]
-    rows = [(i, texts[i % 4], "x") for i in range(3000)] + [(7, "abc", "x")] * 40 + [(None, None, "x"), (None, "n", "x")]
+    rows = [(i, texts[i % 4], "x") for i in range(3000)] + [(7, "abc", "x")] * 40 + [(None, None, "x"), (None, "n", "x")] + [(None, "y" * (i % 400), "x") for i in range(500)] + [(8, "abc", "x")] * 9000
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
     got = sharding.assign(docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
