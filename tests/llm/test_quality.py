@@ -45,6 +45,47 @@ def test_dual_descent_reaches_the_optimum(monkeypatch):
         assert primal(w + rng.normal(0, 0.003, len(w)) * (w != 0), bias + rng.normal(0, 0.003)) >= base - 0.01 * base
 
 
+def direct_grams(text):
+    raw = (text or "").encode()
+    grams = {(0, raw[i : i + n]) for n in quality.GRAMS for i in range(len(raw) - n + 1)}
+    words = raw.split()
+    signs = [tuple(i >= b and words[i] == words[i - b] for b in (1, 2, 3)) for i in range(len(words))]
+    return grams | {(1, tuple(signs[i : i + n])) for n in quality.GRAMS for i in range(len(signs) - n + 1)}
+
+
+def test_scores_equal_a_direct_model():
+    """Scores against log-count ratios of n-gram sets and a hinge-loss model by plain subgradient steps, without hashing."""
+    train, test = rows(160), [t for t, _ in rows(60, 9)] + ["", None]
+    texts, good = [t for t, _ in train], np.array([y for _, y in train], bool)
+    model = quality.fit(texts, [y for _, y in train])
+    sets = [direct_grams(t) for t in texts]
+    names = sorted(set().union(*sets), key=repr)
+    at = {g: i for i, g in enumerate(names)}
+    x = np.zeros((len(texts), len(names)))
+    for i, s in enumerate(sets):
+        x[i, [at[g] for g in s]] = 1
+    p, q = x[good].sum(0) + quality.ALPHA, x[~good].sum(0) + quality.ALPHA
+    ratio = np.log(p / (good.sum() + 2 * quality.ALPHA)) - np.log(q / ((~good).sum() + 2 * quality.ALPHA))
+
+    def scaled(own):
+        v = own * ratio
+        return v / np.maximum(np.sqrt(np.sqrt((v * v).sum(-1, keepdims=True))), 1e-12)
+
+    v, y = np.concatenate([scaled(x), np.ones((len(x), 1))], 1), np.where(good, 1.0, -1.0)
+    cost = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) * len(y)
+    kernel, dual = v @ v.T, np.zeros(len(y))  # the dual problem by cyclic coordinate steps on the whole kernel
+    for _ in range(400):
+        for i in range(len(y)):
+            dual[i] = np.clip(dual[i] - (y[i] * (kernel[i] @ (dual * y)) - 1) / kernel[i, i], 0, cost[i])
+    w = v.T @ (dual * y)
+    for text in test:
+        own = np.zeros(len(names))
+        own[[at[g] for g in direct_grams(text) if g in at]] = 1
+        margin = np.append(scaled(own), 1) @ w
+        want = 1 / (1 + np.exp(-(model.slope * margin + model.offset)))
+        assert abs(quality.score(text, model) - want) < 0.05, text
+
+
 def test_spark(spark):
     data = [(i, t, "x", y) for i, (t, y) in enumerate(rows(300))]
     docs = spark.createDataFrame([r[:3] for r in data] + [(None, "balo", "x"), (999, None, "x"), (1, "lomi", "x")], "doc_id long, text string, label string")
