@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heddle.llm.common import Stored
+from heddle.llm.common import Stored, spare
 from heddle.llm.components import connected_components
 from heddle.session import ship
 
@@ -59,18 +59,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the SimHash as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp), and ``mark`` if one is given: one row per row of ``docs``; fp is the SimHash as a signed long."""
 
     ship(docs.sparkSession)
 
     def batches(parts):
         for part in parts:
             got = np.fromiter((fingerprint(t.as_py()) for t in part.column(1)), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64)), part.column(2)], names=["doc_id", "fp", "mark"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(batches, "doc_id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
+    found = kept.mapInArrow(batches, "doc_id long, fp long, mark long")
+    return found.drop("mark") if mark is None else found
 
 
 def _masks(segments: int) -> list[int]:
@@ -176,8 +177,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     return found.distinct() if paths else found.drop("path").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the least doc_id reachable over links, itself included.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the least doc_id reachable over links, itself included; and ``mark`` if one is given.
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id stay
     separate rows, each in the group of its fingerprint; fingerprints whose least id is the same are one
@@ -185,25 +186,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group of its fingerprint; its component_id is null if no row of this fingerprint has an id. No
     rows give no rows. Other columns are not read, whatever their names.
     """
-    fps = Stored(fingerprints(docs, id_col, text_col)).df
+    fps = Stored(fingerprints(docs, id_col, text_col, mark)).df
     nodes = Stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))).df
     found = connected_components(links(nodes.where(F.col("rep").isNotNull()), max_bits, segments, bucket))
     labels = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(labels, "fp").select("doc_id", "fp", "component_id", *([] if mark is None else ["mark"]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that another document of their near-duplicate group stands for.
 
-    The document with the group's least id stays; of rows that repeat this id, the one whose hash
-    over all columns is least. Rows with a null id can't be named and all stay.
+    Of each group the row with the least id stays, of rows that repeat this id the one whose hash over all columns is least; so
+    every group keeps exactly one row, also where an id has several texts. Rows with a null id can't be named and all stay.
     """
-    groups = Stored(near_duplicates(docs, id_col, text_col, **options)).df
-    own = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    gone, repeated = own.agg(F.count_if(~F.col("stays")), F.count_if(F.col("n") > 1)).first()
-    stood_for = own.where(~F.col("stays")).select(F.col("doc_id").alias(id_col))
-    out = docs.join(F.broadcast(stood_for) if gone <= BROADCAST_ROWS else stood_for, id_col, "left_anti")
-    if repeated:
-        order = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-        out = out.withColumn("_heddle_nth", F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.row_number().over(order))).where("_heddle_nth = 1").drop("_heddle_nth")
-    return out.select(docs.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = Stored(near_duplicates(docs, id_col, text_col, mark=row, **options).where("doc_id IS NOT NULL")).df
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    each = groups.groupBy("component_id", "doc_id", "mark").agg(F.count("*").alias("n"))
+    judged = each.join(first, "component_id").withColumn("stays", F.struct("doc_id", "mark") == F.col("first"))
+    gone, repeated = judged.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    name, key = spare(docs, "heddle_row"), spare(docs, "heddle_key")
+    marked = docs.withColumn(name, row).withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    stood_for = judged.where(~F.col("stays")).select(F.col("doc_id").alias(key), F.col("mark").alias(name))
+    out = marked.join(F.broadcast(stood_for) if gone <= BROADCAST_ROWS else stood_for, [key, name], "left_anti")
+    if repeated:  # equal rows: the first of each that has an id
+        twice = judged.where(F.col("stays") & (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.col("mark").alias(name))
+        same = F.broadcast(twice) if repeated <= BROADCAST_ROWS else twice
+        out = out.join(same, [key, name], "left_anti").unionByName(out.join(same, [key, name], "left_semi").select(out.columns).dropDuplicates([key, name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

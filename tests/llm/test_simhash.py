@@ -120,3 +120,20 @@ def test_keep_one_odd_rows(spark):
     got = simhash.keep_one(docs).collect()
     assert sorted((r.doc_id or -1) for r in got) == [-1, -1, 1, 3]
     assert simhash.keep_one(docs.where("doc_id > 9")).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    """Also where an id has several texts: the row that goes is not always the id's first."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(12)]
+    rows = [(rng.randrange(9), rng.choice(texts), rng.randrange(2)) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, heddle_row int")
+    got = simhash.keep_one(docs).collect()
+    fps = {t: brute_fingerprint(t) for _, t, _ in rows}
+    assert len({f for f in fps.values()}) == len(fps)  # random texts: no links but repeated texts, or ids that join them
+    edges = {}
+    for i, t, _ in rows:
+        edges.setdefault(t, set()).add(i)
+    part = {t: min(ids) for t, ids in edges.items()}
+    assert sorted(got and {part[r.text] for r in got}) == sorted(set(part.values())) and len(got) == len(set(part.values()))
+    assert all(r.doc_id == part[r.text] for r in got) and {tuple(r) for r in got} <= set(rows)
