@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontam, langid, pii, sentencepiece, simhash
-from heddle.llm.common import Stored, table
+from heddle.llm.common import Stored, drop_stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +42,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their digest and the digest of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): each text's token ids, their digest and the digest of what they decode to.
+
+    The last stage: the documents' other columns end here.
+    """
     import public_tokenizers
 
     return sentencepiece.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("ids",))
@@ -61,8 +64,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    What a stage wrote on its way, and the result before it, are removed once its own result is there.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir)).df
+        mark = len(Stored.made)
+        now = Stored(stage(spark, docs, sf_dir))
+        drop_stored(mark, but=(now,))
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
