@@ -16,6 +16,7 @@ BLOCKS = "doc_id string, ord int, kind string, level int, text string, page int"
 SCANNED_CHARS = 50
 PICTURE_SIDE = 50.0
 SAME_START = 24
+FENCE = "```"
 HAN = re.compile("[⺀-鿿]")
 
 
@@ -69,26 +70,35 @@ def keeps_picture(bbox: Column, least: float = PICTURE_SIDE) -> Column:
     return F.least(side(0, 2), side(1, 3)) >= least
 
 
+def _ends(line: str, first: str, seen: dict[str, int], whole: bool, lenient: bool) -> int | None:
+    """How many lines stay if the reading ends at this line; None if it goes on."""
+    here = len(seen)
+    restarts = here > 0 and (line.startswith(first[:SAME_START]) if len(first) >= SAME_START else whole and line == first)
+    drifts = here > 0 and bool(HAN.search(line)) and not HAN.search(first)
+    ornament = here > 0 and whole and not any(c.isalnum() for c in line)
+    if line.startswith(FENCE) or restarts or drifts or ornament and not lenient:
+        return here
+    return seen.get(line) if whole and not lenient else None
+
+
 def first_reading(text: str, complete: bool = True, lenient: bool = False) -> tuple[list[str], bool]:
-    """A reading's lines up to where a model starts to repeat itself or drifts, and whether such an end was seen.
+    """The lines of a model's reading before it repeats itself or wanders off, and whether it did.
 
-    Ends: a code fence; a line that begins as the first does, or equals it; Han characters after a first line without; and, unless
-    ``lenient``, a line of no letter or digit, or one seen before (cut where it first was). An incomplete last line only counts where
-    its beginning settles it.
+    It ends at a code fence, where its first line comes again (by its beginning, if that is long enough to tell), where Han characters
+    turn up that the first line has none of, at a line without letters or digits, and where a line comes again: then at the first of the two. ``lenient``
+    lets the last two pass. The last line of an incomplete text may still grow, so it only ends a reading by how it begins, and isn't kept.
     """
-    raw = [(line.strip(), complete or i < text.count("\n")) for i, line in enumerate(text.split("\n"))]
-    seen: dict[str, int] = {}
+    lines = [line.strip() for line in text.split("\n")]
+    growing = None if complete else len(lines) - 1
     kept: list[str] = []
-    for line, whole in ((x, w) for x, w in raw if x):
-        start = kept[0] if kept else ""
-        again = len(start) >= SAME_START and line[:SAME_START] == start[:SAME_START] or whole and kept and line == start
-        drifts = bool(kept) and HAN.search(line) is not None and HAN.search(start) is None
-        rule = whole and not lenient and bool(kept) and not any(map(str.isalnum, line))
-        if line.startswith("```") or again or drifts or rule:
-            return kept, True
-        if whole and not lenient and line in seen:
-            return kept[: seen[line]], True
-        if whole:
-            seen.setdefault(line, len(kept))
+    seen: dict[str, int] = {}  # where each line stands first; a repeated one, if lenient, under its place
+    for i, line in enumerate(lines):
+        if not line:
+            continue
+        end = _ends(line, kept[0] if kept else "", seen, i != growing, lenient)
+        if end is not None:
+            return kept[:end], True
+        if i != growing:
+            seen.setdefault(line if line not in seen else f"{line}\n{len(kept)}", len(kept))
             kept.append(line)
     return kept, False
