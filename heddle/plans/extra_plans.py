@@ -53,14 +53,8 @@ def example_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.retrieve(indexed, asked, "shop", embedder.label, 3, 0.1).withColumn("score", F.round("score", 4))
 
 
-def description_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns imported again keep what was written about them."""
-    old = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_name", F.concat(F.lit("about "), "n_name").alias("written"))
-    return table(spark, sf_dir, "nation").join(old, "n_name", "left").select("n_nationkey", F.coalesce("written", "n_name").alias("description"))
-
-
-def variant_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose stored settings have a flag set: events' properties read as variants."""
+def variant_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the shape of their properties, read as variants."""
     v = F.try_parse_json("props")
     rows = table(spark, sf_dir, "events").select("event_id", F.schema_of_variant(v).alias("shape"))
     return rows.groupBy("shape").agg(F.count("*").alias("n"))
@@ -75,7 +69,7 @@ def sparse_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    compat_dates, compat_strings, compat_numbers, compat_series, parse_summary, example_save, example_search, description_carry_over, variant_targets, sparse_vector,
+    compat_dates, compat_strings, compat_numbers, compat_series, parse_summary, example_save, example_search, variant_shapes, sparse_vector,
 )}
 
 ORACLES = {
@@ -85,5 +79,15 @@ ORACLES = {
     "compat_strings": """SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_type || '-x1 y', '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title,
       regexp_replace(p_type, '[AEIOU]', '*') AS first, regexp_extract(p_name, '(\\w)\\w*$', 1) AS letter FROM part""",
     "example_save": "SELECT (conv_id % 3)::VARCHAR AS schema_name, text AS standalone, role AS sql, min(conv_id * 1000 + turn) AS turn_id FROM conversations GROUP BY ALL",
-    "description_carry_over": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'about ' || n_name ELSE n_name END AS description FROM nation",
+    "parse_summary": r"""WITH pg AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS page, generate_subscripts(string_split(text, chr(12)), 1) AS n FROM documents),
+      part AS (SELECT doc_id, n, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS p FROM (SELECT doc_id, n, unnest(regexp_split_to_array(page, '\n\s*\n')) AS p FROM pg)),
+      b AS (SELECT doc_id, n, CASE WHEN regexp_matches(p, '^#{1,6}\s+') THEN 'heading' WHEN starts_with(p, '|') THEN 'table' ELSE 'text' END AS kind, CASE WHEN regexp_matches(p, '^#{1,6}\s+') THEN trim(regexp_extract(p, '^#{1,6}\s+(.*)', 1)) ELSE p END AS t FROM part WHERE p <> ''),
+      m AS (SELECT doc_id::VARCHAR AS doc_id, count(DISTINCT n) AS pages, count(*) FILTER (kind = 'table') AS tables, coalesce(sum(CASE WHEN kind = 'table' THEN list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_full_match(x, '[|\s:-]+')), lambda x: len(string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|')))) END), 0)::BIGINT AS table_cells,
+        count(*) FILTER (kind <> 'table') AS text_items, coalesce(sum(length(t)) FILTER (kind <> 'table'), 0)::BIGINT AS text_chars FROM b GROUP BY doc_id)
+      SELECT *, round(text_chars / pages, 1) AS chars_per_page, round(text_chars / pages, 1) < 50 AS scanned FROM m""",
+    "sparse_vector": r"""WITH tok AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM benchmark), a AS (SELECT avg(len(t)) AS m FROM tok),
+      tf AS (SELECT item_id, any_value(len(t)) AS n, term, count(*) AS tf FROM (SELECT item_id, t, unnest(t) AS term FROM tok) GROUP BY item_id, term),
+      c AS (SELECT term, xor(4294967295, list_reduce(list_transform(range(strlen(term)), lambda i: ('0x' || substr(hex(term), 2 * i + 1, 2))::BIGINT), lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT)) AS place FROM (SELECT DISTINCT term FROM tf))
+      SELECT item_id, place, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / m))), 6) AS weight FROM tf JOIN c USING (term), a GROUP BY item_id, place""",
+    "variant_shapes": """SELECT CASE json_structure(props)::VARCHAR WHEN '{"k":"UBIGINT"}' THEN 'OBJECT<k: BIGINT>' ELSE json_structure(props)::VARCHAR END AS shape, count(*) AS n FROM events GROUP BY 1""",
 }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
@@ -39,17 +40,38 @@ def plain_parser(content: bytes) -> list[tuple[str, int | None, str, int]]:
 
 
 def timeout_s(pages: int) -> float:
+    """The time that a file of so many pages may take."""
     return max(600.0, 20.0 * pages)
 
 
-def parse(files: DataFrame, parser: Parser = plain_parser) -> DataFrame:
-    """Blocks of (doc_id, content) files; a file that fails fails the job, so a document is whole or absent."""
+class ParseTimeout(RuntimeError):
+    """A file took longer than its pages allow."""
+
+
+def in_time(parser: Parser, content: bytes, limit: float) -> list[tuple[str, int | None, str, int]]:
+    """What the parser makes of a file; ParseTimeout once the limit has passed (the parser's thread is left behind)."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(parser, content).result(limit)
+    except TimeoutError:
+        raise ParseTimeout(f"The file was not read in {limit:g} s.") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def page_count(content: bytes) -> int:
+    """Pages of a file, by its form feeds or a PDF's page objects."""
+    return max(content.count(b"\f") + 1, len(re.findall(rb"/Type\s*/Page\b", content)))
+
+
+def parse(files: DataFrame, parser: Parser = plain_parser, limit: Callable[[int], float] = timeout_s) -> DataFrame:
+    """Blocks of (doc_id, content) files; a file that fails, or takes longer than its pages allow, fails the job, so a document is whole or absent."""
 
     ship(files.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [(doc, i, kind, level, text, page) for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (kind, level, text, page) in enumerate(parser(content))]
+            rows = [(doc, i, kind, level, text, page) for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (kind, level, text, page) in enumerate(in_time(parser, content, limit(page_count(content))))]
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "ord", "kind", "level", "text", "page"])
 
@@ -57,9 +79,20 @@ def parse(files: DataFrame, parser: Parser = plain_parser) -> DataFrame:
 
 
 def summary(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pages, tables, text_items, text_chars, chars_per_page, scanned)."""
+    """(doc_id, pages, tables, table_cells, text_items, text_chars, chars_per_page, scanned): what a parse reached.
+
+    Pages are those that a block is on. A table's cells are the fields of its lines, the rule under the header aside.
+    """
     text = F.col("kind").isin("text", "heading", "title")
-    met = blocks.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(text).alias("text_items"), F.coalesce(F.sum(F.when(text, F.length("text"))), F.lit(0)).alias("text_chars"))
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[|\s:-]+$"))
+    cells = F.aggregate(lines, F.lit(0), lambda n, x: n + F.size(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|")))
+    met = blocks.groupBy("doc_id").agg(
+        F.count_distinct("page").alias("pages"),
+        F.count_if(F.col("kind") == "table").alias("tables"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "table", cells)), F.lit(0)).alias("table_cells"),
+        F.count_if(text).alias("text_items"),
+        F.coalesce(F.sum(F.when(text, F.length("text"))), F.lit(0)).alias("text_chars"),
+    )
     per_page = F.round(F.try_divide(F.col("text_chars"), F.col("pages")), 1)
     return met.withColumn("chars_per_page", per_page).withColumn("scanned", per_page < SCANNED_CHARS)
 

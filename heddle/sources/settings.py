@@ -10,6 +10,8 @@ import re
 from pathlib import Path
 from typing import Any, get_type_hints
 
+from heddle.operators.models import family_of, size_problem
+
 
 class SettingsError(ValueError):
     pass
@@ -44,10 +46,22 @@ class Tables:
     max_rows: int = 1_000_000
 
 
+@dataclasses.dataclass(frozen=True)
+class Embedding:
+    """A size of 0 keeps the model's own; empty templates are those of the model's family."""
+
+    model: str = "hashing"
+    size: int = 0
+    document: str = ""
+    query: str = ""
+    pictures: bool = False
+
+
 @dataclasses.dataclass(frozen=True)
 class Settings:
     name: str = "default"
     model: str = "hashing"
+    embedding: Embedding = Embedding()
     chunking: Chunking = Chunking()
     search: Search = Search()
     tables: Tables = Tables()
@@ -85,6 +99,21 @@ def build(kind: type, values: dict[str, Any], where: str = "settings", key: str
     return kind(**out)
 
 
+def completed(settings: Settings) -> Settings:
+    """The settings with the family's templates where they have none; fields that don't go together are an error."""
+    own, family = settings.embedding, family_of(settings.embedding.model)
+    if problem := size_problem(own.model, own.size or None):
+        raise SettingsError(f"embedding.size: {problem}")
+    if own.pictures and not family.images:
+        raise SettingsError(f"embedding.pictures needs a model that takes images, which {own.model} does not.")
+    for key in ("document", "query"):
+        if getattr(own, key) and "{text}" not in getattr(own, key):
+            raise SettingsError(f"embedding.{key} must have a place for {{text}}.")
+    if settings.chunking.overlap >= settings.chunking.max_tokens:
+        raise SettingsError("chunking.overlap must be less than chunking.max_tokens.")
+    return dataclasses.replace(settings, embedding=dataclasses.replace(own, document=own.document or family.document, query=own.query or family.query))
+
+
 def load(path: str, env: dict[str, str] | None = None) -> Settings:
     """A YAML or JSON file as settings."""
     text = Path(path).read_text(encoding="utf-8")
@@ -94,7 +123,7 @@ def load(path: str, env: dict[str, str] | None = None) -> Settings:
         import yaml
 
         raw = yaml.safe_load(text)
-    return build(Settings, expand(raw or {}, env), path)
+    return completed(build(Settings, expand(raw or {}, env), path))
 
 
 def config_hash(settings: Any, unused: tuple[str, ...] = ()) -> str:
