@@ -20,6 +20,9 @@ finds the same components in linear time.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heddle.llm.common import Stored, spare
+from heddle.llm.common import Stored, slices, spare
 from heddle.llm.components import connected_components
 from heddle.session import ship
 
@@ -37,6 +40,9 @@ SEGMENTS = 5  # at least
 BUCKET = 32
 BESIDE = 8  # random fingerprints that share a key, about
 SEED = 42
+NEAR_SHINGLE, NEAR_WORDS, SIMILARITY = 5, 32, 0.8  # the second pass: five words, 2048 bits
+DESIGN, RECALL = 0.09, 0.98
+PUNCTUATION = b".,;:!?()[]{}<>\"'`*_-"
 BROADCAST_ROWS = 1_000_000  # ids: some 60 MB in a hash table
 
 
@@ -193,6 +199,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id", *([] if mark is None else ["mark"]))
 
 
+def bands_for(documents: int, near: float = DESIGN, recall: float = RECALL) -> tuple[int, int]:
+    """(bands, bits of each) for so many documents.
+
+    Bands are long enough that a random document shares one with few others, and so many that two documents whose words'
+    fingerprints differ in ``near`` of their bits share one with a chance of ``recall``.
+    """
+    bits = max(26, math.ceil(math.log2(max(documents, 2))) + 12)
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - near) ** bits)), bits
+
+
+def _mixed(hashes: np.ndarray, outputs: int) -> np.ndarray:
+    """So many independent 64-bit hashes of each hash, as rows."""
+    with np.errstate(over="ignore"):
+        z = hashes[:, None] + np.arange(1, outputs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _votes(hashes: np.ndarray, outputs: int) -> np.ndarray:
+    """The SimHash of ``outputs`` * 64 bits of distinct features, as zeros and ones; one feature counts once."""
+    votes = np.zeros(outputs * 64, np.int64)
+    for i in range(0, len(hashes), 512):
+        part = np.ascontiguousarray(_mixed(hashes[i : i + 512], outputs)).view(np.uint8).reshape(-1, outputs * 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return (2 * votes > len(hashes)).astype(np.uint8)
+
+
+def long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int], list[int]] | None:
+    """(band keys, near): the bands of the SimHash of a text's words, and the SimHash of its five-word shingles as signed longs; None without words.
+
+    Words are those of ``fingerprint`` without the punctuation around them.
+    """
+    words = [w for w in (x.strip(PUNCTUATION) for x in (text or "").encode("utf-8", "surrogatepass").lower().split()) if w]
+    if not words:
+        return None
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    size = min(NEAR_SHINGLE, len(words))
+    runs = np.zeros(len(words) - size + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            runs = (runs ^ hashes[i : len(words) - size + 1 + i]) * np.uint64(0xD6E8FEB86659FD93)
+            runs ^= runs >> np.uint64(32)
+    votes = _votes(np.unique(hashes), -(-bands * bits // 64))[: bands * bits].reshape(bands, bits)
+    keys = votes.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    near = np.packbits(_votes(np.unique(runs), NEAR_WORDS), bitorder="little").view(np.int64)
+    return keys.tolist(), near.tolist()
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): ids of documents whose five-word shingles have a cosine of at least ``similarity``, as their 2048-bit SimHashes have it (within about 0.02).
+
+    For copies with words changed here and there, which two bits of 64 don't reach. Candidates share a band of the SimHash of their
+    words, which such changes move little; within a band each document meets the least id alone, so rows grow with documents. The search is
+    approximate: see ``bands_for``. Null ids and wordless texts link to nothing.
+    """
+    ship(docs.sparkSession)
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    bands, bits = bands_for(kept.count())
+
+    def batches(parts):
+        for part in (p for whole in parts for p in slices(whole, 1)):
+            got = [long_fingerprints(t.as_py(), bands, bits) for t in part.column(1)]
+            some = pa.array([g is not None for g in got], pa.bool_())
+            got = [g for g in got if g is not None]
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(some), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["doc_id", "keys", "near"])
+
+    fps = Stored(kept.mapInArrow(batches, "doc_id long, keys array<long>, near array<long>")).df
+    keyed = fps.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    least = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    pairs = keyed.join(least, ["band", "key"]).where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = fps.select("doc_id", "near")
+    both = pairs.join(near.select(F.col("doc_id").alias("a"), F.col("near").alias("x")), "a").join(near.select(F.col("doc_id").alias("b"), F.col("near").alias("y")), "b")
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(NEAR_WORDS)])
+    return both.where(apart <= F.lit(int(64 * NEAR_WORDS * math.acos(similarity) / math.pi))).select("a", "b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without those that a document with a lesser id stands for, in groups that ``near_links`` links. Rows with a null id stay."""
+    groups = Stored(connected_components(near_links(docs, id_col, text_col, similarity)).where("node <> component_id").select("node")).df
+    key = spare(docs, "heddle_key")
+    gone = groups.select(F.col("node").alias(key))
+    marked = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    return marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that another document of their near-duplicate group stands for.
 

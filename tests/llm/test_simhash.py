@@ -1,5 +1,6 @@
 """SimHash groups against a brute-force version."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -137,3 +138,56 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     part = {t: min(ids) for t, ids in edges.items()}
     assert sorted(got and {part[r.text] for r in got}) == sorted(set(part.values())) and len(got) == len(set(part.values()))
     assert all(r.doc_id == part[r.text] for r in got) and {tuple(r) for r in got} <= set(rows)
+
+
+def shingle_cosine(a, b):
+    def own(t):
+        w = [x.strip(".,;:!?()[]{}<>\"'`*_-") for x in t.lower().split()]
+        w = [x for x in w if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = own(a), own(b)
+    return len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0.0
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with words changed here and there, against the exact cosine of five-word shingles."""
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ba", "lo", "mi", "ter", "gan", "shi") for b in ("n", "st", "ra", "el", "o", "k", "ff", "ul")] + ["the", "of", "and"] * 10
+    text = lambda n: [rng.choice(words) + str(rng.randrange(30)) * (rng.random() < 0.7) for _ in range(n)]
+    rows, source = [], {}
+    for i in range(60):
+        base = text(rng.choice([80, 150, 400, 1500]))
+        rows.append((i, " ".join(base)))
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(max(1, int(len(copy) * rng.choice([0.01, 0.02, 0.03, 0.2])))):
+                copy[rng.randrange(len(copy))] = rng.choice(words) + "x"
+            if rng.random() < 0.5:
+                copy[3] = copy[3].upper() + ","
+            source[len(source) + 100] = i
+            rows.append((len(source) + 99, " ".join(copy)))
+    rows += [(500 + i, " ".join(text(100))) for i in range(60)] + [(700, None), (701, ""), (702, "a b"), (703, "b a"), (704, "..."), (None, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, heddle_key string, near int")
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    stays = {r.doc_id for r in left.collect()}
+    texts = dict(rows)
+    like = {d: shingle_cosine(texts[d], texts[i]) for d, i in source.items()}
+    sure = [d for d, v in like.items() if v >= 0.84]
+    assert len(sure) > 50 and sum(d not in stays for d in sure) >= 0.95 * len(sure)
+    assert all(d in stays for d, v in like.items() if v < 0.6) and set(range(60)) <= stays and {500 + i for i in range(60)} <= stays and {700, 701, 702, 703, 704, None} <= stays
+    assert simhash.drop_near_copies(docs.where("doc_id < 0")).count() == 0
+
+
+def test_long_fingerprints_estimate_the_cosine():
+    rng = random.Random(4)
+    assert simhash.long_fingerprints(None, 4, 26) is None and simhash.long_fingerprints(" .. ", 4, 26) is None
+    for share in (0.0, 0.01, 0.03, 0.1):
+        a = [f"w{rng.randrange(5000)}" for _ in range(800)]
+        b = [f"x{rng.randrange(5000)}" if rng.random() < share else w for w in a]
+        (_, x), (_, y) = (simhash.long_fingerprints(" ".join(t), 4, 26) for t in (a, b))
+        apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) / (64 * simhash.NEAR_WORDS)
+        assert abs(math.cos(math.pi * apart) - shingle_cosine(" ".join(a), " ".join(b))) < 0.08
+    sizes = [simhash.bands_for(10**n) for n in range(1, 12)]
+    assert sizes == sorted(sizes) and all(1 - (1 - (1 - simhash.DESIGN) ** bits) ** bands >= simhash.RECALL for bands, bits in sizes)
