@@ -25,8 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each near-duplicate group stays.
+
+    Groups are those of the SimHash query; of what they leave, copies with words changed here and there go by longer fingerprints.
+    """
+    return simhash.drop_near_copies(simhash.keep_one(docs.select(*COLUMNS)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
