@@ -46,12 +46,10 @@ def range_of(column: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     g = max(1, round(len(bounds) ** 0.5))
-    chunks = [bounds[i : i + g] for i in range(0, len(bounds), g)]
     longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one literal, folded by the planner
-    nested = F.transform(F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";"), lambda c: F.split(c, ",").cast("array<bigint>"))
     at_or_below = lambda xs: F.size(F.filter(xs, lambda c: c <= column))
-    head = at_or_below(longs([c[0] for c in chunks]))
-    inside = at_or_below(F.get(nested, head - F.lit(1)))
+    head = at_or_below(longs(bounds[::g]))
+    inside = at_or_below(F.slice(longs(bounds), F.greatest(head - F.lit(1), F.lit(0)) * F.lit(g) + F.lit(1), g))
     return F.when(head > 0, (head - F.lit(1)) * F.lit(g) + inside).otherwise(F.lit(0))
 
 
