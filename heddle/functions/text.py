@@ -100,3 +100,8 @@ def passage(number: Column, file: Column, page: Column, headings: Column) -> Col
     """``[n] (file, page p, a > b)``; what is missing is left out."""
     where = F.concat_ws(", ", file, F.concat(F.lit("page "), page.cast("string")), F.when(F.size(headings) > 0, F.array_join(headings, " > ")))
     return F.concat(F.lit("["), number.cast("string"), F.lit("]"), F.when(where != "", F.concat(F.lit(" ("), where, F.lit(")"))).otherwise(F.lit("")))
+
+
+def headings_in_order(paths: Column) -> Column:
+    """Heading paths as ``a > b``, each once, in the order in which they first stand; empty ones left out."""
+    return F.array_distinct(F.filter(F.transform(paths, lambda p: F.array_join(p, " > ")), lambda t: t != ""))

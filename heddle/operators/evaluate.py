@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,3 +90,15 @@ def fold_turn(events: DataFrame, turn: str, seq: str, kind: str, value: str) ->
     met = events.groupBy(turn).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(value).alias("value")))).alias("e"))
     runs = F.aggregate("e", F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x["kind"]), acc).otherwise(F.concat(acc, F.array(x["kind"]))))
     return met.select(turn, F.size("e").cast("long").alias("events"), F.array_join(runs, ">").alias("trace"), F.element_at("e", -1)["kind"].alias("last_kind"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["value"]), 4).alias("total"))
+
+
+@contextmanager
+def timed(record: Callable[[dict], None], **what: object) -> Iterator[dict]:
+    """Measures what is done inside and hands on ``what`` with ``duration_ms`` and whether it ``failed``; values put into the dict go along."""
+    began, seen = time.perf_counter(), dict(what)
+    try:
+        yield seen
+    except BaseException:
+        record(seen | {"duration_ms": (time.perf_counter() - began) * 1000, "failed": True})
+        raise
+    record(seen | {"duration_ms": (time.perf_counter() - began) * 1000, "failed": False})

@@ -25,3 +25,14 @@ def retrieve(indexed: DataFrame, question: Column, schema: str, embed_key: str,
     """(rank, turn_id, score): the k nearest of this schema and embedding, then those at or above the threshold."""
     near = search.dense_search(indexed, question, k, "turn_id", filters={"schema_name": schema, "embed_key": embed_key})
     return near.where(F.col("score") >= least)
+
+
+def without(indexed: DataFrame, turn_id: object) -> DataFrame:
+    """The index without a turn's example; the table goes first, so that the index can always be made from it again."""
+    return indexed.where(~F.col("turn_id").eqNullSafe(F.lit(turn_id)))
+
+
+def fits(indexed: DataFrame, embedder: models.Embedder) -> bool:
+    """Whether the index was made with this embedding: its key and the size of its vectors; if not, make it again."""
+    odd = indexed.where((F.col("embed_key") != embedder.label) | (F.size("embedding") != embedder.dim))
+    return odd.limit(1).count() == 0

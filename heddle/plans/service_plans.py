@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.functions import jsonable
+from heddle.functions import text as X
+from heddle.operators import ann, chunking, models, search, service
 from heddle.operators import bookkeeping as B
-from heddle.operators import models, search, service
 from heddle.plans.search_plans import ORACLES as SEARCH
 from heddle.plans.search_plans import K, TERMS, _query_vector, _sparse
 from heddle.sources.tables import table
@@ -161,6 +163,39 @@ def first_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.first_pictures(hits.withColumn("modality", F.when(F.col("vec_id") % 3 == 0, "picture").otherwise("text")), 2).select("rank", "vec_id")
 
 
+def yes_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up first tokens of a judge with their log-probabilities, some of which say neither yes nor no."""
+    e = F.col("event_id")
+    token = lambda word, share: F.struct(F.lit(word).alias("token"), F.log((e % share + 1) / F.lit(float(share + 1))).alias("logprob"))
+    top = F.when(e % 5 == 0, F.array(token("maybe", 3), token("The", 4))).otherwise(F.array(token(" Yes", 7), token("yes", 5), token("NO", 3), token("perhaps", 2)))
+    return table(spark, sf_dir, "events").select("event_id", F.round(search.yes_probability(top), 6).alias("p"))
+
+
+def nearby_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the blocks of each page stand under, each heading path once, in order."""
+    rows = chunking.segment(chunking.blocks_from_html(table(spark, sf_dir, "pages"))).where("kind = 'text'")
+    met = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "headings"))).alias("h"))
+    return met.select("doc_id", F.size(X.headings_in_order(F.transform("h", lambda x: x["headings"]))).alias("paths"))
+
+
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON text: numbers, texts, nulls and nested values."""
+    n = table(spark, sf_dir, "nation")
+    nested = n.select("n_nationkey", F.nullif("n_name", F.lit("FRANCE")).alias("name"), F.struct(F.col("n_regionkey").alias("r"), F.array(F.lit(True), F.lit(None).cast("boolean")).alias("l")).alias("s"), F.to_date(F.lit("2024-02-29")).alias("d"))
+    return jsonable.json_rows(nested)
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine in ten of the exact nearest vectors, for every twentieth as a query."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    planes = ann.Planes(len(vectors.first()["embedding"]), tables=24, planes=8)
+    found = ann.search(ann.index(vectors, planes, "vec_id"), asked, planes, 5)
+    exact = search.dense_search_batch(vectors, asked, 5, "vec_id")
+    hits = exact.join(found.select("query_id", F.col("id").alias("vec_id")), ["query_id", "vec_id"], "left_semi").agg(F.count("*").alias("hits"))
+    return hits.crossJoin(exact.agg(F.count("*").alias("wanted"))).select("wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("found_nine_in_ten"))
+
+
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by windows of two hours that begin every hour."""
     stream = ingest.windowed(ingest.read_stream(spark, f"{sf_dir}/events.parquet"), size="2 hours", slide="1 hour")
@@ -177,7 +212,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     catalog_join, experiments_documents, schemas_tables, targets, given_values, experiment_upsert, schema_names, description_carry_over, facet_points, chunk_files, point_ids, metric_log, recent_chats, chat_problems, good_answers,
-    name_checks, model_calls, embed_templates, rerank_pairs, hybrid_filtered, first_pictures, stream_sliding, stream_sessions,
+    name_checks, model_calls, embed_templates, rerank_pairs, hybrid_filtered, first_pictures, yes_probability, nearby_headings, result_json, ann_recall, stream_sliding, stream_sessions,
 )}
 
 _TURNS = """turns AS (SELECT conv_id AS session_id, CASE WHEN conv_id % 9 = 0 AND turn > 1 THEN 'database' ELSE 'documents' END AS kind, turn, text AS question, 1700000000 + (conv_id * 7919 % 5000) * 3600 + turn AS made FROM conversations)"""
@@ -213,6 +248,9 @@ ORACLES = {
       f AS (SELECT doc_id, sum(1.0 / (1 + rank)) AS s FROM (SELECT doc_id, rank FROM sparse UNION ALL SELECT vec_id, rank FROM dense) GROUP BY doc_id)
       SELECT row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank, doc_id, round(s, 6) AS score FROM f QUALIFY rank <= 10""",
     "first_pictures": f"SELECT rank, vec_id FROM ({SEARCH['dense_topk']}) WHERE vec_id % 3 = 0 ORDER BY rank LIMIT 2",
+    "yes_probability": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round((a + b) / (a + b + c), 6) END AS p FROM (SELECT event_id, (event_id % 7 + 1) / 8.0::DOUBLE AS a, (event_id % 5 + 1) / 6.0::DOUBLE AS b, (event_id % 3 + 1) / 4.0::DOUBLE AS c FROM events)",
+    "result_json": """SELECT '{"n_nationkey":' || n_nationkey || ',"name":' || CASE WHEN n_name = 'FRANCE' THEN 'null' ELSE '"' || n_name || '"' END || ',"s":{"r":' || n_regionkey || ',"l":[true,null]},"d":"2024-02-29"}' AS json FROM nation""",
+    "ann_recall": "SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) * 5 AS wanted, true AS found_nine_in_ten",
     "stream_sliding": "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('hour', ts) - to_hours(h) AS start, event_type, value FROM events, range(2) r(h)) GROUP BY ALL",
     "stream_sessions": """WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s) SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, run""",

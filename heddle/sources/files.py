@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from heddle.functions.text import content_id
+from heddle.session import ship
 from heddle.sources.csvload import clean_identifier
 
 SETTLED_S = 5
@@ -41,13 +43,17 @@ def version(content: Column, notes: Column) -> Column:
 def table_files(files: DataFrame) -> DataFrame:
     """(path, schema_name, table_name, problem) for ``<schema>/<table>.csv`` files; a problem makes one unusable.
 
-    Names are cleaned on the driver (a folder's listing); of files whose tables have the same name the first counts.
+    Names are cleaned where the listing is; of files whose tables have the same name the first counts.
     """
-    spark = files.sparkSession
-    rows = []
-    for (path,) in files.select("path").orderBy("path").collect():
-        *_, folder, name = path.split("/")
-        rows.append((path, folder, clean_identifier(name.rsplit(".", 1)[0], "table"), None if folder == clean_identifier(folder, "schema") else f"{folder} is not a plain schema name"))
-    found = spark.createDataFrame(rows, "path string, schema_name string, table_name string, problem string")
+    ship(files.sparkSession)
+
+    def batches(parts):
+        for part in parts:
+            paths = [p for p in part.column(0).to_pylist() if p.count("/")]
+            split = [p.rsplit("/", 2)[-2:] for p in paths]
+            rows = [(p, folder, clean_identifier(name.rsplit(".", 1)[0], "table"), None if folder == clean_identifier(folder, "schema") else f"{folder} is not a plain schema name") for p, (folder, name) in zip(paths, split, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["path", "schema_name", "table_name", "problem"])
+
+    found = files.select("path").mapInArrow(batches, "path string, schema_name string, table_name string, problem string")
     nth = F.row_number().over(Window.partitionBy("schema_name", "table_name").orderBy("path"))
     return found.withColumn("problem", F.coalesce("problem", F.when(nth > 1, F.lit("another file has this table's name"))))

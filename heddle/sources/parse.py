@@ -10,6 +10,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.session import ship
 
@@ -97,6 +98,46 @@ def summary(blocks: DataFrame) -> DataFrame:
     return met.withColumn("chars_per_page", per_page).withColumn("scanned", per_page < SCANNED_CHARS)
 
 
+class Reader(Protocol):
+    def read(self, picture: bytes) -> str:
+        """The text of a picture of a page's region."""
+
+
+def fill(regions: DataFrame, reader: Reader, lenient: bool = False) -> DataFrame:
+    """Regions (..., text, picture) with the text of those that have none read from their picture, and what happened: ``kept``, ``read``, ``cut`` or ``empty``.
+
+    A reading ends where the model starts to repeat itself (see ``first_reading``). Regions without a picture stay as they are.
+    """
+    ship(regions.sparkSession)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, seen = part.schema.get_field_index("text"), part.column(part.schema.get_field_index("picture")).to_pylist()
+            texts, outcomes = part.column(at).to_pylist(), []
+            for i, picture in enumerate(seen):
+                if (texts[i] or "").strip() or picture is None:
+                    outcomes.append("kept")
+                    continue
+                lines, ended = first_reading(reader.read(picture), lenient=lenient)
+                texts[i] = "\n".join(lines)
+                outcomes.append("empty" if not lines else "cut" if ended else "read")
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(outcomes, pa.string())], names=[*part.schema.names, "outcome"])
+
+    return regions.mapInArrow(batches, T.StructType([*regions.schema.fields, T.StructField("outcome", T.StringType())]))
+
+
+def fill_counts(filled: DataFrame) -> DataFrame:
+    """(doc_id, regions, read, cut, empty) of filled regions."""
+    return filled.groupBy("doc_id").agg(F.count("*").alias("regions"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("read", "cut", "empty")])
+
+
+def crops(pictures: DataFrame, least: float = PICTURE_SIDE) -> DataFrame:
+    """(doc_id, ord, page, bbox, image) of the pictures (doc_id, ord, page, bbox) that are kept, ``image`` being where their file belongs."""
+    kept = pictures.where(keeps_picture(F.col("bbox"), least))
+    return kept.select("doc_id", "ord", "page", "bbox", F.concat(F.col("doc_id"), F.lit("/"), F.lpad(F.col("ord").cast("string"), 5, "0"), F.lit(".png")).alias("image"))
+
+
 def keeps_picture(bbox: Column, least: float = PICTURE_SIDE) -> Column:
     """Whether both sides of [left, top, right, bottom] reach the least size."""
     side = lambda a, b: F.abs(F.get(bbox, F.lit(b)) - F.get(bbox, F.lit(a)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PAYLOAD_KEYS = ("modality", "source_file")
 CHUNK = "doc_id string, text string, modality string, strategy string, page int, headings array<string>, bbox array<double>, token_count int, chunk_id string, image string"
 
 
@@ -17,7 +18,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(points: DataFrame, path: str) -> None:
-    """Replaces the written documents' partitions of each experiment and leaves the others; repeating it changes nothing."""
+    """Replaces the written documents' partitions of each experiment and leaves the others; repeating it changes nothing.
+
+    Rows are sorted by the payload that searches filter by, so that the files' statistics let a filter skip most of them.
+    """
+    keys = [k for k in PAYLOAD_KEYS if k in points.columns]
+    points = points.sortWithinPartitions("experiment", "doc_id", *keys) if keys else points
     points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "doc_id").parquet(path)
 
 
@@ -34,3 +40,22 @@ def stale(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataF
 
 def stats(points: DataFrame, vector_col: str = "embedding") -> DataFrame:
     return points.agg(F.count("*").alias("point_count"), F.max(F.size(vector_col)).alias("dimension"))
+
+
+class CollectionError(ValueError):
+    """Points that don't go with the collection they are meant for."""
+
+
+def ensure(points: DataFrame, dim: int, sparse: bool, vector_col: str = "embedding", terms_col: str = "terms") -> DataFrame:
+    """``points`` if every vector has ``dim`` components and term weights are there exactly if the collection has them; else CollectionError."""
+    if sparse != (terms_col in points.columns):
+        raise CollectionError(f"The collection has {'' if sparse else 'no '}term weights and the points have {'none' if sparse else 'some'}.")
+    if odd := dimension_problems(points, dim, vector_col).select(F.coalesce(F.size(vector_col), F.lit(0)).alias("n")).limit(1).collect():
+        raise CollectionError(f"The collection's vectors have {dim} components; one of the points' has {max(0, odd[0].n)}.")
+    return points
+
+
+def staleness(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> None:
+    """Raises CollectionError if chunks and vectors were not made from one another."""
+    if n := stale(chunks, vectors, key).count():
+        raise CollectionError(f"{n:,} chunks and vectors don't belong together; embed the document again.")
