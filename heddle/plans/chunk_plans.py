@@ -180,6 +180,27 @@ _RECURSIVE = f"""sized AS (SELECT doc_id, ord, s, list_filter(regexp_split_to_ar
  parts AS (SELECT doc_id, ord, 0 AS k, s AS t, len(w) AS n FROM sized WHERE len(w) <= {MAX}
    UNION ALL SELECT doc_id, ord, k, array_to_string(w[k * {MAX} + 1 : k * {MAX} + {MAX}], ' ') || ' ', least({MAX}, len(w) - k * {MAX}) FROM sized, LATERAL (SELECT unnest(range((len(w) - 1) // {MAX} + 1)) AS k) WHERE len(w) > {MAX})"""
 
+def _page_blocks() -> str:
+    """Blocks of pages: marks put where blocks begin and end, then cut at the marks; sections and heading paths by level."""
+    clean = "html"
+    for tag in ("script", "style", "nav", "footer", "aside"):
+        clean = f"regexp_replace({clean}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
+    clean = f"regexp_replace(regexp_replace({clean}, '(?s)<!--.*?-->', '', 'g'), '(?is)<div class=\"ad\">.*?</div>', '', 'g')"
+    text = "regexp_replace(body, '(?is)<[^>]*>', ' ', 'g')"
+    for entity, char in C.ENTITIES:
+        text = f"replace({text}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    levels = range(1, 7)
+    above = lambda n: ", ".join(["-1", *[f"coalesce(o{j}, -1)" for j in range(1, n)]])
+    return rf"""cut AS (SELECT page_id, string_split(regexp_replace(regexp_replace({clean}, '(?is)<(h[1-6]|p|li)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'),
+   '(?is)(<(ul|ol|table|article|body|footer|div)\b|</(h[1-6]|p|li|ul|ol|table|article|body|div)\s*>)', chr(3), 'g'), chr(1))[2:] AS parts FROM pages),
+ each AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ord FROM cut),
+ tagged AS (SELECT page_id, ord, lower(split_part(part, chr(2), 1)) AS tag, split_part(split_part(part, chr(2), 2), chr(3), 1) AS body FROM each),
+ blocks AS (SELECT page_id AS doc_id, ord::INT AS ord, CASE WHEN starts_with(tag, 'h') THEN 'heading' ELSE 'text' END AS kind, CASE WHEN starts_with(tag, 'h') THEN substr(tag, 2, 1)::INT END AS level, trim(regexp_replace({text}, '\s+', ' ', 'g')) AS text FROM tagged),
+ seen AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER w AS section, {', '.join(f"max(CASE WHEN level = {n} THEN ord END) OVER w AS o{n}, last_value(CASE WHEN level = {n} THEN text END IGNORE NULLS) OVER w AS h{n}" for n in levels)}
+   FROM blocks WHERE text <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+ pages_seg AS (SELECT doc_id, ord, kind, section::BIGINT AS section, concat_ws(' > ', {', '.join(f"CASE WHEN o{n} > greatest({above(n)}) THEN h{n} END" for n in levels)}) AS path, text FROM seen)"""
+
+
 ORACLES = {
     "text_blocks": f"SELECT doc_id, ord, length(text)::INT AS chars FROM ({_LINES})",
     "chunk_fixed": f"SELECT doc_id, piece, substr(sha256(array_to_string(own, ' ')), 1, 16) AS text_id, len(own)::BIGINT AS token_count FROM ({_FIXED})",
@@ -191,6 +212,7 @@ ORACLES = {
     "semantic_breakpoints": """WITH d AS (SELECT label, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id)) AS distance FROM embeddings),
       t AS (SELECT label, quantile_cont(distance, 0.9) AS threshold FROM d GROUP BY label)
       SELECT label, vec_id, round(distance, 6) AS distance, round(threshold, 6) AS threshold, sum(CASE WHEN distance > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS piece FROM d JOIN t USING (label)""",
+    "page_blocks": f"WITH {_page_blocks()} SELECT doc_id, ord, kind, section, path, length(text)::INT AS chars FROM pages_seg",
     "picture_headings": f"""WITH {_SEG}, pic AS (SELECT doc_id, ord, CASE WHEN ord % 2 = 0 THEN 'Figure on page ' || (ord // 10) ELSE trim(text) END AS text FROM marked WHERE kind = 'picture')
       SELECT p.doc_id, p.ord, p.text, coalesce((SELECT arg_max(s.path, s.ord) FROM seg s WHERE s.doc_id = p.doc_id AND s.ord < p.ord AND s.kind = 'text'), '') AS path FROM pic p""",
     "chunk_recursive": f"WITH RECURSIVE {_SENTENCES}, {_RECURSIVE}, " + _packed("doc_id", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS i, t, n FROM parts", MAX) + f" SELECT doc_id, piece::INT AS piece, substr(sha256(text), 1, 16) AS text_id, len({_WORDS})::INT AS token_count FROM packed",

@@ -9,6 +9,7 @@ from heddle.functions import jsonable
 from heddle.functions import text as X
 from heddle.operators import ann, chunking, models, search, service
 from heddle.operators import bookkeeping as B
+from heddle.plans.chunk_plans import _page_blocks
 from heddle.plans.search_plans import ORACLES as SEARCH
 from heddle.plans.search_plans import K, TERMS, _query_vector, _sparse
 from heddle.sources.tables import table
@@ -249,6 +250,7 @@ ORACLES = {
       SELECT row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank, doc_id, round(s, 6) AS score FROM f QUALIFY rank <= 10""",
     "first_pictures": f"SELECT rank, vec_id FROM ({SEARCH['dense_topk']}) WHERE vec_id % 3 = 0 ORDER BY rank LIMIT 2",
     "yes_probability": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round((a + b) / (a + b + c), 6) END AS p FROM (SELECT event_id, (event_id % 7 + 1) / 8.0::DOUBLE AS a, (event_id % 5 + 1) / 6.0::DOUBLE AS b, (event_id % 3 + 1) / 4.0::DOUBLE AS c FROM events)",
+    "nearby_headings": f"WITH {_page_blocks()} SELECT doc_id, count(DISTINCT CASE WHEN path <> '' THEN path END)::INT AS paths FROM pages_seg WHERE kind = 'text' GROUP BY doc_id",
     "result_json": """SELECT '{"n_nationkey":' || n_nationkey || ',"name":' || CASE WHEN n_name = 'FRANCE' THEN 'null' ELSE '"' || n_name || '"' END || ',"s":{"r":' || n_regionkey || ',"l":[true,null]},"d":"2024-02-29"}' AS json FROM nation""",
     "ann_recall": "SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) * 5 AS wanted, true AS found_nine_in_ten",
     "stream_sliding": "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('hour', ts) - to_hours(h) AS start, event_type, value FROM events, range(2) r(h)) GROUP BY ALL",
