@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontam, langid, pii, quality, sentencepiece, sharding, simhash, sketches, urlfilter
+from heddle.llm import chat, decontam, langid, oracles, pii, quality, sentencepiece, sharding, simhash, sketches, urlfilter
 from heddle.llm.common import table
 
 
@@ -195,4 +195,4 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urlfilter": OP1_SQL, "op5_chat": OP5_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_urlfilter": OP1_SQL, "op3_fingerprints": oracles.sketches(), "op5_chat": OP5_SQL, "op8_sharding": oracles.sharding(), "op9_decontamination": OP9_SQL, "op10_simhash": oracles.simhash()}
