@@ -60,7 +60,10 @@ def _spoken(column: Column, role: str, text: str) -> Column:
 
 
 def _asked(system: Column, question: Column, answer: Column) -> Column:
-    return F.filter(F.array(F.when(system.isNotNull(), _turn("system", system)), _turn("user", question), _turn("assistant", answer)), lambda t: t.isNotNull())
+    return F.filter(
+        F.array(F.when(system.isNotNull(), _turn("system", system)), _turn("user", question), _turn("assistant", answer)),
+        lambda t: t.isNotNull(),
+    )
 
 
 def _list(name: str, column: str, role: str, text: str) -> Layout:
@@ -147,7 +150,11 @@ def from_rows(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
     Turns are in the order of ``turn_col`` (null first), ties in that of role and text; repeated rows are turns of their own.
     A conversation is one record, so its turns meet in one task by definition.
     """
-    row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    row = F.struct(
+        F.col(turn_col).alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
     met = df.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     return met.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
@@ -177,7 +184,13 @@ def _running(sizes: Column) -> Column:
     run = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(BLOCK)), lambda i: run(F.slice(sizes, i, BLOCK)))
     before = run(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(before) - F.lit(1)), lambda b, start: F.transform(F.slice(b, 1, F.size(b) - F.lit(1)), lambda x: x + start)))
+    return F.flatten(
+        F.zip_with(
+            blocks,
+            F.slice(before, 1, F.size(before) - F.lit(1)),
+            lambda b, start: F.transform(F.slice(b, 1, F.size(b) - F.lit(1)), lambda x: x + start),
+        )
+    )
 
 
 def render(df: DataFrame, turns: str = "turns") -> DataFrame:
@@ -186,7 +199,14 @@ def render(df: DataFrame, turns: str = "turns") -> DataFrame:
     Columns of the added names are replaced, all others pass through, whatever they are called.
     """
     written, starts = spare(df, "written"), spare(df, "starts")
-    pieces = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("own"), F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
+    pieces = F.transform(
+        turns,
+        lambda t: F.struct(
+            (t["role"] == "assistant").alias("own"),
+            F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"),
+            escape(t["text"]).alias("body"),
+        ),
+    )
     sizes = F.transform(written, lambda t: (F.length(t["head"]) + F.length(t["body"]) + F.lit(len(END))).cast("long"))
 
     def span(t: Column, i: Column) -> Column:
@@ -210,7 +230,10 @@ def read_turns(formatted: Column) -> Column:
     def turn(part: Column) -> Column:
         role = F.substring_index(part, "\n", 1)
         begin = F.length(role) + F.lit(2)
-        return F.struct(_unescape_role(role).alias("role"), unescape(F.substring(part, begin, F.length(part) - begin + F.lit(1 - len(END)))).alias("text"))
+        return F.struct(
+            _unescape_role(role).alias("role"),
+            unescape(F.substring(part, begin, F.length(part) - begin + F.lit(1 - len(END)))).alias("text"),
+        )
 
     return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - F.lit(1), F.lit(0))), turn)
 

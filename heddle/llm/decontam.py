@@ -78,7 +78,17 @@ def _text_pieces(w: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + F.lit(1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, shortest: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    containment: float = CONTAINMENT,
+    shortest: int = 1,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): the items that documents contain.
 
     An item is contained if the document has at least ``containment`` of its distinct shingles of five words
@@ -88,20 +98,34 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     null id are left out. The items' shingles are broadcast only up to ``broadcast_rows``, and so are the candidates;
     beyond that both are joined by shuffles, with the documents' side salted, as a passage may be in a third of all documents.
     """
-    own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    own = items.select(
+        F.col(item_col).cast("long").alias("item_id"),
+        F.col(item_text_col).cast("string").alias("text"),
+    ).where("item_id IS NOT NULL AND text IS NOT NULL")
     own = own.withColumn("w", words(F.col("text"), SYMBOLS)).where(F.size("w") >= max(1, shortest)).withColumn("k", F.least(F.size("w"), F.lit(WORDS)).cast("int"))
     own = own.select("item_id", F.xxhash64("text").alias("item_text"), "k", "w")
-    pieces = Stored(own.select("item_id", "item_text", "k", F.explode_outer(F.array_distinct(_text_pieces(F.col("w"), F.col("k")))).alias("piece")).distinct()).df
+    pieces = Stored(
+        own.select("item_id", "item_text", "k", F.explode_outer(F.array_distinct(_text_pieces(F.col("w"), F.col("k")))).alias("piece")).distinct()
+    ).df
     sizes = pieces.groupBy("item_id", "item_text", "k").agg(F.count("*").alias("n_shingles"))
     present = [r.n for r in sizes.select(F.least("n_shingles", F.lit(SAME_WINDOW)).alias("n")).distinct().collect()]  # at most SAME_WINDOW rows
     window = F.lit(1)
     for n in sorted(present):
         window = F.when(F.col("n_shingles") >= n, F.lit(window_for(n, containment))).otherwise(window)
     sizes = sizes.withColumn("window", F.when(F.col("k") < WORDS, F.lit(1)).otherwise(window))
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    kept = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+    ).where("doc_id IS NOT NULL AND text IS NOT NULL")
     few = pieces.count() <= broadcast_rows
     small = F.broadcast if few else (lambda df: df)
-    shingled = with_shingles(own.where(F.col("k") == WORDS), F.array_join("w", " "), "shingles", WORDS, SYMBOLS).join(small(sizes), ["item_id", "item_text", "k"])
+    shingled = with_shingles(
+        own.where(F.col("k") == WORDS),
+        F.array_join("w", " "),
+        "shingles",
+        WORDS,
+        SYMBOLS,
+    ).join(small(sizes), ["item_id", "item_text", "k"])
     hashed = _piece_hashes(pieces).join(small(sizes), ["item_id", "item_text", "k"]).where("window = 1").select("item_id", "item_text", "k", "window", "h")
     for w in WINDOWS[1:]:
         signed = with_signature(shingled.where(F.col("window") == w), "shingles", "signature", w)
@@ -119,14 +143,24 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     candidates = Stored(reduce(DataFrame.unionByName, met)).df
     near = F.broadcast if candidates.count() <= broadcast_rows else (lambda df: df)
     suspects = kept.join(near(candidates.select("doc_id", "k").distinct()), "doc_id")
-    suspects = suspects.withColumn("w", words(F.col("text"), SYMBOLS)).select("doc_id", "k", F.explode_outer(_text_pieces(F.col("w"), F.col("k"))).alias("piece"))
+    suspects = suspects.withColumn("w", words(F.col("text"), SYMBOLS)).select(
+        "doc_id",
+        "k",
+        F.explode_outer(_text_pieces(F.col("w"), F.col("k"))).alias("piece"),
+    )
     shared = (
         _meet(suspects, pieces, ["k", "piece"], few)
         .groupBy("doc_id", "item_id", "item_text", "k").agg(F.count_distinct("piece").alias("n_shared"))
     )
     found = shared.join(small(sizes), ["item_id", "item_text", "k"]).withColumn("containment", F.col("n_shared") / F.col("n_shingles")).where(F.col("containment") >= containment)
     best = F.max(F.struct("containment", "n_shingles", "n_shared")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n_shingles").alias("n_shingles"), F.col("best.n_shared").alias("n_shared"), F.col("best.containment").alias("containment"))
+    return found.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id",
+        "item_id",
+        F.col("best.n_shingles").alias("n_shingles"),
+        F.col("best.n_shared").alias("n_shared"),
+        F.col("best.containment").alias("containment"),
+    )
 
 
 def _meet(documents: DataFrame, items: DataFrame, on: list[str], few: bool) -> DataFrame:
@@ -142,7 +176,14 @@ def _piece_hashes(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("h", F.xxhash64(F.transform(F.split("piece", " "), lambda w: F.xxhash64(w))))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", shortest: int = WORDS, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    shortest: int = WORDS,
+    broadcast_rows: int = BROADCAST_ROWS,
+    **options,
+) -> DataFrame:
     """``docs`` without the documents that contain an item of at least ``shortest`` words; rows with a null id stay.
 
     Shorter items would take every document that has their one or two words; lower ``shortest`` to seek them too.

@@ -176,7 +176,11 @@ def _log_probabilities(codes: np.ndarray, model: Model, order: int) -> np.ndarra
     if not hit.all():
         missed = codes[~hit]
         at, known = _find(model.contexts[order - 1], _hash(missed >> np.uint64(BITS)))
-        back = np.where(known[:, None], model.backoffs[order - 1][at], np.float32(0)) if len(known) and len(model.contexts[order - 1]) else np.float32(0)
+        back = np.where(
+            known[:, None],
+            model.backoffs[order - 1][at],
+            np.float32(0),
+        ) if len(known) and len(model.contexts[order - 1]) else np.float32(0)
         out[~hit] = back + _log_probabilities(_low(missed, order - 1), model, order - 1)
     return out
 
@@ -254,18 +258,31 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     return [UNKNOWN if b else model.langs[i] for i, b in zip(best, blank, strict=True)], score, least, far | blank
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> Model:
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS,
+    order: int = ORDER,
+) -> Model:
     """Fits the models on a sample of the rows that have a text and a language.
 
     The counts by language set each language's share of ``sample_docs``; a row is drawn if a hash of
     its id is under the share. The driver gets the sample alone.
     """
-    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
+    known = docs.select(
+        F.col(id_col).cast("string").alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.col(lang_col).cast("string").alias("lang"),
+    ).where("lang IS NOT NULL")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], order)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / len(counts) / n)))])
-    drawn = known.where("text IS NOT NULL").where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.get(F.array(F.try_element_at(share, F.col("lang"))), F.lit(0)) * (1 << 20))
+    drawn = known.where("text IS NOT NULL").where(
+        F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.get(F.array(F.try_element_at(share, F.col("lang"))), F.lit(0)) * (1 << 20)
+    )
     rows = drawn.orderBy(F.xxhash64("id"), "id", "text").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), order)
 
@@ -282,7 +299,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         own = shared.value
         for part in (p for whole in parts for p in slices(whole, 1)):
             names, score, least, rejected = classify(part.column(1).to_pylist(), own)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(names, pa.string()),
+                    pa.array(score, pa.float64()),
+                    pa.array(least, pa.float64()),
+                    pa.array(rejected, pa.bool_()),
+                ],
+                names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
+            )
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(kept.dtypes)["doc_id"]

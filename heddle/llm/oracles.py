@@ -37,7 +37,9 @@ def xxh64(name: str, source: str, data: str, seed: str) -> str:
     lane = "+".join(f"b[8 * i + {j + 1}] * {_n(256**j)}" for j in range(8))
     four = "+".join(f"b[n // 8 * 8 + {j + 1}] * {_n(256**j)}" for j in range(4))
     start = [f"seed + {_n((P1 + P2) % SIZE)}", f"seed + {_n(P2)}", "seed", f"seed + {_n(SIZE - P1)}"]
-    lines = [f"list_reduce(list_transform(range(n // 32), lambda i: lanes[4 * i + {j + 1}]), lambda v, k: {_round('v', 'k')}, {_mod(s)})" for j, s in enumerate(start)]
+    lines = [
+        f"list_reduce(list_transform(range(n // 32), lambda i: lanes[4 * i + {j + 1}]), lambda v, k: {_round('v', 'k')}, {_mod(s)})" for j, s in enumerate(start)
+    ]
     met = _mod(" + ".join(_turn(f"v[{j + 1}]", by) for j, by in enumerate((1, 7, 12, 18))))
     merged = f"list_reduce(v, lambda h, x: {_mod(_mod(_xor('h', _round('0::UHUGEINT', 'x')) + f' * {_n(P1)}') + f' + {_n(P4)}')}, {met})"
     eight = _mod(_mod(_turn(_xor("h", _round("0::UHUGEINT", "k")), 27) + f" * {_n(P1)}") + f" + {_n(P4)}")
@@ -136,7 +138,14 @@ def sketches(k: int = 128) -> str:
     chain = []
     for step in range(1, 6):
         seed = _n(42) if step == 1 else "acc"
-        chain.append(xxh64(f"c{step}", f"(SELECT *, coalesce(sh[{step}], {_n(0)}) AS word FROM {'runs' if step == 1 else f's{step - 1}'})", long_bytes("word"), seed))
+        chain.append(
+            xxh64(
+                f"c{step}",
+                f"(SELECT *, coalesce(sh[{step}], {_n(0)}) AS word FROM {'runs' if step == 1 else f's{step - 1}'})",
+                long_bytes("word"),
+                seed,
+            )
+        )
         kept = "h" if step == 1 else f"CASE WHEN len(sh) >= {step} THEN h ELSE acc END"
         chain.append(f"s{step} AS (SELECT sh, {kept} AS acc FROM c{step})")
     union = lambda a, b: f"list_sort(list_distinct(list_concat({a}, {b})))[1 : {k}]"

@@ -63,7 +63,10 @@ CUES = {
 # Candidates: runs of digit groups, and spelled-out addresses.
 GROUP = re.compile(r"[0-9]++")
 JOINT = re.compile(r"[\x20().-]{1,2}\Z")
-SPELLED_AT = re.compile(r"[\x20]?(?:\[at\]|\(at\)|\[@\]|\(@\))[\x20]?([A-Za-z0-9-]++(?:[\x20]?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))[\x20]?[A-Za-z0-9-]++)++)", re.IGNORECASE)
+SPELLED_AT = re.compile(
+    r"[\x20]?(?:\[at\]|\(at\)|\[@\]|\(@\))[\x20]?([A-Za-z0-9-]++(?:[\x20]?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))[\x20]?[A-Za-z0-9-]++)++)",
+    re.IGNORECASE,
+)
 SPELLED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 DOT = re.compile(r"[\x20]?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)[\x20]?", re.IGNORECASE)
 TOKEN = re.compile(r"[^\s,;:!?<>()\[\]\"']++")
@@ -220,7 +223,15 @@ def _nodes(text: str, base: list[Span]) -> list[_Node]:
                 found.append((m.start(), m.start() + len(piece), "at sign", _keys("email", piece)))
             elif piece.lower() in locals_:
                 found.append((m.start(), m.start() + len(piece), "word", _keys("word", piece)))
-    nodes = [_Node(s.start, s.end, LABELS.index(s.kind), _keys(s.kind, text[s.start : s.end]), _shape(text, s.start, s.end, "number" if s.kind in ("card", "phone") else s.kind)) for s in base]
+    nodes = [
+        _Node(
+            s.start,
+            s.end,
+            LABELS.index(s.kind),
+            _keys(s.kind, text[s.start : s.end]),
+            _shape(text, s.start, s.end, "number" if s.kind in ("card", "phone") else s.kind),
+        ) for s in base
+    ]
     if found:
         taken, i, last = sorted((s.start, s.end) for s in base), 0, 0
         reach = [0]  # the farthest end among the base spans so far
@@ -366,7 +377,11 @@ def learn(counted: dict[tuple[str, int, int], int]) -> Model:
         elif part == "skip":
             agree[a, b] += n
     shapes = sorted((a, b, n) for (part, a, b), n in counted.items() if part == "node")
-    weights = _softmax_regression(_bits(a for a, _, _ in shapes).reshape(-1, len(NAMES)), np.array([b for _, b, _ in shapes], np.int64), np.log1p([n for *_, n in shapes]))
+    weights = _softmax_regression(
+        _bits(a for a, _, _ in shapes).reshape(-1, len(NAMES)),
+        np.array([b for _, b, _ in shapes], np.int64),
+        np.log1p([n for *_, n in shapes]),
+    )
     expected = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / max(pairs.sum(), 1.0)
     chain = np.log((pairs + UNSEEN) / (expected + UNSEEN))
     same = np.trace(agree)
@@ -408,7 +423,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         for part in (p for whole in parts for p in slices(whole, 0)):
             found += counts(part.column(0).to_pylist())
         rows = list(found.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))] + [pa.array([n for _, n in rows], pa.int64())], names=["part", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[i] for k, _ in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))
+            ] + [pa.array([n for _, n in rows], pa.int64())],
+            names=["part", "a", "b", "n"],
+        )
 
     each = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(batches, "part string, a long, b long, n long")
     return learn({(r.part, r.a, r.b): r.n for r in each.groupBy("part", "a", "b").agg(F.sum("n").alias("n")).collect()})
@@ -444,10 +464,16 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             counts = [pa.array([sum(s.kind == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(join(base).encode()).hexdigest() for base, _ in found], pa.string())
             spans = pa.array([join(base + added) for base, added in found], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, spans, pa.array([len(a) for _, a in found], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *counts, digest, spans, pa.array([len(a) for _, a in found], pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+            )
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(batches, f"doc_id {dict(kept.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return kept.mapInArrow(
+        batches,
+        f"doc_id {dict(kept.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long",
+    )
 
 
 def redact_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

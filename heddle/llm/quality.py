@@ -149,7 +149,14 @@ def score(text: str | None, model: Model) -> float:
     return float(1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample_docs: int = SAMPLE_DOCS,
+) -> Model:
     """Fits on a sample of the documents that ``labels`` marks 0 or 1; rows without a label or id are left out.
 
     An id that has several labels counts as good only if none of them is 0. The driver gets the sample alone.
@@ -158,7 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = marks.count()
     share = min(1.0, sample_docs / n) if n else 0.0
     drawn = marks.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(drawn, "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text").toArrow()
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+    ).join(drawn, "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text").toArrow()
     return fit(rows.column("text").to_pylist(), rows.column("label").to_pylist())
 
 
@@ -174,7 +184,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         own = shared.value
         for part in (p for whole in parts for p in slices(whole, 1)):
             got = np.fromiter((score(t.as_py(), own) for t in part.column(1)), np.float64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32))],
+                names=["doc_id", "score", "predicted"],
+            )
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(batches, f"doc_id {dict(kept.dtypes)['doc_id']}, score double, predicted int")

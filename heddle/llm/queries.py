@@ -88,7 +88,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     columns = ("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(odd).alias("text"),
+    )
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(more)
     made = chat.render(chat.canonical_turns(_several_layouts(chat.from_rows(rows))))
     read = made.withColumns({"read": chat.read_turns(F.col("formatted")), "loss": chat.masked_text(F.col("formatted"), F.col("loss_mask"))})
@@ -135,7 +140,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urlfilter, op2_pii, op3_fingerprints, op4_sentencepiece, op5_chat, op6_quality, op7_langid, op8_sharding, op9_decontamination, op10_simhash)}
+    return {
+        f.__name__: f for f in (
+            op1_urlfilter,
+            op2_pii,
+            op3_fingerprints,
+            op4_sentencepiece,
+            op5_chat,
+            op6_quality,
+            op7_langid,
+            op8_sharding,
+            op9_decontamination,
+            op10_simhash,
+        )
+    }
 
 
 #: Exact containment of every item in every document, by distinct five-word shingles.
@@ -195,4 +213,11 @@ FROM t GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urlfilter": OP1_SQL, "op3_fingerprints": oracles.sketches(), "op5_chat": OP5_SQL, "op8_sharding": oracles.sharding(), "op9_decontamination": OP9_SQL, "op10_simhash": oracles.simhash()}
+    return {
+        "op1_urlfilter": OP1_SQL,
+        "op3_fingerprints": oracles.sketches(),
+        "op5_chat": OP5_SQL,
+        "op8_sharding": oracles.sharding(),
+        "op9_decontamination": OP9_SQL,
+        "op10_simhash": oracles.simhash(),
+    }

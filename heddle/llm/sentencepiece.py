@@ -123,7 +123,23 @@ def load(path: str) -> Vocabulary:
     for i, p in enumerate(proto.pieces):
         if p.type == 6:
             byte_ids[int(p.piece[3:5], 16)] = i
-    return Vocabulary(chars, size, sp.bos_id(), sp.eos_id(), byte_ids, keys, first, ranks.astype(np.int32), merged, alone, np.array([runs.get(n, 0) for n in range(longest + 1)]), rests, np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), max(map(len, ranked)))
+    return Vocabulary(
+        chars,
+        size,
+        sp.bos_id(),
+        sp.eos_id(),
+        byte_ids,
+        keys,
+        first,
+        ranks.astype(np.int32),
+        merged,
+        alone,
+        np.array([runs.get(n, 0) for n in range(longest + 1)]),
+        rests,
+        np.frombuffer(b"".join(text), np.uint8),
+        np.cumsum([0, *map(len, text)]),
+        max(map(len, ranked)),
+    )
 
 
 def _leftmost(n: int, lengths: set[int]) -> list[int]:
@@ -311,7 +327,11 @@ def _bytes(symbols: np.ndarray, word: np.ndarray, v: Vocabulary) -> tuple[np.nda
     """Characters that are no pieces become the pieces of their UTF-8 bytes."""
     names = {s: c for c, s in v.chars.items() if s >= v.size}
     plain = symbols < v.size
-    spelled = {s: v.byte_ids[np.frombuffer((names.get(s) or chr(s - (1 << 24))).encode("utf-8", "surrogatepass"), np.uint8)] for s in map(int, np.unique(symbols[~plain]))}
+    spelled = {
+        s: v.byte_ids[
+            np.frombuffer((names.get(s) or chr(s - (1 << 24))).encode("utf-8", "surrogatepass"), np.uint8)
+        ] for s in map(int, np.unique(symbols[~plain]))
+    }
     lengths = np.ones(len(symbols), np.int64)
     for s, ids in spelled.items():
         lengths[symbols == s] = len(ids)
@@ -417,7 +437,10 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 columns.append(pa.ListArray.from_arrays(pa.array([0, *stops.tolist()], pa.int32()), pa.array(ids.astype(np.int32))))
             if "decoded" in outputs:
                 columns.append(pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[x for x in extra if x in outputs]])
+            yield pa.RecordBatch.from_arrays(
+                columns,
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[x for x in extra if x in outputs]],
+            )
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {dict(kept.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {x} {extra[x][0]}" for x in extra if x in outputs)

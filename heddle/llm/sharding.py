@@ -49,7 +49,9 @@ def tree(shards: int = SHARDS, weights: dict[int, float] | None = None, added: i
     leaf = lambda i: Node(f"shard-{i}", weight=(weights or {}).get(i, 1.0), shard=i)
     regions = []
     for r in range(0, shards, REGION):
-        racks = [Node(f"rack-{k}", tuple(leaf(i) for i in range(k, min(k + RACK, r + REGION, shards)))) for k in range(r, min(r + REGION, shards), RACK)]
+        racks = [
+            Node(f"rack-{k}", tuple(leaf(i) for i in range(k, min(k + RACK, r + REGION, shards)))) for k in range(r, min(r + REGION, shards), RACK)
+        ]
         regions.append(Node(f"region-{r}", tuple(racks)))
     for i in range(shards, shards + added):
         regions.append(Node(f"region-of-{i}", (Node(f"rack-of-{i}", (leaf(i),)),)))
@@ -78,7 +80,13 @@ def shard_of(key: Column, node: Node) -> Column:
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", weights: dict[int, float] | None = None) -> DataFrame:
+def assign(
+    docs: DataFrame,
+    shards: int = SHARDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    weights: dict[int, float] | None = None,
+) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     ``size`` is the text's UTF-8 bytes (none for null) plus 8; ``law`` is ``key``: the id and the tree decide.

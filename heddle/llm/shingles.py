@@ -28,4 +28,7 @@ def with_shingles(df: DataFrame, text: Column, to: str = "shingles", size: int =
     df = df.withColumn(h, F.transform(words(text, separator), lambda w: F.xxhash64(w)))
     chained = F.transform(F.col(h), lambda x, i: F.xxhash64(x, *[F.get(F.col(h), i + F.lit(j)) for j in range(1, size)]))
     n = F.size(h)
-    return df.withColumn(to, F.when(n >= size, F.slice(chained, 1, n - F.lit(size - 1))).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))).drop(h)
+    return df.withColumn(
+        to,
+        F.when(n >= size, F.slice(chained, 1, n - F.lit(size - 1))).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")),
+    ).drop(h)

@@ -75,7 +75,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.fromiter((fingerprint(t.as_py()) for t in part.column(1)), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64)), part.column(2)], names=["doc_id", "fp", "mark"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if mark is None else mark).cast("long").alias("mark"))
+    kept = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        (F.lit(None) if mark is None else mark).cast("long").alias("mark"),
+    )
     found = kept.mapInArrow(batches, "doc_id long, fp long, mark long")
     return found.drop("mark") if mark is None else found
 
@@ -155,7 +159,11 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     segments = segments or segments_for(nodes.count(), max_bits)
     chains, keys = _chains(segments, max_bits), _keys(segments, max_bits)
     part = lambda mask: F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-    keyed = nodes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(m).alias("key")) for i, m in enumerate(keys)])).alias("k")).select("fp", "rep", "k.i", "k.key")
+    keyed = nodes.select(
+        "fp",
+        "rep",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), part(m).alias("key")) for i, m in enumerate(keys)])).alias("k"),
+    ).select("fp", "rep", "k.i", "k.key")
     small, large = _split_by_size(keyed, ["i", "key"], bucket)
     further = [_further(m, max_bits) for m in keys]
     parts = F.array(*[F.array(*[part(m) for m in masks]) for masks in further])
@@ -168,11 +176,24 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
 
     def pairs(rows: DataFrame, on: list[str], path: str) -> DataFrame:
         other = rows.select(*on, F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-        return rows.join(other, on).where((F.col("fp") < F.col("fp2")) & chain_ok).select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(path).alias("path"))
-
-    flips = [F.struct(F.lit(b).alias("bit"), (F.col("fp").bitwiseXOR if max_bits == 2 else F.col("fp").bitwiseAND)(F.lit(_signed((1 << b) ^ (0 if max_bits == 2 else (1 << 64) - 1)))).alias("value")) for b in range(64)]
+        return rows.join(other, on).where((F.col("fp") < F.col("fp2")) & chain_ok).select(
+            F.col("rep").alias("a"),
+            F.col("rep2").alias("b"),
+            F.lit(path).alias("path"),
+        )
+
+    flips = [
+        F.struct(
+            F.lit(b).alias("bit"),
+            (
+                F.col("fp").bitwiseXOR if max_bits == 2 else F.col("fp").bitwiseAND
+            )(F.lit(_signed((1 << b) ^ (0 if max_bits == 2 else (1 << 64) - 1)))).alias("value"),
+        ) for b in range(64)
+    ]
     if max_bits == 2:  # any bit flipped names the same value; at 1, the bit left open is part of the name
-        flips = [F.struct(F.lit(0).alias("bit"), f["value"].alias("value")) for f in flips] + [F.struct(F.lit(0).alias("bit"), F.col("fp").alias("value"))]
+        flips = [
+            F.struct(F.lit(0).alias("bit"), f["value"].alias("value")) for f in flips
+        ] + [F.struct(F.lit(0).alias("bit"), F.col("fp").alias("value"))]
     stars = (
         many.select("fp", "rep").distinct().select("rep", F.explode(F.array(*flips)).alias("named"))
         .withColumn("least", F.min("rep").over(Window.partitionBy("named.bit", "named.value")))  # at most 65 fingerprints name a value
@@ -183,7 +204,15 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int | None = Non
     return found.distinct() if paths else found.drop("path").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int | None = None, bucket: int = BUCKET, mark: Column | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = MAX_BITS,
+    segments: int | None = None,
+    bucket: int = BUCKET,
+    mark: Column | None = None,
+) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the least doc_id reachable over links, itself included; and ``mark`` if one is given.
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows that repeat an id stay
@@ -265,14 +294,24 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got = [long_fingerprints(t.as_py(), bands, bits) for t in part.column(1)]
             some = pa.array([g is not None for g in got], pa.bool_())
             got = [g for g in got if g is not None]
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(some), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([n for _, n in got], pa.list_(pa.int64()))], names=["doc_id", "keys", "near"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).filter(some),
+                    pa.array([k for k, _ in got], pa.list_(pa.int64())),
+                    pa.array([n for _, n in got], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "keys", "near"],
+            )
 
     fps = Stored(kept.mapInArrow(batches, "doc_id long, keys array<long>, near array<long>")).df
     keyed = fps.select("doc_id", F.posexplode("keys").alias("band", "key"))
     least = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     pairs = keyed.join(least, ["band", "key"]).where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = fps.select("doc_id", "near")
-    both = pairs.join(near.select(F.col("doc_id").alias("a"), F.col("near").alias("x")), "a").join(near.select(F.col("doc_id").alias("b"), F.col("near").alias("y")), "b")
+    both = pairs.join(
+        near.select(F.col("doc_id").alias("a"), F.col("near").alias("x")),
+        "a",
+    ).join(near.select(F.col("doc_id").alias("b"), F.col("near").alias("y")), "b")
     apart = reduce(lambda p, q: p + q, [F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(NEAR_WORDS)])
     return both.where(apart <= F.lit(int(64 * NEAR_WORDS * math.acos(similarity) / math.pi))).select("a", "b").distinct()
 
@@ -283,7 +322,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = spare(docs, "heddle_key")
     gone = groups.select(F.col("node").alias(key))
     marked = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
-    return marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(
+        F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone,
+        key,
+        "left_anti",
+    ).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -305,5 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     if repeated:  # equal rows: the first of each that has an id
         twice = judged.where(F.col("stays") & (F.col("n") > 1)).select(F.col("doc_id").alias(key), F.col("mark").alias(name))
         same = F.broadcast(twice) if repeated <= BROADCAST_ROWS else twice
-        out = out.join(same, [key, name], "left_anti").unionByName(out.join(same, [key, name], "left_semi").select(out.columns).dropDuplicates([key, name]))
+        out = out.join(same, [key, name], "left_anti").unionByName(
+            out.join(same, [key, name], "left_semi").select(out.columns).dropDuplicates([key, name])
+        )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

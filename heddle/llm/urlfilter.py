@@ -50,7 +50,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     strict = F.create_map(*[x for a, n in STRICT.items() for x in (F.lit(a), F.lit(n))])
     low = F.lower("value")
-    value = F.when(F.col("kind") == "prefix", F.concat(F.substring_index(low, "/", 1), F.regexp_replace(F.substring(F.col("value"), F.length(F.substring_index("value", "/", 1)) + F.lit(1), F.length("value")), "/+$", ""))).otherwise(F.rtrim(low, F.lit(".")))
+    value = F.when(
+        F.col("kind") == "prefix",
+        F.concat(
+            F.substring_index(low, "/", 1),
+            F.regexp_replace(F.substring(F.col("value"), F.length(F.substring_index("value", "/", 1)) + F.lit(1), F.length("value")), "/+$", ""),
+        ),
+    ).otherwise(F.rtrim(low, F.lit(".")))
     days = (
         entries.where(F.col("kind").isin(*KINDS) & F.col("action").isin(*STRICT) & F.col("value").isNotNull() & F.col("listed_on").isNotNull())
         .select("kind", value.alias("value"), "listed_on", F.struct(F.try_element_at(strict, F.col("action")).alias("n"), "action").alias("a"))
@@ -67,12 +73,23 @@ def _keys(url: Column, depths: list[int]) -> Column:
     name, segments = host(url), path_segments(url)
     labels = F.when(name.startswith("["), F.array(name)).otherwise(F.split(name, r"\."))
     key = lambda kind, value, rank: F.struct(F.lit(kind).alias("kind"), value.alias("value"), rank.cast("int").alias("rank"))
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."), F.size(labels) - i))
-    prefixes = [F.when(F.size(segments) >= d, key("prefix", F.concat(name, F.lit("/"), F.array_join(F.slice(segments, 1, d), "/")), F.lit(d))) for d in depths]
+    domains = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."), F.size(labels) - i),
+    )
+    prefixes = [
+        F.when(F.size(segments) >= d, key("prefix", F.concat(name, F.lit("/"), F.array_join(F.slice(segments, 1, d), "/")), F.lit(d))) for d in depths
+    ]
     return F.when(name != "", F.array_compact(F.concat(domains, F.array(key("host", name, F.lit(0)), *prefixes))))
 
 
-def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def judge(
+    captures: DataFrame,
+    entries: DataFrame,
+    url_col: str = "url",
+    time_col: str = "fetched_at",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """``captures`` with ``verdict``, ``matched_kind``, ``matched_value`` and ``listed_on`` of the entry that decided.
 
     The verdict is ``blocked``, ``allowed``, ``unlisted`` (no entry in force; a null time has none) or ``no_url`` (null, empty
@@ -85,7 +102,11 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     n, depths = valid.agg(F.count("*"), F.collect_set(F.when(F.col("kind") == "prefix", F.size(F.split("value", "/")) - F.lit(1)))).first()
     own_url, own_time = F.col(f"`{url_col}`").cast("string"), F.col(f"`{time_col}`")
     once = rows.select(own_url.alias("url"), own_time.alias("at")).where("url IS NOT NULL AND at IS NOT NULL").distinct()
-    keys = once.select("url", "at", F.explode_outer(_keys(F.col("url"), sorted(depths))).alias("k")).select("url", "at", "k.kind", "k.value", "k.rank")
+    keys = once.select(
+        "url",
+        "at",
+        F.explode_outer(_keys(F.col("url"), sorted(depths))).alias("k"),
+    ).select("url", "at", "k.kind", "k.value", "k.rank")
     on = ["kind", "value"]
     if n <= broadcast_rows:
         valid = F.broadcast(valid)
@@ -95,15 +116,26 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
         on.append("salt")
     in_force = keys.join(valid, on).where((F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     special = F.create_map(*[x for k, i in KINDS.items() for x in (F.lit(k), F.lit(i))])
-    best = in_force.groupBy("url", "at").agg(F.max(F.struct(F.try_element_at(special, F.col("kind")).alias("special"), "rank", "kind", "value", "action", "valid_from")).alias("best"))
+    best = in_force.groupBy("url", "at").agg(
+        F.max(F.struct(F.try_element_at(special, F.col("kind")).alias("special"), "rank", "kind", "value", "action", "valid_from")).alias("best")
+    )
     # one column of a name that no capture has carries the key, another what was decided
     key, found = spare(rows, "judged_key"), spare(rows, "judged")
     nth = F.monotonically_increasing_id()
     salt = F.when(own_url.isNotNull() & own_time.isNotNull(), F.pmod(nth, F.lit(BACK_SALTS))).otherwise(F.lit(-1) - nth).cast("long")  # rows that match nothing are spread
     keyed = rows.withColumn(key, F.struct(own_url.alias("url"), own_time.alias("at"), salt.alias("salt")))
-    decided = best.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(BACK_SALTS)]))).select(F.struct("url", "at", "salt").alias(key), F.col("best").alias(found))
+    decided = best.withColumn(
+        "salt",
+        F.explode(F.array(*[F.lit(i).cast("long") for i in range(BACK_SALTS)])),
+    ).select(F.struct("url", "at", "salt").alias(key), F.col("best").alias(found))
     joined = keyed.join(decided, key, "left")
     verdict = F.when(F.coalesce(host(own_url), F.lit("")) == "", F.lit(NO_URL))
     for action, name in VERDICTS.items():
         verdict = verdict.when(F.col(f"{found}.action") == action, F.lit(name))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], verdict.otherwise(F.lit(UNLISTED)).alias("verdict"), F.col(f"{found}.kind").alias("matched_kind"), F.col(f"{found}.value").alias("matched_value"), F.col(f"{found}.valid_from").alias("listed_on"))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        verdict.otherwise(F.lit(UNLISTED)).alias("verdict"),
+        F.col(f"{found}.kind").alias("matched_kind"),
+        F.col(f"{found}.value").alias("matched_value"),
+        F.col(f"{found}.valid_from").alias("listed_on"),
+    )
