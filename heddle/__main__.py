@@ -23,7 +23,9 @@ from heddle.sources.tables import table
 def _tables(spark, folder: str, names: list[str] | None = None):
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     found = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
-    return {n: table(spark, folder, n) for n in sorted(f.removesuffix(".parquet") for f in found if f.endswith(".parquet")) if not names or n in names}
+    return {
+        n: table(spark, folder, n) for n in sorted(f.removesuffix(".parquet") for f in found if f.endswith(".parquet")) if not names or n in names
+    }
 
 
 def main(arguments: list[str]) -> int:

@@ -16,4 +16,10 @@ def running(sizes: Column) -> Column:
     run = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(BLOCK)), lambda i: run(F.slice(sizes, i, BLOCK)))
     before = run(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(before) - F.lit(1)), lambda b, start: F.transform(F.slice(b, 1, F.size(b) - F.lit(1)), lambda x: x + start)))
+    return F.flatten(
+        F.zip_with(
+            blocks,
+            F.slice(before, 1, F.size(before) - F.lit(1)),
+            lambda b, start: F.transform(F.slice(b, 1, F.size(b) - F.lit(1)), lambda x: x + start),
+        )
+    )

@@ -21,7 +21,10 @@ def jsonable(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         return F.when(value.isNotNull(), F.struct(*[jsonable(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
     if isinstance(kind, T.MapType):
-        keyed = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), jsonable(e["value"], kind.valueType).alias("value")))
+        keyed = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(e["key"].cast("string").alias("key"), jsonable(e["value"], kind.valueType).alias("value")),
+        )
         return F.map_from_entries(keyed)
     return value if isinstance(kind, (T.FloatType, T.DoubleType)) else value.cast("string")
 

@@ -6,7 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Date pattern letters of the other dialect and Spark's, longest first.
-PATTERNS = (("HH24", "HH"), ("HH12", "hh"), ("YYYY", "yyyy"), ("Month", "MMMM"), ("Mon", "MMM"), ("DDD", "DDD"), ("Day", "EEEE"), ("Dy", "EEE"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("MM", "MM"), ("DD", "dd"), ("YY", "yy"), ("AM", "a"), ("PM", "a"))
+PATTERNS = (
+    ("HH24", "HH"),
+    ("HH12", "hh"),
+    ("YYYY", "yyyy"),
+    ("Month", "MMMM"),
+    ("Mon", "MMM"),
+    ("DDD", "DDD"),
+    ("Day", "EEEE"),
+    ("Dy", "EEE"),
+    ("MI", "mm"),
+    ("SS", "ss"),
+    ("MS", "SSS"),
+    ("MM", "MM"),
+    ("DD", "dd"),
+    ("YY", "yy"),
+    ("AM", "a"),
+    ("PM", "a"),
+)
 
 
 def pattern(text: str) -> str:
@@ -48,14 +65,19 @@ def regexp_replace_first(text: Column, regexp: str, to: str) -> Column:
 
 def generate_series(start: Column, stop: Column, step: Column) -> Column:
     """The rows from start to stop; none where the step leads away."""
-    return F.explode(F.when((step > 0) & (start <= stop) | (step < 0) & (start >= stop), F.sequence(start, stop, step)).otherwise(F.array().cast("array<bigint>")))
+    return F.explode(
+        F.when((step > 0) & (start <= stop) | (step < 0) & (start >= stop), F.sequence(start, stop, step)).otherwise(F.array().cast("array<bigint>"))
+    )
 
 
 def age(later: Column, earlier: Column) -> Column:
     """(months, days) between two dates by calendar fields: months first; missing days are borrowed from the earlier date's month."""
     days = F.day(later) - F.day(earlier)
     months = 12 * (F.year(later) - F.year(earlier)) + F.month(later) - F.month(earlier)
-    return F.struct(F.when(days < 0, months - 1).otherwise(months).cast("int").alias("months"), F.when(days < 0, days + F.day(F.last_day(earlier))).otherwise(days).cast("int").alias("days"))
+    return F.struct(
+        F.when(days < 0, months - 1).otherwise(months).cast("int").alias("months"),
+        F.when(days < 0, days + F.day(F.last_day(earlier))).otherwise(days).cast("int").alias("days"),
+    )
 
 
 def justify_days(days: Column) -> Column:

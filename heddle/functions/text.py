@@ -55,7 +55,11 @@ def says_not_in_source(answer: Column) -> Column:
 
 def citations(answer: Column) -> Column:
     """The distinct numbers cited as ``[n]``, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)), lambda n: F.try_element_at(F.array(n.try_cast("int")), F.lit(1)))))
+    return F.array_sort(
+        F.array_distinct(
+            F.transform(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)), lambda n: F.try_element_at(F.array(n.try_cast("int")), F.lit(1)))
+        )
+    )
 
 
 def known_citations(cited: Column, passages: Column) -> Column:

@@ -50,7 +50,15 @@ def index(points: DataFrame, planes: Planes, id_col: str = "chunk_id", vector_co
     return each.select(F.posexplode("places").alias("table", "place"), "id", "vector")
 
 
-def search(indexed: DataFrame, queries: DataFrame, planes: Planes, top_k: int, query_col: str = "query_id", vector_col: str = "vector", probes: bool = True) -> DataFrame:
+def search(
+    indexed: DataFrame,
+    queries: DataFrame,
+    planes: Planes,
+    top_k: int,
+    query_col: str = "query_id",
+    vector_col: str = "vector",
+    probes: bool = True,
+) -> DataFrame:
     """(query, rank, id, score): the nearest of the points found, by cosine, ties by id.
 
     ``probes`` also looks one sign away in every table. A point found in several tables is scored once.
@@ -59,7 +67,10 @@ def search(indexed: DataFrame, queries: DataFrame, planes: Planes, top_k: int, q
     places = asked.select("q", F.posexplode(_places(F.col("asked"), planes)).alias("table", "place"))
     flips = F.array(F.lit(0).cast("long"), *([F.lit(1 << p).cast("long") for p in range(planes.planes)] if probes else []))
     looked = places.select("q", "table", F.explode(F.transform(flips, lambda x: F.col("place").bitwiseXOR(x))).alias("place"))
-    met = indexed.join(F.broadcast(looked) if looked.count() <= 1_000_000 else looked, ["table", "place"]).select("q", "id", "vector").dropDuplicates(["q", "id"])
+    met = indexed.join(
+        F.broadcast(looked) if looked.count() <= 1_000_000 else looked,
+        ["table", "place"],
+    ).select("q", "id", "vector").dropDuplicates(["q", "id"])
     scored = met.join(asked, "q").select("q", "id", cosine(F.col("vector"), F.col("asked")).alias("score")).where("score IS NOT NULL")
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
     best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_k)

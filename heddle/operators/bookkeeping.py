@@ -101,9 +101,22 @@ def catalog_columns(namespaces: DataFrame, classes: DataFrame, attributes: DataF
     The catalog's relations: namespaces (ns, name), classes (class, ns, name, kind, readable), attributes (class, num, name, type, dropped), types (type, name,
     category).
     """
-    own = classes.where(F.col("kind").isin("r", "v", "m", "p", "f") & F.col("readable")).join(namespaces.where(F.col("name") == schema).select("ns"), "ns").select("class", F.col("name").alias("table_name"))
-    columns = attributes.where((F.col("num") > 0) & ~F.col("dropped")).select("class", F.col("num").alias("position"), F.col("name").alias("column"), "type")
-    return own.join(columns, "class").join(types.select("type", F.col("name").alias("type_name"), "category"), "type").select("table_name", "position", "column", F.col("type_name").alias("type"), "category")
+    own = classes.where(
+        F.col("kind").isin("r", "v", "m", "p", "f") & F.col("readable")
+    ).join(namespaces.where(F.col("name") == schema).select("ns"), "ns").select("class", F.col("name").alias("table_name"))
+    columns = attributes.where((F.col("num") > 0) & ~F.col("dropped")).select(
+        "class",
+        F.col("num").alias("position"),
+        F.col("name").alias("column"),
+        "type",
+    )
+    return own.join(columns, "class").join(types.select("type", F.col("name").alias("type_name"), "category"), "type").select(
+        "table_name",
+        "position",
+        "column",
+        F.col("type_name").alias("type"),
+        "category",
+    )
 
 
 def catalog_relations(spark: SparkSession, schema: str, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -112,7 +125,15 @@ def catalog_relations(spark: SparkSession, schema: str, tables: dict[str, DataFr
 
     category = {"bigint": "N", "double precision": "N", "date": "D", "timestamp": "D", "timestamptz": "D", "boolean": "B", "text": "S"}
     kinds: dict[str, int] = {}
-    attributes = [(i, n + 1, f.name, kinds.setdefault(column_kind(f.dataType)[0], len(kinds)), False) for i, df in enumerate(tables.values()) for n, f in enumerate(df.schema.fields)]
+    attributes = [
+        (
+            i,
+            n + 1,
+            f.name,
+            kinds.setdefault(column_kind(f.dataType)[0], len(kinds)),
+            False,
+        ) for i, df in enumerate(tables.values()) for n, f in enumerate(df.schema.fields)
+    ]
     return (
         spark.createDataFrame([(0, schema)], "ns int, name string"),
         spark.createDataFrame([(i, 0, name, "r", True) for i, name in enumerate(tables)], "class int, ns int, name string, kind string, readable boolean"),
@@ -144,7 +165,11 @@ def upsert_experiment(experiments: DataFrame, rows: DataFrame) -> DataFrame:
     clash = rows.select("name", "config_hash").unionByName(experiments.select("name", "config_hash")).groupBy("name").agg(F.count_distinct("config_hash").alias("n")).where("n > 1")
     if taken := [r["name"] for r in clash.orderBy("name").limit(5).collect()]:
         raise RecordError(f"Other settings have the name {', '.join(taken)}; give these another.")
-    return upsert(experiments, rows.join(experiments.select("config_hash"), "config_hash", "left_anti").dropDuplicates(["config_hash"]), ["config_hash"])
+    return upsert(
+        experiments,
+        rows.join(experiments.select("config_hash"), "config_hash", "left_anti").dropDuplicates(["config_hash"]),
+        ["config_hash"],
+    )
 
 
 def schema_names(schemas: DataFrame, collections: DataFrame, prefix: str = "examples_") -> DataFrame:
@@ -156,7 +181,10 @@ def schema_names(schemas: DataFrame, collections: DataFrame, prefix: str = "exam
 def carry_over(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` columns (name, description, ...) with the description that the column had before where they bring none."""
     kept = old.select("name", F.col("description").alias("_kept"))
-    return new.join(kept, "name", "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "_kept", F.lit(""))).drop("_kept").select(new.columns)
+    return new.join(kept, "name", "left").withColumn(
+        "description",
+        F.coalesce(F.nullif("description", F.lit("")), "_kept", F.lit("")),
+    ).drop("_kept").select(new.columns)
 
 
 # points
@@ -190,7 +218,14 @@ def point_id(name: Column, namespace: str) -> Column:
     """The version-5 UUID of a name: what is written again under it replaces itself. ``namespace`` is a UUID."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + F.lit(1), F.lit(1))
-    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+    return F.concat_ws(
+        "-",
+        F.substring(digest, 1, 8),
+        F.substring(digest, 9, 4),
+        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
+        F.concat(variant, F.substring(digest, 18, 3)),
+        F.substring(digest, 21, 12),
+    )
 
 
 # appended records
@@ -202,7 +237,9 @@ def append(rows: DataFrame, path: str, schema: str) -> None:
     if unknown := set(rows.columns) - set(want.names):
         raise RecordError(f"The log has no column {', '.join(sorted(unknown))}.")
     now = lambda f: F.current_timestamp() if f.name == "created_at" else F.lit(None).cast(f.dataType)
-    made = rows.select(*[(F.coalesce(F.col(f.name).cast(f.dataType), now(f)) if f.name in rows.columns else now(f)).alias(f.name) for f in want.fields])
+    made = rows.select(
+        *[(F.coalesce(F.col(f.name).cast(f.dataType), now(f)) if f.name in rows.columns else now(f)).alias(f.name) for f in want.fields]
+    )
     if "stage" in want.names and (odd := made.where(~F.col("stage").isin(*STAGES)).select("stage").limit(1).collect()):
         raise RecordError(f"There is no stage {odd[0].stage}; stages are {', '.join(STAGES)}.")
     made.write.mode("append").parquet(path)
@@ -253,7 +290,9 @@ def without_chat(turns: DataFrame, session: object) -> DataFrame:
 def chat_problems(turns: DataFrame) -> DataFrame:
     """(session_id, problem): sessions that are of two kinds, or repeat a turn's number; none if all is well."""
     kinds = turns.groupBy("session_id").agg(F.count_distinct("kind").alias("n")).where("n > 1").select("session_id", F.lit("two kinds").alias("problem"))
-    return kinds.unionByName(turns.groupBy("session_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("session_id", F.lit("repeated turn").alias("problem")).distinct())
+    return kinds.unionByName(
+        turns.groupBy("session_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("session_id", F.lit("repeated turn").alias("problem")).distinct()
+    )
 
 
 def good_answers(events: DataFrame, turn: str = "turn", seq: str = "seq", kind: str = "kind", value: str = "value") -> DataFrame:
@@ -263,7 +302,12 @@ def good_answers(events: DataFrame, turn: str = "turn", seq: str = "seq", kind:
     failed nor abstained; its SQL is the last that was written before the last run. One aggregate by turn: no window holds a turn.
     """
     at = lambda name: F.max(F.when(F.col(kind) == name, F.col(seq)))
-    ran = events.groupBy(turn).agg(at("sql_ran").alias("ran"), at("answered").alias("answered"), at("abstained").alias("abstained"), at("error").alias("error"))
+    ran = events.groupBy(turn).agg(
+        at("sql_ran").alias("ran"),
+        at("answered").alias("answered"),
+        at("abstained").alias("abstained"),
+        at("error").alias("error"),
+    )
     good = ran.where("ran IS NOT NULL AND answered IS NOT NULL AND abstained IS NULL AND error IS NULL").select(turn, "ran")
     written = events.where(F.col(kind) == "sql_written").join(good, turn).where(F.col(seq) < F.col("ran"))
     return written.groupBy(turn).agg(F.max_by(value, seq).alias("sql"))

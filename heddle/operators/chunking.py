@@ -36,13 +36,28 @@ def blocks_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def blocks_from_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Headings, paragraphs and list items of a page, without scripts, navigation, advertisements and footers."""
     clean = F.regexp_replace(html_col, NOISE, "")
-    found = pages.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(clean, F.lit(BLOCK), F.lit(1)).alias("tags"), F.regexp_extract_all(clean, F.lit(BLOCK), F.lit(2)).alias("bodies"))
-    each = found.select("doc_id", F.posexplode_outer(F.arrays_zip("tags", "bodies")).alias("ord", "b")).select("doc_id", "ord", F.lower("b.tags").alias("tag"), F.col("b.bodies").alias("body"))
+    found = pages.select(
+        F.col(id_col).alias("doc_id"),
+        F.regexp_extract_all(clean, F.lit(BLOCK), F.lit(1)).alias("tags"),
+        F.regexp_extract_all(clean, F.lit(BLOCK), F.lit(2)).alias("bodies"),
+    )
+    each = found.select("doc_id", F.posexplode_outer(F.arrays_zip("tags", "bodies")).alias("ord", "b")).select(
+        "doc_id",
+        "ord",
+        F.lower("b.tags").alias("tag"),
+        F.col("b.bodies").alias("body"),
+    )
     text = F.regexp_replace("body", "(?is)<[^>]*>", " ")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     heading = F.col("tag").startswith("h")
-    rows = each.select("doc_id", "ord", F.when(heading, "heading").otherwise("text").alias("kind"), F.when(heading, F.substring("tag", 2, 1).cast("int")).alias("level"), squash(text).alias("text"))
+    rows = each.select(
+        "doc_id",
+        "ord",
+        F.when(heading, "heading").otherwise("text").alias("kind"),
+        F.when(heading, F.substring("tag", 2, 1).cast("int")).alias("level"),
+        squash(text).alias("text"),
+    )
     return rows.where(F.col("text") != "")
 
 
@@ -55,7 +70,11 @@ def segment(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ord")
     level = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "heading", F.greatest(F.lit(1), F.least(F.col("level"), F.lit(LEVELS - 1))))
     marked = kept.withColumn("_level", level)
-    seen = marked.withColumns({f"_h{i}": F.last(F.when(F.col("_level") == i, F.struct("ord", "text")), ignorenulls=True).over(order) for i in range(LEVELS)} | {"_s": F.sum(F.when(F.col("_level").isNotNull(), 1).otherwise(0)).over(order)})
+    seen = marked.withColumns(
+        {
+            f"_h{i}": F.last(F.when(F.col("_level") == i, F.struct("ord", "text")), ignorenulls=True).over(order) for i in range(LEVELS)
+        } | {"_s": F.sum(F.when(F.col("_level").isNotNull(), 1).otherwise(0)).over(order)}
+    )
     path = []
     for i in range(LEVELS):
         above = [F.coalesce(F.col(f"_h{j}.ord"), F.lit(-1)) for j in range(i)]
@@ -68,9 +87,18 @@ def segment(blocks: DataFrame) -> DataFrame:
 def sections(segmented: DataFrame) -> DataFrame:
     """(doc_id, section, headings, text, starts): paragraphs joined by blank lines, with the offset at which each starts."""
     rows = segmented.where(~F.col("kind").isin("heading", "title", "table"))
-    met = rows.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"), F.first("headings").alias("headings"))
+    met = rows.groupBy("doc_id", "section").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"),
+        F.first("headings").alias("headings"),
+    )
     met = met.withColumn("starts", running(F.transform("p", lambda p: F.length(p["text"]) + 2)))
-    return met.select("doc_id", "section", "headings", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"), F.transform("starts", lambda s: s.cast("int")).alias("starts"))
+    return met.select(
+        "doc_id",
+        "section",
+        "headings",
+        F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"),
+        F.transform("starts", lambda s: s.cast("int")).alias("starts"),
+    )
 
 
 def locate(starts: Column, offset: Column) -> Column:
@@ -91,7 +119,12 @@ def fixed(docs: DataFrame, max_tokens: int, overlap: int = 0, id_col: str = "doc
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.lit(overlap)), F.lit(step))
     piece = split.select(id_col, "w", F.posexplode(starts).alias("piece", "start"))
     own = F.slice("w", F.col("start"), max_tokens)
-    return piece.select(id_col, F.col("piece").cast("long").alias("piece"), F.array_join(own, " ").alias("text"), F.size(own).cast("long").alias("token_count"))
+    return piece.select(
+        id_col,
+        F.col("piece").cast("long").alias("piece"),
+        F.array_join(own, " ").alias("text"),
+        F.size(own).cast("long").alias("token_count"),
+    )
 
 
 def _blank(x: Column) -> Column:
@@ -145,13 +178,25 @@ def recursive(parts: DataFrame, max_tokens: int, text_col: str = "text") -> Data
     """Rows with ``pieces``: sentences packed to the budget; a sentence beyond it is cut into windows of words."""
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w)), F.lit(max_tokens)), lambda i: F.concat(F.array_join(F.slice(w, i, max_tokens), " "), F.lit(" ")))
     # most texts have no blank piece and need no fold; each step is a column, so that it is evaluated once
-    split = parts.withColumn("_p", _split_sentences(F.col(text_col))).withColumn("_p", F.when(F.exists("_p", _blank), _join_blanks(F.col("_p"))).otherwise(F.col("_p")))
+    split = parts.withColumn("_p", _split_sentences(F.col(text_col))).withColumn(
+        "_p",
+        F.when(F.exists("_p", _blank), _join_blanks(F.col("_p"))).otherwise(F.col("_p")),
+    )
     split = split.withColumn("_w", F.transform("_p", lambda s: F.struct(s.alias("t"), words_of(s).alias("w"))))
-    split = split.withColumn("_s", F.flatten(F.transform("_w", lambda x: F.when(F.size(x["w"]) > max_tokens, cut(x["w"])).otherwise(F.array(x["t"])))))
+    split = split.withColumn(
+        "_s",
+        F.flatten(F.transform("_w", lambda x: F.when(F.size(x["w"]) > max_tokens, cut(x["w"])).otherwise(F.array(x["t"])))),
+    )
     return split.withColumn("pieces", pack(F.col("_s"), max_tokens)).drop("_p", "_w", "_s")
 
 
-def breakpoints(sentences_: DataFrame, percentile: float = 0.9, by: str | list[str] = "section", order_col: str = "ord", vector_col: str = "embedding") -> DataFrame:
+def breakpoints(
+    sentences_: DataFrame,
+    percentile: float = 0.9,
+    by: str | list[str] = "section",
+    order_col: str = "ord",
+    vector_col: str = "embedding",
+) -> DataFrame:
     """Rows with ``distance`` (to the sentence before), ``threshold`` (of the section) and ``piece``: a new one after a jump."""
     by = [by] if isinstance(by, str) else by
     order = Window.partitionBy(*by).orderBy(order_col)
@@ -168,17 +213,32 @@ def sentence_groups(parts: DataFrame, buffer: int = 1, by: tuple[str, ...] = ("d
     return each.withColumn("context", F.array_join(F.collect_list("sentence").over(around), ""))
 
 
-def semantic(parts: DataFrame, embed: Callable[[DataFrame], DataFrame], max_tokens: int, percentile: float = 0.9, buffer: int = 1, by: tuple[str, ...] = ("doc_id", "section"), text_col: str = "text") -> DataFrame:
+def semantic(
+    parts: DataFrame,
+    embed: Callable[[DataFrame], DataFrame],
+    max_tokens: int,
+    percentile: float = 0.9,
+    buffer: int = 1,
+    by: tuple[str, ...] = ("doc_id", "section"),
+    text_col: str = "text",
+) -> DataFrame:
     """(by, piece, text, token_count): sentences cut where their context turns, then cut to the budget.
 
     ``embed`` adds ``embedding`` to (by, ord, sentence, context). A section is cut where the distance between neighbours is
     beyond its own ``percentile``; a piece of more than ``max_tokens`` words is split as ``recursive`` does.
     """
     cut = breakpoints(embed(sentence_groups(parts, buffer, by, text_col)), percentile, list(by))
-    met = cut.groupBy(*by, "piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sentence"))), lambda s: s["sentence"]), "").alias("text"))
+    met = cut.groupBy(*by, "piece").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "sentence"))), lambda s: s["sentence"]), "").alias("text")
+    )
     split = recursive(met, max_tokens).select(*by, "piece", F.posexplode_outer("pieces").alias("part", "text")).where("text IS NOT NULL")
     order = Window.partitionBy(*by).orderBy("piece", "part")
-    return split.select(*by, (F.row_number().over(order) - 1).cast("long").alias("piece"), "text", F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
+    return split.select(
+        *by,
+        (F.row_number().over(order) - 1).cast("long").alias("piece"),
+        "text",
+        F.size(words_of(F.col("text"))).cast("long").alias("token_count"),
+    )
 
 
 def locate_pieces(text: Column, pieces: Column) -> Column:
@@ -205,9 +265,24 @@ def hierarchical(segmented: DataFrame) -> DataFrame:
 def merge_peers(blocks: DataFrame, max_tokens: int) -> DataFrame:
     """(doc_id, section, headings, piece, text, token_count): neighbouring blocks of a section joined while they fit."""
     rows = blocks.where(~F.col("kind").isin("heading", "title"))
-    met = rows.groupBy("doc_id", "section").agg(F.first("headings").alias("headings"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda p: F.concat(p["text"], F.lit("\n"))).alias("p"))
-    out = met.select("doc_id", "section", "headings", F.posexplode_outer(pack(F.col("p"), max_tokens)).alias("piece", "text")).where("text IS NOT NULL")
-    return out.select("doc_id", "section", "headings", F.col("piece").cast("long").alias("piece"), "text", F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
+    met = rows.groupBy("doc_id", "section").agg(
+        F.first("headings").alias("headings"),
+        F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda p: F.concat(p["text"], F.lit("\n"))).alias("p"),
+    )
+    out = met.select(
+        "doc_id",
+        "section",
+        "headings",
+        F.posexplode_outer(pack(F.col("p"), max_tokens)).alias("piece", "text"),
+    ).where("text IS NOT NULL")
+    return out.select(
+        "doc_id",
+        "section",
+        "headings",
+        F.col("piece").cast("long").alias("piece"),
+        "text",
+        F.size(words_of(F.col("text"))).cast("long").alias("token_count"),
+    )
 
 
 def with_headings(headings: Column, text: Column) -> Column:
@@ -227,7 +302,10 @@ def rows_as_text(header: Column, cells: Column) -> Column:
 
 def markdown_row(cells: Column) -> Column:
     """A Markdown table's line; bars and line feeds inside cells are kept apart from the table's own."""
-    clean = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", " "), F.lit("|"), F.lit("\\|")))
+    clean = F.transform(
+        cells,
+        lambda c: F.replace(F.regexp_replace(F.trim(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", " "), F.lit("|"), F.lit("\\|")),
+    )
     return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
 
 
@@ -247,7 +325,10 @@ def table_chunks(tables: DataFrame, max_tokens: int, handling: str = "markdown")
     else:
         rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("header")))
         head = F.concat(markdown_row(F.col("header")), F.lit("\n"), rule)
-        pieces = F.transform(pack_within(F.transform("rows", lambda r: F.concat(markdown_row(r), F.lit("\n"))), room), lambda body: F.concat(head, F.lit("\n"), body))
+        pieces = F.transform(
+            pack_within(F.transform("rows", lambda r: F.concat(markdown_row(r), F.lit("\n"))), room),
+            lambda body: F.concat(head, F.lit("\n"), body),
+        )
     made = tables.withColumn("_pieces", pieces).select("doc_id", "ord", "headings", F.posexplode_outer("_pieces").alias("piece", "text"))
     return made.where("text IS NOT NULL").select("doc_id", "ord", "headings", F.col("piece").cast("long").alias("piece"), "text")
 
@@ -268,7 +349,12 @@ def picture_chunks(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ord")
     beside = blocks.join(known, ["doc_id", "ord"], "left").withColumn("headings", F.last("headings", ignorenulls=True).over(order))
     text = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.concat(F.lit("Figure on page "), F.col("page").cast("string")))
-    return beside.where(F.col("kind") == "picture").select("doc_id", "ord", text.alias("text"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"))
+    return beside.where(F.col("kind") == "picture").select(
+        "doc_id",
+        "ord",
+        text.alias("text"),
+        F.coalesce("headings", F.array().cast("array<string>")).alias("headings"),
+    )
 
 
 def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
@@ -279,7 +365,12 @@ def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
 
 def summary(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunks, tokens_min, tokens_mean, tokens_max), the mean at one decimal, and ``by_modality`` where chunks have one."""
-    aggs = [F.count("*").alias("chunks"), F.min("token_count").alias("tokens_min"), F.round(F.avg("token_count"), 1).alias("tokens_mean"), F.max("token_count").alias("tokens_max")]
+    aggs = [
+        F.count("*").alias("chunks"),
+        F.min("token_count").alias("tokens_min"),
+        F.round(F.avg("token_count"), 1).alias("tokens_mean"),
+        F.max("token_count").alias("tokens_max"),
+    ]
     if "modality" in chunks.columns:
         kinds = F.array_sort(F.collect_set("modality"))
         count = F.map_from_arrays(F.array(*[F.lit(m) for m in MODALITIES]), F.array(*[F.count_if(F.col("modality") == m) for m in MODALITIES]))
@@ -287,7 +378,12 @@ def summary(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(*aggs)
 
 
-def assemble(segmented: DataFrame, split: Callable[[DataFrame], DataFrame], tables: DataFrame | None = None, pictures: DataFrame | None = None) -> DataFrame:
+def assemble(
+    segmented: DataFrame,
+    split: Callable[[DataFrame], DataFrame],
+    tables: DataFrame | None = None,
+    pictures: DataFrame | None = None,
+) -> DataFrame:
     """(doc_id, chunk_index, chunk_id, modality, headings, text, embed_text, token_count): all chunks of each document in its order.
 
     ``split`` turns sections (doc_id, section, headings, text) into (doc_id, section, piece, text). Pieces stand where their section begins, or at their own ``ord`` if they have one; tables
@@ -297,7 +393,10 @@ def assemble(segmented: DataFrame, split: Callable[[DataFrame], DataFrame], tabl
     first = segmented.where(~F.col("kind").isin("heading", "title", "table")).groupBy("doc_id", "section").agg(F.min("ord").alias("ord"))
     pieces = split(whole)
     place = whole.select("doc_id", "section", "headings")
-    pieces = pieces.select("doc_id", "section", "piece", "text", *["ord"] * ("ord" in pieces.columns)).join(place if "ord" in pieces.columns else place.join(first, ["doc_id", "section"]), ["doc_id", "section"])
+    pieces = pieces.select("doc_id", "section", "piece", "text", *["ord"] * ("ord" in pieces.columns)).join(
+        place if "ord" in pieces.columns else place.join(first, ["doc_id", "section"]),
+        ["doc_id", "section"],
+    )
     columns = ["doc_id", "ord", "piece", "modality", "headings", "text"]
     rows = pieces.withColumn("modality", F.lit("text")).select(columns)
     if tables is not None:
@@ -306,10 +405,30 @@ def assemble(segmented: DataFrame, split: Callable[[DataFrame], DataFrame], tabl
         rows = rows.unionByName(pictures.withColumns({"modality": F.lit("picture"), "piece": F.lit(0).cast("long")}).select(columns))
     kept = rows.where(~_blank(F.col("text")))
     numbered = number_chunks(kept, "ord", "piece")
-    return numbered.select("doc_id", "chunk_index", "chunk_id", "modality", "headings", "text", with_headings(F.col("headings"), F.col("text")).alias("embed_text"), F.size(words_of(F.col("text"))).cast("long").alias("token_count"))
-
-
-def chunk(segmented: DataFrame, strategy: str, max_tokens: int = 512, overlap: int = 0, percentile: float = 0.9, buffer: int = 1, embed: Callable[[DataFrame], DataFrame] | None = None, tables: DataFrame | None = None, pictures: DataFrame | None = None, handling: str = "markdown") -> tuple[DataFrame, list[str]]:
+    return numbered.select(
+        "doc_id",
+        "chunk_index",
+        "chunk_id",
+        "modality",
+        "headings",
+        "text",
+        with_headings(F.col("headings"), F.col("text")).alias("embed_text"),
+        F.size(words_of(F.col("text"))).cast("long").alias("token_count"),
+    )
+
+
+def chunk(
+    segmented: DataFrame,
+    strategy: str,
+    max_tokens: int = 512,
+    overlap: int = 0,
+    percentile: float = 0.9,
+    buffer: int = 1,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    tables: DataFrame | None = None,
+    pictures: DataFrame | None = None,
+    handling: str = "markdown",
+) -> tuple[DataFrame, list[str]]:
     """(chunks as ``assemble`` gives them, warnings) by the strategy that settings name; an unknown one is a ValueError.
 
     Overlap only means something to ``fixed``; elsewhere it is left out with a warning.
@@ -327,14 +446,27 @@ def chunk(segmented: DataFrame, strategy: str, max_tokens: int = 512, overlap: i
         return fixed(keyed, max_tokens, overlap, "_key").select("_key.doc_id", "_key.section", "piece", "text")
 
     def recursive_pieces(whole: DataFrame) -> DataFrame:
-        return recursive(whole, max_tokens).select("doc_id", "section", F.posexplode_outer("pieces").alias("piece", "text")).where("text IS NOT NULL").withColumn("piece", F.col("piece").cast("long"))
+        return recursive(whole, max_tokens).select(
+            "doc_id",
+            "section",
+            F.posexplode_outer("pieces").alias("piece", "text"),
+        ).where("text IS NOT NULL").withColumn("piece", F.col("piece").cast("long"))
 
     def semantic_pieces(whole: DataFrame) -> DataFrame:
         if embed is None:
             raise ValueError("The strategy semantic needs an embedding.")
         return semantic(whole, embed, max_tokens, percentile, buffer)
 
-    splits = {"fixed": fixed_pieces, "recursive": recursive_pieces, "semantic": semantic_pieces, "hybrid": lambda _: merge_peers(segmented.where("kind <> 'table'"), max_tokens), "hierarchical": lambda _: hierarchical(segmented.where("kind <> 'table'")).join(segmented.select("doc_id", "ord", "section"), ["doc_id", "ord"]).withColumn("piece", F.col("ord").cast("long"))}
+    splits = {
+        "fixed": fixed_pieces,
+        "recursive": recursive_pieces,
+        "semantic": semantic_pieces,
+        "hybrid": lambda _: merge_peers(segmented.where("kind <> 'table'"), max_tokens),
+        "hierarchical": lambda _: hierarchical(segmented.where("kind <> 'table'")).join(
+            segmented.select("doc_id", "ord", "section"),
+            ["doc_id", "ord"],
+        ).withColumn("piece", F.col("ord").cast("long")),
+    }
     if strategy not in splits:
         raise ValueError(f"The strategy {strategy} is not one of {', '.join(sorted(splits))}.")
     return assemble(segmented, splits[strategy], made, pictures), warnings

@@ -48,7 +48,13 @@ def node_medians(timings: DataFrame, turn: str, node: str, ms: str) -> DataFrame
     return per_turn.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("turns"), F.round(F.median("_ms"), 6).alias("median_ms"))
 
 
-def ranking_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), query: str = "query_id", item: str = "item_id") -> DataFrame:
+def ranking_metrics(
+    hits: DataFrame,
+    relevant: DataFrame,
+    ks: tuple[int, ...] = (1, 3, 5, 10),
+    query: str = "query_id",
+    item: str = "item_id",
+) -> DataFrame:
     """(query, first, average_precision and for each k: hit, recall, precision, ndcg).
 
     ``hits`` has (query, item, rank), ``relevant`` (query, item). An item counts at its best rank.
@@ -69,14 +75,27 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] =
     out = [query, F.round("mrr", 6).alias("mrr"), F.round(F.col("_ap") / F.col("n"), 6).alias("map")]
     for k in ks:
         hit = F.col(f"_h{k}")
-        out += [(hit > 0).cast("int").alias(f"hit_{k}"), F.round(hit / F.col("n"), 6).alias(f"recall_{k}"), F.round(hit / F.lit(k), 6).alias(f"precision_{k}"), F.round(F.col(f"_g{k}") / ideal(k), 6).alias(f"ndcg_{k}")]
+        out += [
+            (hit > 0).cast("int").alias(f"hit_{k}"),
+            F.round(hit / F.col("n"), 6).alias(f"recall_{k}"),
+            F.round(hit / F.lit(k), 6).alias(f"precision_{k}"),
+            F.round(F.col(f"_g{k}") / ideal(k), 6).alias(f"ndcg_{k}"),
+        ]
     return rows.select(*out)
 
 
 def latency(rows: DataFrame, by: str, ms: str) -> DataFrame:
     """(by, n, mean, p50, p95, p99, least, most); percentiles are values that occur (nearest rank)."""
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {ms})")
-    return rows.groupBy(by).agg(F.count(ms).alias("n"), F.round(F.avg(ms), 6).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min(ms).alias("least"), F.max(ms).alias("most"))
+    return rows.groupBy(by).agg(
+        F.count(ms).alias("n"),
+        F.round(F.avg(ms), 6).alias("mean"),
+        at(0.5).alias("p50"),
+        at(0.95).alias("p95"),
+        at(0.99).alias("p99"),
+        F.min(ms).alias("least"),
+        F.max(ms).alias("most"),
+    )
 
 
 def changes(now: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:
@@ -87,9 +106,21 @@ def changes(now: DataFrame, before: DataFrame, key: str, value: str) -> DataFram
 
 def fold_turn(events: DataFrame, turn: str, seq: str, kind: str, value: str) -> DataFrame:
     """(turn, events, trace, last_of_kind...): a turn's events in order as one row, by an ordered fold."""
-    met = events.groupBy(turn).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(value).alias("value")))).alias("e"))
-    runs = F.aggregate("e", F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x["kind"]), acc).otherwise(F.concat(acc, F.array(x["kind"]))))
-    return met.select(turn, F.size("e").cast("long").alias("events"), F.array_join(runs, ">").alias("trace"), F.element_at("e", -1)["kind"].alias("last_kind"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["value"]), 4).alias("total"))
+    met = events.groupBy(turn).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(value).alias("value")))).alias("e")
+    )
+    runs = F.aggregate(
+        "e",
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x["kind"]), acc).otherwise(F.concat(acc, F.array(x["kind"]))),
+    )
+    return met.select(
+        turn,
+        F.size("e").cast("long").alias("events"),
+        F.array_join(runs, ">").alias("trace"),
+        F.element_at("e", -1)["kind"].alias("last_kind"),
+        F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["value"]), 4).alias("total"),
+    )
 
 
 @contextmanager

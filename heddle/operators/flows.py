@@ -103,7 +103,10 @@ def ask_documents(
         step = search.after_grade(top >= enough_score, rewrites, max_rewrites)
         while step == "rewrite":
             titles = list(dict.fromkeys(" > ".join(h.headings) for h in ranked if h.headings))
-            query = model("rewrite", f"Question: {question}\nTried: {'; '.join(tried)}\nSections nearby: {'; '.join(titles) or 'none'}\nAnother query:").strip()
+            query = model(
+                "rewrite",
+                f"Question: {question}\nTried: {'; '.join(tried)}\nSections nearby: {'; '.join(titles) or 'none'}\nAnother query:",
+            ).strip()
             rewrites += 1
             new = is_new(query, tried)
             turn.emit("rewrote", query=query, new=new)
@@ -119,7 +122,16 @@ def ask_documents(
         shown = "\n\n".join(passage(i, h) for i, h in enumerate(context, 1)) or "none"
         answer = model("answer", f"Passages:\n\n{shown}\n\nQuestion: {question}")
         cited, unknown = citations(answer, len(context))
-    turn.emit("done", outcome="abstained" if step == "abstain" else "answered", answer=answer, cited=cited, unknown_citations=unknown, rewrites=rewrites, top_score=top, query=tried[-1])
+    turn.emit(
+        "done",
+        outcome="abstained" if step == "abstain" else "answered",
+        answer=answer,
+        cited=cited,
+        unknown_citations=unknown,
+        rewrites=rewrites,
+        top_score=top,
+        query=tried[-1],
+    )
     return turn
 
 
@@ -133,7 +145,9 @@ def extract_sql(reply: str) -> str:
 def result_table(result: guard.QueryResult, rows: int = SHOWN_ROWS) -> str:
     """The result as its reader is shown it."""
     cell = lambda v: "NULL" if v is None else str(v) if len(str(v)) <= CELL_CHARS else str(v)[: CELL_CHARS - 1] + "…"
-    head = f"{result.row_count} rows" + (", cut at the limit" if result.truncated else "") + (f", the first {rows} shown" if result.row_count > rows else "")
+    head = f"{result.row_count} rows" + (", cut at the limit" if result.truncated else "") + (
+        f", the first {rows} shown" if result.row_count > rows else ""
+    )
     return "\n".join([head, " | ".join(result.columns), *(" | ".join(map(cell, r)) for r in result.rows[:rows])])
 
 
@@ -214,4 +228,12 @@ def summary(turn: Turn) -> dict[str, Any]:
     """What is saved of a turn, also of one that broke off: the last query, hits and SQL so far."""
     done = next((e for e in turn.events if e["type"] == "done"), {})
     query = turn.last("rewrote", "query") or turn.last("query", "text")
-    return {"query": done.get("query", query), "hits": turn.last("retrieved", "hits", []), "sql": turn.last("sql_written", "sql", ""), "outcome": done.get("outcome"), "answer": done.get("answer"), "cited": done.get("cited", []), "failed": not done}
+    return {
+        "query": done.get("query", query),
+        "hits": turn.last("retrieved", "hits", []),
+        "sql": turn.last("sql_written", "sql", ""),
+        "outcome": done.get("outcome"),
+        "answer": done.get("answer"),
+        "cited": done.get("cited", []),
+        "failed": not done,
+    }

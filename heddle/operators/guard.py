@@ -141,7 +141,9 @@ class _Walk:
         if len(parts) > 2:
             raise Refused(f"Only tables of the schema {self.schema} may be used; drop the database name.")
         if len(parts) == 2 and parts[0].lower() != self.schema.lower():
-            raise Refused(f"Only tables of the schema {self.schema} may be used, not {parts[0].lower()}.{name}. Tables: {', '.join(sorted(self.tables))}.")
+            raise Refused(
+                f"Only tables of the schema {self.schema} may be used, not {parts[0].lower()}.{name}. Tables: {', '.join(sorted(self.tables))}."
+            )
         if name not in self.tables:
             raise self.refuse_table(name)
         if len(parts) == 2:
@@ -193,7 +195,13 @@ class _Walk:
             parts = _list(node.nameParts()) if kind == "UnresolvedAttribute" else _list(node.target().get()) if node.target().isDefined() else []
             if len(parts) > (kind == "UnresolvedAttribute") + 1 and parts[0].lower() == self.schema.lower():
                 self.unqualify(node)
-        if hasattr(node, "plan") and "Subquery" in kind or kind in ("Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+        if hasattr(node, "plan") and "Subquery" in kind or kind in (
+            "Exists",
+            "ListQuery",
+            "InSubquery",
+            "LateralSubquery",
+            "FunctionTableSubqueryArgumentExpression",
+        ):
             inner = node.query() if kind == "InSubquery" else node
             self.plan(inner.plan(), ctes)
         for child in _list(node.children()):

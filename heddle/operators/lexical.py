@@ -53,10 +53,22 @@ def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return counts.select(id_col, "term", "tf", document_weight(F.col("tf"), F.col("length"), average).alias("weight"))
     means = lengths.groupBy(batch_col).agg(F.avg("_n").alias("_mean"))
     batches = lengths.select(*dict.fromkeys([id_col, batch_col])).join(means, batch_col)
-    return counts.join(batches, id_col).select(*dict.fromkeys([id_col, batch_col]), "term", "tf", document_weight(F.col("tf"), F.col("length"), F.col("_mean")).alias("weight"))
-
-
-def sparse_search(docs: DataFrame, terms: list[str], top_k: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
+    return counts.join(batches, id_col).select(
+        *dict.fromkeys([id_col, batch_col]),
+        "term",
+        "tf",
+        document_weight(F.col("tf"), F.col("length"), F.col("_mean")).alias("weight"),
+    )
+
+
+def sparse_search(
+    docs: DataFrame,
+    terms: list[str],
+    top_k: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    where: Column | None = None,
+) -> DataFrame:
     """(rank, id, score): the best texts for a query by BM25 with IDF, ties by id.
 
     ``where`` filters before the search; texts without a query term are absent. Only occurrences of query terms are
@@ -80,7 +92,17 @@ def ranked(scored: DataFrame, top_k: int, id_col: str) -> DataFrame:
     return best.select(F.row_number().over(order).cast("long").alias("rank"), id_col, "score")
 
 
-def sparse_search_batch(docs: DataFrame, questions: DataFrame, top_k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", question_col: str = "question", seeds: int = SEED_POSTINGS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sparse_search_batch(
+    docs: DataFrame,
+    questions: DataFrame,
+    top_k: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    query_col: str = "query_id",
+    question_col: str = "question",
+    seeds: int = SEED_POSTINGS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(query_id, rank, id, score) for a table of questions, exact, without joining common words with their postings.
 
     Each question is first sought by its rarest terms alone, at most about ``seeds`` postings of them; the score of its ``top_k``th
@@ -93,7 +115,14 @@ def sparse_search_batch(docs: DataFrame, questions: DataFrame, top_k: int, id_co
     wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
     split = docs.select(F.col(id_col).alias("d"), tokens(F.col(text_col)).alias("t"))
     # one row of the empty term for each text counts them and their lengths beside the terms' frequencies
-    each = split.select(F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("t").cast("long").alias("length"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("length"))))).alias("e")).select("e.*")
+    each = split.select(
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.lit("").alias("term"), F.size("t").cast("long").alias("length"))),
+                F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("length"))),
+            )
+        ).alias("e")
+    ).select("e.*")
     met = Stored(each.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))).df
     whole = met.where("term = ''").first()
     n, mean = (whole["df"], (whole["length"] or 0) / whole["df"]) if whole else (0, 0.0)
@@ -104,7 +133,11 @@ def sparse_search_batch(docs: DataFrame, questions: DataFrame, top_k: int, id_co
     def found(some: DataFrame) -> DataFrame:
         """(q, d, score) by these (q, term, idf) alone."""
         have = small(some.select("term").distinct())
-        counts = split.select("d", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).join(have, "term", "left_semi").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
+        counts = split.select(
+            "d",
+            F.size("t").cast("long").alias("length"),
+            F.explode("t").alias("term"),
+        ).join(have, "term", "left_semi").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
         weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
         return counts.join(small(some.select("q", "term", "idf")), "term").groupBy("q", "d").agg(F.sum(weight).alias("score"))
 
@@ -117,7 +150,11 @@ def sparse_search_batch(docs: DataFrame, questions: DataFrame, top_k: int, id_co
     near = found(judged.where(~F.col("idle"))).join(small(rest), "q").where(F.col("bar").isNull() | (F.col("score") + F.col("rest") >= F.col("bar")))
     candidates = Stored(near.select("q", "d")).df
     few = small(candidates.select("d").distinct())
-    postings = split.join(few, "d", "left_semi").select("d", F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
+    postings = split.join(few, "d", "left_semi").select(
+        "d",
+        F.size("t").cast("long").alias("length"),
+        F.explode("t").alias("term"),
+    ).groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
     weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
     scored = candidates.join(small(known.select("q", "term", "idf")), "q").join(postings, ["d", "term"]).groupBy("q", "d").agg(F.sum(weight).alias("score"))
     order = own.orderBy(F.round("score", 9).desc(), "d")

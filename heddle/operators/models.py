@@ -151,9 +151,18 @@ def rerank(pairs: DataFrame, reranker: Reranker, query_col: str = "question", te
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            both = list(zip(part.column(part.schema.get_field_index(query_col)).to_pylist(), part.column(part.schema.get_field_index(text_col)).to_pylist(), strict=True))
+            both = list(
+                zip(
+                    part.column(part.schema.get_field_index(query_col)).to_pylist(),
+                    part.column(part.schema.get_field_index(text_col)).to_pylist(),
+                    strict=True,
+                )
+            )
             some = [p for p in both if None not in p]
             scores = iter([s for i in range(0, len(some), BATCH) for s in with_retries(lambda i=i: reranker.score(some[i : i + BATCH]))])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if None in p else float(next(scores)) for p in both], pa.float64())], names=[*part.schema.names, to])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([None if None in p else float(next(scores)) for p in both], pa.float64())],
+                names=[*part.schema.names, to],
+            )
 
     return pairs.mapInArrow(batches, T.StructType([*pairs.schema.fields, T.StructField(to, T.DoubleType())]))

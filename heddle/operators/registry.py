@@ -62,7 +62,11 @@ def sync(known: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 def sessions(turns: DataFrame, session: str = "conv_id", turn: str = "turn", question: str = "text") -> DataFrame:
     """(session, title, turns, last_turn): the title is the first question's first 80 characters."""
-    return turns.groupBy(session).agg(F.substring(F.min_by(question, turn), 1, TITLE_CHARS).alias("title"), F.count("*").alias("turns"), F.max(turn).alias("last_turn"))
+    return turns.groupBy(session).agg(
+        F.substring(F.min_by(question, turn), 1, TITLE_CHARS).alias("title"),
+        F.count("*").alias("turns"),
+        F.max(turn).alias("last_turn"),
+    )
 
 
 def history(turns: DataFrame, pairs: int, session: str = "conv_id", turn: str = "turn") -> DataFrame:

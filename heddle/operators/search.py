@@ -25,7 +25,14 @@ def equals(filters: dict[str, object] | None) -> Column | None:
     return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in filters.items()]) if filters else None
 
 
-def dense_search(chunks: DataFrame, query: Column, top_k: int, id_col: str = "chunk_id", vector_col: str = "embedding", filters: dict[str, object] | None = None) -> DataFrame:
+def dense_search(
+    chunks: DataFrame,
+    query: Column,
+    top_k: int,
+    id_col: str = "chunk_id",
+    vector_col: str = "embedding",
+    filters: dict[str, object] | None = None,
+) -> DataFrame:
     """(rank, id, score): the nearest vectors by cosine, ties by id. The filter and the columns read reach the scan."""
     where = equals(filters)
     pool = chunks if where is None else chunks.where(where)
@@ -33,7 +40,16 @@ def dense_search(chunks: DataFrame, query: Column, top_k: int, id_col: str = "ch
     return ranked(beside.select(id_col, cosine(F.col(vector_col), F.col("_query")).alias("score")).where("score IS NOT NULL"), top_k, id_col)
 
 
-def dense_search_batch(chunks: DataFrame, queries: DataFrame, top_k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector_col: str = "vector", block_values: int = BLOCK_VALUES) -> DataFrame:
+def dense_search_batch(
+    chunks: DataFrame,
+    queries: DataFrame,
+    top_k: int,
+    id_col: str = "chunk_id",
+    vector_col: str = "embedding",
+    query_col: str = "query_id",
+    query_vector_col: str = "vector",
+    block_values: int = BLOCK_VALUES,
+) -> DataFrame:
     """(query_id, rank, id, score) for a table of query vectors, ties by id.
 
     The queries go out in blocks of at most ``block_values`` numbers, each a broadcast matrix. A task multiplies every batch of chunks by
@@ -79,12 +95,19 @@ def _best_of(spark: SparkSession, queries: list, dim: int, top_k: int) -> Callab
                 n = min(top_k, len(s))
                 edge = np.partition(s, len(s) - n, axis=0)[len(s) - n] - 1e-9
                 rows = np.flatnonzero((s >= edge).any(1))
-                i, x = _first(np.concatenate([ids[:, some], np.repeat(own[rows][:, None], s.shape[1], 1)]), np.concatenate([scores[:, some], s[rows]]), top_k)
+                i, x = _first(
+                    np.concatenate([ids[:, some], np.repeat(own[rows][:, None], s.shape[1], 1)]),
+                    np.concatenate([scores[:, some], s[rows]]),
+                    top_k,
+                )
                 new_ids.append(i)
                 new_scores.append(x)
             ids, scores = np.concatenate(new_ids, 1), np.concatenate(new_scores, 1)
         if ids.size:
-            yield pa.RecordBatch.from_arrays([pa.array([q for q in names for _ in range(len(ids))]), pa.array(ids.T.ravel().tolist()), pa.array(scores.T.ravel())], names=["q", "id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([q for q in names for _ in range(len(ids))]), pa.array(ids.T.ravel().tolist()), pa.array(scores.T.ravel())],
+                names=["q", "id", "score"],
+            )
 
     return batches
 
@@ -103,7 +126,18 @@ def branch_limit(candidates: int, top_k: int) -> int:
     return max(candidates, top_k)
 
 
-def hybrid_search(chunks: DataFrame, query: Column, terms: list[str], top_k: int, candidates: int = 20, id_col: str = "chunk_id", vector_col: str = "embedding", text_col: str = "text", filters: dict[str, object] | None = None, k: int = RRF_K) -> DataFrame:
+def hybrid_search(
+    chunks: DataFrame,
+    query: Column,
+    terms: list[str],
+    top_k: int,
+    candidates: int = 20,
+    id_col: str = "chunk_id",
+    vector_col: str = "embedding",
+    text_col: str = "text",
+    filters: dict[str, object] | None = None,
+    k: int = RRF_K,
+) -> DataFrame:
     """(rank, id, score): dense and lexical branches under the same filter, each with its own limit, fused.
 
     Raises ValueError where the collection has no texts to weigh terms by.
@@ -112,7 +146,12 @@ def hybrid_search(chunks: DataFrame, query: Column, terms: list[str], top_k: int
     if missing:
         raise ValueError(f"A hybrid search needs the column {missing[0]}; index the collection with term weights or search it by vectors alone.")
     limit = branch_limit(candidates, top_k)
-    return fuse([dense_search(chunks, query, limit, id_col, vector_col, filters), sparse_search(chunks, terms, limit, id_col, text_col, equals(filters))], top_k, id_col, k)
+    return fuse(
+        [dense_search(chunks, query, limit, id_col, vector_col, filters), sparse_search(chunks, terms, limit, id_col, text_col, equals(filters))],
+        top_k,
+        id_col,
+        k,
+    )
 
 
 def first_pictures(hits: DataFrame, most: int) -> DataFrame:
@@ -167,7 +206,13 @@ def after_rewrite(is_new: bool, rewrites: int, max_rewrites: int) -> str:
     return "retrieve" if is_new else "rewrite" if rewrites < max_rewrites else "abstain"
 
 
-def answer_batch(questions: DataFrame, search: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], threshold: float, max_rewrites: int) -> tuple[DataFrame, DataFrame]:
+def answer_batch(
+    questions: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    rewrite: Callable[[DataFrame], DataFrame],
+    threshold: float,
+    max_rewrites: int,
+) -> tuple[DataFrame, DataFrame]:
     """(resolved, abstained) questions after at most ``max_rewrites`` + 1 searches, each over all that are unresolved.
 
     ``questions`` has (query_id, question); ``search`` gives (query_id, rank, id, score); ``rewrite`` gives new questions.
@@ -175,7 +220,11 @@ def answer_batch(questions: DataFrame, search: Callable[[DataFrame], DataFrame],
     """
     done, open_ = None, questions.select("query_id", "question")
     for attempt in range(max_rewrites + 1):
-        graded = open_.join(search(open_).groupBy("query_id").agg(F.max("score").alias("best_score")), "query_id", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0))).withColumn("searches", F.lit(attempt + 1).cast("long"))
+        graded = open_.join(
+            search(open_).groupBy("query_id").agg(F.max("score").alias("best_score")),
+            "query_id",
+            "left",
+        ).withColumn("best_score", F.coalesce("best_score", F.lit(0.0))).withColumn("searches", F.lit(attempt + 1).cast("long"))
         found = graded.where(F.col("best_score") >= threshold)
         done = found if done is None else done.unionByName(found)
         left = graded.where(F.col("best_score") < threshold)

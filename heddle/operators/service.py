@@ -112,7 +112,20 @@ class Failed(Event):
 
 
 #: The events by the name that they have as records.
-EVENTS: dict[str, type[Event]] = {"query": Query, "retrieved": Retrieved, "graded": Graded, "rewrote": Rewrote, "schema": SchemaRead, "examples": ExamplesFound, "sql_written": SqlWritten, "sql_checked": SqlChecked, "sql_ran": SqlRan, "token": Token, "done": Done, "failed": Failed}
+EVENTS: dict[str, type[Event]] = {
+    "query": Query,
+    "retrieved": Retrieved,
+    "graded": Graded,
+    "rewrote": Rewrote,
+    "schema": SchemaRead,
+    "examples": ExamplesFound,
+    "sql_written": SqlWritten,
+    "sql_checked": SqlChecked,
+    "sql_ran": SqlRan,
+    "token": Token,
+    "done": Done,
+    "failed": Failed,
+}
 NAMES = {kind: name for name, kind in EVENTS.items()}
 
 
@@ -151,7 +164,14 @@ def kept(records: Iterable[dict[str, Any]]) -> list[dict[str, Any]]:
 
 def event_rows(spark: SparkSession, turns: dict[str, list[dict[str, Any]]]) -> DataFrame:
     """(turn, seq, kind, payload): the saved events of turns, the payload as JSON text."""
-    rows = [(turn, r["seq"], r["type"], json.dumps(_plain({k: v for k, v in r.items() if k not in ("type", "seq")}), ensure_ascii=False)) for turn, records in turns.items() for r in kept(records)]
+    rows = [
+        (
+            turn,
+            r["seq"],
+            r["type"],
+            json.dumps(_plain({k: v for k, v in r.items() if k not in ("type", "seq")}), ensure_ascii=False),
+        ) for turn, records in turns.items() for r in kept(records)
+    ]
     return spark.createDataFrame(rows, "turn string, seq int, kind string, payload string")
 
 
@@ -204,7 +224,12 @@ def health(spark: SparkSession, checks: dict[str, Callable[[], object]]) -> Data
 
 def model_calls(calls: DataFrame) -> DataFrame:
     """Calls (prompt_tokens, output_tokens, output_ms, context_tokens) with ``per_second`` and ``context_full``."""
-    return calls.withColumns({"per_second": F.try_divide(F.col("output_tokens").cast("double"), F.col("output_ms") / 1000), "context_full": F.coalesce(F.col("prompt_tokens") >= F.col("context_tokens"), F.lit(False))})
+    return calls.withColumns(
+        {
+            "per_second": F.try_divide(F.col("output_tokens").cast("double"), F.col("output_ms") / 1000),
+            "context_full": F.coalesce(F.col("prompt_tokens") >= F.col("context_tokens"), F.lit(False)),
+        }
+    )
 
 
 def model_label(label: Column) -> tuple[Column, Column]:
@@ -288,7 +313,9 @@ CASE = "id string, question string, history array<struct<role:string,text:string
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines; a repeated or missing id, or an unknown expectation, is an error."""
     cases = spark.read.schema(CASE).option("mode", "FAILFAST").json(path)
-    odd = cases.where(F.col("id").isNull() | ~F.coalesce(F.col("expect"), F.lit("")).isin("answer", "abstain", "direct")).select("id", "expect").limit(1).collect()
+    odd = cases.where(
+        F.col("id").isNull() | ~F.coalesce(F.col("expect"), F.lit("")).isin("answer", "abstain", "direct")
+    ).select("id", "expect").limit(1).collect()
     if odd:
         raise ServiceError(f"The case {odd[0].id} expects {odd[0].expect!r}; cases expect answer, abstain or direct.")
     if twice := cases.groupBy("id").count().where("count > 1").limit(1).collect():

@@ -45,7 +45,13 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.sections(C.segment(_marked(spark, sf_dir)))
-    return rows.select("doc_id", "section", content_id(F.col("text")).alias("text_id"), F.size("starts").cast("long").alias("paragraphs"), F.element_at("starts", -1).cast("long").alias("last_start"))
+    return rows.select(
+        "doc_id",
+        "section",
+        content_id(F.col("text")).alias("text_id"),
+        F.size("starts").cast("long").alias("paragraphs"),
+        F.element_at("starts", -1).cast("long").alias("last_start"),
+    )
 
 
 def paragraph_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +109,31 @@ def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _marked(spark, sf_dir)
     pictures = C.picture_chunks(blocks.withColumn("page", (F.col("ord") / 10).cast("int")))
     rows, _ = C.chunk(C.segment(blocks), "fixed", MAX, OVERLAP, pictures=pictures)
-    return rows.select("doc_id", "chunk_index", "modality", content_id(F.col("text")).alias("text_id"), F.array_join("headings", " > ").alias("path"), "token_count")
+    return rows.select(
+        "doc_id",
+        "chunk_index",
+        "modality",
+        content_id(F.col("text")).alias("text_id"),
+        F.array_join("headings", " > ").alias("path"),
+        "token_count",
+    )
 
 
 def chunk_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of each document by modality, of a document's blocks as they are."""
     blocks = _marked(spark, sf_dir)
-    made = blocks.where("kind <> 'heading'").select("doc_id", F.col("kind").alias("modality"), F.size(C.words_of(F.col("text"))).cast("long").alias("token_count"))
+    made = blocks.where("kind <> 'heading'").select(
+        "doc_id",
+        F.col("kind").alias("modality"),
+        F.size(C.words_of(F.col("text"))).cast("long").alias("token_count"),
+    )
     rows = C.summary(made)
-    return rows.select("doc_id", "chunks", F.coalesce(F.try_element_at("by_modality", F.lit("picture")), F.lit(0)).alias("pictures"), F.coalesce(F.try_element_at("by_modality", F.lit("text")), F.lit(0)).alias("texts"))
+    return rows.select(
+        "doc_id",
+        "chunks",
+        F.coalesce(F.try_element_at("by_modality", F.lit("picture")), F.lit(0)).alias("pictures"),
+        F.coalesce(F.try_element_at("by_modality", F.lit("text")), F.lit(0)).alias("texts"),
+    )
 
 
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +144,10 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def picture_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _marked(spark, sf_dir).withColumn("page", (F.col("ord") / 10).cast("int")).withColumn("text", F.when((F.col("kind") == "picture") & (F.col("ord") % 2 == 0), F.lit(None)).otherwise(F.col("text")))
+    blocks = _marked(spark, sf_dir).withColumn("page", (F.col("ord") / 10).cast("int")).withColumn(
+        "text",
+        F.when((F.col("kind") == "picture") & (F.col("ord") % 2 == 0), F.lit(None)).otherwise(F.col("text")),
+    )
     return C.picture_chunks(blocks).select("doc_id", "ord", "text", F.array_join("headings", " > ").alias("path"))
 
 
@@ -136,7 +161,9 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's nations as Markdown rows, split to a budget with the header repeated."""
     line = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))
-    met = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda r: r["line"]).alias("rows"))
+    met = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda r: r["line"]).alias("rows")
+    )
     return met.select("n_regionkey", F.posexplode(C.split_table(F.lit("| key | name |"), F.col("rows"), 12)).alias("piece", "text"))
 
 

@@ -14,16 +14,30 @@ from heddle.sources.tables import table
 
 def compat_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.to_char(d, "YYYY-MM-DD HH24:MI:SS").alias("stamp"), S.to_char(d, "DD/MM/YY").alias("short"), S.age(d.cast("date"), F.to_date(F.lit("1990-06-15")))["months"].alias("months"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        S.to_char(d, "YYYY-MM-DD HH24:MI:SS").alias("stamp"),
+        S.to_char(d, "DD/MM/YY").alias("short"),
+        S.age(d.cast("date"), F.to_date(F.lit("1990-06-15")))["months"].alias("months"),
+    )
 
 
 def compat_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", S.initcap(F.concat(F.col("p_type"), F.lit("-x1 y"))).alias("title"), S.regexp_replace_first(F.col("p_type"), "[AEIOU]", "*").alias("first"), F.element_at(S.regexp_match(F.col("p_name"), r"(\w)\w*$", 1), 1).alias("letter"))
+    return p.select(
+        "p_partkey",
+        S.initcap(F.concat(F.col("p_type"), F.lit("-x1 y"))).alias("title"),
+        S.regexp_replace_first(F.col("p_type"), "[AEIOU]", "*").alias("first"),
+        F.element_at(S.regexp_match(F.col("p_name"), r"(\w)\w*$", 1), 1).alias("letter"),
+    )
 
 
 def compat_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.trunc(F.col("s_acctbal")).alias("whole"), S.justify_days(F.col("s_suppkey"))["days"].alias("days"))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        S.trunc(F.col("s_acctbal")).alias("whole"),
+        S.justify_days(F.col("s_suppkey"))["days"].alias("days"),
+    )
 
 
 def compat_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +54,24 @@ def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def example_save(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions and answers of conversations kept once each, the first turn's."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select((F.col("conv_id") % 3).cast("string").alias("schema_name"), F.col("text").alias("question"), F.col("text").alias("standalone"), F.col("role").alias("sql"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"))
+    rows = c.select(
+        (F.col("conv_id") % 3).cast("string").alias("schema_name"),
+        F.col("text").alias("question"),
+        F.col("text").alias("standalone"),
+        F.col("role").alias("sql"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+    )
     return examples.save(None, rows).select("schema_name", "standalone", "sql", "turn_id")
 
 
 def example_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items most like the first one, by hashed vectors."""
     embedder = models.HashingEmbedder(64)
-    rows = table(spark, sf_dir, "benchmark").select(F.lit("shop").alias("schema_name"), F.col("text").alias("standalone"), F.col("item_id").alias("turn_id"))
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.lit("shop").alias("schema_name"),
+        F.col("text").alias("standalone"),
+        F.col("item_id").alias("turn_id"),
+    )
     indexed = examples.index(rows, embedder)
     asked = F.array(*[F.lit(float(x)) for x in embedder.embed([rows.where("turn_id = 0").first()["standalone"]])[0]])
     return examples.retrieve(indexed, asked, "shop", embedder.label, 3, 0.1).withColumn("score", F.round("score", 4))

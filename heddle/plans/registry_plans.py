@@ -18,12 +18,20 @@ def latest_per_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and kind: what is there stays."""
-    return registry.first_of(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id")])
+    return registry.first_of(
+        table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"),
+        ["user_id", "event_type"],
+        [F.col("event_id")],
+    )
 
 
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    new = nation.where("n_nationkey % 5 = 0").select((F.col("n_nationkey") + F.when(F.col("n_nationkey") == 20, 80).otherwise(0)).cast("int").alias("n_nationkey"), F.concat(F.lit("NEW "), "n_name").alias("n_name"), "n_regionkey")
+    new = nation.where("n_nationkey % 5 = 0").select(
+        (F.col("n_nationkey") + F.when(F.col("n_nationkey") == 20, 80).otherwise(0)).cast("int").alias("n_nationkey"),
+        F.concat(F.lit("NEW "), "n_name").alias("n_name"),
+        "n_regionkey",
+    )
     return registry.upsert(nation, new, ["n_nationkey"])
 
 
@@ -47,7 +55,12 @@ def registry_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items whose supplier is not among those kept."""
-    return registry.orphans(table(spark, sf_dir, "lineitem"), "l_suppkey", table(spark, sf_dir, "supplier").where("s_nationkey <> 7"), "s_suppkey").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return registry.orphans(
+        table(spark, sf_dir, "lineitem"),
+        "l_suppkey",
+        table(spark, sf_dir, "supplier").where("s_nationkey <> 7"),
+        "s_suppkey",
+    ).select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +79,12 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by source with one sample's fields."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("points"), F.min("doc_id").alias("sample_doc"), F.min_by("lang", "doc_id").alias("sample_lang"), F.max("n_chars").alias("longest"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count("*").alias("points"),
+        F.min("doc_id").alias("sample_doc"),
+        F.min_by("lang", "doc_id").alias("sample_lang"),
+        F.max("n_chars").alias("longest"),
+    )
 
 
 def library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +105,16 @@ def node_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "n", "p50", "p95", "p99", "least", "most", F.round("mean", 4).alias("mean"))
+    return evaluate.latency(table(spark, sf_dir, "events"), "event_type", "value").select(
+        "event_type",
+        "n",
+        "p50",
+        "p95",
+        "p99",
+        "least",
+        "most",
+        F.round("mean", 4).alias("mean"),
+    )
 
 
 def turn_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +141,12 @@ def eval_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds' counts of the second half of events beside those of the first."""
     events = table(spark, sf_dir, "events")
     count = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"))
-    return evaluate.changes(count(events.where("event_id % 2 = 1")), count(events.where("event_id % 2 = 0 AND event_type <> 'error'")), "event_type", "n")
+    return evaluate.changes(
+        count(events.where("event_id % 2 = 1")),
+        count(events.where("event_id % 2 = 0 AND event_type <> 'error'")),
+        "event_type",
+        "n",
+    )
 
 
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,9 +156,16 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.dense_search_batch(vectors, asked, 11, "vec_id").where("vec_id <> query_id")
     from pyspark.sql.window import Window
 
-    hits = hits.select("query_id", F.col("vec_id").alias("item_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank")).where("rank <= 10")
+    hits = hits.select(
+        "query_id",
+        F.col("vec_id").alias("item_id"),
+        F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"),
+    ).where("rank <= 10")
     labels = vectors.select("vec_id", "label")
-    relevant = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(labels.select(F.col("vec_id").alias("item_id"), "label"), "label").where("item_id <> query_id")
+    relevant = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(
+        labels.select(F.col("vec_id").alias("item_id"), "label"),
+        "label",
+    ).where("item_id <> query_id")
     return evaluate.ranking_metrics(hits, relevant)
 
 

@@ -36,11 +36,20 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matryoshka_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = table(spark, sf_dir, "embeddings").select("vec_id", truncate_normalise(F.col("embedding"), 16).alias("v"))
-    return cut.select("vec_id", F.size("v").cast("long").alias("dim"), F.round(norm(F.col("v")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+    return cut.select(
+        "vec_id",
+        F.size("v").cast("long").alias("dim"),
+        F.round(norm(F.col("v")), 6).alias("norm"),
+        F.round(F.get("v", F.lit(0)), 6).alias("first"),
+    )
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("n_tokens"), F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("n_terms"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        X.token_count(F.col("text")).alias("n_tokens"),
+        F.size(F.array_distinct(X.tokens(F.col("text")))).cast("long").alias("n_terms"),
+    )
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +62,13 @@ def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_weights_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_weights(table(spark, sf_dir, "documents"), batch_col="source").select("doc_id", "source", "term", "tf", F.round("weight", 6).alias("weight"))
+    return lexical.bm25_weights(table(spark, sf_dir, "documents"), batch_col="source").select(
+        "doc_id",
+        "source",
+        "term",
+        "tf",
+        F.round("weight", 6).alias("weight"),
+    )
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +76,12 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.sparse_search(table(spark, sf_dir, "documents"), TERMS, K, where=search.equals({"lang": "en"})).withColumn("score", F.round("score", 6))
+    return lexical.sparse_search(
+        table(spark, sf_dir, "documents"),
+        TERMS,
+        K,
+        where=search.equals({"lang": "en"}),
+    ).withColumn("score", F.round("score", 6))
 
 
 def sparse_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +107,12 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = hits.join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id")
     from pyspark.sql.window import Window
 
-    scored = pairs.select("query_id", "doc_id", F.col("rank").alias("first_rank"), F.round(search.lexical_overlap(F.col("question"), F.col("text")), 6).alias("score"))
+    scored = pairs.select(
+        "query_id",
+        "doc_id",
+        F.col("rank").alias("first_rank"),
+        F.round(search.lexical_overlap(F.col("question"), F.col("text")), 6).alias("score"),
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_rank")
     return scored.withColumn("rank", F.row_number().over(order).cast("long"))
 
@@ -96,7 +121,13 @@ def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a second search join those already scored; only new ones get a score (here one from the vector id)."""
     first, second = _branches(spark, sf_dir)
     scored = first.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("seq"))
-    merged = search.rerank_merge(scored, second, lambda hits: hits.withColumn("score", F.round((F.col("doc_id") % 97) / F.lit(97.0), 6)), 10, "doc_id")
+    merged = search.rerank_merge(
+        scored,
+        second,
+        lambda hits: hits.withColumn("score", F.round((F.col("doc_id") % 97) / F.lit(97.0), 6)),
+        10,
+        "doc_id",
+    )
     return merged
 
 
@@ -134,10 +165,25 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that cite passages: the turns of conversations with numbers put in."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    answer = F.concat(F.col("text"), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] and ["), (F.col("conv_id") % 9).cast("string"), F.lit("], again ["), (F.col("turn") + 1).cast("string"), F.lit("]"))
+    answer = F.concat(
+        F.col("text"),
+        F.lit(" ["),
+        (F.col("turn") + 1).cast("string"),
+        F.lit("] and ["),
+        (F.col("conv_id") % 9).cast("string"),
+        F.lit("], again ["),
+        (F.col("turn") + 1).cast("string"),
+        F.lit("]"),
+    )
     cited = turns.select("conv_id", "turn", X.citations(answer).alias("c"))
     show = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return cited.select("conv_id", "turn", show(F.col("c")).alias("cited"), show(X.known_citations(F.col("c"), F.lit(5))).alias("known"), show(X.unknown_citations(F.col("c"), F.lit(5))).alias("unknown"))
+    return cited.select(
+        "conv_id",
+        "turn",
+        show(F.col("c")).alias("cited"),
+        show(X.known_citations(F.col("c"), F.lit(5))).alias("known"),
+        show(X.unknown_citations(F.col("c"), F.lit(5))).alias("unknown"),
+    )
 
 
 def source_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +191,16 @@ def source_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", X.squash(F.col("text")).alias("t"))
     items = table(spark, sf_dir, "benchmark").select("item_id", X.squash(F.col("text")).alias("s"))
     word = lambda c: F.array_distinct(X.tokens(c))
-    longest = items.withColumn("w", F.try_element_at(F.array_sort(word(F.col("s")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), F.lit(1)))
+    longest = items.withColumn(
+        "w",
+        F.try_element_at(
+            F.array_sort(
+                word(F.col("s")),
+                lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
+            ),
+            F.lit(1),
+        ),
+    )
     inside = docs.select("doc_id", "t", F.explode_outer(word(F.col("t"))).alias("w")).join(longest, "w").where(F.contains("t", "s"))
     return inside.select("doc_id", "item_id").distinct()
 

@@ -41,18 +41,30 @@ def schemas_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as experiments: some without the setting, some with no JSON at all, some without a collection."""
     c = table(spark, sf_dir, "customer")
-    config = F.element_at(F.array(*[F.lit(x) for x in ('{"index": {"sparse": true}}', '{"index": {"sparse": false}}', '{"index": {}}', "sparse: true")]), F.col("c_custkey").cast("int") % 4 + 1)
+    config = F.element_at(
+        F.array(*[F.lit(x) for x in ('{"index": {"sparse": true}}', '{"index": {"sparse": false}}', '{"index": {}}', "sparse: true")]),
+        F.col("c_custkey").cast("int") % 4 + 1,
+    )
     experiments = c.select(F.col("c_custkey").alias("name"), config.alias("config"))
     return B.targets(experiments, c.where("c_nationkey < 10").select(F.col("c_custkey").alias("name"))).select("name")
 
 
 def given_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.where_given(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), o_orderstatus="F", o_orderpriority=None)
+    return B.where_given(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"),
+        o_orderstatus="F",
+        o_orderpriority=None,
+    )
 
 
 def experiment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as experiments; some come again with the same settings, others are new."""
-    n = table(spark, sf_dir, "nation").select(F.md5(F.col("n_name").cast("binary")).alias("config_hash"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("config"), F.lit(1).alias("created_at"))
+    n = table(spark, sf_dir, "nation").select(
+        F.md5(F.col("n_name").cast("binary")).alias("config_hash"),
+        F.col("n_name").alias("name"),
+        F.col("n_nationkey").alias("config"),
+        F.lit(1).alias("created_at"),
+    )
     return B.upsert_experiment(n.where("config < 15"), n.where("config >= 10").withColumn("created_at", F.lit(2)))
 
 
@@ -91,7 +103,14 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as measured stages, written to a log in two parts and read back: the last run of each."""
     events = table(spark, sf_dir, "events")
     stage = F.element_at(F.array(*[F.lit(s) for s in B.STAGES]), (F.col("event_id") % 4 + 1).cast("int"))
-    done = events.select(F.lit("c").alias("config_hash"), F.col("user_id").cast("string").alias("doc_id"), stage.alias("stage"), F.col("value").alias("duration_ms"), F.col("event_id").alias("items"), F.timestamp_seconds("event_id").alias("created_at"))
+    done = events.select(
+        F.lit("c").alias("config_hash"),
+        F.col("user_id").cast("string").alias("doc_id"),
+        stage.alias("stage"),
+        F.col("value").alias("duration_ms"),
+        F.col("event_id").alias("items"),
+        F.timestamp_seconds("event_id").alias("created_at"),
+    )
     path = f"{ingest.fresh(spark)}/metrics"
     for part in (0, 1):
         B.append(B.stage_metrics(done.where(F.col("items") % 2 == part)), path, B.METRIC)
@@ -119,28 +138,67 @@ def chat_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events as the steps of a turn: what SQL answered it."""
     e = F.col("event_id")
-    kind = F.when(F.col("event_type") == "error", F.when(e % 3 == 0, "error").otherwise("sql_checked")).when(e % 5 < 2, "sql_written").when(e % 5 == 2, "sql_ran").when(e % 5 == 3, "answered").otherwise("query")
-    return B.good_answers(table(spark, sf_dir, "events").select(F.col("user_id").alias("turn"), e.alias("seq"), kind.alias("kind"), F.concat(F.lit("q"), e).alias("value")))
+    kind = F.when(
+        F.col("event_type") == "error",
+        F.when(e % 3 == 0, "error").otherwise("sql_checked"),
+    ).when(e % 5 < 2, "sql_written").when(e % 5 == 2, "sql_ran").when(e % 5 == 3, "answered").otherwise("query")
+    return B.good_answers(
+        table(spark, sf_dir, "events").select(
+            F.col("user_id").alias("turn"),
+            e.alias("seq"),
+            kind.alias("kind"),
+            F.concat(F.lit("q"), e).alias("value"),
+        )
+    )
 
 
 def name_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of many made-up names a schema can have."""
     n = F.col("n_name")
-    names = F.array(F.lower(n), n, F.concat(F.lit("pg_"), F.lower(n)), F.concat(F.lit("_"), F.col("n_nationkey")), F.col("n_nationkey").cast("string"), F.lit("public"), F.repeat(F.lower(n), 9), F.lit(""), F.concat(F.lower(n), F.lit("é")))
+    names = F.array(
+        F.lower(n),
+        n,
+        F.concat(F.lit("pg_"), F.lower(n)),
+        F.concat(F.lit("_"), F.col("n_nationkey")),
+        F.col("n_nationkey").cast("string"),
+        F.lit("public"),
+        F.repeat(F.lower(n), 9),
+        F.lit(""),
+        F.concat(F.lower(n), F.lit("é")),
+    )
     return table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(names).alias("nth", "name")).select("n_nationkey", "nth", B.name_ok(F.col("name")).alias("ok"))
 
 
 def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    calls = table(spark, sf_dir, "events").select("event_id", F.when(e % 11 > 0, e % 5000).alias("prompt_tokens"), (e % 300).alias("output_tokens"), F.col("value").alias("output_ms"), F.lit(4096).alias("context_tokens"))
+    calls = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(e % 11 > 0, e % 5000).alias("prompt_tokens"),
+        (e % 300).alias("output_tokens"),
+        F.col("value").alias("output_ms"),
+        F.lit(4096).alias("context_tokens"),
+    )
     return service.model_calls(calls).select("event_id", F.round("per_second", 4).alias("per_second"), "context_full")
 
 
 def embed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as each family's documents and queries."""
     items = table(spark, sf_dir, "benchmark")
-    forms = F.array(*[F.struct(F.lit(models.size_label(m)).alias("model"), models.template(F.col("text"), m, False).alias("document"), models.template(F.col("text"), m, True, "Find").alias("query")) for m in MODELS])
-    return items.select("item_id", F.explode(forms).alias("f")).select("item_id", "f.model", F.sha2(F.col("f.document").cast("binary"), 256).alias("document"), F.sha2(F.col("f.query").cast("binary"), 256).alias("query"))
+    forms = F.array(
+        *[
+            F.struct(
+                F.lit(models.size_label(m)).alias("model"),
+                models.template(F.col("text"), m, False).alias("document"),
+                models.template(F.col("text"), m, True, "Find").alias("query"),
+            ) for m in MODELS
+        ]
+    )
+    return items.select("item_id", F.explode(forms).alias("f")).select(
+        "item_id",
+        "f.model",
+        F.sha2(F.col("f.document").cast("binary"), 256).alias("document"),
+        F.sha2(F.col("f.query").cast("binary"), 256).alias("query"),
+    )
 
 
 def rerank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,14 +219,19 @@ def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two of the nearest vectors that stand for pictures."""
     hits = search.dense_search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), K, "vec_id")
-    return search.first_pictures(hits.withColumn("modality", F.when(F.col("vec_id") % 3 == 0, "picture").otherwise("text")), 2).select("rank", "vec_id")
+    return search.first_pictures(
+        hits.withColumn("modality", F.when(F.col("vec_id") % 3 == 0, "picture").otherwise("text")),
+        2,
+    ).select("rank", "vec_id")
 
 
 def yes_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up first tokens of a judge with their log-probabilities, some of which say neither yes nor no."""
     e = F.col("event_id")
     token = lambda word, share: F.struct(F.lit(word).alias("token"), F.log((e % share + 1) / F.lit(float(share + 1))).alias("logprob"))
-    top = F.when(e % 5 == 0, F.array(token("maybe", 3), token("The", 4))).otherwise(F.array(token(" Yes", 7), token("yes", 5), token("NO", 3), token("perhaps", 2)))
+    top = F.when(e % 5 == 0, F.array(token("maybe", 3), token("The", 4))).otherwise(
+        F.array(token(" Yes", 7), token("yes", 5), token("NO", 3), token("perhaps", 2))
+    )
     return table(spark, sf_dir, "events").select("event_id", F.round(search.yes_probability(top), 6).alias("p"))
 
 
@@ -182,7 +245,12 @@ def nearby_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as JSON text: numbers, texts, nulls and nested values."""
     n = table(spark, sf_dir, "nation")
-    nested = n.select("n_nationkey", F.nullif("n_name", F.lit("FRANCE")).alias("name"), F.struct(F.col("n_regionkey").alias("r"), F.array(F.lit(True), F.lit(None).cast("boolean")).alias("l")).alias("s"), F.to_date(F.lit("2024-02-29")).alias("d"))
+    nested = n.select(
+        "n_nationkey",
+        F.nullif("n_name", F.lit("FRANCE")).alias("name"),
+        F.struct(F.col("n_regionkey").alias("r"), F.array(F.lit(True), F.lit(None).cast("boolean")).alias("l")).alias("s"),
+        F.to_date(F.lit("2024-02-29")).alias("d"),
+    )
     return jsonable.json_rows(nested)
 
 
@@ -194,7 +262,10 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(ann.index(vectors, planes, "vec_id"), asked, planes, 5)
     exact = search.dense_search_batch(vectors, asked, 5, "vec_id")
     hits = exact.join(found.select("query_id", F.col("id").alias("vec_id")), ["query_id", "vec_id"], "left_semi").agg(F.count("*").alias("hits"))
-    return hits.crossJoin(exact.agg(F.count("*").alias("wanted"))).select("wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("found_nine_in_ten"))
+    return hits.crossJoin(exact.agg(F.count("*").alias("wanted"))).select(
+        "wanted",
+        (F.col("hits") >= 0.9 * F.col("wanted")).alias("found_nine_in_ten"),
+    )
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,16 @@ NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls, distinct values and integer ranges of lineitem's columns, in one scan."""
     rows = profile.column_profile(table(spark, sf_dir, "lineitem"))
-    return rows.select("position", "column", "type", "row_count", "nulls", "distinct", F.when(F.col("type") == "bigint", F.col("min")).alias("min"), F.when(F.col("type") == "bigint", F.col("max")).alias("max"))
+    return rows.select(
+        "position",
+        "column",
+        "type",
+        "row_count",
+        "nulls",
+        "distinct",
+        F.when(F.col("type") == "bigint", F.col("min")).alias("min"),
+        F.when(F.col("type") == "bigint", F.col("max")).alias("max"),
+    )
 
 
 def column_profile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +40,16 @@ def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of orders' columns written as text."""
     orders = table(spark, sf_dir, "orders")
-    as_text = orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("0"), F.col("o_orderkey")).alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    as_text = orders.select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        F.col("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.concat(F.lit("0"), F.col("o_orderkey")).alias("code"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
+        (F.col("o_orderkey") % 2 == 0).alias("even"),
+    )
     return profile.infer_types(as_text.select(*[F.col(c).cast("string").alias(c) for c in as_text.columns]))
 
 
@@ -127,7 +145,10 @@ def guarded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL out of replies that hold it in a fenced block, bare, or not at all."""
     fence = "`" * 3
-    reply = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(f"Here it is:\n{fence}sql\nselect "), F.col("n_nationkey").cast("string"), F.lit(f";\n{fence} done"))).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("select "), F.col("n_name"), F.lit(" ; "))).otherwise(F.lit("CANNOT answer"))
+    reply = F.when(
+        F.col("n_nationkey") % 3 == 0,
+        F.concat(F.lit(f"Here it is:\n{fence}sql\nselect "), F.col("n_nationkey").cast("string"), F.lit(f";\n{fence} done")),
+    ).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("select "), F.col("n_name"), F.lit(" ; "))).otherwise(F.lit("CANNOT answer"))
     return table(spark, sf_dir, "nation").select("n_nationkey", X.extract_sql(reply).alias("sql"))
 
 
@@ -135,7 +156,19 @@ QUERIES = {f.__name__: f for f in (
     column_profile, column_profile_nulls, frequent_values, infer_types, likely_joins, column_lines, catalog_scan, guard_report, guarded_query, extract_sql,
 )}
 
-_LINE = (("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "bigint"), ("l_quantity", "double precision"), ("l_extendedprice", "double precision"), ("l_discount", "double precision"), ("l_tax", "double precision"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "timestamp"))
+_LINE = (
+    ("l_orderkey", "bigint"),
+    ("l_partkey", "bigint"),
+    ("l_suppkey", "bigint"),
+    ("l_linenumber", "bigint"),
+    ("l_quantity", "double precision"),
+    ("l_extendedprice", "double precision"),
+    ("l_discount", "double precision"),
+    ("l_tax", "double precision"),
+    ("l_returnflag", "text"),
+    ("l_linestatus", "text"),
+    ("l_shipdate", "timestamp"),
+)
 
 
 def _prof(i: int, c: str, kind: str, source: str) -> str:
@@ -143,7 +176,15 @@ def _prof(i: int, c: str, kind: str, source: str) -> str:
     return f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS type, count(*) AS row_count, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS "distinct", {ends} FROM {source}"""
 
 
-_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
+_KEYS = {
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"],
+}
 _KINDS = {"BIGINT": "bigint", "INTEGER": "bigint", "DOUBLE": "double precision", "VARCHAR": "text", "TIMESTAMP": "timestamp"}
 
 ORACLES = {

@@ -51,8 +51,18 @@ def table_files(files: DataFrame) -> DataFrame:
         for part in parts:
             paths = [p for p in part.column(0).to_pylist() if p.count("/")]
             split = [p.rsplit("/", 2)[-2:] for p in paths]
-            rows = [(p, folder, clean_identifier(name.rsplit(".", 1)[0], "table"), None if folder == clean_identifier(folder, "schema") else f"{folder} is not a plain schema name") for p, (folder, name) in zip(paths, split, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["path", "schema_name", "table_name", "problem"])
+            rows = [
+                (
+                    p,
+                    folder,
+                    clean_identifier(name.rsplit(".", 1)[0], "table"),
+                    None if folder == clean_identifier(folder, "schema") else f"{folder} is not a plain schema name",
+                ) for p, (folder, name) in zip(paths, split, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], pa.string()) for i in range(4)],
+                names=["path", "schema_name", "table_name", "problem"],
+            )
 
     found = files.select("path").mapInArrow(batches, "path string, schema_name string, table_name string, problem string")
     nth = F.row_number().over(Window.partitionBy("schema_name", "table_name").orderBy("path"))

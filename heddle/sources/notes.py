@@ -84,7 +84,9 @@ def read_notes(spark: SparkSession, path: str) -> SchemaNote:
 
 def as_rows(spark: SparkSession, notes: SchemaNote) -> DataFrame:
     """(table_name, column, type, description), the table's own note with a null column."""
-    rows = [(t, None, None, n.description) for t, n in notes.tables.items()] + [(t, c, x.type, x.description) for t, n in notes.tables.items() for c, x in n.columns.items()]
+    rows = [(t, None, None, n.description) for t, n in notes.tables.items()] + [
+        (t, c, x.type, x.description) for t, n in notes.tables.items() for c, x in n.columns.items()
+    ]
     return spark.createDataFrame(rows, 'table_name string, `column` string, type string, description string')
 
 

@@ -72,9 +72,18 @@ def parse(files: DataFrame, parser: Parser = plain_parser, limit: Callable[[int]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [(doc, i, kind, level, text, page) for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (kind, level, text, page) in enumerate(in_time(parser, content, limit(page_count(content))))]
+            rows = [
+                (doc, i, kind, level, text, page) for doc, content in zip(
+                    part.column(0).to_pylist(),
+                    part.column(1).to_pylist(),
+                    strict=True,
+                ) for i, (kind, level, text, page) in enumerate(in_time(parser, content, limit(page_count(content))))
+            ]
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "ord", "kind", "level", "text", "page"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                names=["doc_id", "ord", "kind", "level", "text", "page"],
+            )
 
     return files.select("doc_id", "content").mapInArrow(batches, BLOCKS)
 
@@ -129,13 +138,22 @@ def fill(regions: DataFrame, reader: Reader, lenient: bool = False) -> DataFrame
 
 def fill_counts(filled: DataFrame) -> DataFrame:
     """(doc_id, regions, read, cut, empty) of filled regions."""
-    return filled.groupBy("doc_id").agg(F.count("*").alias("regions"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("read", "cut", "empty")])
+    return filled.groupBy("doc_id").agg(
+        F.count("*").alias("regions"),
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("read", "cut", "empty")],
+    )
 
 
 def crops(pictures: DataFrame, least: float = PICTURE_SIDE) -> DataFrame:
     """(doc_id, ord, page, bbox, image) of the pictures (doc_id, ord, page, bbox) that are kept, ``image`` being where their file belongs."""
     kept = pictures.where(keeps_picture(F.col("bbox"), least))
-    return kept.select("doc_id", "ord", "page", "bbox", F.concat(F.col("doc_id"), F.lit("/"), F.lpad(F.col("ord").cast("string"), 5, "0"), F.lit(".png")).alias("image"))
+    return kept.select(
+        "doc_id",
+        "ord",
+        "page",
+        "bbox",
+        F.concat(F.col("doc_id"), F.lit("/"), F.lpad(F.col("ord").cast("string"), 5, "0"), F.lit(".png")).alias("image"),
+    )
 
 
 def keeps_picture(bbox: Column, least: float = PICTURE_SIDE) -> Column:

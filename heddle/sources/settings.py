@@ -111,7 +111,10 @@ def completed(settings: Settings) -> Settings:
             raise SettingsError(f"embedding.{key} must have a place for {{text}}.")
     if settings.chunking.overlap >= settings.chunking.max_tokens:
         raise SettingsError("chunking.overlap must be less than chunking.max_tokens.")
-    return dataclasses.replace(settings, embedding=dataclasses.replace(own, document=own.document or family.document, query=own.query or family.query))
+    return dataclasses.replace(
+        settings,
+        embedding=dataclasses.replace(own, document=own.document or family.document, query=own.query or family.query),
+    )
 
 
 def load(path: str, env: dict[str, str] | None = None) -> Settings:

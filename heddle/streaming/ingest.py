@@ -49,7 +49,15 @@ def once_by_version(stream: DataFrame, key: str, version: str) -> DataFrame:
     return stream.dropDuplicates([key, version])
 
 
-def windowed(stream: DataFrame, time_col: str = "ts", late: str = "1 hour", size: str = "1 hour", by: str = "event_type", value: str = "value", slide: str | None = None) -> DataFrame:
+def windowed(
+    stream: DataFrame,
+    time_col: str = "ts",
+    late: str = "1 hour",
+    size: str = "1 hour",
+    by: str = "event_type",
+    value: str = "value",
+    slide: str | None = None,
+) -> DataFrame:
     """Counts and sums by window, tumbling or sliding by ``slide``; windows end, and their state goes, once the watermark passes them."""
     timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
     window = F.window(time_col, size, slide) if slide else F.window(time_col, size)
@@ -82,7 +90,14 @@ def run(spark: SparkSession, stream: DataFrame, schema: T.StructType | None = No
 
 def watch_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """New files of a folder as a stream of (doc_id, path, modificationTime, content), each content once."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    schema = T.StructType(
+        [
+            T.StructField("path", T.StringType()),
+            T.StructField("modificationTime", T.TimestampType()),
+            T.StructField("length", T.LongType()),
+            T.StructField("content", T.BinaryType()),
+        ]
+    )
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.withColumn("doc_id", content_id(F.col("content"))).dropDuplicates(["doc_id"]).select("doc_id", "path", "modificationTime", "content")
 
