@@ -65,8 +65,8 @@ def likely_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that describe customer's columns (numbers whose text both engines write alike)."""
-    df = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    """The lines that describe all of customer's columns."""
+    df = table(spark, sf_dir, "customer")
     rows = profile.describe(df)
     return rows.select("position", profile.column_line(rows).alias("line"))
 
@@ -195,10 +195,14 @@ ORACLES = {
     "infer_types": """SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'text'), (3, 'o_totalprice', 'double precision'), (4, 'day', 'date'), (5, 'code', 'text'), (6, 'stamp', 'timestamptz'), (7, 'even', 'boolean')) t(position, "column", type)""",
     "likely_joins": "WITH p AS (" + " UNION ALL ".join(f"""SELECT {i} AS o, '{t}' AS t, '{c.split('_', 1)[1]}' AS c, count(*) AS n, count(*) - count({c}) AS z, count(DISTINCT {c}) AS d FROM {t}""" for i, (t, cs) in enumerate(_KEYS.items()) for c in cs)
       + """), u AS (SELECT *, n > 1 AND d = n - z AND z < n AS u FROM p) SELECT a.t AS left_table, b.t AS right_table, a.c AS "column", 'bigint' AS type FROM u a JOIN u b ON a.c = b.c AND a.o < b.o WHERE a.u <> b.u OR a.c IN ('id', 'key', 'code')""",
-    "column_lines": """WITH s AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS dk, min(c_custkey) AS a, max(c_custkey) AS z, count(DISTINCT c_nationkey) AS dn, min(c_nationkey) AS an, max(c_nationkey) AS zn FROM customer)
+    "column_lines": """WITH s AS (SELECT count(*) AS n, min(c_custkey) AS a, max(c_custkey) AS z, count(DISTINCT c_nationkey) AS dn, min(c_nationkey) AS an,
+        max(c_nationkey) AS zn, count(DISTINCT c_name) AS dm, count(DISTINCT c_acctbal) AS db, min(c_acctbal) AS ab, max(c_acctbal) AS zb FROM customer)
       SELECT 0 AS position, '  - c_custkey (bigint): unique; range ' || a || ' to ' || z AS line FROM s
-      UNION ALL SELECT 1, '  - c_nationkey (bigint): ' || dn || ' distinct values; range ' || an || ' to ' || zn FROM s
-      UNION ALL SELECT 2, '  - c_mktsegment (text): values: ' || string_agg('''' || c_mktsegment || '''', ', ' ORDER BY k DESC, c_mktsegment) FROM (SELECT c_mktsegment, count(*) AS k FROM customer GROUP BY 1)""",
+      UNION ALL SELECT 1, '  - c_name (text): ' || CASE WHEN dm = n THEN 'unique' ELSE dm || ' distinct values' END FROM s
+      UNION ALL SELECT 2, '  - c_nationkey (bigint): ' || dn || ' distinct values; range ' || an || ' to ' || zn FROM s
+      UNION ALL SELECT 3, '  - c_acctbal (double precision): ' || CASE WHEN db = n THEN 'unique' ELSE db || ' distinct values' END || '; range ' || ab || ' to ' || zb FROM s
+      UNION ALL SELECT 4, '  - c_mktsegment (text): values: ' || string_agg('''' || c_mktsegment || '''', ', ' ORDER BY k DESC, c_mktsegment)
+        FROM (SELECT c_mktsegment, count(*) AS k FROM customer GROUP BY 1)""",
     "catalog_scan": "SELECT table_name, column_index::INT AS position, column_name AS \"column\", CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END AS type FROM (SELECT table_name, column_index - " + "1 AS column_index, column_name, data_type FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{n}'" for n in NAMES) + "))",
     "guarded_query": GUARDED,
     "guard_report": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()}, {'NULL' if limit is None else limit}::INT)" for i, (_, ok, limit) in enumerate(STATEMENTS)) + ") t(statement, accepted, row_limit)",
