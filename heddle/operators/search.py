@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from heddle.functions.text import tokens
 from heddle.functions.vectors import cosine
 from heddle.operators.lexical import ranked, sparse_search
+from heddle.session import ship
 
 RRF_K = 2  # ranks count from 0
 BLOCK_VALUES = 8_000_000  # 64 MB of doubles
@@ -56,6 +57,7 @@ def dense_search_batch(
     it and keeps the best ``top_k`` of each query, so what is shuffled follows tasks x queries x top_k, not pairs. Null vectors are
     left out on both sides; no queries give no rows.
     """
+    ship(chunks.sparkSession)
     asked = queries.select(F.col(query_col).alias("q"), F.col(query_vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     pool = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL")
     schema = f"q {dict(asked.dtypes)['q']}, id {dict(pool.dtypes)['id']}, score double"
