@@ -40,9 +40,11 @@ SEGMENTS = 5  # at least
 BUCKET = 32
 BESIDE = 8  # random fingerprints that share a key, about
 SEED = 42
+SALTS = 8
 NEAR_SHINGLE, NEAR_WORDS, SIMILARITY = 5, 32, 0.8  # the second pass: five words, 2048 bits
 DESIGN, RECALL = 0.09, 0.98
 PUNCTUATION = b".,;:!?()[]{}<>\"'`*_-"
+CROWDED_ROWS = 20_000  # keys: a megabyte
 BROADCAST_ROWS = 1_000_000  # ids: some 60 MB in a hash table
 
 
@@ -225,7 +227,10 @@ def near_duplicates(
     nodes = Stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))).df
     found = connected_components(links(nodes.where(F.col("rep").isNotNull()), max_bits, segments, bucket))
     labels = nodes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id", *([] if mark is None else ["mark"]))
+    # a fingerprint may have a third of all rows: its label is there once for each salt
+    labels = labels.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    salted = fps.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("long")))
+    return salted.join(labels, ["fp", "salt"]).select("doc_id", "fp", "component_id", *([] if mark is None else ["mark"]))
 
 
 def bands_for(documents: int, near: float = DESIGN, recall: float = RECALL) -> tuple[int, int]:
@@ -304,9 +309,12 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     fps = Stored(kept.mapInArrow(batches, "doc_id long, keys array<long>, near array<long>")).df
-    keyed = fps.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    least = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    pairs = keyed.join(least, ["band", "key"]).where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # the band goes into the key; most keys that are shared are shared by two, whose pair is the least and the greatest id
+    keyed = fps.select("doc_id", F.explode(F.transform("keys", lambda k, i: F.xxhash64(k, i))).alias("key"))
+    met = Stored(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")).df
+    crowded = met.where("n > 2").select("key", "a")
+    stars = keyed.join(F.broadcast(crowded) if crowded.count() <= CROWDED_ROWS else crowded, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    pairs = met.where("n = 2").select("a", "b").unionByName(stars).distinct()
     near = fps.select("doc_id", "near")
     both = pairs.join(
         near.select(F.col("doc_id").alias("a"), F.col("near").alias("x")),
