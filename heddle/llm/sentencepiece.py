@@ -18,12 +18,12 @@ Runs of space marks are pieces of their own, of one score below all others; they
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ MARK = "▁"
 NEVER = np.int32(2**31 - 1)
 LONG, ROUNDS = 64, 200
 HASH_BITS = 20
-MEMO_BYTES = 64 << 20  # of words remembered by a task
+MEMO_BYTES = 40 << 20  # of words remembered by a task
 
 
 @dataclass
@@ -98,7 +98,7 @@ def load(path: str) -> Vocabulary:
         if scores[p] != before:
             before, rank = scores[p], len(rank_of)
         rank_of[p] = rank
-    shared = pd.Series(list(rank_of.values())).value_counts()
+    shared = Counter(rank_of.values())
     pairs, alone = [], np.zeros(max(1, len(ranked)), bool)
     for p in ranked:
         for cut in range(1, len(p)):
@@ -108,8 +108,8 @@ def load(path: str) -> Vocabulary:
                 for part in (a, b):
                     if rank_of.get(part, -1) >= rank_of[p]:
                         alone[rank_of[part]] = True
-    for rank in shared[shared > 1].index:
-        alone[rank] = True
+    for rank, n in shared.items():
+        alone[rank] |= n > 1
     keys, ranks, merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
     hashes = _hash(keys)
     order = np.argsort(hashes, kind="stable")
