@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from heddle.functions.text import tokens
 from heddle.functions.vectors import cosine
 from heddle.operators.lexical import ranked, sparse_search
-from heddle.session import ship
+from heddle.session import Stored, ship
 
 RRF_K = 2  # ranks count from 0
 BLOCK_VALUES = 8_000_000  # 64 MB of doubles
@@ -218,15 +218,13 @@ def answer_batch(
     """(resolved, abstained) questions after at most ``max_rewrites`` + 1 searches, each over all that are unresolved.
 
     ``questions`` has (query_id, question); ``search`` gives (query_id, rank, id, score); ``rewrite`` gives new questions.
-    The loop is unrolled into one plan of fixed depth.
+    Each round's grades are written, so that the next round starts from what is left.
     """
     done, open_ = None, questions.select("query_id", "question")
     for attempt in range(max_rewrites + 1):
-        graded = open_.join(
-            search(open_).groupBy("query_id").agg(F.max("score").alias("best_score")),
-            "query_id",
-            "left",
-        ).withColumn("best_score", F.coalesce("best_score", F.lit(0.0))).withColumn("searches", F.lit(attempt + 1).cast("long"))
+        best = search(open_).groupBy("query_id").agg(F.max("score").alias("best_score"))
+        met = open_.join(best, "query_id", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))
+        graded = Stored(met.withColumn("searches", F.lit(attempt + 1).cast("long"))).df  # else the next search would repeat this one
         found = graded.where(F.col("best_score") >= threshold)
         done = found if done is None else done.unionByName(found)
         left = graded.where(F.col("best_score") < threshold)
