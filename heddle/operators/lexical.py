@@ -12,6 +12,8 @@ from heddle.session import Stored
 K1, B = 1.2, 0.75
 SEED_POSTINGS = 5_000  # of a question's rarest terms
 BROADCAST_ROWS = 1_000_000
+IDLE_SHARE = 0.5  # of the bar, that the bounds of the terms that are not joined may reach
+FIRST = 8  # texts for each that is asked for, from which the bar is found
 SLACK = 1e-6  # of bounds against rounding
 
 
@@ -105,58 +107,44 @@ def sparse_search_batch(
 ) -> DataFrame:
     """(query_id, rank, id, score) for a table of questions, exact, without joining common words with their postings.
 
-    Each question is first sought by its rarest terms alone, at most about ``seeds`` postings of them; the score of its ``top_k``th
-    best text is a bar. A term adds at most ``(K1 + 1) * idf`` to a score, so the commonest terms whose bounds add up to less
+    Each question is first sought by its rarest terms alone, at most about ``seeds`` postings of them; of the texts that are best by these, the
+    ``top_k``th best score by all terms is a bar. A term adds at most ``(K1 + 1) * idf`` to a score, so the commonest terms whose bounds add up to less
     than the bar can't lift a text over it by themselves: only postings of the others are joined, and the texts that could still reach
-    the bar are scored in full. Questions that find fewer than ``top_k`` texts by their rarest terms are sought by all of them.
+    the bar are scored in full. The texts are read for their words once; the postings of the questions' words are written beside, some tenths of the texts' size. Questions that find fewer than ``top_k`` texts by their rarest terms are sought by all of them.
     """
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    terms = Stored(questions.select(F.col(query_col).alias("q"), F.explode(F.array_distinct(tokens(F.col(question_col)))).alias("term"))).df
-    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    split = docs.select(F.col(id_col).alias("d"), tokens(F.col(text_col)).alias("t"))
-    # one row of the empty term for each text counts them and their lengths beside the terms' frequencies
-    each = split.select(
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("").alias("term"), F.size("t").cast("long").alias("length"))),
-                F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("long").alias("length"))),
-            )
-        ).alias("e")
-    ).select("e.*")
-    met = Stored(each.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))).df
-    whole = met.where("term = ''").first()
-    n, mean = (whole["df"], (whole["length"] or 0) / whole["df"]) if whole else (0, 0.0)
-    by_term = met.where("term <> ''").select("term", "df", idf(F.lit(n), F.col("df")).alias("idf"))
+    terms = Stored(questions.select(F.col(query_col).alias("q"), F.explode(F.array_distinct(tokens(F.col(question_col)))).alias("word"))).df
+    vocabulary = Stored(terms.select("word").distinct().select("word", F.xxhash64("word").alias("term"))).df
+    split = docs.select(F.col(id_col).alias("d"), tokens(F.col(text_col)).alias("t")).select("d", F.size("t").cast("long").alias("length"), "t")
+    whole = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = whole["n"], whole["mean"] or 0.0
+    # the one pass over the texts' words: from here on a word of the questions is a number, and its postings are a table
+    each = split.select("d", "length", F.explode("t").alias("word")).join(small(vocabulary), "word")
+    postings = Stored(each.groupBy("d", "length", "term").agg(F.count("*").alias("tf"))).df
+    by_term = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(n), F.col("df")))
     own = Window.partitionBy("q")
-    known = Stored(terms.join(by_term, "term").withColumn("before", F.sum("df").over(own.orderBy("df", "term")) - F.col("df"))).df
+    numbered = terms.select("q", F.xxhash64("word").alias("term")).join(by_term, "term")
+    known = Stored(numbered.withColumn("before", F.sum("df").over(own.orderBy("df", "term")) - F.col("df"))).df
+    weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
 
     def found(some: DataFrame) -> DataFrame:
         """(q, d, score) by these (q, term, idf) alone."""
-        have = small(some.select("term").distinct())
-        counts = split.select(
-            "d",
-            F.size("t").cast("long").alias("length"),
-            F.explode("t").alias("term"),
-        ).join(have, "term", "left_semi").groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
-        weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
-        return counts.join(small(some.select("q", "term", "idf")), "term").groupBy("q", "d").agg(F.sum(weight).alias("score"))
-
-    nth = F.row_number().over(own.orderBy(F.desc("score")))
-    bars = found(known.where(F.col("before") < seeds)).withColumn("nth", nth).where(F.col("nth") == top_k).select("q", (F.col("score") - F.lit(SLACK)).alias("bar"))
+        return postings.join(small(some.select("q", "term", "idf")), "term").groupBy("q", "d").agg(F.sum(weight).alias("score"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(q, d, score) of these (q, d) by all terms."""
+        wanted = pairs.join(small(known.select("q", "term", "idf")), "q")
+        return postings.join(small(pairs.select("d").distinct()), "d", "left_semi").join(wanted, ["d", "term"]).groupBy("q", "d").agg(F.sum(weight).alias("score"))
+
+    nth = F.row_number().over(own.orderBy(F.desc("score"), "d"))
+    first = found(known.where(F.col("before") < seeds)).withColumn("nth", nth).where(F.col("nth") <= FIRST * top_k)
+    bars = scored(Stored(first.select("q", "d")).df).withColumn("nth", nth).where(F.col("nth") == top_k).select("q", (F.col("score") - F.lit(SLACK)).alias("bar"))
     bound = F.lit(K1 + 1) * F.col("idf")
-    below = F.sum(bound).over(own.orderBy("idf", F.desc("term"))) < F.coalesce("bar", F.lit(0.0))
+    below = F.sum(bound).over(own.orderBy("idf", F.desc("term"))) < F.coalesce("bar", F.lit(0.0)) * F.lit(IDLE_SHARE)
     judged = Stored(known.join(bars, "q", "left").withColumn("idle", below & F.col("bar").isNotNull())).df
     rest = judged.groupBy("q").agg(F.coalesce(F.sum(F.when(F.col("idle"), bound)), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
     near = found(judged.where(~F.col("idle"))).join(small(rest), "q").where(F.col("bar").isNull() | (F.col("score") + F.col("rest") >= F.col("bar")))
     candidates = Stored(near.select("q", "d")).df
-    few = small(candidates.select("d").distinct())
-    postings = split.join(few, "d", "left_semi").select(
-        "d",
-        F.size("t").cast("long").alias("length"),
-        F.explode("t").alias("term"),
-    ).groupBy("d", "length", "term").agg(F.count("*").alias("tf"))
-    weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
-    scored = candidates.join(small(known.select("q", "term", "idf")), "q").join(postings, ["d", "term"]).groupBy("q", "d").agg(F.sum(weight).alias("score"))
     order = own.orderBy(F.round("score", 9).desc(), "d")
-    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_k)
+    best = scored(candidates).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_k)
     return best.select(F.col("q").alias(query_col), "rank", F.col("d").alias(id_col), "score")
