@@ -130,6 +130,7 @@ def load(path: str, env: dict[str, str] | None = None) -> Settings:
 
 
 def config_hash(settings: Any, unused: tuple[str, ...] = ()) -> str:
-    """Sixteen hexadecimal digits that change with every setting but the unused ones."""
-    values = {k: v for k, v in dataclasses.asdict(settings).items() if k not in unused}
+    """Sixteen hexadecimal digits that change with every setting but the unused ones; a family's templates count alike whether they are written out or not."""
+    whole = completed(settings) if isinstance(settings, Settings) else settings
+    values = {k: v for k, v in dataclasses.asdict(whole).items() if k not in unused}
     return hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()[:16]
