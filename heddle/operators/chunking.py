@@ -201,9 +201,9 @@ def breakpoints(
     by = [by] if isinstance(by, str) else by
     order = Window.partitionBy(*by).orderBy(order_col)
     far = sentences_.withColumn("_before", F.lag(vector_col).over(order)).withColumn("distance", 1 - cosine(F.col(vector_col), F.col("_before"))).drop("_before")
-    limits = far.groupBy(*by).agg(F.percentile("distance", F.lit(percentile)).alias("threshold"))
+    limit = F.percentile("distance", F.lit(percentile)).over(Window.partitionBy(*by))  # a section is in one window already
     jump = F.when(F.col("distance") > F.col("threshold"), 1).otherwise(0)
-    return far.join(limits, by).withColumn("piece", F.sum(jump).over(order).cast("long"))
+    return far.withColumn("threshold", limit).withColumn("piece", F.sum(jump).over(order).cast("long"))
 
 
 def sentence_groups(parts: DataFrame, buffer: int = 1, by: tuple[str, ...] = ("doc_id", "section"), text_col: str = "text") -> DataFrame:
