@@ -172,3 +172,81 @@ SELECT doc_id, n AS n_chars, sha256(changed) AS edited_sha256, {shown("a")} AS f
   CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, near_next * ({count("m")}) / greatest(n_distinct, 1.0::DOUBLE)) END AS in_next
 FROM measured
 """
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def licenses() -> str:
+    """Detections by matching every rule whose keyword is there over words that each have their own two spaces, suppressed by comparing all of a text's."""
+    from heddle.llm import licenses as own
+
+    doubled = lambda p: " (?:" + p.replace(" ", "  ") + ") "
+    values = ", ".join(f"({i}, '{r.label}', '{r.keyword}', {r.priority}, '{doubled(r.pattern)}')" for i, r in enumerate(own.rules()))
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in own.BASE)
+    strength = ", ".join(f"{s}::DOUBLE" for s in own.STRENGTH)
+    return rf"""
+WITH rules(rule, label, keyword, priority, pattern) AS (VALUES {values}), phrases(phrase, label) AS (VALUES {phrases}),
+split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+base AS (
+  SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(string_split(phrase, ' '))] = string_split(phrase, ' '))) AS start
+  FROM split, phrases
+), tried AS (
+  SELECT doc_id, rule, label, priority, pattern, ' ' || array_to_string(w, '  ') || ' ' AS line FROM split JOIN rules ON list_contains(w, keyword)
+), met AS (
+  SELECT doc_id, rule, label, priority, list_transform(regexp_split_to_array(line, pattern), lambda x: len(x) - len(replace(x, ' ', ''))) AS gaps,
+    list_transform(regexp_extract_all(line, pattern), lambda x: len(x) - len(replace(x, ' ', ''))) AS own
+  FROM tried WHERE regexp_matches(line, pattern)
+), found AS (
+  SELECT doc_id, rule, label, priority, ((list_sum(gaps[: i]) + coalesce(list_sum(own[: i - 1]), 0)) // 2)::BIGINT AS a, (own[i] // 2)::BIGINT AS n
+  FROM (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM met)
+), kept AS (
+  SELECT * FROM found d WHERE NOT EXISTS (
+    SELECT 1 FROM found e WHERE e.doc_id IS NOT DISTINCT FROM d.doc_id AND e.a <= d.a AND e.a + e.n >= d.a + d.n
+      AND (e.priority, -e.n, e.rule) < (d.priority, -d.n, d.rule))
+), b AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(label) AS ls FROM base GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_found, max(([{strength}])[priority + 1]) AS best, list(label) AS ls FROM kept GROUP BY doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(list_distinct(b.ls)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b.ls, k.ls))), ','), '') AS labels,
+  greatest(coalesce(best, 0::DOUBLE), CASE WHEN n_base > 0 THEN {own.STRENGTH[own.HINT]}::DOUBLE ELSE 0::DOUBLE END) AS score, coalesce(n_found, 0) AS n_found
+FROM split s LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def variants() -> str:
+    """Words one edit apart by comparing all words of like length; letters beyond ASCII become single ASCII characters first, as distances are in bytes."""
+    beyond = "".join(map(chr, range(0xC0, 0x100)))
+    other = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) != "'")[: len(beyond)]
+    octets = "list_transform(regexp_extract_all(hex(doc_id::VARCHAR || ':' || run), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+hashed AS (SELECT run, times, {crc32(octets)} AS h FROM counted),
+edited AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n, translate(word, '{beyond}', '{other}') AS plain FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM words a JOIN words b ON a.word <> b.word AND abs(length(a.plain) - length(b.plain)) <= 1 AND levenshtein(a.plain, b.plain) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chains(word, upto) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.upto WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.upto AS root FROM chains c JOIN forms f ON f.word = c.upto WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
+
+def ranking() -> str:
+    """Scores of all documents that share a term with an item."""
+    terms = lambda table, key: rf"SELECT {key}, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {table}"
+    return f"""
+WITH t AS ({terms("documents", "doc_id")}), q AS (SELECT DISTINCT * FROM ({terms("benchmark", "item_id")})),
+lengths AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM lengths),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, whole GROUP BY term),
+gains AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // l))) AS gain FROM tfs JOIN lengths USING (doc_id) JOIN weights USING (term), whole),
+scores AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM q JOIN gains USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, decontam, langid, oracles, pii, quality, sentencepiece, sharding, simhash, sketches, urlfilter
+from heddle.llm import chat, decontam, langid, licenses, oracles, pii, quality, ranking, sentencepiece, sharding, simhash, sketches, urlfilter, variants
 from heddle.llm.common import table
 
 
@@ -139,6 +139,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections in all documents."""
+    return licenses.digest(licenses.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and what each is a spelling variant of."""
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
@@ -152,6 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_sharding,
             op9_decontamination,
             op10_simhash,
+            op11_licenses,
+            op12_variants,
+            op13_ranking,
         )
     }
 
@@ -220,4 +238,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_sharding": oracles.sharding(),
         "op9_decontamination": OP9_SQL,
         "op10_simhash": oracles.simhash(),
+        "op11_licenses": oracles.licenses(),
+        "op12_variants": oracles.variants(),
+        "op13_ranking": oracles.ranking(),
     }

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op9_decontamination": {"doc_id", "item_id", "containment"},
     "op10_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op11_licenses": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
+    "op12_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op13_ranking": {"item_id", "rank", "doc_id", "score"},
 }
 
 
