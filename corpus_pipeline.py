@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontam, langid, pii, sentencepiece, simhash
-from heddle.llm.common import Stored, drop_stored, table
+from heddle.llm.common import Scope, Stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,9 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        mark = len(Stored.made)
-        now = Stored(stage(spark, docs, sf_dir))
-        drop_stored(mark, but=(now,))
+        with Scope() as scope:
+            now = scope.keep(Stored(stage(spark, docs, sf_dir)))
         if before is not None:
             before.drop()
         docs, before = now.df, now

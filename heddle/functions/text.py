@@ -77,9 +77,8 @@ def is_new_query(query: Column, tried: Column) -> Column:
 
 
 def extract_sql(reply: Column) -> Column:
-    """The SQL of a model's reply: the first fenced block or all of it, without final semicolons; null for CANNOT."""
-    block = F.regexp_extract(reply, FENCED_SQL, 1)
-    sql = F.trim(F.when(block != "", block).otherwise(reply))
+    """The SQL of a model's reply: the first fenced block, if there is one, or all of it, without final semicolons; null for CANNOT and where nothing is left."""
+    sql = F.trim(F.when(reply.rlike(FENCED_SQL), F.regexp_extract(reply, FENCED_SQL, 1)).otherwise(reply))
     sql = F.trim(F.regexp_replace(sql, r"[;\s]+$", ""))
     return F.when((sql != "") & ~F.upper(sql).startswith("CANNOT"), sql)
 

@@ -13,6 +13,7 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heddle.functions.text import FENCED_SQL
 from heddle.operators import guard, search
 from heddle.operators.profile import SchemaTooLarge, schema_text
 
@@ -137,7 +138,7 @@ def ask_documents(
 
 def extract_sql(reply: str) -> str:
     """A reply's SQL, or CANNOT."""
-    fenced = re.search(r"(?is)```(?:sql)?\s*(.*?)```", reply)
+    fenced = re.search(FENCED_SQL, reply)
     sql = (fenced[1] if fenced else reply).strip().rstrip("; \n")
     return CANNOT if not sql or sql.upper().startswith(CANNOT) else sql
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 from typing import ClassVar
 
@@ -72,33 +73,55 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scope:
+    """What is stored within it is removed at its end, but for what it was told to ``keep``, which passes to the scope around it.
+
+    ``with Scope() as scope: ...`` owns the tables that its own thread of work stores, so that queries at the same time don't meet. A lazy
+    result must be written, or kept, before the scope ends.
+    """
+
+    _now: ClassVar[ContextVar[Scope | None]] = ContextVar("heddle_scope", default=None)
+
+    def __init__(self):
+        self.made: list[Stored] = []
+        self.kept: list[Stored] = []
+
+    def __enter__(self) -> Scope:
+        self._around, self._token = Scope._now.get(), Scope._now.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scope._now.reset(self._token)
+        for one in self.made:
+            if one not in self.kept:
+                one.drop()
+            elif self._around is not None:
+                self._around.made.append(one)
+
+    def keep(self, stored: Stored) -> Stored:
+        self.kept.append(stored)
+        return stored
+
+
 class Stored:
     """A table written to the shared folder: ``df`` reads it, ``drop()`` removes it.
 
-    Reading it again never repeats the work that made it, also after a lost executor. ``drop_stored`` removes all that were made
-    since a mark and are still there.
+    Reading it again never repeats the work that made it, also after a lost executor. The Scope that it is made in owns it;
+    outside of any it stays until ``drop`` or the end of the driver's process, as a lazy result may still read it.
     """
 
-    made: ClassVar[list[Stored]] = []
-
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
-        Stored.made.append(self)
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        if (scope := Scope._now.get()) is not None:
+            scope.made.append(self)
 
     def drop(self) -> None:
         remove(self.df.sparkSession, self.path)
-        if self in Stored.made:
-            Stored.made.remove(self)
-
-
-def drop_stored(since: int = 0, but: tuple[Stored, ...] = ()) -> None:
-    """Removes intermediate tables from the ``since``th of those that are there on; frames that read them can no longer be computed."""
-    for one in Stored.made[since:]:
-        if one not in but:
-            one.drop()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -19,7 +19,8 @@ SCANNED_CHARS = 50
 PICTURE_SIDE = 50.0
 SAME_START = 24
 FENCE = "```"
-HAN = re.compile("[⺀-鿿]")
+HAN = "[⺀-鿿]"
+EDGES = r"(?U)^\s+|\s+$"
 
 
 class Parser(Protocol):
@@ -69,21 +70,17 @@ def parse(files: DataFrame, parser: Parser = plain_parser, limit: Callable[[int]
     """Blocks of (doc_id, content) files; a file that fails, or takes longer than its pages allow, fails the job, so a document is whole or absent."""
 
     ship(files.sparkSession)
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [
-                (doc, i, kind, level, text, page) for doc, content in zip(
-                    part.column(0).to_pylist(),
-                    part.column(1).to_pylist(),
-                    strict=True,
-                ) for i, (kind, level, text, page) in enumerate(in_time(parser, content, limit(page_count(content))))
-            ]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                names=["doc_id", "ord", "kind", "level", "text", "page"],
-            )
+            for doc, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):  # a file at a time: memory follows the largest
+                held = content.as_py()
+                rows = [(doc, i, *block) for i, block in enumerate(in_time(parser, held, limit(page_count(held))))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                    names=["doc_id", "ord", "kind", "level", "text", "page"],
+                )
 
     return files.select("doc_id", "content").mapInArrow(batches, BLOCKS)
 
@@ -115,25 +112,24 @@ class Reader(Protocol):
 def fill(regions: DataFrame, reader: Reader, lenient: bool = False) -> DataFrame:
     """Regions (..., text, picture) with the text of those that have none read from their picture, and what happened: ``kept``, ``read``, ``cut`` or ``empty``.
 
-    A reading ends where the model starts to repeat itself (see ``first_reading``). Regions without a picture stay as they are.
+    A reading ends where the model starts to repeat itself (see ``reading_of``). Regions without a picture stay as they are. Pictures are taken
+    from a batch one by one.
     """
     ship(regions.sparkSession)
+    added = T.StructType([*regions.schema.fields, T.StructField("reading", T.StringType())])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            at, seen = part.schema.get_field_index("text"), part.column(part.schema.get_field_index("picture")).to_pylist()
-            texts, outcomes = part.column(at).to_pylist(), []
-            for i, picture in enumerate(seen):
-                if (texts[i] or "").strip() or picture is None:
-                    outcomes.append("kept")
-                    continue
-                lines, ended = first_reading(reader.read(picture), lenient=lenient)
-                texts[i] = "\n".join(lines)
-                outcomes.append("empty" if not lines else "cut" if ended else "read")
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(outcomes, pa.string())], names=[*part.schema.names, "outcome"])
+            texts, pictures = (part.column(part.schema.get_field_index(c)) for c in ("text", "picture"))
+            blank = [p.is_valid and not (t.as_py() or "").strip() for t, p in zip(texts, pictures, strict=True)]
+            read = [reader.read(p.as_py()) if b else None for b, p in zip(blank, pictures, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(read, pa.string())], names=[*part.schema.names, "reading"])
 
-    return regions.mapInArrow(batches, T.StructType([*regions.schema.fields, T.StructField("outcome", T.StringType())]))
+    read = regions.mapInArrow(batches, added).withColumn("reading", F.when(F.col("reading").isNotNull(), reading_of(F.col("reading"), lenient=lenient)))
+    outcome = F.when(F.col("reading").isNull(), "kept").when(F.size("reading.lines") == 0, "empty").when(F.col("reading.ended"), "cut").otherwise("read")
+    return read.withColumns(
+        {"text": F.when(F.col("reading").isNull(), F.col("text")).otherwise(F.array_join("reading.lines", "\n")), "outcome": outcome}
+    ).drop("reading")
 
 
 def fill_counts(filled: DataFrame) -> DataFrame:
@@ -162,35 +158,32 @@ def keeps_picture(bbox: Column, least: float = PICTURE_SIDE) -> Column:
     return F.least(side(0, 2), side(1, 3)) >= least
 
 
-def _ends(line: str, first: str, seen: dict[str, int], whole: bool, lenient: bool) -> int | None:
-    """How many lines stay if the reading ends at this line; None if it goes on."""
-    here = len(seen)
-    restarts = here > 0 and (line.startswith(first[:SAME_START]) if len(first) >= SAME_START else whole and line == first)
-    drifts = here > 0 and bool(HAN.search(line)) and not HAN.search(first)
-    ornament = here > 0 and whole and not any(c.isalnum() for c in line)
-    if line.startswith(FENCE) or restarts or drifts or ornament and not lenient:
-        return here
-    return seen.get(line) if whole and not lenient else None
+def reading_of(text: Column, complete: Column | None = None, lenient: bool = False) -> Column:
+    """A model's reading of a region as a struct: its ``lines`` before it repeats itself or wanders off, and whether it ``ended`` there.
 
-
-def first_reading(text: str, complete: bool = True, lenient: bool = False) -> tuple[list[str], bool]:
-    """The lines of a model's reading before it repeats itself or wanders off, and whether it did.
-
-    It ends at a code fence, where its first line comes again (by its beginning, if that is long enough to tell), where Han characters
-    turn up that the first line has none of, at a line without letters or digits, and where a line comes again: then at the first of the two. ``lenient``
-    lets the last two pass. The last line of an incomplete text may still grow, so it only ends a reading by how it begins, and isn't kept.
+    Every line is judged by itself: code fences, the first line again (by its first SAME_START characters, if it has so many), and
+    Han characters after a first line without any end a reading before them; so do lines without letters or digits and, from where it
+    stood first, a line that was there before, both unless ``lenient``. The earliest of these ends counts. The last line of a text that is not
+    ``complete`` may still grow: it ends a reading only by how it begins, and isn't kept. Null reads as empty.
     """
-    lines = [line.strip() for line in text.split("\n")]
-    growing = None if complete else len(lines) - 1
-    kept: list[str] = []
-    seen: dict[str, int] = {}  # where each line stands first; a repeated one, if lenient, under its place
-    for i, line in enumerate(lines):
-        if not line:
-            continue
-        end = _ends(line, kept[0] if kept else "", seen, i != growing, lenient)
-        if end is not None:
-            return kept[:end], True
-        if i != growing:
-            seen.setdefault(line if line not in seen else f"{line}\n{len(kept)}", len(kept))
-            kept.append(line)
-    return kept, False
+    whole = F.lit(True) if complete is None else complete
+    raw = F.split(F.coalesce(text, F.lit("")), "\n")
+    trimmed = F.transform(raw, lambda x, i: F.struct(F.regexp_replace(x, EDGES, "").alias("line"), (~whole & (i == F.size(raw) - F.lit(1))).alias("grows")))
+    said = F.filter(trimmed, lambda x: x["line"] != "")
+    lines = F.transform(said, lambda x: x["line"])
+    first = F.get(lines, F.lit(0))
+    again = lambda x: F.when(F.length(first) >= SAME_START, x["line"].startswith(F.substring(first, 1, SAME_START))).otherwise(~x["grows"] & (x["line"] == first))
+    strange = lambda x: x["line"].rlike(HAN) & ~first.rlike(HAN)
+    bare = lambda x: ~x["grows"] & ~x["line"].rlike(r"[\p{L}\p{N}]")
+
+    def end(x: Column, i: Column) -> Column:
+        """How many lines stay if the reading ends at this one; null if it goes on."""
+        here = x["line"].startswith(FENCE) | ((i > 0) & (again(x) | strange(x)))
+        if lenient:
+            return F.when(here, i)
+        before = (F.array_position(lines, x["line"]) - F.lit(1)).cast("int")
+        return F.when(here | ((i > 0) & bare(x)), i).when(~x["grows"] & (before < i), before)
+
+    stop = F.get(F.filter(F.transform(said, end), lambda n: n.isNotNull()), F.lit(0))
+    kept = F.when(stop.isNotNull(), F.slice(lines, 1, F.coalesce(stop, F.lit(0)))).otherwise(F.transform(F.filter(said, lambda x: ~x["grows"]), lambda x: x["line"]))
+    return F.struct(kept.alias("lines"), stop.isNotNull().alias("ended"))

@@ -71,15 +71,24 @@ def test_tables_give_up(spark):
     assert "characters" in flows.ask_tables(spark, "?", tables, Script(), budget=10).last("done", "answer")
 
 
-def test_first_reading():
-    read = parse.first_reading
-    assert read("a line\nb\n```x") == (["a line", "b"], True)
-    assert read("x" * 30 + "\nb\n" + "x" * 24 + "y") == (["x" * 30, "b"], True)
-    assert read("a\nb\nc\nb\nc") == (["a"], True)
-    assert read("a\n---\nb") == (["a"], True) and read("}\n}\n", lenient=True)[0] == ["}"]
-    assert read("if x:\n  }\nz\n  }\nq", lenient=True) == (["if x:", "}", "z", "}", "q"], False)
-    assert read("a\n中") == (["a"], True) and read("中\n文") == (["中", "文"], False)
-    assert read("a\nb", complete=False) == (["a"], False) and read("a\n\na") == (["a"], True)
+def test_reading_of(spark):
+    cases = [
+        ("a line\nb\n```x", True, False, ["a line", "b"], True),
+        ("x" * 30 + "\nb\n" + "x" * 24 + "y", True, False, ["x" * 30, "b"], True),
+        ("a\nb\nc\nb\nc", True, False, ["a"], True),
+        ("a\n---\nb", True, False, ["a"], True),
+        ("}\n}\n", True, True, ["}"], True),
+        ("if x:\n  }\nz\n  }\nq", True, True, ["if x:", "}", "z", "}", "q"], False),
+        ("a\n中", True, False, ["a"], True),
+        ("中\n文", True, False, ["中", "文"], False),
+        ("a\nb", False, False, ["a"], False),
+        ("a\n\na", True, False, ["a"], True),
+    ]
+    for lenient in (False, True):
+        rows = [c for c in cases if c[2] == lenient]
+        frame = spark.createDataFrame([(i, t, c) for i, (t, c, *_) in enumerate(rows)], "i int, text string, complete boolean")
+        got = frame.select("i", parse.reading_of(F.col("text"), F.col("complete"), lenient).alias("r")).orderBy("i").collect()
+        assert [(r.r.lines, r.r.ended) for r in got] == [(kept, ended) for *_, kept, ended in rows]
 
 
 def test_parse(spark):

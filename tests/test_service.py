@@ -289,10 +289,9 @@ def test_shared_folders_are_shared(spark, monkeypatch):
         ingest.fresh(Fake())
     assert session.shared_dir(spark) == session.shared_dir(spark)
     stored = session.Stored(spark.range(3))
-    mark = len(session.Stored.made)
-    other = session.Stored(spark.range(4))
-    session.drop_stored(mark)
-    assert stored.df.count() == 3 and other not in session.Stored.made
+    with session.Scope() as scope:
+        other = session.Stored(spark.range(4))
+    assert stored.df.count() == 3 and scope.made == [other]
     stored.drop()
 
 
