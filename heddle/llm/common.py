@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.session import Stored, drop_stored, shared_dir
+from heddle.session import Scope, Stored, shared_dir
 from heddle.sources.tables import table
 
 
-__all__ = ["Stored", "drop_stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "spare", "table"]
+__all__ = ["Scope", "Stored", "parallelism", "range_bounds", "range_of", "shared_dir", "slices", "spare", "table"]
 
 SLICE_BYTES = 1 << 18
 
