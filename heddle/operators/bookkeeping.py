@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from heddle.operators.registry import latest, upsert
 from heddle.session import remove
+from heddle.sources.snapshots import Change, Snapshot, Snapshots
 
 RECENT = 30
 FACET_LIMIT = 1000
@@ -295,6 +296,26 @@ def chat_problems(turns: DataFrame) -> DataFrame:
     )
 
 
+def save_turns(store: Snapshots, turns: DataFrame) -> Snapshot:
+    """Adds turns (session_id, kind, turn, question, created_at, ...) and brings their sessions up to date, both in one change.
+
+    Only the sessions of these turns are worked out anew, from what is kept of them and the new turns. A turn's number that its session
+    has, or two kinds in one, is a RecordError.
+    """
+
+    def work(now: Snapshot) -> Change:
+        own = turns.select("session_id").distinct()
+        known = now.table("turns", turns.schema)
+        mine = known.join(own, "session_id", "left_semi").unionByName(turns)
+        if odd := chat_problems(mine).limit(1).collect():
+            raise RecordError(f"The session {odd[0].session_id} would have {odd[0].problem}.")
+        fresh = sessions_of(mine)
+        kept = now.table("sessions").join(own, "session_id", "left_anti").unionByName(fresh) if "sessions" in now else fresh
+        return Change().add("turns", turns).replace("sessions", kept)
+
+    return store.commit(work, rests_on=("turns",))
+
+
 def good_answers(events: DataFrame, turn: str = "turn", seq: str = "seq", kind: str = "kind", value: str = "value") -> DataFrame:
     """(turn, sql): the SQL that answered each turn, to be kept as an example.
 
