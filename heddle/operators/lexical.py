@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,15 +107,13 @@ def sparse_search_batch(
     seeds: int = SEED_POSTINGS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """(query_id, rank, id, score) for a table of questions, exact, without joining common words with their postings.
+    """(query_id, rank, id, score) for a table of questions, exact, without joining common words with their postings; see ``best_of_batch``.
 
-    Each question is first sought by its rarest terms alone, at most about ``seeds`` postings of them; of the texts that are best by these, the
-    ``top_k``th best score by all terms is a bar. A term adds at most ``(K1 + 1) * idf`` to a score, so the commonest terms whose bounds add up to less
-    than the bar can't lift a text over it by themselves: only postings of the others are joined, and the texts that could still reach
-    the bar are scored in full. The texts are read for their words once; the postings of the questions' words are written beside, some tenths of the texts' size. Questions that find fewer than ``top_k`` texts by their rarest terms are sought by all of them.
+    The texts are read for their words once; the postings of the questions' words are written beside, some tenths of the texts' size. ``lexindex`` keeps
+    postings for searches that come again.
     """
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    terms = Stored(questions.select(F.col(query_col).alias("q"), F.explode(F.array_distinct(tokens(F.col(question_col)))).alias("word"))).df
+    terms = Stored(question_words(questions, query_col, question_col)).df
     vocabulary = Stored(terms.select("word").distinct().select("word", F.xxhash64("word").alias("term"))).df
     split = docs.select(F.col(id_col).alias("d"), tokens(F.col(text_col)).alias("t")).select("d", F.size("t").cast("long").alias("length"), "t")
     whole = split.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
@@ -122,29 +122,61 @@ def sparse_search_batch(
     each = split.select("d", "length", F.explode("t").alias("word")).join(small(vocabulary), "word")
     postings = Stored(each.groupBy("d", "length", "term").agg(F.count("*").alias("tf"))).df
     by_term = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(n), F.col("df")))
-    own = Window.partitionBy("q")
-    numbered = terms.select("q", F.xxhash64("word").alias("term")).join(by_term, "term")
-    known = Stored(numbered.withColumn("before", F.sum("df").over(own.orderBy("df", "term")) - F.col("df"))).df
+    known = terms.select("q", F.xxhash64("word").alias("term")).join(by_term, "term")
     weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
 
-    def found(some: DataFrame) -> DataFrame:
-        """(q, d, score) by these (q, term, idf) alone."""
-        return postings.join(small(some.select("q", "term", "idf")), "term").groupBy("q", "d").agg(F.sum(weight).alias("score"))
+    def found_of(some: DataFrame) -> DataFrame:
+        """(q, d, gain) of these (q, term, idf, need); rows below what their question needs of them are left out."""
+        met = postings.join(small(some), "term").withColumn("gain", weight)
+        return met.where(F.col("need").isNull() | (F.col("gain") >= F.col("need"))).select("q", "d", "gain")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        """(q, d, score) of these (q, d) by all terms."""
+    def gains_of(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """(q, d, gain) of these (q, d) by all terms."""
         wanted = pairs.join(small(known.select("q", "term", "idf")), "q")
-        return postings.join(small(pairs.select("d").distinct()), "d", "left_semi").join(wanted, ["d", "term"]).groupBy("q", "d").agg(F.sum(weight).alias("score"))
+        own = postings.join(small(pairs.select("d").distinct()), "d", "left_semi")
+        return own.join(wanted, ["d", "term"]).select("q", "d", weight.alias("gain"))
+
+    best = best_of_batch(known, found_of, gains_of, top_k, seeds, small)
+    return best.select(F.col("q").alias(query_col), "rank", F.col("d").alias(id_col), "score")
+
+
+def question_words(questions: DataFrame, query_col: str = "query_id", question_col: str = "question") -> DataFrame:
+    """(q, word): the distinct words of each question."""
+    return questions.select(F.col(query_col).alias("q"), F.explode(F.array_distinct(tokens(F.col(question_col)))).alias("word"))
+
 
+def best_of_batch(
+    known: DataFrame,
+    found: Callable[[DataFrame], DataFrame],
+    gains: Callable[[DataFrame, DataFrame], DataFrame],
+    top_k: int,
+    seeds: int = SEED_POSTINGS,
+    small: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """(q, rank, d, score), exact, of questions whose terms are ``known`` (q, term, df, idf).
+
+    ``found`` gives (q, d, gain) of (q, term, idf, need), where it may leave out what gains less than ``need``; ``gains`` gives (q, d, gain) of given (q, d) by all terms.
+    Each question is first sought by its rarest terms alone, at most about ``seeds`` postings of them beyond the rarest; of the texts that are best by these, the
+    ``top_k``th best score by all terms is a bar. A term adds at most ``(K1 + 1) * idf`` to a score, so the commonest terms whose bounds add up to less
+    than the bar can't lift a text over it by themselves: only postings of the others are sought, of those only ones that gain what
+    the bar leaves when all other terms gave their most, and the texts that could still reach
+    the bar are scored in full. Questions that find fewer than ``top_k`` texts by their rarest terms are sought by all of them.
+    """
+    own = Window.partitionBy("q")
+    known = Stored(known.withColumn("before", F.sum("df").over(own.orderBy("df", "term")) - F.col("df"))).df
+    summed = lambda rows: rows.groupBy("q", "d").agg(F.sum("gain").alias("score"))
     nth = F.row_number().over(own.orderBy(F.desc("score"), "d"))
-    first = found(known.where(F.col("before") < seeds)).withColumn("nth", nth).where(F.col("nth") <= FIRST * top_k)
-    bars = scored(Stored(first.select("q", "d")).df).withColumn("nth", nth).where(F.col("nth") == top_k).select("q", (F.col("score") - F.lit(SLACK)).alias("bar"))
+    rarest = known.where(F.col("before") < seeds).select("q", "term", "idf", F.lit(None).cast("double").alias("need"))
+    first = summed(found(rarest)).withColumn("nth", nth).where(F.col("nth") <= FIRST * top_k)
+    fully = summed(gains(Stored(first.select("q", "d")).df, known))
+    bars = fully.withColumn("nth", nth).where(F.col("nth") == top_k).select("q", (F.col("score") - F.lit(SLACK)).alias("bar"))
     bound = F.lit(K1 + 1) * F.col("idf")
     below = F.sum(bound).over(own.orderBy("idf", F.desc("term"))) < F.coalesce("bar", F.lit(0.0)) * F.lit(IDLE_SHARE)
-    judged = Stored(known.join(bars, "q", "left").withColumn("idle", below & F.col("bar").isNotNull())).df
+    others = F.sum(bound).over(own) - bound
+    judged = Stored(known.join(bars, "q", "left").withColumns({"idle": below & F.col("bar").isNotNull(), "need": F.col("bar") - others - F.lit(SLACK)})).df
     rest = judged.groupBy("q").agg(F.coalesce(F.sum(F.when(F.col("idle"), bound)), F.lit(0.0)).alias("rest"), F.max("bar").alias("bar"))
-    near = found(judged.where(~F.col("idle"))).join(small(rest), "q").where(F.col("bar").isNull() | (F.col("score") + F.col("rest") >= F.col("bar")))
-    candidates = Stored(near.select("q", "d")).df
+    able = summed(found(judged.where(~F.col("idle")).select("q", "term", "idf", "need")))
+    near = able.join(small(rest), "q").where(F.col("bar").isNull() | (F.col("score") + F.col("rest") >= F.col("bar")))
     order = own.orderBy(F.round("score", 9).desc(), "d")
-    best = scored(candidates).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_k)
-    return best.select(F.col("q").alias(query_col), "rank", F.col("d").alias(id_col), "score")
+    best = summed(gains(Stored(near.select("q", "d")).df, known)).withColumn("rank", F.row_number().over(order).cast("long"))
+    return best.where(F.col("rank") <= top_k)

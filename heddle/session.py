@@ -83,8 +83,8 @@ class Scope:
     _now: ClassVar[ContextVar[Scope | None]] = ContextVar("heddle_scope", default=None)
 
     def __init__(self):
-        self.made: list[Stored] = []
-        self.kept: list[Stored] = []
+        self.made: list[Folder] = []
+        self.kept: list[Folder] = []
 
     def __enter__(self) -> Scope:
         self._around, self._token = Scope._now.get(), Scope._now.set(self)
@@ -103,7 +103,23 @@ class Scope:
         return stored
 
 
-class Stored:
+class Folder:
+    """A new folder in the shared folder; its Scope, ``drop()`` or the end of the driver's process removes it with all that is in it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        if (scope := Scope._now.get()) is not None:
+            scope.made.append(self)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+class Stored(Folder):
     """A table written to the shared folder: ``df`` reads it, ``drop()`` removes it.
 
     Reading it again never repeats the work that made it, also after a lost executor. The Scope that it is made in owns it;
@@ -111,17 +127,9 @@ class Stored:
     """
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-        if (scope := Scope._now.get()) is not None:
-            scope.made.append(self)
-
-    def drop(self) -> None:
-        remove(self.df.sparkSession, self.path)
+        super().__init__(df.sparkSession)
+        df.write.parquet(f"{self.path}/table")
+        self.df = self.spark.read.schema(df.schema).parquet(f"{self.path}/table")
 
 
 def remove(spark: SparkSession, path: str) -> None:
