@@ -32,6 +32,8 @@ LIST = (
     ("host", "blog.tionble.example.com", "allow", "2024-07-01"),
     ("domain", "tiontion.example.com", "block", "2024-08-01"),
     ("domain", "tiontion.example.com", "allow", "2024-08-01"),
+    ("prefix", "blog.ththan.example.net", "block", "2024-05-01"),
+    ("host", "blog.ththan.example.net", "allow", "2024-02-01"),
 )
 
 

@@ -45,7 +45,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(kind, value, action, valid_from, valid_to) from (kind, value, action, listed_on).
 
     ``valid_to`` is the target's next date, null for its last; intervals that begin with ``clear`` are none. Entries with a null or unknown part are left out;
-    hosts and domains are compared without case, prefixes lose their final slash and their host's case. Repeated
+    hosts and domains are compared without case, prefixes lose their final slash and their host's case; a prefix that is a host alone has every path of it. Repeated
     entries count once.
     """
     strict = F.create_map(*[x for a, n in STRICT.items() for x in (F.lit(a), F.lit(n))])
@@ -78,7 +78,7 @@ def _keys(url: Column, depths: list[int]) -> Column:
         lambda i: key("domain", F.array_join(F.slice(labels, i, F.size(labels)), "."), F.size(labels) - i),
     )
     prefixes = [
-        F.when(F.size(segments) >= d, key("prefix", F.concat(name, F.lit("/"), F.array_join(F.slice(segments, 1, d), "/")), F.lit(d))) for d in depths
+        F.when(F.size(segments) >= d, key("prefix", F.array_join(F.concat(F.array(name), F.slice(segments, 1, d)), "/"), F.lit(d))) for d in depths
     ]
     return F.when(name != "", F.array_compact(F.concat(domains, F.array(key("host", name, F.lit(0)), *prefixes))))
 

@@ -20,7 +20,7 @@ def direct(url, time, entries):
     path = re.sub(r"^:\d*", "", m[2])
     segments = [s for s in path.split("/") if s]
     labels = [name] if name[0] == "[" else name.split(".")
-    targets = [("prefix", "/".join([name, *segments[:d]])) for d in range(len(segments), 0, -1)] + [("host", name)] + [("domain", ".".join(labels[i:])) for i in range(len(labels))]
+    targets = [("prefix", "/".join([name, *segments[:d]])) for d in range(len(segments), -1, -1)] + [("host", name)] + [("domain", ".".join(labels[i:])) for i in range(len(labels))]
     for kind, value in targets:
         past = [(when, urlfilter.STRICT[a], a) for k, v, a, when in entries if k == kind and v == value and time is not None and when <= time]
         if past:
@@ -37,7 +37,7 @@ def test_judge_equals_direct(spark):
     entries = [
         (kind, value, rng.choice(list(urlfilter.STRICT)), DAY + timedelta(days=rng.randrange(20)))
         for _ in range(60)
-        for kind, value in [rng.choice([("domain", "a.com"), ("domain", "com"), ("host", "x.a.com"), ("host", "b.org"), ("prefix", "a.com/p"), ("prefix", "a.com/p/q"), ("prefix", "c.net/P"), ("domain", "org"), ("host", "[::1]"), ("domain", "[2001:db8::7]")])]
+        for kind, value in [rng.choice([("domain", "a.com"), ("domain", "com"), ("host", "x.a.com"), ("host", "b.org"), ("prefix", "a.com/p"), ("prefix", "a.com/p/q"), ("prefix", "c.net/P"), ("prefix", "b.org"), ("prefix", "[::1]"), ("domain", "org"), ("host", "[::1]"), ("domain", "[2001:db8::7]")])]
     ]
     rows = []
     for i in range(400):
@@ -65,6 +65,14 @@ def test_a_cleared_host_leaves_the_domain_to_decide(spark):
     assert {r[0] for r in captures.select(urlfilter.host(F.col("url"))).collect()} == {"x.a.example", "[::1]"}
 
 
+def test_a_prefix_of_a_host_alone_has_all_its_paths(spark):
+    log = spark.createDataFrame([("prefix", "a.example", "block", DAY), ("prefix", "B.example//", "block", DAY), ("prefix", "a.example/free", "allow", DAY)], "kind string, value string, action string, listed_on timestamp_ntz")
+    urls = {"http://a.example": "blocked", "http://a.example/": "blocked", "https://A.example:8080/x/y?z": "blocked", "http://b.example/q": "blocked", "http://a.example/free/x": "allowed", "http://x.a.example/": "unlisted", "http://a.example.org/": "unlisted"}
+    captures = spark.createDataFrame([(u, DAY) for u in urls], "url string, fetched_at timestamp_ntz")
+    for limit in (urlfilter.BROADCAST_ROWS, 0):
+        assert {r.url: r.verdict for r in urlfilter.judge(captures, log, broadcast_rows=limit).collect()} == urls
+
+
 def test_hot_pairs_are_joined_back_whole(spark):
     log = spark.createDataFrame([("host", "a.com", "block", DAY)], "kind string, value string, action string, listed_on timestamp_ntz")
     captures = spark.range(20000).select("id", F.lit("http://a.com/").alias("url"), F.lit(DAY).cast("timestamp_ntz").alias("fetched_at"))
