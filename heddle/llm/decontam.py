@@ -1,15 +1,13 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly.
 
-A text's signature has the MinHash of every window of so many consecutive shingles: the least of their hashes. One shingle
-is the least of many windows, so the signature keeps about 2 / (window + 1) of a text's shingles, wherever in a long
-document they stand. Items are partitioned by size, and each partition has the widest window (a power of two) that its items
-can bear: of the shingles that containment demands, so many must stand side by side in the document, as each cut
-between them costs the shingles across it (see ``side_by_side``). A document and an item that
-share a window have its MinHash in both signatures, so partitions up to eight shingles
-take windows of four (two fifths of the shingles stay), and larger ones windows of eight (two ninths). Items
-of up to three shingles have no window to speak of: they are sought among all shingles, an exact path of their own,
-which the sizes of other items don't touch. A document that shares a signature value is a candidate, and candidates
-are verified on the shingles' texts.
+An item's sketch is its least shingle hashes. Items are partitioned by size (powers of two), and the items of a partition have sketches of the same
+length. Of an item with n distinct shingles a document that contains it lacks at most ``lost`` = n less what containment
+demands, so of a sketch of k hashes it has at least k - ``lost``, wherever they stand and in whatever order: a document that
+quotes an item in fragments is found like one that quotes it whole. A partition's sketches have 2 * ``lost`` + 1 hashes of its largest size
+(all of a smaller item), which demands a good half of them: one shared shingle alone makes no candidate.
+
+A document has no sketch of its own, as a short item's hashes may stand anywhere in a long text: all its shingles are looked up among
+those of the sketches, and what is found is counted by document and item before it is shuffled. Candidates are verified on the shingles' texts.
 
 Items of fewer than five words are one shingle of that many words and are sought among the documents'
 shingles of this length, all of them.
@@ -17,60 +15,40 @@ shingles of this length, all of them.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from heddle.llm.common import Stored
 from heddle.llm.shingles import SYMBOLS, WORDS, with_shingles, words
 
 CONTAINMENT = 0.8
-WINDOWS = (1, 2, 4, 8)
 BROADCAST_ROWS = 1_000_000  # long pairs: some 40 MB in a hash table
 SALTS = 16
-SAME_WINDOW = 64  # from this many shingles on, items have one partition
-
 
-def side_by_side(size: int, containment: float = CONTAINMENT, words_each: int = WORDS) -> int:
-    """How many of an item's shingles must be neighbours in a document that contains it.
-
-    Of ``size`` shingles, ``ceil(containment * size)`` are there and the others are lost. Whatever stands between two parts of
-    the item that are there, be it another word or the rest of the document, loses the ``words_each - 1`` shingles across.
-    """
-    there = max(1, math.ceil(round(containment * size, 9)))
-    parts = (size - there) // max(1, words_each - 1) + 1
-    return max(1, math.ceil(there / parts))
 
+def lost_of(size: Column, containment: float = CONTAINMENT) -> Column:
+    """How many of an item's ``size`` shingles a document that contains it may lack."""
+    return (size - F.greatest(F.lit(1), F.ceil(F.round(size * F.lit(containment), 9)))).cast("int")
 
-def window_for(size: int, containment: float = CONTAINMENT) -> int:
-    """The window of the partition that an item of ``size`` distinct shingles is in; 1 keeps every shingle."""
-    return max(w for w in WINDOWS if w == 1 or w <= side_by_side(size, containment) and size > 3)
 
-
-def with_signature(df: DataFrame, shingles: str, to: str, window: int) -> DataFrame:
-    """Adds the distinct MinHashes of all windows of a column of shingle hashes; a shorter text is one window, none give none.
-
-    Least hashes of pairs, of pairs of pairs and so on: each step looks at two values, whatever the window.
-    """
-    least, reach = f"_{to}_least", 1
-    df = df.withColumn(least, F.col(shingles))
-    while reach < window:
-        n, apart = F.size(least), F.lit(reach)
-        two = F.transform(F.slice(least, 1, F.greatest(n - apart, F.lit(1))), _less_of(least, apart))
-        df = df.withColumn(least, F.when(n > reach, two).when(n > 0, F.array(F.array_min(least))).otherwise(F.col(least)))
-        reach *= 2
-    return df.withColumn(to, F.array_distinct(least)).drop(least)
+def partition_of(size: Column) -> Column:
+    """The largest size of an item's partition: the power of two from ``size`` on."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("int")
 
 
-def _less_of(array: str, apart: Column) -> Callable[[Column, Column], Column]:
-    return lambda x, i: F.least(x, F.get(F.col(array), i + apart))
+def sketch_length(size: Column, containment: float = CONTAINMENT) -> Column:
+    """How many of its least hashes an item keeps."""
+    return F.least(size.cast("int"), F.lit(2) * lost_of(partition_of(size), containment) + F.lit(1))
 
 
-def _marked(window: int) -> Callable[[Column], Column]:
-    return lambda h: F.struct(F.lit(window).alias("window"), h.alias("h"))
+def sketches(sizes: DataFrame, hashed: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """(item_id, item_text, k, h, needed): the items' sketches, and of how many of these hashes a document must have."""
+    n, own = F.col("n_shingles"), Window.partitionBy("item_id", "item_text", "k").orderBy("h")
+    nth = hashed.join(sizes, ["item_id", "item_text", "k"]).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= sketch_length(n, containment))
+    return nth.select("item_id", "item_text", "k", "h", (sketch_length(n, containment) - lost_of(n, containment)).alias("needed"))
 
 
 def _text_pieces(w: Column, k: Column) -> Column:
@@ -108,38 +86,18 @@ def find(
         own.select("item_id", "item_text", "k", F.explode_outer(F.array_distinct(_text_pieces(F.col("w"), F.col("k")))).alias("piece")).distinct()
     ).df
     sizes = pieces.groupBy("item_id", "item_text", "k").agg(F.count("*").alias("n_shingles"))
-    present = [r.n for r in sizes.select(F.least("n_shingles", F.lit(SAME_WINDOW)).alias("n")).distinct().collect()]  # at most SAME_WINDOW rows
-    window = F.lit(1)
-    for n in sorted(present):
-        window = F.when(F.col("n_shingles") >= n, F.lit(window_for(n, containment))).otherwise(window)
-    sizes = sizes.withColumn("window", F.when(F.col("k") < WORDS, F.lit(1)).otherwise(window))
     kept = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
     ).where("doc_id IS NOT NULL AND text IS NOT NULL")
     few = pieces.count() <= broadcast_rows
     small = F.broadcast if few else (lambda df: df)
-    shingled = with_shingles(
-        own.where(F.col("k") == WORDS),
-        F.array_join("w", " "),
-        "shingles",
-        WORDS,
-        SYMBOLS,
-    ).join(small(sizes), ["item_id", "item_text", "k"])
-    hashed = _piece_hashes(pieces).join(small(sizes), ["item_id", "item_text", "k"]).where("window = 1").select("item_id", "item_text", "k", "window", "h")
-    for w in WINDOWS[1:]:
-        signed = with_signature(shingled.where(F.col("window") == w), "shingles", "signature", w)
-        hashed = hashed.unionByName(signed.select("item_id", "item_text", "k", "window", F.explode_outer("signature").alias("h")))
-    hashed = Stored(hashed).df
+    hashed = Stored(sketches(sizes, _piece_hashes(pieces), containment)).df
     met = [hashed.select(F.lit(0).cast("long").alias("doc_id"), "item_id", "item_text", "k").where("false")]
-    for k, windows in sorted((r.k, sorted(r.windows)) for r in sizes.groupBy("k").agg(F.collect_set("window").alias("windows")).collect()):  # at most five rows
-        signed, names = with_shingles(kept, F.col("text"), "shingles", k, SYMBOLS), []
-        for w in windows:
-            names.append(f"signature{w}")
-            signed = with_signature(signed, "shingles", names[-1], w)
-        signatures = F.flatten(F.array(*[F.transform(n, _marked(w)) for n, w in zip(names, windows, strict=True)]))
-        keys = signed.select("doc_id", F.explode_outer(signatures).alias("s")).select("doc_id", "s.window", "s.h")
-        met.append(_meet(keys, hashed.where(F.col("k") == k), ["window", "h"], few).select("doc_id", "item_id", "item_text", "k").distinct())
+    for k in sorted(r.k for r in sizes.select("k").distinct().collect()):  # at most five rows
+        keys = with_shingles(kept, F.col("text"), "shingles", k, SYMBOLS).select("doc_id", F.explode_outer(F.array_distinct("shingles")).alias("h"))
+        counted = _meet(keys, hashed.where(F.col("k") == k), ["h"], few).groupBy("doc_id", "item_id", "item_text", "k").agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
+        met.append(counted.where("n >= needed").select("doc_id", "item_id", "item_text", "k"))
     candidates = Stored(reduce(DataFrame.unionByName, met)).df
     near = F.broadcast if candidates.count() <= broadcast_rows else (lambda df: df)
     suspects = kept.join(near(candidates.select("doc_id", "k").distinct()), "doc_id")
