@@ -42,7 +42,9 @@ BESIDE = 8  # random fingerprints that share a key, about
 SEED = 42
 SALTS = 8
 NEAR_SHINGLE, NEAR_WORDS, SIMILARITY = 5, 32, 0.8  # the second pass: five words, 2048 bits
-DESIGN, RECALL = 0.09, 0.98
+WORD_BITS, WORDS_ALIKE, RUNS_ALIKE = 16, 0.9, 0.6  # of 64; texts with words changed all over
+HOT_KEY = 10_000  # documents of one band
+DESIGN, RECALL = 0.1, 0.97
 PUNCTUATION = b".,;:!?()[]{}<>\"'`*_-"
 CROWDED_ROWS = 20_000  # keys: a megabyte
 BROADCAST_ROWS = 1_000_000  # ids: some 60 MB in a hash table
@@ -262,7 +264,7 @@ def _votes(hashes: np.ndarray, outputs: int) -> np.ndarray:
 
 
 def long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int], list[int]] | None:
-    """(band keys, near): the bands of the SimHash of a text's words, and the SimHash of its five-word shingles as signed longs; None without words.
+    """(band keys, near): the bands of the SimHash of a text's words, and the SimHashes of its five-word shingles and of its words as signed longs; None without words.
 
     Words are those of ``fingerprint`` without the punctuation around them.
     """
@@ -277,16 +279,18 @@ def long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int
         for i in range(size):
             runs = (runs ^ hashes[i : len(words) - size + 1 + i]) * np.uint64(0xD6E8FEB86659FD93)
             runs ^= runs >> np.uint64(32)
-    votes = _votes(np.unique(hashes), -(-bands * bits // 64))[: bands * bits].reshape(bands, bits)
+    of_words = _votes(np.unique(hashes), max(WORD_BITS, -(-bands * bits // 64)))
+    votes = of_words[: bands * bits].reshape(bands, bits)
     keys = votes.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-    near = np.packbits(_votes(np.unique(runs), NEAR_WORDS), bitorder="little").view(np.int64)
+    near = np.packbits(np.concatenate([_votes(np.unique(runs), NEAR_WORDS), of_words[: 64 * WORD_BITS]]), bitorder="little").view(np.int64)
     return keys.tolist(), near.tolist()
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): ids of documents whose five-word shingles have a cosine of at least ``similarity``, as their 2048-bit SimHashes have it (within about 0.02).
 
-    For copies with words changed here and there, which two bits of 64 don't reach. Candidates share a band of the SimHash of their
+    For copies with words changed here and there, which two bits of 64 don't reach. One word in twenty takes a quarter of the five-word shingles
+    with it, but hardly any words: documents link too if the cosine of their distinct words is at least WORDS_ALIKE and that of their shingles RUNS_ALIKE. Candidates share a band of the SimHash of their
     words, which such changes move little; within a band each document meets the least id alone, so rows grow with documents. The search is
     approximate: see ``bands_for``. Null ids and wordless texts link to nothing.
     """
@@ -312,16 +316,36 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the band goes into the key; most keys that are shared are shared by two, whose pair is the least and the greatest id
     keyed = fps.select("doc_id", F.explode(F.transform("keys", lambda k, i: F.xxhash64(k, i))).alias("key"))
     met = Stored(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")).df
-    crowded = met.where("n > 2").select("key", "a")
-    stars = keyed.join(F.broadcast(crowded) if crowded.count() <= CROWDED_ROWS else crowded, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    pairs = met.where("n = 2").select("a", "b").unionByName(stars).distinct()
+    crowded = met.where("n > 2").select("key", "a", (F.col("n") > HOT_KEY).alias("hot"))
+    if crowded.count() <= CROWDED_ROWS:
+        stars = keyed.join(F.broadcast(crowded), "key")
+    else:
+        stars = _salted(keyed, F.col("doc_id")).join(crowded.withColumn("salt", _all_salts()), ["key", "salt"])
+    stars = stars.where("a < doc_id").select("a", F.col("doc_id").alias("b"), "hot")
+    pairs = met.where("n = 2").select("a", "b", F.lit(False).alias("hot")).unionByName(stars).groupBy("a", "b").agg(F.max("hot").alias("hot"))
+    # the least id of a large band has a pair for each of its documents: they are dealt out by the other id
     near = fps.select("doc_id", "near")
-    both = pairs.join(
-        near.select(F.col("doc_id").alias("a"), F.col("near").alias("x")),
-        "a",
-    ).join(near.select(F.col("doc_id").alias("b"), F.col("near").alias("y")), "b")
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(NEAR_WORDS)])
-    return both.where(apart <= F.lit(int(64 * NEAR_WORDS * math.acos(similarity) / math.pi))).select("a", "b").distinct()
+    leads = near.join(crowded.where("hot").select(F.col("a").alias("doc_id"), F.lit(True).alias("lead")).distinct(), "doc_id", "left")
+    leads = leads.select(F.col("doc_id").alias("a"), F.col("near").alias("x"), F.explode(F.when(F.col("lead"), _salt_array()).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+    dealt = pairs.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long")))
+    both = dealt.join(leads, ["a", "salt"]).join(near.select(F.col("doc_id").alias("b"), F.col("near").alias("y")), "b")
+    apart = lambda start, size: reduce(lambda p, q: p + q, [F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(start, start + size)])
+    most = lambda size, cosine: F.lit(int(64 * size * math.acos(cosine) / math.pi))
+    runs, own = apart(0, NEAR_WORDS), apart(NEAR_WORDS, WORD_BITS)
+    alike = (runs <= most(NEAR_WORDS, similarity)) | (runs <= most(NEAR_WORDS, RUNS_ALIKE)) & (own <= most(WORD_BITS, WORDS_ALIKE))
+    return both.where(alike).select("a", "b").distinct()
+
+
+def _salt_array() -> Column:
+    return F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+
+
+def _all_salts() -> Column:
+    return F.explode(_salt_array())
+
+
+def _salted(rows: DataFrame, by: Column) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS).cast("long")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
