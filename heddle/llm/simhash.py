@@ -241,7 +241,7 @@ def bands_for(documents: int, near: float = DESIGN, recall: float = RECALL) -> t
     Bands are long enough that a random document shares one with few others, and so many that two documents whose words'
     fingerprints differ in ``near`` of their bits share one with a chance of ``recall``.
     """
-    bits = max(26, math.ceil(math.log2(max(documents, 2))) + 12)
+    bits = max(26, math.ceil(math.log2(max(documents, 2))) + 8)  # a random document in one of 256 bands
     return math.ceil(math.log(1 - recall) / math.log(1 - (1 - near) ** bits)), bits
 
 
