@@ -264,7 +264,13 @@ def _votes(hashes: np.ndarray, outputs: int) -> np.ndarray:
 
 
 def long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int], list[int]] | None:
-    """(band keys, near): the bands of the SimHash of a text's words, and the SimHashes of its five-word shingles and of its words as signed longs; None without words.
+    """(band keys, near): the bands of the SimHash of a text's words, and the SimHash of its five-word shingles as signed longs; None without words."""
+    found = _long_fingerprints(text, bands, bits)
+    return found and found[:2]
+
+
+def _long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int], list[int], list[int]] | None:
+    """What ``long_fingerprints`` gives, and the SimHash of the text's words.
 
     Words are those of ``fingerprint`` without the punctuation around them.
     """
@@ -282,8 +288,8 @@ def long_fingerprints(text: str | None, bands: int, bits: int) -> tuple[list[int
     of_words = _votes(np.unique(hashes), max(WORD_BITS, -(-bands * bits // 64)))
     votes = of_words[: bands * bits].reshape(bands, bits)
     keys = votes.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-    near = np.packbits(np.concatenate([_votes(np.unique(runs), NEAR_WORDS), of_words[: 64 * WORD_BITS]]), bitorder="little").view(np.int64)
-    return keys.tolist(), near.tolist()
+    near, own = (np.packbits(v, bitorder="little").view(np.int64) for v in (_votes(np.unique(runs), NEAR_WORDS), of_words[: 64 * WORD_BITS]))
+    return keys.tolist(), near.tolist(), own.tolist()
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -300,14 +306,14 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def batches(parts):
         for part in (p for whole in parts for p in slices(whole, 1)):
-            got = [long_fingerprints(t.as_py(), bands, bits) for t in part.column(1)]
+            got = [_long_fingerprints(t.as_py(), bands, bits) for t in part.column(1)]
             some = pa.array([g is not None for g in got], pa.bool_())
             got = [g for g in got if g is not None]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).filter(some),
-                    pa.array([k for k, _ in got], pa.list_(pa.int64())),
-                    pa.array([n for _, n in got], pa.list_(pa.int64())),
+                    pa.array([k for k, _, _ in got], pa.list_(pa.int64())),
+                    pa.array([n + w for _, n, w in got], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "keys", "near"],
             )

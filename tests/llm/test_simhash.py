@@ -191,3 +191,16 @@ def test_long_fingerprints_estimate_the_cosine():
         assert abs(math.cos(math.pi * apart) - shingle_cosine(" ".join(a), " ".join(b))) < 0.08
     sizes = [simhash.bands_for(10**n) for n in range(1, 12)]
     assert sizes == sorted(sizes) and all(1 - (1 - (1 - simhash.DESIGN) ** bits) ** bands >= simhash.RECALL for bands, bits in sizes)
+
+
+def test_copies_with_one_word_in_twenty_changed_go(spark):
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.8)) % 5000}"
+    bases = [[word() for _ in range(rng.choice([120, 250, 600]))] for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(bases)]
+    rows += [(1000 + i, " ".join(word() if rng.random() < 0.05 else x for x in w)) for i, w in enumerate(bases)]
+    # half of the words are another text's: no copy
+    rows += [(2000 + i, " ".join(w[: len(w) // 2] + bases[i - 1][: len(w) // 2])) for i, w in enumerate(bases[:60])]
+    stays = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(1000 + i not in stays for i in range(150)) >= 0.85 * 150
+    assert set(range(150)) <= stays and {2000 + i for i in range(60)} <= stays
