@@ -285,6 +285,55 @@ def merge_peers(blocks: DataFrame, max_tokens: int) -> DataFrame:
     )
 
 
+def _fit_text(text: Column, budget: Column) -> Column:
+    """A text as it is if it fits, else its sentences, those beyond the budget in windows of words, packed to it."""
+    windows = lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w)), budget), lambda i: F.concat(F.array_join(F.slice(w, i, budget), " "), F.lit(" "))
+    )
+    split = F.transform(_split_sentences(text), lambda x: F.struct(x.alias("t"), words_of(x).alias("w")))
+    small = F.flatten(F.transform(split, lambda x: F.when(F.size(x["w"]) > budget, windows(x["w"])).otherwise(F.array(x["t"]))))
+    return F.when(F.size(words_of(text)) <= budget, F.array(text)).otherwise(pack_within(small, budget))
+
+
+def _fit_table(text: Column, budget: Column) -> Column:
+    """A Markdown table as it is if it fits, else tables of its rows, packed so that each fits with the header repeated; a larger row is alone in its own."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~_blank(x))
+    ruled = F.get(lines, F.lit(1)).rlike(r"^[|\s:-]+$")
+    top = F.when(ruled, 2).otherwise(1)
+    head = F.array_join(F.slice(lines, F.lit(1), top), "\n")
+    rows = F.transform(F.slice(lines, top + 1, F.greatest(F.lit(0), F.size(lines) - top)), lambda r: F.concat(r, F.lit("\n")))
+    room = F.greatest(F.lit(1), budget - F.size(words_of(head)))
+    split = F.transform(pack_within(rows, room), lambda body: F.concat(head, F.lit("\n"), body))
+    return F.when((F.size(words_of(text)) <= budget) | (F.size(lines) <= top), F.array(text)).otherwise(split)
+
+
+def structural(segmented: DataFrame, max_tokens: int) -> DataFrame:
+    """(doc_id, run, ord, headings, piece, text, token_count): elements cut to the budget, then undersized neighbours under the same headings joined.
+
+    The budget is what the heading path leaves of ``max_tokens`` (at least half). Tables are Markdown among the texts. A ``run`` is a stretch of a
+    document whose elements have the same heading path, over however many sections; ``ord`` is where it begins. Blank elements and
+    pictures are left out; a document without others has no rows.
+    """
+    rows = segmented.where(~F.col("kind").isin("heading", "title", "picture") & ~_blank(F.coalesce("text", F.lit(""))))
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    begins = F.when(F.col("headings") == F.lag("headings").over(order), 0).otherwise(1)
+    marked = rows.withColumn("_begins", begins).withColumn("run", F.sum("_begins").over(order) - 1)
+    room = table_budget(max_tokens, F.size(words_of(F.array_join("headings", " "))))
+    fitted = marked.withColumn("_room", room).withColumn(
+        "_fit", F.when(F.col("kind") == "table", _fit_table(F.col("text"), F.col("_room"))).otherwise(_fit_text(F.col("text"), F.col("_room")))
+    )
+    met = fitted.groupBy("doc_id", "run").agg(
+        F.min("ord").alias("ord"),
+        F.first("headings").alias("headings"),
+        F.first("_room").alias("_room"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_fit"))), lambda e: e["_fit"])).alias("_all"),
+    )
+    packed = pack_within(F.transform("_all", lambda t: F.concat(t, F.lit("\n"))), F.col("_room"))
+    out = met.withColumn("_pieces", packed).select("doc_id", "run", "ord", "headings", F.posexplode_outer("_pieces").alias("piece", "text")).where("text IS NOT NULL")
+    text = F.regexp_replace("text", r"\n+$", "")
+    return out.withColumn("text", text).withColumns({"piece": F.col("piece").cast("long"), "token_count": F.size(words_of(F.col("text"))).cast("long")})
+
+
 def with_headings(headings: Column, text: Column) -> Column:
     """What is embedded: the heading path, a line each, before the text."""
     return F.concat_ws("\n", F.when(F.size(headings) > 0, F.array_join(headings, "\n")), text)

@@ -79,6 +79,21 @@ def chunk_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "section", "piece", content_id(F.col("text")).alias("text_id"), "token_count")
 
 
+def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: a section for each turn, three turns under one heading, and a table of the turns at the end."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("body"))
+    null = F.lit(None).cast("int")
+    part = F.concat(F.lit("Part "), F.floor(F.col("turn") / 3).cast("string"))
+    heads = turns.select("doc_id", (2 * F.col("turn")).alias("ord"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), part.alias("text"))
+    texts = turns.select("doc_id", (2 * F.col("turn") + 1).alias("ord"), F.lit("text").alias("kind"), null.alias("level"), F.col("body").alias("text"))
+    line = C.markdown_row(F.array(F.col("turn").cast("string"), F.col("role"), F.length("body").cast("string")))
+    listed = turns.groupBy("doc_id").agg(F.max("turn").alias("last"), F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("rows"))
+    whole = F.concat(F.lit("| turn | role | characters |\n| --- | --- | --- |\n"), F.array_join("rows.line", "\n"))
+    tables = listed.select("doc_id", (2 * F.col("last") + 2).alias("ord"), F.lit("table").alias("kind"), null.alias("level"), whole.alias("text"))
+    rows = C.structural(C.segment(heads.unionByName(texts).unionByName(tables)), MAX)
+    return rows.select("doc_id", "run", "ord", "piece", content_id(F.col("text")).alias("text_id"), F.array_join("headings", " > ").alias("path"), "token_count")
+
+
 def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label as the sentences of one section, cut where the distance jumps."""
     rows = C.breakpoints(table(spark, sf_dir, "embeddings"), 0.9, "label", "vec_id")
@@ -168,7 +183,7 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_blocks, chunk_fixed, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, semantic_breakpoints, chunk_semantic, chunk_hierarchical, chunk_dispatch, chunk_modalities, chunk_offsets, picture_headings, table_rows, table_pieces,
+    text_blocks, chunk_fixed, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, chunk_structural, semantic_breakpoints, chunk_semantic, chunk_hierarchical, chunk_dispatch, chunk_modalities, chunk_offsets, picture_headings, table_rows, table_pieces,
 )}
 
 _LINES = "SELECT doc_id, ord::INT AS ord, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) WHERE trim(text) <> ''"
