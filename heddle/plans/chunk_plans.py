@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.text import content_id
 from heddle.operators import chunking as C
+from heddle.operators import tokenizers
 from heddle.sources.tables import table
 
 MAX, OVERLAP = 64, 16
@@ -22,6 +23,12 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "piece", content_id(F.col("text")).alias("text_id"), "token_count")
 
 
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of whole words within a budget of tokens, those of a pattern, and how they overlap."""
+    rows = tokenizers.windows(table(spark, sf_dir, "documents"), tokenizers.Pattern(), MAX, OVERLAP)
+    return rows.select("doc_id", "piece", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), content_id(F.col("text")).alias("text_id"), "token_count")
+
+
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.number_chunks(C.fixed(table(spark, sf_dir, "documents"), MAX, OVERLAP), "piece")
     return rows.select("doc_id", "chunk_index", "chunk_id")
@@ -183,13 +190,26 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    text_blocks, chunk_fixed, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, chunk_structural, semantic_breakpoints, chunk_semantic, chunk_hierarchical, chunk_dispatch, chunk_modalities, chunk_offsets, picture_headings, table_rows, table_pieces,
+    text_blocks, chunk_fixed, chunk_tokens, chunk_ids, chunk_summary, section_headings, chunk_sections, paragraph_at, page_blocks, chunk_recursive, chunk_hybrid, chunk_structural, semantic_breakpoints, chunk_semantic, chunk_hierarchical, chunk_dispatch, chunk_modalities, chunk_offsets, picture_headings, table_rows, table_pieces,
 )}
 
 _LINES = "SELECT doc_id, ord::INT AS ord, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) WHERE trim(text) <> ''"
 _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _FIXED = f"""SELECT doc_id, p AS piece, w[p * {MAX - OVERLAP} + 1 : p * {MAX - OVERLAP} + {MAX}] AS own
   FROM (SELECT doc_id, {_WORDS} AS w FROM documents) d, LATERAL (SELECT unnest(range(greatest(0, len(w) - {OVERLAP} - 1) // {MAX - OVERLAP} + 1)) AS p) WHERE len(w) > 0"""
+_WORD, _TOKEN = r"[^\x09-\x0D\x20]+", r"[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D\x20]"
+# words, and the parts of those that alone are beyond the budget, are units; a unit's window ends with the last one that fits
+_TOKENS = f"""WITH RECURSIVE gaps AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS g FROM documents WHERE regexp_matches(text, '{_WORD}')),
+ words AS (SELECT doc_id, i, len(g) AS gap, w, regexp_extract_all(w, '{_TOKEN}') AS t FROM (SELECT doc_id, unnest(w) AS w, unnest(g[1:len(w)]) AS g, unnest(range(len(w))) AS i FROM gaps)),
+ placed AS (SELECT *, sum(gap + len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS head FROM words),
+ parts AS (SELECT doc_id, i, k, t[k * {MAX} + 1 : k * {MAX} + {MAX}] AS own, head + len(array_to_string(t[1 : k * {MAX}], '')) AS start FROM placed, LATERAL (SELECT unnest(range(greatest(1, (len(t) + {MAX - 1}) // {MAX}))) AS k)),
+ units AS (SELECT doc_id, row_number() OVER o AS u, start::BIGINT AS start, (start + len(array_to_string(own, '')))::BIGINT AS fin, len(own) AS n, sum(len(own)) OVER o AS cum FROM parts WINDOW o AS (PARTITION BY doc_id ORDER BY i, k)),
+ back AS (SELECT *, cum - n AS before FROM units),
+ led AS (SELECT *, max(u) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN CURRENT ROW AND {MAX} - n FOLLOWING) AS last,
+   CASE WHEN n > {OVERLAP} THEN u + 1 ELSE min(u) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN greatest({OVERLAP} - n, 0) PRECEDING AND CURRENT ROW) END AS again, max(u) OVER (PARTITION BY doc_id) AS top FROM back),
+ jumps AS (SELECT a.doc_id, a.u, a.start, b.fin, (b.cum - a.before)::BIGINT AS token_count, CASE WHEN a.last < a.top THEN greatest(a.u + 1, b.again) END AS following FROM led a JOIN led b ON b.doc_id = a.doc_id AND b.u = a.last),
+ walk AS (SELECT doc_id, u, 0::BIGINT AS piece FROM jumps WHERE u = 1 UNION ALL SELECT j.doc_id, j.following, piece + 1 FROM walk JOIN jumps j USING (doc_id, u) WHERE j.following IS NOT NULL)
+ SELECT doc_id, piece, start, fin AS "end", substr(sha256(substr(text, start + 1, fin - start)), 1, 16) AS text_id, token_count FROM walk JOIN jumps USING (doc_id, u) JOIN documents USING (doc_id)"""
 _MARKED = f"""marked AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'heading' THEN (ord // 7) % 3 + 1 END AS level, text
   FROM (SELECT *, CASE WHEN ord % 7 = 0 THEN 'heading' WHEN ord % 11 = 5 THEN 'picture' ELSE 'text' END AS kind FROM ({_LINES})))"""
 _SEG = f"""{_MARKED}, b AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER w AS section,
@@ -246,6 +266,7 @@ def _page_blocks() -> str:
 ORACLES = {
     "text_blocks": f"SELECT doc_id, ord, length(text)::INT AS chars FROM ({_LINES})",
     "chunk_fixed": f"SELECT doc_id, piece, substr(sha256(array_to_string(own, ' ')), 1, 16) AS text_id, len(own)::BIGINT AS token_count FROM ({_FIXED})",
+    "chunk_tokens": _TOKENS,
     "chunk_ids": f"SELECT doc_id, piece AS chunk_index, doc_id || ':' || lpad(piece::VARCHAR, 5, '0') AS chunk_id FROM ({_FIXED})",
     "chunk_summary": f"SELECT doc_id, count(*) AS chunks, min(len(own))::BIGINT AS tokens_min, round(avg(len(own)), 1) AS tokens_mean, max(len(own))::BIGINT AS tokens_max FROM ({_FIXED}) GROUP BY doc_id",
     "section_headings": f"WITH {_SEG} SELECT doc_id, ord, section, path FROM seg",
