@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "hybrid_rrf"
 
 #: Each module has QUERIES (name -> function) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("search_plans", "table_plans", "sql_plans", "chunk_plans", "registry_plans", "extra_plans", "service_plans", "index_plans")
+MODULES: tuple[str, ...] = ("search_plans", "table_plans", "sql_plans", "chunk_plans", "registry_plans", "extra_plans", "service_plans", "index_plans", "stream_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
