@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import threading
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,37 @@ class Refused(ValueError):
     """Why a query may not run, for whoever wrote it."""
 
 
+class Busy(RuntimeError):
+    """More guarded queries at once than are admitted."""
+
+
+class Admission:
+    """Lets at most ``most`` guarded queries run at once; one beyond that waits ``wait_s`` seconds for its turn and is then refused with Busy.
+
+    What is admitted runs in the scheduler pool ``pool``, so that with ``spark.scheduler.mode`` FAIR other work keeps its share of the executors. A turn ends with
+    its query, however that ends. The bound holds in one driver, by whichever threads ask.
+    """
+
+    def __init__(self, most: int = 10, wait_s: float = 0.0, pool: str = "guarded"):
+        if most < 1:
+            raise ValueError("at least one query must be admitted")
+        self.most, self.wait_s, self.pool = most, wait_s, pool
+        self._free = threading.BoundedSemaphore(most)
+
+    @contextmanager
+    def turn(self, spark: SparkSession) -> Iterator[None]:
+        if not self._free.acquire(timeout=self.wait_s):
+            raise Busy(f"{self.most} queries are running already; try again later.")
+        context = spark.sparkContext
+        before = context.getLocalProperty("spark.scheduler.pool")
+        try:
+            context.setLocalProperty("spark.scheduler.pool", self.pool)
+            yield
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", before)
+            self._free.release()
+
+
 @dataclass(frozen=True)
 class QueryResult:
     columns: list[str]
@@ -264,9 +296,25 @@ def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame], max_row
     return frame if limit is None else frame.limit(limit)
 
 
-def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], row_limit: int = 200, timeout_s: float = 10.0, schema: str = "") -> QueryResult:
-    """At most ``row_limit`` rows, one more being fetched to see whether there are; cancelled after ``timeout_s``."""
+def run(
+    spark: SparkSession,
+    sql: str,
+    tables: dict[str, DataFrame],
+    row_limit: int = 200,
+    timeout_s: float = 10.0,
+    schema: str = "",
+    admission: Admission | None = None,
+) -> QueryResult:
+    """At most ``row_limit`` rows, one more being fetched to see whether there are; cancelled after ``timeout_s``.
+
+    With an ``admission`` it has to wait for its turn, which doesn't count as time of the query, and may be refused with Busy.
+    """
     frame = guarded(spark, sql, tables, row_limit + 1, schema)
+    with admission.turn(spark) if admission else nullcontext():
+        return _timed(spark, frame, row_limit, timeout_s)
+
+
+def _timed(spark: SparkSession, frame: DataFrame, row_limit: int, timeout_s: float) -> QueryResult:
     tag = f"heddle-{threading.get_ident()}-{time.monotonic_ns()}"
     context = spark.sparkContext
     context.addJobTag(tag)

@@ -201,7 +201,9 @@ def source_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(1),
         ),
     )
-    inside = docs.select("doc_id", "t", F.explode_outer(word(F.col("t"))).alias("w")).join(longest, "w").where(F.contains("t", "s"))
+    # ids and words alone meet the items; the texts come back for the exact test of what met
+    met = docs.select(F.col("doc_id").alias("d"), F.explode(word(F.col("t"))).alias("w")).join(longest, "w").select("d", "item_id", "s").distinct()
+    inside = docs.join(met, F.col("doc_id").eqNullSafe(F.col("d"))).where(F.contains("t", "s"))
     return inside.select("doc_id", "item_id").distinct()
 
 

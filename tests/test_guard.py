@@ -1,6 +1,8 @@
 """The guard's refusals, limits and names, and running under a cap and a time limit."""
 
+import threading
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from decimal import Decimal
 
 import pytest
@@ -110,3 +112,41 @@ def test_functions_need_a_plain_form(spark):
     for sql in ("select regexp_match(name, name) from orders", "select heddle_age(1, 2)", "select * from generate_series2(1, 2)", "select generate_series(1) from orders"):
         with pytest.raises(guard.Refused):
             allowed(spark, sql)
+
+
+def test_admission(spark):
+    """No more queries than admitted run at once, the others are refused; a turn ends with its query, also with a failed one."""
+    gate = guard.Admission(most=2, pool="readers")
+    numbers = {"numbers": spark.range(5)}
+    ask = lambda sql="select count(*) as n from numbers": guard.run(spark, sql, numbers, admission=gate).rows
+    with gate.turn(spark):
+        assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") == "readers"
+        assert ask() == [(5,)]
+        with gate.turn(spark), pytest.raises(guard.Busy, match="2 queries"):
+            ask()
+    for _ in range(3):
+        with pytest.raises(Exception, match="(?i)divi"):
+            ask("select 1 / (id - id) as x from numbers")
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None and ask() == [(5,)]
+    began, running, most = threading.Barrier(4), [], []
+
+    class Watched(guard.Admission):
+        @contextmanager
+        def turn(self, session):
+            with super().turn(session):
+                running.append(1)
+                most.append(len(running))
+                yield
+                running.pop()
+
+    waiting = Watched(most=2, wait_s=60)
+
+    def one(_):
+        began.wait()
+        return guard.run(spark, "select count(*) as n from numbers", numbers, timeout_s=60, admission=waiting).rows
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(one, range(4))) == [[(5,)]] * 4
+    assert max(most) <= 2 and len(most) == 4
+    with pytest.raises(ValueError, match="at least one"):
+        guard.Admission(most=0)
