@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.operators import graph, lexindex, search
 from heddle.plans.search_plans import _ASKED, _batch
 from heddle.session import Folder
+from heddle.sources import store
 from heddle.sources.snapshots import Snapshot
 from heddle.sources.tables import table
 
@@ -73,7 +74,14 @@ def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (index_update, index_search, graph_points, graph_recall)}
+def payload_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents with ids from 100 to 199, out of all documents written with payload indexes."""
+    at = Folder(spark).path
+    store.write_indexed(table(spark, sf_dir, "documents"), f"{at}/points", ("doc_id", "lang", "source"), ("doc_id", "source"))
+    return spark.read.parquet(f"{at}/points").where("doc_id BETWEEN 100 AND 199 AND lang = 'en'").select("doc_id", "source", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (index_update, index_search, graph_points, graph_recall, payload_lookup)}
 
 ORACLES = {
     "index_update": r"""
@@ -81,5 +89,6 @@ SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_
 """,
     "graph_points": """SELECT label, count(DISTINCT embedding) AS vectors, 0::BIGINT AS apart FROM embeddings
       WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 GROUP BY label""",
+    "payload_lookup": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id BETWEEN 100 AND 199 AND lang = 'en'",
     "index_search": f"WITH {_batch(_ASKED, 3)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM hits",
 }

@@ -27,6 +27,31 @@ def write_documents(points: DataFrame, path: str) -> None:
     points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "doc_id").parquet(path)
 
 
+def write_indexed(
+    points: DataFrame,
+    path: str,
+    keys: tuple[str, ...] = ("doc_id", "modality", "source_file"),
+    bloom: tuple[str, ...] = ("doc_id", "source_file"),
+    distinct: int = 100_000,
+    row_group_bytes: int = 32 << 20,
+) -> None:
+    """Writes points so that a filter on one of ``keys`` skips most of what can't match, without an index beside them; replaces what is there.
+
+    Files and row groups are ranges of ``keys`` in this order, which Parquet's statistics and column indexes tell of; for keys that stand later, ``bloom`` columns
+    have a filter in each row group, sized for ``distinct`` values of it. Rows beyond equal keys are dealt by a hash of their plain columns, so a key that many
+    points have is several ranges. Keys that the points lack are left out; null keys come first.
+    """
+    sorts = [k for k in keys if k in points.columns]
+    if not sorts:
+        raise CollectionError(f"Points have none of the keys {', '.join(keys)}.")
+    plain = [f.name for f in points.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    dealt = points.withColumn("_deal", F.xxhash64(*plain)).repartitionByRange(*sorts, "_deal").sortWithinPartitions(*sorts).drop("_deal")
+    writer = dealt.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    for column in (c for c in bloom if c in points.columns):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", distinct)
+    writer.parquet(path)
+
+
 def dimension_problems(points: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:
     """Rows whose vector does not have ``dim`` components: empty if the store is sound."""
     return points.where(F.col(vector_col).isNull() | (F.size(vector_col) != dim))
