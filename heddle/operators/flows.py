@@ -163,8 +163,12 @@ def error_text(error: Exception) -> str:
 def ask_tables(
     spark: SparkSession, question: str, tables: dict[str, DataFrame], model: TextModel, history: list[tuple[str, str]] | None = None,
     examples: Callable[[str], list[tuple[str, str]]] | None = None, schema: str = "data", row_limit: int = 200, timeout_s: float = 10.0, max_repairs: int = 2, budget: int = 40_000,
+    admission: guard.Admission | None = None,
 ) -> Turn:
-    """Describe the schema, write SQL, check it, run it; errors go back to the model at most ``max_repairs`` times."""
+    """Describe the schema, write SQL, check it, run it; errors go back to the model at most ``max_repairs`` times.
+
+    ``admission`` bounds the queries at once; one that it refuses ends the turn, as the model can't mend that.
+    """
     turn = Turn()
     asked = standalone(model, question, history or [])
     turn.emit("query", text=asked)
@@ -191,7 +195,9 @@ def ask_tables(
         if sql == CANNOT:
             return stop("The model says so.")
         try:
-            result = guard.run(spark, sql, tables, row_limit, timeout_s, schema)
+            result = guard.run(spark, sql, tables, row_limit, timeout_s, schema, admission)
+        except guard.Busy as e:
+            return stop(str(e), sql)
         except Exception as e:  # noqa: BLE001  whatever stops a query is told to the model
             error = error_text(e)
             turn.emit("sql_checked", ok=False, error=error)

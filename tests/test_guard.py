@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from heddle.operators import guard
+from heddle.operators import flows, guard
 from heddle.plans.table_plans import STATEMENTS
 
 
@@ -150,3 +150,12 @@ def test_admission(spark):
     assert max(most) <= 2 and len(most) == 4
     with pytest.raises(ValueError, match="at least one"):
         guard.Admission(most=0)
+
+
+def test_a_busy_turn_ends(spark):
+    """A refused query is not given back to the model."""
+    gate, prompts = guard.Admission(most=1), []
+    model = lambda kind, prompt: prompts.append(kind) or "select count(*) as n from numbers"
+    with gate.turn(spark):
+        turn = flows.ask_tables(spark, "How many?", {"numbers": spark.range(5)}, model, admission=gate)
+    assert turn.events[-1]["outcome"] == "abstained" and "running already" in turn.events[-1]["answer"] and prompts.count("repair") == 0
