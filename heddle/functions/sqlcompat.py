@@ -52,6 +52,19 @@ def trunc(value: Column, digits: int = 0) -> Column:
     return F.signum(value) * F.floor(F.abs(value) * scale) / scale
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double scaled, rounded half away from zero and scaled back, all in doubles (Spark rounds the shortest decimal that names it)."""
+    scale = F.lit(10.0**digits)
+    near = F.round(value * scale, 0) / scale
+    return F.when(F.abs(near) < F.lit(float("inf")), near).otherwise(value)
+
+
+def divide(a: Column, b: Column) -> Column:
+    """The quotient of doubles; by zero it is an infinity, zero by zero is not a number."""
+    inf = F.lit(float("inf"))
+    return F.when(b == 0, F.when(a > 0, inf).when(a < 0, -inf).when(a.isNotNull(), F.lit(float("nan")))).otherwise(F.try_divide(a, b))
+
+
 def regexp_match(text: Column, regexp: str, groups: int) -> Column:
     """The groups of the first match as an array (the whole match for none), null where nothing matches."""
     parts = [F.regexp_extract(text, regexp, i) for i in (range(1, groups + 1) if groups else (0,))]
