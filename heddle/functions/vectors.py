@@ -14,13 +14,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _squares(v: Column) -> Column:
+    return F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x)
+
+
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
+    return F.sqrt(_squares(v))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; null where a vector is null or zero or the lengths differ."""
-    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+    """Cosine similarity, from -1 to 1; null where a vector is null or zero or the lengths differ.
+
+    One root of both squares: that of equal whole numbers is exact, and equal vectors are at no distance.
+    """
+    likeness = F.try_divide(dot(a, b), F.sqrt(_squares(a) * _squares(b)))
+    within = lambda x: F.when(F.isnan(x), x).when(x > 1, F.lit(1.0)).when(x < -1, F.lit(-1.0)).otherwise(x)
+    return F.when(F.size(a) == F.size(b), F.get(F.transform(F.array(likeness), within), F.lit(0)))
 
 
 def truncate_normalise(v: Column, size: int | None) -> Column:
