@@ -128,7 +128,12 @@ def fixed(docs: DataFrame, max_tokens: int, overlap: int = 0, id_col: str = "doc
 
 
 def _blank(x: Column) -> Column:
-    return F.regexp_replace(x, r"\s+", "") == ""
+    return ~x.rlike(r"\S")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: a lambda that names an expression would work it out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _split_sentences(text: Column) -> Column:
@@ -143,9 +148,10 @@ def _cut_at(pieces: Column, starts: Column) -> Column:
 
 def _join_blanks(pieces: Column) -> Column:
     """Blank pieces go with the piece before them, those at the start with the first that isn't blank."""
-    solid = F.filter(F.transform(pieces, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(0)), F.slice(solid, 2, F.greatest(F.size(solid), F.lit(1))))
-    return F.when(F.size(pieces) == 0, pieces).otherwise(_cut_at(pieces, starts))
+    solid = lambda p: F.filter(F.transform(p, lambda x, i: F.when(~_blank(x), i)), lambda i: i.isNotNull())
+    starts = lambda at: F.concat(F.array(F.lit(0)), F.slice(at, 2, F.greatest(F.size(at), F.lit(1))))
+    joined = lambda p: _once(_once(solid(p), starts), lambda at: _cut_at(p, at))
+    return _once(pieces, lambda p: F.when(F.exists(p, _blank), joined(p)).otherwise(p))
 
 
 def sentences(text: Column) -> Column:
@@ -171,7 +177,8 @@ def pack_by(pieces: Column, sizes: Column, budget: Column) -> Column:
         return F.struct(starts.alias("starts"), (acc["at"] + 1).alias("at"), F.when(fits, acc["n"] + n).otherwise(n).alias("n"))
 
     starts = F.aggregate(sizes, begin, step, lambda acc: acc["starts"])
-    return F.filter(F.transform(_cut_at(pieces, starts), lambda t: F.trim(t)), lambda t: ~_blank(t))
+    cut = _once(pieces, lambda p: _once(starts, lambda at: _cut_at(p, at)))
+    return F.filter(F.transform(cut, lambda t: F.trim(t)), lambda t: ~_blank(t))
 
 
 def recursive(parts: DataFrame, max_tokens: int, text_col: str = "text") -> DataFrame:
@@ -250,9 +257,10 @@ def locate_pieces(text: Column, pieces: Column) -> Column:
     begin = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("last"))
 
     def step(acc: Column, piece: Column) -> Column:
-        at = F.position(piece, text, acc["next"] + F.lit(1)) - F.lit(1)
-        at = F.when(at >= 0, at).otherwise(acc["last"])
-        return F.struct(F.concat(acc["out"], F.array(at)).alias("out"), (at + 1).alias("next"), at.alias("last"))
+        found = F.position(piece, text, acc["next"] + F.lit(1)) - F.lit(1)
+        kept = lambda at: F.when(at >= 0, at).otherwise(acc["last"])
+        add = lambda at: F.struct(F.concat(acc["out"], F.array(at)).alias("out"), (at + 1).alias("next"), at.alias("last"))
+        return _once(_once(found, kept), add)
 
     return F.aggregate(pieces, begin, step, lambda acc: acc["out"])
 

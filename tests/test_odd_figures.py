@@ -1,12 +1,16 @@
 """Queries beside their SQL on small tables with odd figures."""
 
 import math
+import time
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from heddle.functions.vectors import cosine
+from heddle.operators import chunking
 
 
 def shown(value):
@@ -39,3 +43,21 @@ EVENTS = """SELECT id::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, id::BIG
 @pytest.mark.parametrize("name", ["metric_log", "model_calls"])
 def test_throughput_of_no_time_and_of_large_counts(beside, name):
     beside(name, events=EVENTS)
+
+
+def test_equal_distances_are_on_one_side_of_the_threshold(spark):
+    """Parallel vectors are at no distance, whatever their lengths are."""
+    rows = [(n, [float(n), float(2 * n), 3.0 * n], [7.0 * n, 14.0 * n, 21.0 * n]) for n in range(1, 200)]
+    likeness = spark.createDataFrame(rows, "n int, a array<double>, b array<double>").select(cosine(F.col("a"), F.col("b")))
+    assert {r[0] for r in likeness.collect()} == {1.0}
+
+
+def test_sentences_are_split_once_however_many_there_are(spark):
+    """A text of 4,000 sentences with blank pieces: work for each of them that splits the whole text anew takes minutes."""
+    text = "\n\n" + "It is so. \n\n  \n\nAnd so it is! " * 2000
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string").select("text", chunking.sentences(F.col("text")).alias("p"))
+    began = time.monotonic()
+    row = docs.select("text", "p", chunking.locate_pieces(F.col("text"), F.col("p")).alias("at")).first()
+    assert time.monotonic() - began < 20
+    assert "".join(row.p) == text and len(row.p) == 4000
+    assert all(text.startswith(p, at) for p, at in zip(row.p, row["at"], strict=True))
