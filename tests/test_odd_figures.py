@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from heddle.functions.vectors import cosine
-from heddle.operators import chunking
+from heddle.operators import ann, chunking, search
 
 
 def shown(value):
@@ -61,3 +61,17 @@ def test_sentences_are_split_once_however_many_there_are(spark):
     assert time.monotonic() - began < 20
     assert "".join(row.p) == text and len(row.p) == 4000
     assert all(text.startswith(p, at) for p, at in zip(row.p, row["at"], strict=True))
+
+
+def test_index_of_many_copies_meets_in_slices(spark, monkeypatch):
+    """Places of more points than a slice holds: the same answers as the exact scan, and no row for each pair."""
+    monkeypatch.setattr(ann, "SLICE", 64)
+    rows = [(n, [1.0, 2.0, 3.0, 4.0] if n % 2 else [float(n % 7) + 1, float(n % 11), -float(n % 5), 2.0]) for n in range(600)]
+    points = spark.createDataFrame([*rows, (600, [0.0] * 4), (601, None)], "chunk_id long, embedding array<float>")
+    asked = points.where("chunk_id % 4 = 1").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    planes = ann.Planes(4, tables=8, planes=3)
+    found = ann.search(ann.index(points, planes), asked, planes, 5)
+    exact = search.dense_search_batch(points, asked, 5)
+    named = lambda df, i: {(r["query_id"], r["rank"], r[i]) for r in df.collect()}
+    assert named(found, "id") == named(exact, "chunk_id")
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
