@@ -19,16 +19,31 @@ FIRST = 8  # texts for each that is asked for, from which the bar is found
 SLACK = 1e-6  # of bounds against rounding
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """(id, length, term, tf): one row for each distinct term of a text, or of those in ``only`` (a frame of terms).
+def counted(terms: Column) -> Column:
+    """Distinct terms of an array with their number, as an array of (term, tf): they are sorted, and a term's run is counted by where it begins."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.zip_with(
+        at,
+        F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))),
+        lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("long").alias("tf")),
+    )
+    return F.when(F.size(terms) > 0, once(F.sort_array(terms), lambda s: once(begins(s), lambda at: runs(s, at))))
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None, batch_col: str | None = None) -> DataFrame:
+    """(id, length, term, tf), and the batch: one row for each distinct term of a text, or of those in ``only`` (a frame of terms).
 
-    Counts are combined before the shuffle, and other terms are left out before that.
+    A text's words are counted in its row, so nothing is shuffled; only where an id stands in several rows are their counts summed up.
     """
-    split = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t"))
-    each = split.select(id_col, F.size("_t").cast("long").alias("length"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL")
+    key = [*dict.fromkeys([id_col, *([batch_col] if batch_col else [])])]
+    split = docs.select(*key, tokens(F.col(text_col)).alias("_t"))
+    each = split.select(*key, F.size("_t").cast("long").alias("length"), F.explode_outer(counted(F.col("_t"))).alias("_e")).where("_e IS NOT NULL").select(*key, "length", "_e.term", "_e.tf")
     if only is not None:
         each = each.join(only, "term", "left_semi")
-    return each.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return each
+    return each.groupBy(*key, "length", "term").agg(F.sum("tf").alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -48,16 +63,15 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_col: str | None = None) -> DataFrame:
     """(id, term, tf, weight); lengths are relative to the mean of the row's batch, or of all rows.
 
-    The mean is aggregated by batch and joined: no window holds a batch.
+    The mean is aggregated by batch and joined, broadcast unless there are very many: rows of terms stay where they are counted.
     """
-    lengths = docs.select(*dict.fromkeys([id_col, *([batch_col] if batch_col else [])]), F.size(tokens(F.col(text_col))).cast("long").alias("_n"))
-    counts = term_counts(docs, id_col, text_col)
+    lengths = docs.select(*([batch_col] if batch_col else []), F.size(tokens(F.col(text_col))).cast("long").alias("_n"))
+    counts = term_counts(docs, id_col, text_col, batch_col=batch_col)
     if batch_col is None:
         average = lengths.agg(F.avg("_n")).scalar()
         return counts.select(id_col, "term", "tf", document_weight(F.col("tf"), F.col("length"), average).alias("weight"))
-    means = lengths.groupBy(batch_col).agg(F.avg("_n").alias("_mean"))
-    batches = lengths.select(*dict.fromkeys([id_col, batch_col])).join(means, batch_col)
-    return counts.join(batches, id_col).select(
+    means = Stored(lengths.groupBy(batch_col).agg(F.avg("_n").alias("_mean"))).df
+    return counts.join(F.broadcast(means) if means.count() <= BROADCAST_ROWS else means, batch_col).select(
         *dict.fromkeys([id_col, batch_col]),
         "term",
         "tf",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from heddle.functions.vectors import cosine
-from heddle.operators import ann, chunking, search
+from heddle.operators import ann, chunking, lexical, search
 
 
 def shown(value):
@@ -75,3 +75,12 @@ def test_index_of_many_copies_meets_in_slices(spark, monkeypatch):
     named = lambda df, i: {(r["query_id"], r["rank"], r[i]) for r in df.collect()}
     assert named(found, "id") == named(exact, "chunk_id")
     assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_without_a_shuffle_of_their_rows(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "é É x"), (None, "a a")], "doc_id int, text string")
+    rows = lexical.term_counts(docs)
+    assert {tuple(r) for r in rows.collect()} == {(1, 3, "a", 1), (1, 3, "b", 2), (4, 3, "é", 2), (4, 3, "x", 1), (None, 2, "a", 2)}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    twice = lexical.term_counts(docs.unionByName(docs))
+    assert {(r.doc_id, r.term, r.tf) for r in twice.collect()} == {(1, "a", 2), (1, "b", 4), (4, "é", 4), (4, "x", 2), (None, "a", 4)}
