@@ -86,10 +86,16 @@ def segment(blocks: DataFrame) -> DataFrame:
 
 def sections(segmented: DataFrame) -> DataFrame:
     """(doc_id, section, headings, text, starts): paragraphs joined by blank lines, with the offset at which each starts."""
+    return _placed_sections(segmented).drop("_ord")
+
+
+def _placed_sections(segmented: DataFrame) -> DataFrame:
+    """``sections`` with ``_ord``, where each begins."""
     rows = segmented.where(~F.col("kind").isin("heading", "title", "table"))
     met = rows.groupBy("doc_id", "section").agg(
         F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"),
         F.first("headings").alias("headings"),
+        F.min("ord").alias("_ord"),
     )
     met = met.withColumn("starts", running(F.transform("p", lambda p: F.length(p["text"]) + 2)))
     return met.select(
@@ -98,6 +104,7 @@ def sections(segmented: DataFrame) -> DataFrame:
         "headings",
         F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("text"),
         F.transform("starts", lambda s: s.cast("int")).alias("starts"),
+        "_ord",
     )
 
 
@@ -446,14 +453,14 @@ def assemble(
     ``split`` turns sections (doc_id, section, headings, text) into (doc_id, section, piece, text). Pieces stand where their section begins, or at their own ``ord`` if they have one; tables
     (doc_id, ord, headings, piece, text) and pictures (doc_id, ord, headings, text) where they were.
     """
-    whole = sections(segmented)
-    first = segmented.where(~F.col("kind").isin("heading", "title", "table")).groupBy("doc_id", "section").agg(F.min("ord").alias("ord"))
+    whole = _placed_sections(segmented)
     pieces = split(whole)
-    place = whole.select("doc_id", "section", "headings")
-    pieces = pieces.select("doc_id", "section", "piece", "text", *["ord"] * ("ord" in pieces.columns)).join(
-        place if "ord" in pieces.columns else place.join(first, ["doc_id", "section"]),
-        ["doc_id", "section"],
-    )
+    if {"_ord", "_headings"} <= set(pieces.columns):  # the split has carried what places a piece, so no text is joined
+        pieces = pieces.select("doc_id", "section", "piece", "text", F.col("_ord").alias("ord"), F.col("_headings").alias("headings"))
+    else:
+        place = whole.select("doc_id", "section", "headings", F.col("_ord").alias("ord"))
+        own = ["ord"] * ("ord" in pieces.columns)
+        pieces = pieces.select("doc_id", "section", "piece", "text", *own).join(place.drop(*own), ["doc_id", "section"])
     columns = ["doc_id", "ord", "piece", "modality", "headings", "text"]
     rows = pieces.withColumn("modality", F.lit("text")).select(columns)
     if tables is not None:
@@ -499,13 +506,15 @@ def chunk(
     made = None if tables is None else table_chunks(tables, max_tokens, handling)
 
     def fixed_pieces(whole: DataFrame) -> DataFrame:
-        keyed = whole.withColumn("_key", F.struct("doc_id", "section"))
-        return fixed(keyed, max_tokens, overlap, "_key").select("_key.doc_id", "_key.section", "piece", "text")
+        keyed = whole.withColumn("_key", F.struct("doc_id", "section", "_ord", F.col("headings").alias("_headings")))
+        return fixed(keyed, max_tokens, overlap, "_key").select("_key.*", "piece", "text")
 
     def recursive_pieces(whole: DataFrame) -> DataFrame:
         return recursive(whole, max_tokens).select(
             "doc_id",
             "section",
+            "_ord",
+            F.col("headings").alias("_headings"),
             F.posexplode_outer("pieces").alias("piece", "text"),
         ).where("text IS NOT NULL").withColumn("piece", F.col("piece").cast("long"))
 

@@ -84,3 +84,11 @@ def test_terms_are_counted_without_a_shuffle_of_their_rows(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     twice = lexical.term_counts(docs.unionByName(docs))
     assert {(r.doc_id, r.term, r.tf) for r in twice.collect()} == {(1, "a", 2), (1, "b", 4), (4, "é", 4), (4, "x", 2), (None, "a", 4)}
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "recursive"])
+def test_pieces_carry_their_place(spark, strategy):
+    blocks = spark.createDataFrame([(1, 0, "heading", 1, "H"), (1, 1, "text", None, "a b c"), (1, 2, "text", None, "d")], "doc_id int, ord int, kind string, level int, text string")
+    rows, _ = chunking.chunk(chunking.segment(blocks), strategy, 3)
+    assert {h for r in rows.collect() for h in r.headings} == {"H"}
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
