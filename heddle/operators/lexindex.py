@@ -19,18 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import tokens
-from heddle.operators.lexical import BROADCAST_ROWS, SEED_POSTINGS, best_of_batch, document_weight, idf, question_words, term_counts
+from heddle.operators.lexical import BROADCAST_ROWS, SEED_POSTINGS, best_of_batch, document_weight, idf, question_words
 from heddle.session import Stored, ship
 from heddle.sources.snapshots import Change, Snapshot, Snapshots
 
 BLOCK = 128
+PIECE = 2 * BLOCK  # postings of a term in one row, before blocks are made of them
+RUN = 1 << 22  # words, or postings, that are sorted at once
 BUCKETS = 32
 SLICES = 32
 PUSHED_TERMS = 200  # so many terms are named to the scan one by one
+POSTING = np.dtype([("d", "<i8"), ("tf", "<i4"), ("length", "<i4")])
+PIECES = "term string, postings binary"  # POSTINGs one after another
+READ = f"d long, length long, words string, {PIECES}"
 BLOCKS = "bucket int, term string, segment long, max_tf long, min_length long, ids array<long>, tfs array<long>, lengths array<long>"
 DOCUMENTS = "d long, length long, segment long, words array<string>"
 DEAD = "d long, before long"
@@ -60,10 +66,12 @@ def update(index: Snapshots, docs: DataFrame | None = None, deleted: DataFrame |
     empty = spark.createDataFrame([], "d long, text string")
     texts = empty if docs is None else docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text")).where("d IS NOT NULL")
     gone = empty.select("d") if deleted is None else deleted.select(F.col(id_col).cast("long").alias("d")).where("d IS NOT NULL")
-    own = Stored(texts.select("d", F.size(tokens(F.col("text"))).cast("long").alias("length"), F.array_distinct(tokens(F.col("text"))).alias("words"))).df
+    read = Stored(_read(texts)).df
+    own = read.where("d IS NOT NULL").select("d", "length", F.when(F.col("length") > 0, F.split("words", " ")).otherwise(F.array().cast("array<string>")).alias("words"))
     if twice := own.groupBy("d").count().where("count > 1").limit(1).collect():
         raise IndexProblem(f"The batch has the document {twice[0].d} more than once.")
-    counts = Stored(term_counts(texts, "d", "text")).df
+    pieces = read.where("term IS NOT NULL").select("term", "postings")
+    sizes = Stored(_sizes(pieces)).df
     named = Stored(own.select("d").unionByName(gone).distinct()).df
 
     def work(now: Snapshot) -> Change:
@@ -71,13 +79,14 @@ def update(index: Snapshots, docs: DataFrame | None = None, deleted: DataFrame |
         out = Stored(_live(now, now.table("documents", DOCUMENTS)).join(_small(named), "d", "left_semi")).df
         left, left_length = out.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         came, came_length = own.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        added = counts.groupBy("term").agg(F.count("*").alias("df"))
-        lost = out.select(F.explode("words").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
-        deltas = added.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        deltas = sizes.withColumnRenamed("n", "df")
+        if left:
+            lost = out.select(F.explode("words").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
+            deltas = deltas.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         before = now.facts or {"documents": 0, "length": 0, "dead": 0, "buckets": buckets}
         change = Change(facts=before | {"documents": before["documents"] + came - left, "length": before["length"] + came_length - left_length, "dead": before["dead"] + left}, options=OPTIONS)
         width = before["buckets"]
-        change.add("postings", _blocks(counts, now.version + 1, width), "bucket")
+        change.add("postings", _blocks_of(pieces, sizes, now.version + 1, width), "bucket")
         change.add("terms", deltas.select(bucket(F.col("term"), width).alias("bucket"), "term", "df").repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
         change.add("documents", own.select("d", "length", segment.alias("segment"), "words").sortWithinPartitions("d"))
         return change.add("dead", out.select("d", segment.alias("before")))
@@ -122,47 +131,139 @@ def _entries(blocks: DataFrame) -> DataFrame:
 
 
 def _blocks(counts: DataFrame, segment: int, buckets: int) -> DataFrame:
-    """Blocks of (d, length, term, tf) rows. A term with more than its share of all postings is dealt to several tasks by its documents' hash."""
-    spark = counts.sparkSession
+    """Blocks of (d, length, term, tf) rows."""
+    pieces = Stored(_pieces(counts)).df
+    return _blocks_of(pieces, Stored(_sizes(pieces)).df, segment, buckets)
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have up to RUN values together, or are one row."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RUN, "right")))
+        yield a, b
+        a = b
+
+
+def _starts(codes: np.ndarray, most: int) -> np.ndarray:
+    """Where pieces of up to ``most`` equal neighbours begin."""
+    runs = np.flatnonzero(np.diff(codes, prepend=-1))
+    return np.flatnonzero((np.arange(len(codes)) - np.repeat(runs, np.diff(np.append(runs, len(codes))))) % most == 0)
+
+
+def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _piece_rows(terms: pa.Array, codes: np.ndarray, d: np.ndarray, tf: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Rows of PIECES from postings that are sorted by term and document."""
+    starts, packed = _starts(codes, PIECE), np.empty(len(codes), POSTING)
+    packed["d"], packed["tf"], packed["length"] = d, tf, length
+    ends = np.append(starts, len(codes)).astype(np.int32) * np.int32(POSTING.itemsize)
+    postings = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    return pa.RecordBatch.from_arrays([terms.take(pa.array(codes[starts])), postings], names=["term", "postings"])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The POSTINGs of some rows."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(POSTING)
+
+
+def _read(texts: DataFrame) -> DataFrame:
+    """Rows of READ from (d, text) rows with different ids, whose words are sought once: each document's distinct words (no word has a space), and the postings in pieces.
+
+    A task sorts its words by term, so a row goes on for each piece and not for each posting.
+    """
+    ship(texts.sparkSession)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            d, words = part.column("d").to_numpy(), part.column("words")
+            for a, b in _spans(np.diff(words.offsets.to_numpy())):
+                own, ids, n = words.slice(a, b - a), d[a:b], b - a
+                lengths, order, place = np.diff(own.offsets.to_numpy()), np.argsort(ids), np.empty(n, np.int64)
+                place[order] = np.arange(n)
+                coded = own.flatten().dictionary_encode()
+                met, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(place, lengths), return_counts=True)
+                codes, at = met // n, order[met % n]
+                by_text = np.argsort(at.astype(np.min_scalar_type(n)), kind="stable")
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=n))), pa.int32())
+                distinct = pc.binary_join(pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(codes[by_text]))), " ")
+                yield _wide([pa.array(ids), pa.array(lengths, pa.int64()), distinct], ["d", "length", "words"])
+                if len(met):
+                    pieces = _piece_rows(coded.dictionary, codes, ids[at], tf, lengths[at])
+                    yield _wide(pieces.columns, pieces.schema.names)
+
+    return texts.select("d", tokens(F.col("text")).alias("words")).mapInArrow(batches, READ)
+
+
+def _wide(columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """A batch of READ with nulls in its other columns."""
+    kinds = {"d": pa.int64(), "length": pa.int64(), "words": pa.string(), "term": pa.string(), "postings": pa.binary()}
+    own = dict(zip(names, columns, strict=True))
+    return pa.RecordBatch.from_arrays([own.get(c, pa.nulls(len(columns[0]), kind)) for c, kind in kinds.items()], names=[*kinds])
+
+
+def _pieces(counts: DataFrame) -> DataFrame:
+    """The postings of (d, length, term, tf) rows in pieces."""
+    ship(counts.sparkSession)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                coded, d, tf, length = part.column("term").dictionary_encode(), *(part.column(c).to_numpy() for c in ("d", "tf", "length"))
+                codes = coded.indices.to_numpy()
+                order = np.lexsort((d, codes))
+                yield _piece_rows(coded.dictionary, codes[order], d[order], tf[order], length[order])
+
+    return counts.select("d", "length", "term", "tf").mapInArrow(batches, PIECES)
+
+
+def _sizes(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("term").agg(F.sum((F.octet_length("postings") / POSTING.itemsize).cast("long")).alias("n"))
+
+
+def _blocks_of(pieces: DataFrame, sizes: DataFrame, segment: int, buckets: int) -> DataFrame:
+    """Blocks of stored pieces, ``sizes`` the number of each term's postings. A term with more than its share of all postings is dealt to several tasks by pieces."""
+    spark = pieces.sparkSession
     ship(spark)
     tasks = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    by_term = counts.groupBy("term").agg(F.count("*").alias("n"))
-    share = max(BLOCK, counts.count() // (4 * tasks))
-    hot = by_term.where(F.col("n") > share).select("term", F.lit(True).alias("hot"))  # at most 4 x tasks terms
-    placed = counts.join(F.broadcast(hot), "term", "left").select(
+    share = max(BLOCK, (sizes.agg(F.sum("n")).first()[0] or 0) // (4 * tasks))
+    hot = sizes.where(F.col("n") > share).select("term", F.lit(True).alias("hot"))  # at most 4 x tasks terms
+    placed = pieces.join(F.broadcast(hot), "term", "left").select(
         bucket(F.col("term"), buckets).alias("bucket"),
-        F.when(F.col("hot"), F.pmod(F.xxhash64("d"), F.lit(SLICES))).otherwise(0).alias("slice"),
+        F.when(F.col("hot"), F.pmod(F.xxhash64("postings"), F.lit(SLICES))).otherwise(0).alias("slice"),
         "term",
-        "d",
-        "tf",
-        "length",
+        "postings",
     )
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            term = part.column("term")
-            codes = term.dictionary_encode().indices.to_numpy()
-            runs = np.flatnonzero(np.diff(codes, prepend=-1))  # rows are sorted by term
-            ends = np.append(runs[1:], len(codes))
-            starts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(runs, ends, strict=True)])
-            offsets = pa.array(np.append(starts, len(codes)), pa.int32())
-            listed = lambda c: pa.ListArray.from_arrays(offsets, part.column(c).cast(pa.int64()))  # noqa: B023, E731
-            tf, length = (part.column(c).to_numpy() for c in ("tf", "length"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("bucket").take(pa.array(starts)),
-                    term.take(pa.array(starts)),
-                    pa.array(np.full(len(starts), segment, np.int64)),
-                    pa.array(np.maximum.reduceat(tf, starts).astype(np.int64)),
-                    pa.array(np.minimum.reduceat(length, starts).astype(np.int64)),
-                    *map(listed, ("d", "tf", "length")),
-                ],
-                names=["bucket", "term", "segment", "max_tf", "min_length", "ids", "tfs", "lengths"],
-            )
-
-    ordered = placed.repartition(tasks, "bucket", "slice").sortWithinPartitions("bucket", "term", "d")
+            sizes = pc.binary_length(part.column("postings")).to_numpy() // POSTING.itemsize
+            for a, b in _spans(sizes):
+                some = part.slice(a, b - a)
+                codes = some.column("term").dictionary_encode().indices.to_numpy()  # rows are sorted by term
+                rows = np.repeat(np.arange(b - a), sizes[a:b])
+                met = _unpacked(some.column("postings"))
+                order = np.lexsort((met["d"], codes[rows]))
+                rows, (d, tf, length) = rows[order], (met[c][order] for c in POSTING.names)
+                starts = _starts(codes[rows], BLOCK)
+                first = pa.array(rows[starts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("bucket").take(first),
+                        some.column("term").take(first),
+                        pa.array(np.full(len(starts), segment, np.int64)),
+                        pa.array(np.maximum.reduceat(tf, starts).astype(np.int64)),
+                        pa.array(np.minimum.reduceat(length, starts).astype(np.int64)),
+                        *(_lists(starts, x, pa.int64()) for x in (d, tf, length)),
+                    ],
+                    names=["bucket", "term", "segment", "max_tf", "min_length", "ids", "tfs", "lengths"],
+                )
+
+    ordered = placed.repartition(tasks, "bucket", "slice").sortWithinPartitions("bucket", "term")
     return ordered.mapInArrow(batches, BLOCKS)
 
 

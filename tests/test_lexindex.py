@@ -83,3 +83,13 @@ def test_a_hot_term_is_dealt_to_several_tasks(spark):
     counts = spark.range(20_000).select(F.col("id").alias("d"), F.lit(5).cast("long").alias("length"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("term"), F.lit(1).cast("long").alias("tf"))
     made = lexindex._blocks(counts, 1, 4).withColumn("part", F.spark_partition_id()).where("term = 'hot'")
     assert made.select("part").distinct().count() > 1 and made.agg(F.sum(F.size("ids"))).first()[0] == counts.where("term = 'hot'").count()
+
+
+def test_a_batch_deals_pieces_and_not_postings(spark):
+    docs = spark.createDataFrame([(i, "common " * (1 + i % 3) + f"x{i}") for i in range(2000)] + [(2000, ""), (2001, None)], "d long, text string").repartition(2)
+    rows = lexindex._read(docs).collect()
+    common = [lexindex.np.frombuffer(r.postings, lexindex.POSTING) for r in rows if r.term == "common"]
+    assert len(common) <= 2 * (1 + 1002 // lexindex.PIECE) and max(map(len, common)) == lexindex.PIECE
+    assert sorted(tuple(p.tolist()) for own in common for p in own) == [(i, 1 + i % 3, 2 + i % 3) for i in range(2000)]
+    texts = {r.d: (r.length, sorted(r.words.split())) for r in rows if r.d is not None}
+    assert texts == {i: (2 + i % 3, ["common", f"x{i}"]) for i in range(2000)} | {2000: (0, []), 2001: (0, [])}
