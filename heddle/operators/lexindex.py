@@ -290,7 +290,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, id, score), exact and equal to ``lexical.sparse_search_batch`` over the live documents.
 
-    Only the questions' terms are read; blocks whose bound is below what a question needs of the term are not opened.
+    Only the questions' terms are read, and where they are many, written beside once; blocks whose bound is below what a question needs of the term are not opened.
     """
     small = lambda df: _small(df, broadcast_rows)
     width = state.facts.get("buckets", BUCKETS)
@@ -304,6 +304,8 @@ def search(
     by_term = _of_terms(state.table("terms", TERMS), buckets, named, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
     known = words.join(by_term, "term").withColumn("idf", idf(F.lit(n), F.col("df")))
     blocks = _of_terms(state.table("postings", BLOCKS), buckets, named, terms)
+    if named is None:  # else the scan itself skips what is not asked for
+        blocks = Stored(blocks).df
     weight = document_weight(F.col("tf"), F.col("length"), F.lit(mean)) * F.col("idf")
     most = document_weight(F.col("max_tf"), F.col("min_length"), F.lit(mean)) * F.col("idf")
 

@@ -93,3 +93,13 @@ def test_a_batch_deals_pieces_and_not_postings(spark):
     assert sorted(tuple(p.tolist()) for own in common for p in own) == [(i, 1 + i % 3, 2 + i % 3) for i in range(2000)]
     texts = {r.d: (r.length, sorted(r.words.split())) for r in rows if r.d is not None}
     assert texts == {i: (2 + i % 3, ["common", f"x{i}"]) for i in range(2000)} | {2000: (0, []), 2001: (0, [])}
+
+
+def test_a_search_of_many_words_reads_the_index_once(spark, tmp_path):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(30))) for i in range(200)], DOC)
+    state = lexindex.update(lexindex.open_index(spark, f"file://{tmp_path}/index"), docs, buckets=4)
+    asked = spark.createDataFrame([(q, " ".join(f"w{i}" for i in range(50 * q, 50 * q + 50))) for q in range(5)], ASK)
+    found = lexindex.search(state, asked, 3)
+    assert not [f for f in found.inputFiles() if "/postings/" in f]
+    assert rounded(found) == rounded(lexical.sparse_search_batch(docs, asked, 3))
