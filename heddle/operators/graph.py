@@ -35,7 +35,7 @@ MOST_CELLS = 2_048
 SALTS = 32
 ROUNDS = 10  # of fitting the centroids
 SLICE_QUERIES = 2_000  # queries that one task takes through one graph
-BLOCK_VALUES = 4_000_000
+BLOCK_VALUES = 1_000_000  # 8 MB of doubles, that a task holds of each matrix at once
 
 
 @dataclass(frozen=True)
@@ -152,6 +152,17 @@ def walk(query: np.ndarray, v: np.ndarray, near: list[np.ndarray], admitted: np.
     return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
+def _to_cells(part: pa.RecordBatch, centres: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
+    """Each row ``count`` times, in batches of up to BLOCK_VALUES numbers however many cells there are."""
+    step = max(1, BLOCK_VALUES // max(1, len(centres), count * centres.shape[1]))
+    for start in range(0, part.num_rows, step):
+        own = part.slice(start, step)
+        s = _matrix(own.column("vector"), centres.shape[1]) @ centres.T
+        cells = np.argsort(-s, axis=1, kind="stable")[:, :count]
+        out = own.take(pa.array(np.repeat(np.arange(len(s)), count)))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells.ravel().astype(np.int32))], names=[*out.schema.names, "cell"])
+
+
 def _nearest(rows: DataFrame, at: np.ndarray, count: int, schema: str) -> DataFrame:
     """Rows with a last column ``vector``, each with ``cell``, the places of its ``count`` nearest centroids, a row for each."""
     shared = rows.sparkSession.sparkContext.broadcast(at)  # at most MOST_CELLS vectors
@@ -159,13 +170,7 @@ def _nearest(rows: DataFrame, at: np.ndarray, count: int, schema: str) -> DataFr
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not part.num_rows:
-                continue
-            centres = shared.value
-            s = _matrix(part.column("vector"), centres.shape[1]) @ centres.T
-            cells = np.argsort(-s, axis=1, kind="stable")[:, :count]
-            out = part.take(pa.array(np.repeat(np.arange(len(s)), count)))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells.ravel().astype(np.int32))], names=[*out.schema.names, "cell"])
+            yield from _to_cells(part, shared.value, count)
 
     return rows.mapInArrow(batches, schema)
 

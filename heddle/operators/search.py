@@ -18,7 +18,8 @@ from heddle.operators.lexical import ranked, sparse_search
 from heddle.session import Stored, ship
 
 RRF_K = 2  # ranks count from 0
-BLOCK_VALUES = 8_000_000  # 64 MB of doubles
+BLOCK_VALUES = 2_000_000  # 16 MB of doubles
+BATCH_ROWS = 4_096  # vectors that a task multiplies by a block at once
 
 
 def equals(filters: dict[str, object] | None) -> Column | None:
@@ -83,19 +84,21 @@ def _best_of(spark: SparkSession, queries: list, dim: int, top_k: int) -> Callab
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, m = shared.value
         ids, scores = np.zeros((0, len(names)), object), np.zeros((0, len(names)))  # by rank and query
-        for part in parts:
-            if not part.num_rows or not names:
+        for part in (whole.slice(start, BATCH_ROWS) for whole in parts for start in range(0, whole.num_rows, BATCH_ROWS)):
+            if not names:
                 continue
-            order = np.array(pc.sort_indices(part.column(0)))
-            v = np.stack(part.column(1).to_numpy(zero_copy_only=False))[order]
+            part = part.take(pc.sort_indices(part.column(0)))
+            v = np.stack(part.column(1).to_numpy(zero_copy_only=False))
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            own = np.array(part.column(0).to_pylist(), object)[order]
+            own = np.array(part.column(0).to_pylist(), object)
             new_ids, new_scores = [], []
             for start in range(0, len(names), 256):
                 some = slice(start, start + 256)
                 s = v @ m[some].T
                 n = min(top_k, len(s))
                 edge = np.partition(s, len(s) - n, axis=0)[len(s) - n] - 1e-9
+                if len(scores) == top_k:  # what the task has already found is a bar too
+                    edge = np.maximum(edge, scores[-1, some] - 1e-9)
                 rows = np.flatnonzero((s >= edge).any(1))
                 i, x = _first(
                     np.concatenate([ids[:, some], np.repeat(own[rows][:, None], s.shape[1], 1)]),

@@ -1,6 +1,9 @@
 """The graph index against exact scans: recall, filters, ties, vectors that are alike, and what has no place."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heddle.operators import graph, search
@@ -80,3 +83,38 @@ def test_every_node_can_be_reached():
     met = graph.walk(v[7], v, near, np.ones(400, bool), 400)
     assert len(met) == 400 and met[0][1] == 7 and [n for _, n in met] == sorted(range(400), key=lambda i: (-(v[i] @ v[7]), i))
     assert graph.links(v[:1], 4, 10)[0].size == 0
+
+
+def peak_mb(work):
+    """What ``work`` gives, and the most memory that numpy held in it."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_rows_go_to_many_cells_in_small_batches():
+    rng = np.random.default_rng(2)
+    v, centres = rng.normal(size=(2000, 32)), rng.normal(size=(150, 32))
+    part = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(v.tolist())], names=["q", "vector"])
+    out = list(graph._to_cells(part, centres, 140))
+    assert max(b.num_rows for b in out) * 32 <= graph.BLOCK_VALUES
+    whole = pa.Table.from_batches(out)
+    assert whole.column("q").to_pylist() == np.repeat(np.arange(2000), 140).tolist()
+    assert whole.column("cell").to_pylist() == np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :140].ravel().tolist()
+
+
+def test_links_and_exact_answers_hold_small_matrices(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(10_000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near, mb = peak_mb(lambda: graph.links(v[:2000], 8, 100))
+    assert len(near) == 2000 and mb < 50, mb
+    part = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(v.tolist())], names=["id", "v"])
+    asked = [{"q": i, "v": v[i].tolist()} for i in range(0, 10_000, 20)]
+    best = search._best_of(spark, asked, 16, 3)
+    (out,), mb = peak_mb(lambda: list(best(iter([part]))))
+    scores = v[::20] @ v.T
+    want = [i for s in scores for i in np.lexsort((np.arange(10_000), -np.round(s, 9)))[:3]]
+    assert out.column("id").to_pylist() == want and mb < 45, mb
